@@ -232,7 +232,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int, iden
         if writer is not None:
             writer.close()
             file.close()
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(writer.keys)], "n_ids": [writer.ids], "first_id": pa.array([first], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(writer.keys)], "n_ids": [writer.ids], "first_id": pa.array([first], pa.int64())})
 
     ordered = docs.select(F.col(identifier).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(run, "shard int, path string, n_docs long, n_ids long, first_id long"), "manifest")
