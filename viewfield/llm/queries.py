@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sst
+from . import avi, bpe, langid, sst
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,40 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, path).select("doc_id", n_tokens.alias("n_tokens"), ids_sha256.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def held_out(docs: DataFrame) -> DataFrame:
+    """Add ``held_out``: is the row kept from learning?"""
+    return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learnt from the rows that are not held out."""
+    return langid.learn(held_out(docs).where("not held_out"), langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of whole texts."""
+    docs = _documents(spark, sf_dir)
+    found = langid.predict(held_out(docs.select("doc_id", "text")), language_model(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_avi_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as motion-JPEG files, read back, with their shots."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    rows = avi.read(avi.store(docs))
+    starts = F.array_join(F.transform("clips", lambda c: c.first_frame.cast("string")), ",")
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.lit("shots="), F.size("clips").cast("string"), F.lit(" starts="), starts).alias("feature"),
+    )
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of whole texts written to sorted-string-table shards and read back."""
     rows = sst.write_and_read(spark, _documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -31,6 +65,8 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op7_language": op7_language,
+    "op9_avi_columns": op9_avi_columns,
     "op10_token_shards": op10_token_shards,
 }
 ORACLES: dict[str, str] = {}
