@@ -194,9 +194,8 @@ def store(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            for a, b in in_slices(texts, SLICE_BYTES):
-                payloads = [padded((t or "").encode()) for t in texts[a:b]]
+            for a, b, texts in in_slices(batch.column(len(kept)), SLICE_BYTES):
+                payloads = [padded((t or "").encode()) for t in texts]
                 images = encode_frames(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, SIDE, SIDE))
                 files, first = [], 0
                 for p in payloads:
@@ -215,10 +214,8 @@ def read(df: DataFrame, media: str = "media") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            files = batch.column(kept.index(media)).to_pylist()
-            sizes = [b"" if f is None else f for f in files]
-            for a, b in in_slices(sizes, SLICE_BYTES):
-                parts = [None if f is None else demux(f) for f in files[a:b]]
+            for a, b, files in in_slices(batch.column(kept.index(media)), SLICE_BYTES):
+                parts = [None if f is None else demux(f) for f in files]
                 images = [i for p in parts if p for i in p[0]]
                 samples = decode_frames(images) if images else np.empty((0, SIDE, SIDE), np.uint8)
                 payloads, clips, first = [], [], 0

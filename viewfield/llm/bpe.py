@@ -16,13 +16,14 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Entries that a worker keeps of words and pieces, twice, and of pairs.
-CACHE = 300_000
-#: Bytes of output after which a batch is handed on.
-BATCH_BYTES = 8 << 20
+CACHE = 250_000
+#: Bytes of input after which a batch is handed on.
+BATCH_BYTES = 4 << 20
 
 
 class Merges:
@@ -171,16 +172,15 @@ def _words(path: str, pattern: str) -> Words:
     return Words(regex.compile(pattern).findall, lambda piece: array("I", merges.piece(piece.encode())).tobytes())
 
 
-def in_slices(texts: list[str | None], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``most`` characters, one row at least."""
+def in_slices(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int, list]]:
+    """Ranges of rows of about ``most`` bytes, one row at least, with their values."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield first, i + 1
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= most or i == len(sizes) - 1:
+            yield first, i + 1, column.slice(first, i + 1 - first).to_pylist()
             first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
 
 
 def _added(df: DataFrame, name: str, of: str, work: Callable[[list], list]) -> DataFrame:
@@ -190,10 +190,9 @@ def _added(df: DataFrame, name: str, of: str, work: Callable[[list], list]) -> D
 
     def run(batches):
         for batch in batches:
-            values = batch.column(batch.schema.get_field_index(of)).to_pylist()
-            for a, b in in_slices(values):
+            for a, b, values in in_slices(batch.column(batch.schema.get_field_index(of))):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(work(values[a:b]), pa.binary())], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(work(values), pa.binary())], names=[*part.schema.names, name])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())]))
 

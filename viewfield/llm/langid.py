@@ -202,9 +202,8 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column(kept.index(text)).to_pylist()
-            for a, b in in_slices(texts, 2 << 20):
-                langs, scores = scorer.texts(texts[a:b])
+            for a, b, texts in in_slices(batch.column(kept.index(text)), 2 << 20):
+                langs, scores = scorer.texts(texts)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return df.select(*kept).mapInArrow(run, T.StructType([*(df.schema[c] for c in kept)]).add("lang_pred", "string").add("score", "double"))

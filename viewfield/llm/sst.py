@@ -221,12 +221,12 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int, iden
         path, writer, first = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.sst", None, None
         end = end_id.to_bytes(width, "little")
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_slices(texts):
+            keys = batch.column(0).to_pylist()
+            for a, b, texts in in_slices(batch.column(1)):
                 if writer is None:
                     file = _opened(path, "w")
                     writer, first = ShardWriter(file, width), keys[0]
-                for key, ids in zip(keys[a:b], words.encode([t or "" for t in texts[a:b]])):
+                for key, ids in zip(keys[a:b], words.encode([t or "" for t in texts])):
                     value = ids if width == 4 else array("H", memoryview(ids).cast("I").tolist()).tobytes()
                     writer.add(key_of(key), value + end)
         if writer is not None:
