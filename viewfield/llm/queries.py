@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, jaccard, langid, sst
+from . import avi, bpe, contain, jaccard, langid, sst
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, path).select("doc_id", n_tokens.alias("n_tokens"), ids_sha256.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items inside documents."""
+    return contain.find(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def held_out(docs: DataFrame) -> DataFrame:
     """Add ``held_out``: is the row kept from learning?"""
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
@@ -64,15 +69,18 @@ def op9_avi_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of whole texts written to sorted-string-table shards and read back."""
-    rows = sst.write_and_read(spark, _documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    rows = sst.write_and_read(spark, _documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
     return rows.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
+    "op5_decontamination": op5_decontamination,
     "op7_language": op7_language,
     "op9_avi_columns": op9_avi_columns,
     "op10_token_shards": op10_token_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_decontamination": contain.SQL,
+}
