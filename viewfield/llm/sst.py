@@ -171,26 +171,33 @@ class ShardReader:
         return out
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(prints)))}
+
+
 @cache
-def _words(tokenizer: str) -> tuple[Words, int]:
-    """The tokenizer's ids by text, and the bytes that an id needs."""
+def _words(tokenizer: str, pattern: str) -> tuple[Words, int]:
+    """The tokenizer's ids by text, and the bytes that an id needs.
+
+    Its pre-tokenizer must be the byte-level one that cuts by ``pattern``; the library's model encodes each piece.
+    """
+    import json
+
+    import regex
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
-    cut, model = t.pre_tokenizer.pre_tokenize_str, t.model
-
-    class Library(Words):
-        """Pieces come from the library's own pre-tokenizer, as it names them, their ids from its model."""
+    said = json.loads(t.to_str())
+    if said["normalizer"] or said["pre_tokenizer"]["type"] != "ByteLevel" or said["pre_tokenizer"]["add_prefix_space"]:
+        raise ValueError("a byte-level tokenizer without normalizer and prefix is needed")
+    model, letters = t.model, byte_letters()
 
-        def learn(self, part: str) -> bytes:
-            known = self.old.get(part)
-            if known is None:
-                known = array("I", [x.id for piece, _ in cut(part) for x in model.tokenize(piece)]).tobytes()
-            self[part] = known
-            return known
+    def ids(piece: str) -> bytes:
+        return array("I", [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
 
-    return Library(None, None), 2 if t.get_vocab_size(True) <= 1 << 16 else 4
+    return Words(regex.compile(pattern).findall, ids), 2 if t.get_vocab_size(True) <= 1 << 16 else 4
 
 
 def _opened(path: str, how: str):
@@ -204,7 +211,7 @@ def _opened(path: str, how: str):
     return store.open_output_stream(at)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int, identifier: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end_id: int, identifier: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode whole texts, write shards in ascending identifier order, and return the manifest.
 
     One row a shard: shard, path, n_docs, n_ids, first_id.  Each attempt of a task writes a file of its own
@@ -216,7 +223,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int, iden
     def run(batches):
         from pyspark import TaskContext
 
-        words, width = _words(tokenizer)
+        words, width = _words(tokenizer, pattern)
         shard = TaskContext.get().partitionId()
         path, writer, first = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.sst", None, None
         end = end_id.to_bytes(width, "little")
@@ -293,6 +300,6 @@ def lookup(manifest: DataFrame, wanted: DataFrame, identifier: str = "doc_id") -
     return routed.repartition(n, "path").sortWithinPartitions("path", "doc_id").mapInArrow(run, "doc_id long, ids binary")
 
 
-def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, pattern: str, end_id: int) -> DataFrame:
     """Shards in the shared folder, read back whole."""
-    return read_shards(write_shards(docs, tokenizer, shared_dir(spark, "shards"), end_id))
+    return read_shards(write_shards(docs, tokenizer, pattern, shared_dir(spark, "shards"), end_id))
