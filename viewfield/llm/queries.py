@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, contain, jaccard, langid, sst
+from . import avi, bpe, contain, jaccard, langid, lineruns, sst
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated runs of lines."""
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return lineruns.dedup(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", kept)
+
+
 def op9_avi_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as motion-JPEG files, read back, with their shots."""
     docs = _documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
@@ -78,9 +84,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_decontamination": op5_decontamination,
     "op7_language": op7_language,
+    "op8_line_dedup": op8_line_dedup,
     "op9_avi_columns": op9_avi_columns,
     "op10_token_shards": op10_token_shards,
 }
 ORACLES: dict[str, str] = {
     "op5_decontamination": contain.SQL,
+    "op8_line_dedup": lineruns.SQL,
 }
