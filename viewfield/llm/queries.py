@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, contain, jaccard, langid, lineruns, sst, suffixes
+from . import avi, bpe, contain, jaccard, langid, licences, lineruns, quality, sst, suffixes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, path).select("doc_id", n_tokens.alias("n_tokens"), ids_sha256.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of documents; the source stands for the host, the language's section of it for the path."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = quality.score(_documents(spark, sf_dir), labels, "source", "lang")
+    return rows.select("doc_id", F.round("score", 6).alias("score"), "keep")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the 200-byte strings that start anywhere else."""
     rows = suffixes.dedup(_documents(spark, sf_dir))
@@ -39,6 +46,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contain.find(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of documents."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    rows = licences.scan(docs, licences.learn(docs))
+    return rows.select(
+        "doc_id",
+        F.size("licences").cast("long").alias("n_paragraphs"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda c: c.family))), ",").alias("families"),
+        F.round(F.array_max(F.transform("licences", lambda c: c.probability)), 6).alias("probability"),
+    )
+
+
 def held_out(docs: DataFrame) -> DataFrame:
     """Add ``held_out``: is the row kept from learning?"""
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
@@ -88,8 +107,10 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality": op3_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_licences": op6_licences,
     "op7_language": op7_language,
     "op8_line_dedup": op8_line_dedup,
     "op9_avi_columns": op9_avi_columns,
