@@ -1,17 +1,62 @@
-"""A corpus pipeline out of the operators of ``viewfield.llm``."""
+"""A corpus pipeline out of the operators of ``viewfield.llm``.
+
+Each stage gets what the one before kept, written as Parquet and read again, and returns rows with the
+columns of ``documents``; the last adds the token ids.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from viewfield.llm import bpe, contain, jaccard, langid, lineruns
 from viewfield.llm.common import stored
+from viewfield.llm.queries import language_model
+
+#: A text whose best language has a lower share of the probability is rejected, as one without letters is.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is found; others go."""
+    found = langid.predict(docs, language_model(docs))
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without later copies of repeated runs of lines; those of which nothing but white space is left go."""
+    cut = lineruns.dedup(docs)
+    rows = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else rows
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of similar texts, that of the lowest id; of rows with one id all or none stay."""
+    groups = jaccard.join(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which no benchmark item is found."""
+    return contain.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with ``n_tokens``, ``ids_sha256`` and whether the ids decode to the text."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return rows.select(*docs.columns, (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), exact.alias("exact"))
+
 
-STAGES: list = []
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("tokens", tokens)]
+#: SQL can't express the first stage and the last.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``, each over what the one before kept."""
+    """All stages in turn over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
