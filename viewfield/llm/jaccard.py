@@ -12,8 +12,13 @@ n-gram meet, so each counts twice; and a set for which even this is too little i
 Of a pair it is enough that one set's allocation suffices, or that both are entered the same way, so no
 linked pair is missed.
 
+Segments of widespread n-grams are entries of many sets.  A set shares at least so many entries with each
+partner as its segments outnumber ``H``; one that has fewer entries in buckets over ``HOT`` sets than that is
+not sought there, for it shares another entry with each partner.
+
 Entries travel as packed arrays, dealt by their hash over shards.  Candidates are verified exactly on the
-n-gram sets.  In a bucket of sets under one entry not all pairs are tried: its first set is the centre of a
+n-gram sets, after a bound: the difference of two sets is at least that of their counts by ranges of the
+hash.  In a bucket of sets under one entry not all pairs are tried: its first set is the centre of a
 star, in several rounds with other centres; then the rest, all pairs of a bucket that lie in different
 components, are tried.  So every pair that could join two components is verified, and the components are
 those of all links.
@@ -38,7 +43,9 @@ WORDS, PERCENT = 5, 80
 #: Band k holds sizes from STEP**k on.
 STEP = 1.5
 #: Rounds of stars before all pairs between components.
-ROUNDS = 3
+ROUNDS = 2
+#: A bucket of more sets is hot.
+HOT = 40
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
 
@@ -98,14 +105,14 @@ def segments_of(band: int) -> tuple[int, int]:
     """The largest size in a band, and its number of segments: one more than the differences, and spare ones."""
     top = int(np.ceil(STEP ** (band + 1))) - 1
     most = differ(top, top * 100 // PERCENT)
-    return top, most + 1 + (most + 1) // 12 + (1 if most else 0)
+    return top, most + 1 + max(3, (most + 1) // 4) * (most > 0)
 
 
-def entries(grams: np.ndarray) -> np.ndarray:
-    """The index entries of a set, as 64-bit hashes."""
-    size = len(grams)
+def entries(grams: np.ndarray) -> tuple[np.ndarray, int]:
+    """The index entries of a set, as 64-bit hashes, and how many it shares at least with each partner."""
+    size, spare = len(grams), 1 << 30
     if not size:
-        return grams
+        return grams, 0
     spread, out = mixed(grams), []
     own = band_of(size)
     for band in range(band_of(-(-size * PERCENT // 100)), own + 1):
@@ -116,6 +123,7 @@ def entries(grams: np.ndarray) -> np.ndarray:
         content = np.add.reduceat(spread, starts)
         salt = segment[starts] * U(0x9E3779B97F4A7C15) + U(band + 1)
         out.append(mixed(content ^ mixed(salt)))
+        spare = min(spare, max(0, len(starts) - most))
         if len(starts) > most:
             continue
         counts = np.diff(np.concatenate([starts, [size]]))
@@ -124,7 +132,21 @@ def entries(grams: np.ndarray) -> np.ndarray:
         out.append(mixed((content[at] - spread)[several] ^ mixed(salt[at])[several]))
         if 2 * (counts > 1).sum() + (counts == 1).sum() <= most:
             out.append(mixed(spread + U(band + 1) * U(0xD6E8FEB86659FD93)))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), spare
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """Counts by equal ranges of the hash, a third as many ranges as n-grams about; 255 stands for more too."""
+    bits = max(4, int(len(grams) / 3).bit_length())
+    return np.minimum(np.bincount((grams >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def at_least_apart(a: bytes, b: bytes) -> int:
+    """In how many n-grams the sets of two sketches differ at least."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (a, b))
+    size = min(len(x), len(y))
+    x, y = (np.minimum(v.reshape(size, -1).sum(1), 255) for v in (x, y))
+    return int(np.abs(x - y).sum())
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -139,20 +161,20 @@ def _index(docs: DataFrame, shards: int) -> DataFrame:
     """
 
     def run(batches):
-        grams, seen = Grams(), set()
+        grams, seen = Grams(), {}
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for a, b, texts in in_slices(batch.column(1)):
                 yield from _rows(ids[a:b], texts, grams, seen, shards)
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, shard int, entries binary, owners binary")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, spare int, sketch binary, shard int, entries binary, owners binary")
 
 
-INDEX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shard", pa.int32()), ("entries", pa.binary()), ("owners", pa.binary())])
+INDEX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("spare", pa.int32()), ("sketch", pa.binary()), ("shard", pa.int32()), ("entries", pa.binary()), ("owners", pa.binary())])
 
 
-def _rows(ids: list, texts: list, grams: Grams, seen: set, shards: int) -> Iterator[pa.RecordBatch]:
-    sizes, first, second, found, owners = [], [], [], [], []
+def _rows(ids: list, texts: list, grams: Grams, seen: dict, shards: int) -> Iterator[pa.RecordBatch]:
+    sizes, first, second, spare, sketches, found, owners = [], [], [], [], [], [], []
     for i, text in zip(ids, texts):
         own = grams(text)
         spread = mixed(own + U(len(own)))
@@ -163,14 +185,15 @@ def _rows(ids: list, texts: list, grams: Grams, seen: set, shards: int) -> Itera
         if len(own) and s not in seen:
             if len(seen) > 1_000_000:
                 seen.clear()
-            seen.add(s)
-            e = entries(own)
+            e, seen[s] = entries(own)
             found.append(e)
             owners.append(np.full(len(e), i, np.int64))
+        spare.append(seen[s] if len(own) else 0)
+        sketches.append(sketch(own))
     n = len(ids)
     as_long = lambda x: pa.array(np.array(x, U).view(np.int64))
     nothing = pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), as_long(first), as_long(second), *nothing], schema=INDEX)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), as_long(first), as_long(second), pa.array(spare, pa.int32()), pa.array(sketches, pa.binary()), *nothing], schema=INDEX)
     if not found:
         return
     e, o = np.concatenate(found), np.concatenate(owners)
@@ -182,7 +205,7 @@ def _rows(ids: list, texts: list, grams: Grams, seen: set, shards: int) -> Itera
     n = len(packed)
     k, e, o = zip(*packed)
     none = pa.nulls(n, pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(k, pa.int32()), pa.array(e, pa.binary()), pa.array(o, pa.binary())], schema=INDEX)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(k, pa.int32()), pa.array(e, pa.binary()), pa.array(o, pa.binary())], schema=INDEX)
 
 
 def _pack(owners: np.ndarray, base: int) -> bytes:
@@ -198,7 +221,7 @@ def _unpack(owners: bytes, n: int) -> np.ndarray:
 
 
 def _buckets(table: pa.Table) -> pa.Table:
-    """The sets that share an entry of a shard: (bucket, doc_id), a bucket of each group of sets once."""
+    """The sets that share entries of a shard: (bucket, doc_id, hot, entries), a bucket of each group of sets once."""
     found, owners = [], []
     for e, o in zip(table.column("entries").to_pylist(), table.column("owners").to_pylist()):
         found.append(np.frombuffer(e, np.uint32))
@@ -209,22 +232,33 @@ def _buckets(table: pa.Table) -> pa.Table:
     again = np.concatenate([[False], e[1:] == e[:-1]])
     keep = again | np.concatenate([again[1:], [False]])
     e, o = e[keep], o[keep]
-    if not len(e):
-        return pa.table({"bucket": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64())})
-    starts = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])) if len(e) else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate([starts, [len(e)]]))
-    content = np.add.reduceat(mixed(o.astype(U)), starts)  # the group's members
-    _, one = np.unique(content, return_index=True)
-    chosen = np.zeros(len(starts), bool)
-    chosen[one] = True
-    member = np.repeat(chosen, counts)
-    return pa.table({"bucket": np.repeat(content, counts)[member].view(np.int64), "doc_id": o[member]})
+    content = np.add.reduceat(mixed(o.astype(U)), starts) if len(e) else np.zeros(0, U)  # the group's members
+    _, one, number = np.unique(content, return_index=True, return_counts=True)
+    times = np.zeros(len(starts), np.int64)
+    times[one] = number
+    member = np.repeat(times > 0, counts)
+    return pa.table({"bucket": np.repeat(content, counts)[member].view(np.int64), "doc_id": o[member], "hot": np.repeat(counts > HOT, counts)[member], "entries": np.repeat(times, counts)[member]})
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sketches leave a link possible."""
+    named = lambda x: sets.selectExpr(f"doc_id as {x}", f"n as n{x}", f"sketch as s{x}")
+    both = pairs.join(named("a"), "a").join(named("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
+            keep = [at_least_apart(x, y) <= differ(n, m) for n, m, x, y in zip(na, nb, sa, sb)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs (a, b) that link, by their whole texts' sets."""
-    n = partitions(docs.sparkSession)
-    texts = docs.select("doc_id", F.col("text").alias("text"))
+    texts = docs.select("doc_id", "text")
     named = lambda x: texts.selectExpr(f"doc_id as {x}", f"text as text_{x}")
     both = pairs.join(named("b"), "b").join(named("a"), "a")
 
@@ -257,31 +291,30 @@ def join(docs: DataFrame) -> DataFrame:
     shards = 2 * partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     index = stored(_index(docs, shards), "index")
-    sets = index.where("shard is null").groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2")).alias("s")).select("doc_id", "s.*")
+    sets = index.where("shard is null").groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2", "spare", "sketch")).alias("s")).select("doc_id", "s.*")
     sets = stored(sets, "sets")
     least = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("a"))
-    copies = sets.where("n > 0").join(least, ["n", "s1", "s2"]).where("a < doc_id").select("a", F.col("doc_id").alias("b"))
+    copies = sets.where("n > 0").select("doc_id", "n", "s1", "s2").join(least, ["n", "s1", "s2"]).where("a < doc_id").select("a", F.col("doc_id").alias("b"))
     links = stored(copies, "links")
 
-    members = index.where("shard is not null").select("shard", "entries", "owners").groupBy("shard").applyInArrow(_buckets, "bucket long, doc_id long")
-    distinct = sets.join(links.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "n")
+    members = index.where("shard is not null").select("shard", "entries", "owners").groupBy("shard").applyInArrow(_buckets, "bucket long, doc_id long, hot boolean, entries long")
     # a copy stands for the least of its set
-    of = members.join(links.selectExpr("b as doc_id", "a as least"), "doc_id", "left").select("bucket", F.coalesce("least", "doc_id").alias("doc_id")).distinct()
-    members = stored(of.join(distinct, "doc_id"), "members")
+    members = members.join(links.selectExpr("b as doc_id", "a as least"), "doc_id", "left").groupBy("bucket", F.coalesce("least", "doc_id").alias("doc_id")).agg(F.max("hot").alias("hot"), F.sum("entries").alias("entries"))
+    members = stored(members, "members")
     drop_stored(spark, index)
+    sought = members.where("hot").groupBy("doc_id").agg(F.sum("entries").alias("hot_entries")).join(sets.select("doc_id", "spare"), "doc_id").where("hot_entries >= spare").select("doc_id")
+    members = stored(members.where("not hot").select("bucket", "doc_id").union(members.where("hot").join(sought, "doc_id", "left_semi").select("bucket", "doc_id")), "members")
 
     tried = None
     for k in range(ROUNDS + 1):
         rest = members.withColumn("component", F.col("doc_id")) if tried is None else _open(members, components(links))
-        pairs = _star_pairs(rest, k) if k < ROUNDS else _cross_pairs(rest)
-        # sets of sizes too far apart can't link
-        pairs = pairs.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
+        pairs = (_star_pairs(rest, k) if k < ROUNDS else _cross_pairs(rest)).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             break
-        found = stored(_verified(pairs, docs), "links")
+        found = stored(_verified(stored(_near(pairs, sets), "near"), docs), "links")
         links, tried = links.union(found), pairs if tried is None else tried.union(pairs)
     n_links = reduce(DataFrame.union, [links.select(F.col(c).alias("doc_id")) for c in ("a", "b")]).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     return (
@@ -301,12 +334,12 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
 def _star_pairs(rest: DataFrame, k: int) -> DataFrame:
     """Each member with its bucket's centre: the least by another order in each round."""
     order = F.col("doc_id") if k == 0 else F.xxhash64(F.lit(k), "doc_id")
-    centre = rest.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "doc_id", "n", "component")).alias("c"))
+    centre = rest.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "doc_id", "component")).alias("c"))
     both = rest.join(centre, "bucket").where("component <> c.component")
-    return both.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"))
+    return both.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
 
 
 def _cross_pairs(rest: DataFrame) -> DataFrame:
     """All pairs of a bucket between different components."""
-    x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component"))) for s in "xy")
-    return x.join(y, "bucket").where("doc_id_x < doc_id_y and component_x <> component_y").select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"))
+    x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component"))) for s in "xy")
+    return x.join(y, "bucket").where("doc_id_x < doc_id_y and component_x <> component_y").select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
