@@ -16,6 +16,7 @@ CELL_EARTH = 6371.393  # altitude in cell keys
 GRID_METRES = 110000  # metres a degree in grids
 DEM_METRES = 111320  # metres a degree in elevation models
 NODATA = -9999
+CLEARANCE_SQL = "0.05e0"  # metres that a ray may run under the terrain
 
 
 def apply(df: DataFrame, layers: Layers) -> DataFrame:
@@ -94,11 +95,11 @@ DECIBEL = "CASE WHEN density > 0 THEN round(10 * log10(density), 2) END"
 
 
 def _meets() -> str:
-    """Does the open segment e-t meet triangle a, b, c?  Two-sided, ends excluded, parallel misses."""
+    """Does the open segment e-t meet triangle a, m, c?  Two-sided, ends excluded, parallel misses."""
     v = lambda p, q: [f"({p}{i} - {q}{i})" for i in "xyz"]
     cross = lambda p, q: [f"({p[1]} * {q[2]} - {p[2]} * {q[1]})", f"({p[2]} * {q[0]} - {p[0]} * {q[2]})", f"({p[0]} * {q[1]} - {p[1]} * {q[0]})"]
     dot = lambda p, q: "(" + " + ".join(f"{x} * {y}" for x, y in zip(p, q)) + ")"
-    ray, e1, e2, s = v("t", "e"), v("b", "a"), v("c", "a"), v("e", "a")
+    ray, e1, e2, s = v("t", "e"), v("m", "a"), v("c", "a"), v("e", "a")
     det, far = dot(e1, cross(ray, e2)), f"sqrt({dot(ray, ray)})"
     u, w, t = dot(s, cross(ray, e2)), dot(ray, cross(s, e1)), dot(e2, cross(s, e1))
     # the ray is not of length one: det, u and w hold its length as a factor, t is a share of it
@@ -107,14 +108,14 @@ def _meets() -> str:
 
 
 MEETS = _meets()
-MBR: Layers = [[(f"{f}{i}", f"{g}(a{i}, b{i}, c{i})") for i in "xyz" for f, g in (("lo", "least"), ("hi", "greatest"))]]
+MBR: Layers = [[(f"{f}{i}", f"{g}(a{i}, m{i}, c{i})") for i in "xyz" for f, g in (("lo", "least"), ("hi", "greatest"))]]
 #: The segment's box and the triangle's share a point.
 BOXES = " AND ".join(f"lo{i} <= greatest(e{i}, t{i}) AND hi{i} >= least(e{i}, t{i})" for i in "xyz")
 #: Height of a triangle over (x, y), null beside it.
-_DET = "((bx - ax) * (cy - ay) - (cx - ax) * (by - ay))"
+_DET = "((mx - ax) * (cy - ay) - (cx - ax) * (my - ay))"
 _U = f"(((x - ax) * (cy - ay) - (cx - ax) * (y - ay)) / {_DET})"
-_V = f"(((bx - ax) * (y - ay) - (x - ax) * (by - ay)) / {_DET})"
-HEIGHT = f"CASE WHEN abs({_DET}) < 1e-6 THEN NULL WHEN {_U} >= 0 AND {_V} >= 0 AND {_U} + {_V} <= 1 THEN az + {_U} * (bz - az) + {_V} * (cz - az) END"
+_V = f"(((mx - ax) * (y - ay) - (x - ax) * (my - ay)) / {_DET})"
+HEIGHT = f"CASE WHEN abs({_DET}) < 1e-6 THEN NULL WHEN {_U} >= 0 AND {_V} >= 0 AND {_U} + {_V} <= 1 THEN az + {_U} * (mz - az) + {_V} * (cz - az) END"
 
 #: Cell keys: spread 21 bits to every third, and back.
 MASKS = [0x1F00000000FFFF, 0x1F0000FF0000FF, 0x100F00F00F00F00F, 0x10C30C30C30C30C3, 0x1249249249249249]

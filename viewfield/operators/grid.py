@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.formulas import DEM_METRES, EARTH_KM, GRID_METRES, Layers, apply, whole
 from ..sources.fixtures import STEPS
 
 
+def spread(rows: DataFrame, name: str, n: str) -> DataFrame:
+    """A row for each of n steps 0, 1, …, none if n is not positive.
+
+    The explode is an outer one: of an inner one, or of a filter on n, the optimizer would put a test below
+    all the layers that n comes from and write them out in it many times over.
+    """
+    return rows.selectExpr("*", f"explode_outer(CASE WHEN {n} > 0 THEN sequence(0L, {n} - 1) END) AS {name}").where(f"{name} IS NOT NULL")
+
+
 def ground_grid(emitters: DataFrame, step: float) -> DataFrame:
     """Square grid round each emitter (eid, ex, ey, reach): adds idx, x, y; an emitter without cells gives none."""
     n = f"CAST(ceil(2 * reach / {step}e0) AS BIGINT)"
-    rows = emitters.selectExpr("*", f"{n} AS n_side").where("n_side > 0")
-    rows = rows.selectExpr("*", "explode(sequence(0L, n_side - 1)) AS i").selectExpr("*", "explode(sequence(0L, n_side - 1)) AS j")
-    return rows.selectExpr("*", f"i * n_side + j AS idx", f"ex - reach + j * {step}e0 AS x", f"ey - reach + i * {step}e0 AS y")
+    rows = spread(spread(emitters.selectExpr("*", f"{n} AS n_side"), "i", "n_side"), "j", "n_side")
+    return rows.selectExpr("*", "i * n_side + j AS idx", f"ex - reach + j * {step}e0 AS x", f"ey - reach + i * {step}e0 AS y")
 
 
 BOX: Layers = [
@@ -25,8 +34,7 @@ BOX: Layers = [
 
 def box_grid(boxes: DataFrame) -> DataFrame:
     """Grid over boxes (lon_lo, lon_hi, lat_lo, lat_hi, metres), anchored at the lower corner: adds i, j, lon, lat."""
-    rows = apply(boxes, BOX).where("n_lon > 0 AND n_lat > 0")
-    rows = rows.selectExpr("*", "explode(sequence(0L, n_lat - 1)) AS i").selectExpr("*", "explode(sequence(0L, n_lon - 1)) AS j")
+    rows = spread(spread(apply(boxes, BOX), "i", "n_lat"), "j", "n_lon")
     return rows.selectExpr("*", "lon_lo + j * lon_step AS lon", "lat_lo + i * lat_step AS lat")
 
 
@@ -95,9 +103,9 @@ def cell_grid(stations: DataFrame, most: int | None = None) -> DataFrame:
 
     ``most`` is an optional bound: stations with more points give none.
     """
-    rows = apply(stations, COUNTS).where("n_lon > 0 AND n_lat > 0 AND n_alt > 0")
+    rows = apply(stations, COUNTS)
     if most is not None:
-        rows = rows.where(f"n_lon * n_lat * n_alt <= {most}")
+        rows = rows.withColumn("n_alt", F.expr(f"CASE WHEN n_lon * n_lat * n_alt <= {most} THEN n_alt END"))
     for name, n in (("i", "n_alt"), ("j", "n_lat"), ("z", "n_lon")):
-        rows = rows.selectExpr("*", f"explode(sequence(0L, {n} - 1)) AS {name}")
+        rows = spread(rows, name, n)
     return apply(rows, PLACES).select(*stations.columns, "i", "j", "z", "c_lon", "c_lat", "c_alt")

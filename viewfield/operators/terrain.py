@@ -115,8 +115,8 @@ def sample(points: DataFrame, dem: DataFrame, meta: DataFrame, keys: list[str])
     )
     corners = placed.selectExpr(*keys, "dem_id", four).selectExpr(*keys, "dem_id", "c.col AS col", "c.row AS row", "c.w AS w")
     values = corners.join(dem.select("dem_id", "row", "col", F.col("height").alias("h")), ["dem_id", "row", "col"], "left")
-    grouped = values.groupBy(*keys).agg(F.count("*").alias("n"), F.count("h").alias("m"), F.sum(F.expr("w * h")).alias("weighted"), F.avg("h").alias("mean"))
-    return grouped.select(*keys, F.expr("CASE WHEN m = n THEN weighted ELSE mean END AS height"))
+    grouped = values.groupBy(*keys).agg(F.count("*").alias("n_asked"), F.count("h").alias("n_known"), F.sum(F.expr("w * h")).alias("weighted"), F.avg("h").alias("mean"))
+    return grouped.select(*keys, F.expr("CASE WHEN n_known = n_asked THEN weighted ELSE mean END AS height"))
 
 
 def pixel_heights(indices: DataFrame, dem: DataFrame) -> DataFrame:

@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.formulas import BOXES, DEM_METRES, MEETS, apply
+from ..functions.formulas import BOXES, CLEARANCE_SQL, DEM_METRES, MEETS, apply
 from .terrain import TILE, heights, sample, tiled, with_mbr
 
 SECTORS = 720
-CLEARANCE = 0.05
 
 
 def _sector(azimuth: str, sectors: int) -> str:
@@ -41,17 +40,17 @@ def sectors_of(mesh: DataFrame, emitters: DataFrame, reach: float, sectors: int
     seen = triangles.join(asked, ["tile_x", "tile_y"]).where(f"{first} AND {reached}")
     turn = lambda a: f"({a} - azimuth_a - 360 * floor(({a} - azimuth_a + 180) / 360))"
     azimuth = lambda p: f"degrees(atan2({p}y - ey, {p}x - ex))"
-    under = " OR ".join(f"({p}x = ex AND {p}y = ey)" for p in "abc")
+    under = " OR ".join(f"({p}x = ex AND {p}y = ey)" for p in "amc")
     seen = apply(
         seen,
         [
-            [("azimuth_a", azimuth("a")), ("azimuth_b", azimuth("b")), ("azimuth_c", azimuth("c"))],
+            [("azimuth_a", azimuth("a")), ("azimuth_b", azimuth("m")), ("azimuth_c", azimuth("c"))],
             [("turn_b", turn("azimuth_b")), ("turn_c", turn("azimuth_c"))],
             [("from_", "azimuth_a + least(0e0, turn_b, turn_c) - 1e-7"), ("to_", "azimuth_a + greatest(0e0, turn_b, turn_c) + 1e-7"), ("all_", f"{under} OR greatest(0e0, turn_b, turn_c) - least(0e0, turn_b, turn_c) >= 179.999e0")],
         ],
     )
     bins = f"explode(CASE WHEN all_ THEN sequence(0L, {sectors - 1}L) ELSE sequence({_sector('from_', sectors)}, {_sector('to_', sectors)}) END) AS k"
-    corners = [f"{p}{i}" for p in "abc" for i in "xyz"] + [f"{f}{i}" for f in ("lo", "hi") for i in "xyz"]
+    corners = [f"{p}{i}" for p in "amc" for i in "xyz"] + [f"{f}{i}" for f in ("lo", "hi") for i in "xyz"]
     return seen.selectExpr("eid", *corners, bins).selectExpr("eid", *corners, f"pmod(k, {sectors}L) AS sector")
 
 
@@ -120,7 +119,7 @@ def _sampled(rays: DataFrame, dem: DataFrame, meta: DataFrame, ends: bool) -> Da
     points = apply(stepped.where("NOT same").selectExpr("rid", "dem_id", "e_lon", "e_lat", "e_alt", "t_lon", "t_lat", "t_alt", "n", "dist_m", f"explode({span}) AS i"), SAMPLES)
     points = points.select("rid", "dem_id", "n", "dist_m", "i", "lon", "lat", "ray_h")
     keys = ["rid", "dem_id", "n", "dist_m", "i", "lon", "lat", "ray_h"]
-    return sample(points, dem, meta, keys).withColumnRenamed("height", "terrain_h").withColumn("below", F.expr(f"coalesce(ray_h < terrain_h - {CLEARANCE}e0, FALSE)"))
+    return sample(points, dem, meta, keys).withColumnRenamed("height", "terrain_h").withColumn("below", F.expr(f"coalesce(ray_h < terrain_h - {CLEARANCE_SQL}, FALSE)"))
 
 
 def dem_visible(rays: DataFrame, dem: DataFrame, meta: DataFrame) -> DataFrame:

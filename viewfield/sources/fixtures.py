@@ -38,7 +38,7 @@ BANDS = [(f, ANGLES[i], ANGLES[i + 1], v[i], v[i + 1]) for f, v in ATTENUATION.i
 VIEWS = {
     "models": f"SELECT CAST(model AS BIGINT) AS model, name, kind, n, d, f, g, pt, theta_lo, theta_hi, phi_lo, phi_hi, model_range FROM (VALUES {_rows([(i, *m) for i, m in enumerate(MODELS)])}) AS v(model, name, kind, n, d, f, g, pt, theta_lo, theta_hi, phi_lo, phi_hi, model_range)",
     "bands": f"SELECT * FROM (VALUES {_rows(BANDS)}) AS v(band_f, band_from, band_to, db_from, db_to)",
-    "mesh": """SELECT tri_id, CAST(10 * g AS DOUBLE) AS ax, CAST(10 * h AS DOUBLE) AS ay, 0e0 AS az, CAST(10 * g + 8 AS DOUBLE) AS bx, CAST(10 * h + 1 AS DOUBLE) AS by, CAST(p_size AS DOUBLE) AS bz,
+    "mesh": """SELECT tri_id, CAST(10 * g AS DOUBLE) AS ax, CAST(10 * h AS DOUBLE) AS ay, 0e0 AS az, CAST(10 * g + 8 AS DOUBLE) AS mx, CAST(10 * h + 1 AS DOUBLE) AS my, CAST(p_size AS DOUBLE) AS mz,
         CAST(10 * g + 2 AS DOUBLE) AS cx, CAST(10 * h + 9 AS DOUBLE) AS cy, CAST(p_size AS DOUBLE) / 2 AS cz
         FROM (SELECT p_partkey AS tri_id, p_size, p_partkey % 50 AS g, CAST(floor(p_partkey / 50) AS BIGINT) AS h FROM {part}) v""",
     "targets": "SELECT c_custkey AS tid, CAST(c_custkey * 7919 % 5003 AS DOUBLE) / 10 AS tx, CAST(c_custkey * 104729 % 5009 AS DOUBLE) / 10 AS ty, CAST(c_custkey % 97 AS DOUBLE) * 31 / 100 + 1 AS tz FROM {customer}",
