@@ -31,7 +31,7 @@ def _channel(c: int, v: str, low: str) -> str:
 
 
 #: Share of the way from the least to the most, on a logarithmic scale; null without a signal.
-NORMAL = "CASE WHEN density > 0 AND most > least THEN power(greatest(0e0, least(1e0, (ln(density) - ln(least)) / (ln(most) - ln(least)))), %s) END"
+NORMAL = "CASE WHEN density > 0 AND most > least THEN round(power(greatest(0e0, least(1e0, (ln(density) - ln(least)) / (ln(most) - ln(least)))), %s), 6) END"
 
 
 def intensity(cells: DataFrame, by: list[str], gamma: float = 0.5) -> DataFrame:

@@ -99,7 +99,7 @@ ORACLES["cell1_encode"] = f"SELECT pid, level, code FROM ({ENCODED}) q"
 ORACLES["cell2_decode"] = f"SELECT pid, level, {_r('c_lon', 'c_lat', digits=9)}, {_r('c_alt', digits=4)} FROM ({DECODED}) q"
 ORACLES["cell5_round_trip"] = f"SELECT level, count(*) AS n, round(max(abs(lon - c_lon)), 7) AS lon_error, round(max(abs(lat - c_lat)), 7) AS lat_error, round(max(abs(alt - c_alt)), 3) AS alt_error FROM ({DECODED}) q GROUP BY level"
 
-_stations = f"SELECT sid AS eid, sid % 8 AS model, *, lon AS e_lon, lat AS e_lat, alt AS e_alt, CAST(sid * 37 % 360 - 180 AS DOUBLE) + 0.1e0 AS e_theta, CAST(sid * 11 % 21 - 10 AS DOUBLE) + 0.1e0 AS e_phi FROM {v('stations')} q"
+_stations = f"SELECT sid AS eid, sid % 8 AS model, *, lon AS e_lon, lat AS e_lat, alt AS e_alt, CAST(sid * 37 % 360 - 180 AS DOUBLE) + 0.10041e0 AS e_theta, CAST(sid * 11 % 21 - 10 AS DOUBLE) + 0.10037e0 AS e_phi FROM {v('stations')} q"
 VOLUME = _score(f"SELECT *, c_lon AS t_lon, c_lat AS t_lat, c_alt AS t_alt FROM ({_grid(_models(_stations))}) q", degrees=True)
 COVERAGE = _encoded(f"SELECT eid AS id, c_lon AS lon, c_lat AS lat, greatest(c_alt, 0e0) AS alt, density, CAST(i AS DOUBLE) AS timestamp, 16 AS level FROM ({VOLUME}) q")
 ORACLES["cov6_volume"] = f"SELECT eid, i, j, z, {DECIBEL} AS db FROM ({VOLUME}) q"

@@ -44,7 +44,7 @@ def _visible_pairs(spark, sf):
 
 
 def _station_models(spark, sf):
-    stations = view(spark, sf, "stations").selectExpr("sid AS eid", "sid % 8 AS model", "*", "lon AS e_lon", "lat AS e_lat", "alt AS e_alt", "CAST(sid * 37 % 360 - 180 AS DOUBLE) + 0.1e0 AS e_theta", "CAST(sid * 11 % 21 - 10 AS DOUBLE) + 0.1e0 AS e_phi")
+    stations = view(spark, sf, "stations").selectExpr("sid AS eid", "sid % 8 AS model", "*", "lon AS e_lon", "lat AS e_lat", "alt AS e_alt", "CAST(sid * 37 % 360 - 180 AS DOUBLE) + 0.10041e0 AS e_theta", "CAST(sid * 11 % 21 - 10 AS DOUBLE) + 0.10037e0 AS e_phi")
     return coverage.with_models(stations, view(spark, sf, "models"))
 
 

@@ -43,7 +43,7 @@ VIEWS = {
         FROM (SELECT p_partkey AS tri_id, p_size, p_partkey % 50 AS g, CAST(floor(p_partkey / 50) AS BIGINT) AS h FROM {part}) v""",
     "targets": "SELECT c_custkey AS tid, CAST(c_custkey * 7919 % 5003 AS DOUBLE) / 10 AS tx, CAST(c_custkey * 104729 % 5009 AS DOUBLE) / 10 AS ty, CAST(c_custkey % 97 AS DOUBLE) * 31 / 100 + 1 AS tz FROM {customer}",
     "emitters": """SELECT s_suppkey AS eid, CAST(s_suppkey * 1237 % 499 AS DOUBLE) + 0.03e0 AS ex, CAST(s_suppkey * 3571 % 497 AS DOUBLE) + 0.07e0 AS ey, CAST(40 + s_suppkey % 11 AS DOUBLE) AS ez,
-        CAST(s_suppkey % 8 AS BIGINT) AS model, 60e0 AS reach, CAST(s_suppkey * 37 % 360 - 180 AS DOUBLE) + 0.1e0 AS e_theta, CAST(s_suppkey * 11 % 21 - 10 AS DOUBLE) + 0.1e0 AS e_phi FROM {supplier}""",
+        CAST(s_suppkey % 8 AS BIGINT) AS model, 60e0 AS reach, CAST(s_suppkey * 37 % 360 - 180 AS DOUBLE) + 0.10041e0 AS e_theta, CAST(s_suppkey * 11 % 21 - 10 AS DOUBLE) + 0.10037e0 AS e_phi FROM {supplier}""",
     "stations": """SELECT sid, CAST(sid * 7919 % 6000 AS DOUBLE) / 1000 + 114.0001e0 AS lon, CAST(sid * 104729 % 5000 AS DOUBLE) / 1000 + 22.0001e0 AS lat, CAST(sid % 1000 AS DOUBLE) + 0.5e0 AS alt, level,
         CASE WHEN level < 10 THEN 300000e0 + sid % 5 * 30000 WHEN level < 16 THEN 5500e0 * power(2e0, 15 - level) WHEN level < 22 THEN 122e0 * power(2e0, 21 - level) ELSE 25e0 END AS range_m
         FROM (SELECT s_suppkey AS sid, CAST(7 + s_suppkey % 18 AS BIGINT) AS level FROM {supplier}) v""",
