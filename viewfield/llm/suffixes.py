@@ -18,7 +18,7 @@ joined before, so a group of copies is one entry here.
 from __future__ import annotations
 
 import uuid
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -142,22 +142,24 @@ class Family:
             self.spark.sql(f"DROP TABLE {name}")
             self.tables.remove(name)
 
-    def add(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(seed, chunk) that come again, and seeds with several chunks, among the batch and the levels."""
+    def add(self, rows: DataFrame) -> DataFrame:
+        """The batch's (seed, chunk, whole, shared) that come again, or whose seed has other chunks too.
+
+        Batch and levels have the same buckets, so all of this is one stage.
+        """
         self._merge()
         distinct = rows.groupBy("seed", "chunk").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"))
         own = self.spark.table(self._table(distinct.repartition(self.buckets, "seed").sortWithinPartitions("seed", "chunk")))
-        whole = own.where("n > 1").select("seed", "chunk")
+        found = own.select("seed", "chunk", (F.col("n") > 1).alias("whole"))
         ends = own.groupBy("seed").agg(F.min("chunk").alias("x"), F.max("chunk").alias("y"))
-        shared = ends.where("x < y").select("seed")
         for _, name in self.levels:
             level = self.spark.table(name)
-            whole = whole.union(own.join(level.select("seed", "chunk"), ["seed", "chunk"], "left_semi").select("seed", "chunk"))
+            found = found.join(level.select("seed", "chunk", F.lit(True).alias("there")), ["seed", "chunk"], "left").select("seed", "chunk", (F.col("whole") | F.coalesce("there", F.lit(False))).alias("whole"))
             theirs = level.groupBy("seed").agg(F.min("chunk").alias("u"), F.max("chunk").alias("v"))
-            shared = shared.union(ends.join(theirs, "seed").where("least(x, u) < greatest(y, v)").select("seed"))
-        whole, shared = stored(whole, "whole"), stored(shared, "shared")
+            ends = ends.join(theirs, "seed", "left").select("seed", F.least("x", "u").alias("x"), F.greatest("y", "v").alias("y"))
+        hits = stored(found.join(ends, "seed").select("seed", "chunk", "whole", (F.col("x") < F.col("y")).alias("shared")).where("whole or shared"), "hits")
         self.levels.append((0, self.tables[-1]))
-        return whole, shared
+        return hits
 
     def close(self) -> None:
         self._drop(*self.tables)
@@ -243,17 +245,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     path = shared_dir(spark, "chunks")
     chunk_rows(docs).write.partitionBy("batch").parquet(path)
     rows = spark.read.schema("doc_id long, t long, a int, n int, off int, seed long, chunk long, batch int").parquet(path)
-    family, whole, shared = Family(spark), None, None
-    for k in range(BATCHES):
-        found = family.add(rows.where(F.col("batch") == k))
-        whole, shared = found if k == 0 else (whole.union(found[0]), shared.union(found[1]))
+    family = Family(spark)
+    hits = reduce(DataFrame.union, [family.add(rows.where(F.col("batch") == k)) for k in range(BATCHES)])
     family.close()
-    seeds = whole.select("seed", F.lit(0).alias("s")).union(shared.select("seed", F.lit(1).alias("s"))).groupBy("seed").agg(F.max("s").alias("s"))
-    whole = whole.distinct().withColumn("whole", F.lit(True))
+    seeds = hits.groupBy("seed").agg(F.max("shared").alias("shared"))
+    whole = hits.where("whole").select("seed", "chunk", "whole").distinct()
     marked = stored(rows.drop("batch").join(seeds, "seed").join(whole, ["seed", "chunk"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "marked")
     drop_stored(spark, rows)
 
-    one = marked.where("s = 1").groupBy("seed", "chunk").agg(F.min(F.struct(*DOC, "a", "n", "off", "whole")).alias("c")).select("seed", "chunk", "c.*")
+    one = marked.where("shared").groupBy("seed", "chunk").agg(F.min(F.struct(*DOC, "a", "n", "off", "whole")).alias("c")).select("seed", "chunk", "c.*")
     hot = one.groupBy("seed").count().where(f"count > {HOT}").select("seed", F.lit(True).alias("hot"))
     one = one.join(hot, "seed", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     lists = one.groupBy(*DOC).agg(F.collect_list(F.struct("a", "n", "off", "seed", "whole", "hot")).alias("several"))
