@@ -90,7 +90,7 @@ def test_density(spark):
     ahead = _scored(spark, (0, 1000, 0))
     assert ahead.dtheta == 0 and math.isclose(ahead.density, 20_000 * 10**3.2 / (4 * math.pi * 1e6 * 10 ** (6.8 * 1000 / 1000 / 10)), rel_tol=1e-9)
     assert _scored(spark, (0, -1000, 0)).density == 0  # behind
-    assert _scored(spark, (0, 0, 0)).density is None  # no distance
+    assert _scored(spark, (0, 0, 0), "m2").density is None  # no distance, in a sector all round
     assert _scored(spark, (0, 1000, 0), "m7").db_km == 0  # beyond 20000 MHz
     assert _scored(spark, (0, 1000, 0), "m6").db_km == 0  # below 1000 MHz
 

@@ -191,7 +191,7 @@ ORACLES["agg1_totals"] = SWEPT + f"SELECT eid, height, cells, visible, round(per
 _level = f"SELECT c.eid, c.height, idx, {NORMAL % 0.5} AS level FROM covered_ c JOIN ({_totals}) t ON c.eid = t.eid AND c.height = t.height"
 _palette = "(VALUES " + ", ".join(f"({i}, {p[0]}, {p[1]}, {p[2]}, {q[0]}, {q[1]}, {q[2]})" for i, (p, q) in enumerate(zip(PALETTE, [*PALETTE[1:], PALETTE[-1]]))) + ") p(stop_, r0, g0, b0, r1, g1, b1)"
 _mix = lambda c: f"CASE WHEN level IS NULL THEN {GREY} ELSE CAST(floor({c}0 + (level * 10 - stop_) * ({c}1 - {c}0) + 1e-9) AS INT) END // 4"
-ORACLES["agg2_intensity"] = SWEPT + f"SELECT eid, height, idx, round(level, 4) AS level, {_mix('r')} AS red, {_mix('g')} AS green, {_mix('b')} AS blue FROM ({_level}) l LEFT JOIN {_palette} ON stop_ = least(10, floor(level * 10))"
+ORACLES["agg2_intensity"] = SWEPT + f"SELECT eid, height, idx, level, {_mix('r')} AS red, {_mix('g')} AS green, {_mix('b')} AS blue FROM ({_level}) l LEFT JOIN {_palette} ON stop_ = least(10, floor(level * 10))"
 
 _shift = lambda a, o, c: f"{o}e0 + {c} / {SCALE}e0 AS {a}"
 _meta = f"SELECT dem_id, lon_lo AS gt0, res AS gt1, lat_hi AS gt3, -res AS gt5, width, rows_n AS height FROM ({_sizes}) s"

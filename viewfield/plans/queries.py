@@ -361,7 +361,7 @@ def agg1_totals(spark, sf):
 
 @query
 def agg2_intensity(spark, sf):
-    return summary.intensity(_heights(spark, sf), ["eid", "height"]).selectExpr("eid", "height", "idx", "round(level, 4) AS level", "red DIV 4 AS red", "green DIV 4 AS green", "blue DIV 4 AS blue")
+    return summary.intensity(_heights(spark, sf), ["eid", "height"]).selectExpr("eid", "height", "idx", "level", "red DIV 4 AS red", "green DIV 4 AS green", "blue DIV 4 AS blue")
 
 
 @query
