@@ -19,6 +19,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,7 +75,9 @@ class ShardWriter:
     """Appends entries in key order to a binary file and closes it with index, filter and footer."""
 
     def __init__(self, file, width: int):
-        self.file, self.width, self.at = file, width, 0
+        import zstandard
+
+        self.file, self.width, self.at, self.zip = file, width, 0, zstandard.ZstdCompressor(level=1)
         self.block, self.last, self.index, self.keys, self.ids = bytearray(), b"", [], [], 0
 
     def add(self, key: bytes, value: bytes) -> None:
@@ -99,7 +102,7 @@ class ShardWriter:
 
     def _flush(self) -> None:
         if self.block:
-            packed = zlib.compress(bytes(self.block), 1)
+            packed = self.zip.compress(bytes(self.block))
             at, size = self._put(struct.pack("<I", zlib.crc32(packed)) + packed)
             self.index.append((self.last, at, size))
             self.block, self.last = bytearray(), b""
@@ -120,7 +123,9 @@ class ShardReader:
     """Reads a shard from a random-access file: all entries in order, or one identifier's."""
 
     def __init__(self, file):
-        self.file = file
+        import zstandard
+
+        self.file, self.zip = file, zstandard.ZstdDecompressor()
         file.seek(0, 2)
         size = file.tell()
         i_at, i_size, b_at, b_size, self.entries, self.ids, self.width, magic = FOOTER.unpack(self._at(size - FOOTER.size, FOOTER.size))
@@ -140,7 +145,7 @@ class ShardReader:
         data = self._at(at, size)
         if zlib.crc32(data[4:]) != struct.unpack_from("<I", data)[0]:
             raise ValueError("a block is damaged")
-        data, key, at = zlib.decompress(data[4:]), b"", 0
+        data, key, at = self.zip.decompress(data[4:]), b"", 0
         while at < len(data):
             shared, at = _read_varint(data, at)
             rest, at = _read_varint(data, at)
@@ -151,7 +156,7 @@ class ShardReader:
 
     def wide(self, value: bytes) -> bytes:
         """A value as unsigned 32-bit integers."""
-        return value if self.width == 4 else array("I", memoryview(value).cast("H").tolist()).tobytes()
+        return value if self.width == 4 else np.frombuffer(value, "<u2").astype("<u4").tobytes()
 
     def __iter__(self) -> Iterator[tuple[int | None, bytes]]:
         for _, at, size in self.index:
@@ -179,7 +184,7 @@ def byte_letters() -> dict[int, int]:
 
 @cache
 def _words(tokenizer: str, pattern: str) -> tuple[Words, int]:
-    """The tokenizer's ids by text, and the bytes that an id needs.
+    """The tokenizer's ids by text, packed, and the bytes that an id takes.
 
     Its pre-tokenizer must be the byte-level one that cuts by ``pattern``; the library's model encodes each piece.
     """
@@ -193,11 +198,12 @@ def _words(tokenizer: str, pattern: str) -> tuple[Words, int]:
     if said["normalizer"] or said["pre_tokenizer"]["type"] != "ByteLevel" or said["pre_tokenizer"]["add_prefix_space"]:
         raise ValueError("a byte-level tokenizer without normalizer and prefix is needed")
     model, letters = t.model, byte_letters()
+    width, kind = (2, "H") if t.get_vocab_size(True) <= 1 << 16 else (4, "I")
 
     def ids(piece: str) -> bytes:
-        return array("I", [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
+        return array(kind, [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
 
-    return Words(regex.compile(pattern).findall, ids), 2 if t.get_vocab_size(True) <= 1 << 16 else 4
+    return Words(regex.compile(pattern).findall, ids), width
 
 
 def _opened(path: str, how: str):
@@ -234,8 +240,7 @@ def write_shards(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end
                     file = _opened(path, "w")
                     writer, first = ShardWriter(file, width), keys[0]
                 for key, ids in zip(keys[a:b], words.encode([t or "" for t in texts])):
-                    value = ids if width == 4 else array("H", memoryview(ids).cast("I").tolist()).tobytes()
-                    writer.add(key_of(key), value + end)
+                    writer.add(key_of(key), ids + end)
         if writer is not None:
             writer.close()
             file.close()
