@@ -45,7 +45,7 @@ STEP = 1.5
 #: Rounds of stars before all pairs between components.
 ROUNDS = 2
 #: A bucket of more sets is hot.
-HOT = 40
+HOT = 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
 
@@ -303,7 +303,8 @@ def join(docs: DataFrame) -> DataFrame:
     members = stored(members, "members")
     drop_stored(spark, index)
     sought = members.where("hot").groupBy("doc_id").agg(F.sum("entries").alias("hot_entries")).join(sets.select("doc_id", "spare"), "doc_id").where("hot_entries >= spare").select("doc_id")
-    members = stored(members.where("not hot").select("bucket", "doc_id").union(members.where("hot").join(sought, "doc_id", "left_semi").select("bucket", "doc_id")), "members")
+    members = members.where("not hot").union(members.where("hot").join(sought, "doc_id", "left_semi").select(members.columns))
+    members = stored(members.select("bucket", "doc_id", "entries"), "members")
 
     tried = None
     for k in range(ROUNDS + 1):
@@ -332,11 +333,15 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _star_pairs(rest: DataFrame, k: int) -> DataFrame:
-    """Each member with its bucket's centre: the least by another order in each round."""
+    """Each set with one centre, that with which it shares the most entries.
+
+    A bucket's centre is its least set by another order in each round; so a round has no more pairs than sets.
+    """
     order = F.col("doc_id") if k == 0 else F.xxhash64(F.lit(k), "doc_id")
     centre = rest.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "doc_id", "component")).alias("c"))
-    both = rest.join(centre, "bucket").where("component <> c.component")
-    return both.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
+    both = rest.join(centre, "bucket").where("component <> c.component").groupBy("doc_id", F.col("c.doc_id").alias("centre")).agg(F.sum("entries").alias("shared"))
+    best = both.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("centre")).alias("first"), "centre")).alias("c"))
+    return best.select(F.least("doc_id", "c.centre").alias("a"), F.greatest("doc_id", "c.centre").alias("b"))
 
 
 def _cross_pairs(rest: DataFrame) -> DataFrame:
