@@ -51,7 +51,7 @@ def test_sparse_hosts_shrink(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string, x string, n string, k string, quality string")
     labels = spark.createDataFrame([(i, int(i % 6 == 0 or i >= 60)) for i in range(64)] + [(0, None), (None, 1), (1, 0)], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality.score(docs, labels, "host", "path").collect()}
-    assert got[0].host_rate < 0.3 < got[63].host_rate < 1  # one good document is no proof
+    assert got[0].host_rate < got[63].host_rate < 0.5  # one good document is no proof
 
 
 def test_quality_edges(spark):
