@@ -68,6 +68,21 @@ def test_shards(spark):
     assert sst.read_shards(sst.write_shards(frame(spark, []), JSON, P.PATTERN, shared_dir(spark, "shards"), end_id=2)).count() == 0
 
 
+def test_shards_match_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    texts = ["a<|endoftext|>b", "plain <|endoftext|", "x <|endoftext|>\n<|endoftext|> y", "<|endoftext|>", "after"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(sst.read_shards(sst.write_shards(docs, JSON, P.PATTERN, shared_dir(spark, "shards"), end_id=2)).collect(), key=lambda r: r.start)
+    start = 0
+    for r, (key, text) in zip(rows, enumerate(texts), strict=True):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, list(memoryview(bytes(r.ids)).cast("I"))) == (key, start, ids)
+        start += len(ids)
+    assert 50256 in memoryview(bytes(rows[0].ids)).cast("I")
+
+
 def test_shard_of_many_blocks(tmp_path):
     path = tmp_path / "x.sst"
     with open(path, "wb") as f:

@@ -182,11 +182,27 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(prints)))}
 
 
+class Added(Words):
+    """Words, but texts that hold an added token of the tokenizer go through the library whole."""
+
+    def __init__(self, pieces: Callable[[str], list[str]], ids: Callable[[str], bytes], added: list[str], whole: Callable[[str], bytes]):
+        super().__init__(pieces, ids)
+        self.added, self.whole = added, whole
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        held = {i for i, text in enumerate(texts) if any(token in text for token in self.added)}
+        out = super().encode(["" if i in held else text for i, text in enumerate(texts)] if held else texts)
+        for i in held:
+            out[i] = self.whole(texts[i])
+        return out
+
+
 @cache
 def _words(tokenizer: str, pattern: str) -> tuple[Words, int]:
     """The tokenizer's ids by text, packed, and the bytes that an id takes.
 
     Its pre-tokenizer must be the byte-level one that cuts by ``pattern``; the library's model encodes each piece.
+    Added tokens in a text are matched as the library does, special ones too.
     """
     import json
 
@@ -203,7 +219,11 @@ def _words(tokenizer: str, pattern: str) -> tuple[Words, int]:
     def ids(piece: str) -> bytes:
         return array(kind, [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
 
-    return Words(regex.compile(pattern).findall, ids), width
+    def whole(text: str) -> bytes:
+        return array(kind, t.encode(text, add_special_tokens=False).ids).tobytes()
+
+    added = [token.content for token in t.get_added_tokens_decoder().values()]
+    return Added(regex.compile(pattern).findall, ids, added, whole), width
 
 
 def _opened(path: str, how: str):
