@@ -79,3 +79,36 @@ def test_licences(spark):
     assert got == [["MIT"], ["Apache-2.0", "GPL-3.0"], [], ["CC-BY-NC-4.0"], [], [], [], []]
     assert licences.scan(frame(spark, []), model).count() == 0
     assert licences.learn(frame(spark, [])).find("Released under the MIT License.")[0] == "MIT"
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at"""
+
+
+def test_wrapped_licences(spark):
+    model = licences.learn(spark.read.parquet(f"{SF}/documents.parquet"))
+    prose = "The road goes on past the hill and the river to the town.\n" * 40
+    marked = lambda text, mark: "\n".join(mark + line for line in text.split("\n"))
+    texts = [
+        (MIT, ["MIT"]), (BSD, ["BSD-3-Clause"]), (GPL, ["GPL-3.0"]), (APACHE, ["Apache-2.0"]),
+        ("/*\n" + marked(GPL, " * ") + "\n */\nint x;", ["GPL-3.0"]), (marked(f"Title\n\n{APACHE}", "# "), ["Apache-2.0"]), (marked(MIT, "// "), ["MIT"]), (prose + BSD + "\n" + prose, ["BSD-3-Clause"]),
+        (GPL.replace("version 3", "version 2"), ["GPL-2.0"]), (GPL.replace("GNU General", "GNU Lesser General").replace("program", "library"), ["LGPL-3.0"]), (GPL.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"), []),
+        (f"{MIT}\n\n{prose}\n{BSD}", ["MIT", "BSD-3-Clause"]), (prose, []), (" ".join(sorted(MIT.split())), []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    rows = licences.scan(docs, model).orderBy("doc_id").collect()
+    assert [[c.family for c in r.licences] for r in rows] == [f for _, f in texts]
+    assert [c.paragraph for c in rows[5].licences] == [1] and [c.paragraph for c in rows[11].licences] == [0, 2]

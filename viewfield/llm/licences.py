@@ -1,14 +1,17 @@
 """Licence paragraphs by a trained classifier, with an unknown class and comparison with templates.
 
-The paragraphs of a text are its lines.  A logistic regression over sparse word unigrams and bigrams tells
+The paragraphs of a text are its runs of lines between blank lines, without comment marks.  A logistic regression over sparse word unigrams and bigrams tells
 licence families from each other and from other text, the unknown class.  It learns from the templates below,
 also in parts, and from a bounded sample of the corpus's own paragraphs as unknown.  The threshold on a
-family's probability is set on held-out paragraphs.  A prediction counts when the paragraph also holds enough
-of one of that family's templates.
+family's probability is set on held-out paragraphs.  A notice is a window of a paragraph, a little longer than
+a template at most, that holds enough of the template and its version numbers; it counts when it is predicted
+to be of the template's family, and of windows that overlap the one with the largest share of its template.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,9 +30,9 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0 Universal."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-2.0-only"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-3.0-or-later"],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
@@ -47,13 +50,66 @@ def grams_of(words: list[str]) -> set[str]:
     return {*words, *map(" ".join, zip(words, words[1:]))}
 
 
+#: What begins and ends the lines of comments.
+_MARKS = re.compile(r"""^\s*(?:<!--+|/\*+|\*+/?|//+|\#+|;+|--+|%+|>+|\|+|\.\.\s|dnl\b|rem\b|\"{3}|'{3}|\(\*)?|\s*(?:\*+/?|--+>|\*\)|\#+|\|+)?\s*$""", re.IGNORECASE)
+
+
+def paragraphs(text: str) -> list[str]:
+    """Runs of lines between blank lines, in order, without comment marks."""
+    out, last = [], []
+    for line in text.split("\n"):
+        line = _MARKS.sub("", line)
+        if line.strip():
+            last.append(line)
+        elif last:
+            out.append("\n".join(last))
+            last = []
+    return [*out, "\n".join(last)] if last else out
+
+
+def numbers_of(words: list[str] | set[str]) -> set[str]:
+    """Words with digits, whole versions as their first number."""
+    return {re.sub(r"(\.0)+$", "", w) for w in words if any(c.isdigit() for c in w)}
+
+
+class Template:
+    def __init__(self, family: str, text: str):
+        self.family, words = family, words_of(text)
+        self.grams, self.words, self.numbers = frozenset(grams_of(words)), frozenset(words), numbers_of(words)
+        self.least, self.longest = HELD * len(self.grams), len(words) + max(2, len(words) // 4)
+
+    def windows(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """Windows (from, to, share) of words that hold enough, without overlaps, the largest shares first."""
+        held, counts, left = Counter(), np.zeros(len(words), np.int64), 0
+        pair = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        for right, word in enumerate(words):
+            held.update(g for g in (word, pair[right - 1] if right > left else "") if g in self.grams)
+            if right - left == self.longest:
+                for g in (words[left], pair[left]):
+                    if g in self.grams:
+                        held[g] -= 1
+                        if not held[g]:
+                            del held[g]
+                left += 1
+            counts[right] = len(held)
+        out = []
+        while counts.max() >= self.least:
+            last = int(counts.argmax())  # the first end with all that is there
+            first, most = max(0, last - self.longest + 1), int(counts[last])
+            while len(grams_of(words[first + 1 : last + 1]) & self.grams) == most:
+                first += 1
+            out.append((first, last + 1, most / len(self.grams)))
+            counts[first : last + len(self.words)] = 0
+        return out
+
+
 @dataclass
 class Model:
     families: list[str]
     grams: dict[str, int]
     weight: np.ndarray  # grams and a constant, by family and last the unknown class
     threshold: float
-    templates: list[tuple[str, frozenset]] = field(default_factory=list)
+    templates: list[Template] = field(default_factory=list)
 
     def __post_init__(self):
         self.words = {w for g in self.grams for w in g.split()}
@@ -67,19 +123,40 @@ class Model:
         x = np.exp(x - x.max(1, keepdims=True))
         return x / x.sum(1, keepdims=True)
 
+    def notices(self, paragraph: str) -> list[tuple[str, float]]:
+        """The families of a paragraph's notices and their probabilities, each once, in order."""
+        words = words_of(paragraph)
+        own = self.words.intersection(words)
+        likely = [t for t in self.templates if len(t.grams) - t.least >= len(t.words) - len(t.words & own)]
+        if not likely:
+            return []
+        grams, found = grams_of(words), []
+        for t in likely:
+            if len(t.grams & grams) < t.least:
+                continue
+            for a, b, share in t.windows(words):
+                x, y = a, b
+                for _ in range(2):  # words beside it that may tell families apart
+                    x -= x > 0 and words[x - 1] in self.words
+                    y += y < len(words) and words[y] in self.words
+                if t.numbers <= numbers_of(words[x:y]):
+                    found.append((share, a, b, t.family, words[x:y]))
+        kept: list[tuple[int, int, str, float]] = []
+        taken: list[tuple[int, int, str]] = []
+        for _, a, b, family, window in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1])):
+            if all(b <= x or y <= a or f == family for x, y, f in taken):
+                p = self.scores([window])[0]
+                if p.argmax() == self.families.index(family) and p.max() >= self.threshold:
+                    kept.append((a, b, family, float(p.max())))
+                    taken.append((a, b, family))
+        best: dict[str, float] = {}
+        for _, _, family, p in sorted(kept):
+            best[family] = max(p, best.get(family, 0.0))
+        return list(best.items())
+
     def find(self, text: str) -> tuple[str, float] | None:
-        """The family of a paragraph and its probability, or none."""
-        words = words_of(text)
-        if self.words.isdisjoint(words):  # no weight but the constant's
-            return None
-        p = self.scores([words])[0]
-        best = int(p.argmax())
-        if best == len(self.families) or p[best] < self.threshold:
-            return None
-        own, family = grams_of(words), self.families[best]
-        if any(f == family and len(own & t) >= HELD * len(t) for f, t in self.templates):
-            return family, float(p[best])
-        return None
+        """The first family of a paragraph and its probability, or none."""
+        return next(iter(self.notices(text)), None)
 
 
 def fit(unknown: list[str]) -> Model:
@@ -112,7 +189,7 @@ def fit(unknown: list[str]) -> Model:
         p /= p.sum(1, keepdims=True)
         speed = 0.9 * speed - 5.0 * (x.T @ ((p - target) * share[:, None]) + 1e-6 * w)
         w = w + speed
-    model = Model(families, grams, w, 0.0, [(f, frozenset(grams_of(words_of(t)))) for f in families for t in TEMPLATES[f]])
+    model = Model(families, grams, w, 0.0, [Template(f, t) for f in families for t in TEMPLATES[f]])
     rest = model.scores(unknown[half:])[:, :-1].max(1) if len(unknown) > half else np.zeros(0)
     model.threshold = float(np.clip(np.quantile(rest, 1 - PASS) if len(rest) else 0.5, 0.5, 0.9))
     return model
@@ -129,7 +206,7 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Replace ``text`` by ``licences``: (paragraph, family, probability) of each licence paragraph, in order.
 
-    Null and empty texts have none.  A column of that name is replaced, others pass.
+    ``paragraph`` counts from 0; a paragraph with notices of several families has an entry for each.  Null and empty texts have none.  A column of that name is replaced, others pass.
     """
     kept = [c for c in docs.columns if c not in (text, "licences")]
     kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64())]))
@@ -141,8 +218,7 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for a, b, texts in in_slices(batch.column(len(kept))):
                 out = []
                 for t in texts:
-                    found = [(i, model.find(line)) for i, line in enumerate(t.split("\n"))] if t else []
-                    out.append([{"paragraph": i, "family": f[0], "probability": f[1]} for i, f in found if f])
+                    out.append([{"paragraph": i, "family": f, "probability": p} for i, paragraph in enumerate(paragraphs(t or "")) for f, p in model.notices(paragraph)])
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], pa.array(out, kind)], names=[*kept, "licences"])
 
     schema = T.StructType([*(docs.schema[c] for c in kept)]).add("licences", T.DataType.fromDDL("array<struct<paragraph:int,family:string,probability:double>>"))
