@@ -38,6 +38,18 @@ def test_no_terrain_hides_nothing(spark):
     assert _hidden(spark, [], (0.0, 0.0, 1.0), [(10, 0, 1)]) == set()
 
 
+def test_hidden_cells_of_a_volume_have_no_density(spark):
+    stations = spark.sql("SELECT 0L AS eid, 2L AS model, 114.16e0 AS lon, 22.28e0 AS lat, 2e0 AS alt, 21L AS level, 200e0 AS range_m, 114.16e0 AS e_lon, 22.28e0 AS e_lat, 2e0 AS e_alt, 0.1e0 AS e_theta, 0.1e0 AS e_phi")
+    stations = coverage.with_models(stations, spark.sql(VIEWS["models"]))
+    wall = (1, 10.0, -400.0, -500.0, 10.0, 400.0, -500.0, 10.0, 0.0, 2000.0)
+    rows = lambda triangles: {(r.i, r.j, r.z): r for r in coverage.volume_coverage(stations, spark.createDataFrame(triangles, CORNERS), spark.sql(VIEWS["bands"]), 114.16, 22.28, 100000.0).collect()}
+    free, walled = rows([]), rows([wall])
+    assert free.keys() == walled.keys() and all(r.visible for r in free.values())
+    behind = {k for k, r in walled.items() if r.tx > 10 and abs(r.ty) < 100}
+    assert any(free[k].density > 0 for k in behind) and all(not walled[k].visible and walled[k].density == 0 for k in behind)
+    assert any(r.density > 0 for r in walled.values()) and all(r.density == free[k].density for k, r in walled.items() if r.tx < 10)
+
+
 def test_height_is_the_highest_and_null_beside(spark):
     flat = (3, 0.0, 0.0, 1.0, 10.0, 0.0, 1.0, 0.0, 10.0, 1.0)
     slope = (4, 0.0, 0.0, 0.0, 10.0, 0.0, 10.0, 0.0, 10.0, 0.0)

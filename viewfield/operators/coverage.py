@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import DENSITY, FROM_DEGREES, FROM_METRES, PATTERNS, SECTOR, SNAPSHOT, TURNED, apply, distance, pattern
-from .grid import ground_grid
+from .grid import cell_grid, ground_grid
 from .terrain import heights
 from .visibility import flagged
 
@@ -78,6 +78,20 @@ def height_coverage(emitters: DataFrame, mesh: DataFrame, bands: DataFrame, leve
     return _covered(placed, mesh, emitters, bands, reach)
 
 
+def volume_coverage(stations: DataFrame, mesh: DataFrame, bands: DataFrame, lon0: float, lat0: float, scale: float) -> DataFrame:
+    """Cells of the 3D grids of stations with models: adds visible, density (0 where hidden).
+
+    Rays are traced in the mesh's frame, ``lon = lon0 + x / scale``, ``lat = lat0 + y / scale``; scores are by degrees.
+    """
+    frame = lambda p, lon, lat, alt: [f"({lon} - {lon0}e0) * {scale}e0 AS {p}x", f"({lat} - {lat0}e0) * {scale}e0 AS {p}y", f"{alt} AS {p}z"]
+    rays = cell_grid(stations).selectExpr("*", "c_lon AS t_lon", "c_lat AS t_lat", "c_alt AS t_alt", *frame("e", "e_lon", "e_lat", "e_alt"), *frame("t", "c_lon", "c_lat", "c_alt"))
+    # grids start at whole units, so the reach is that of the cells; a metre spares rounding
+    emitters = rays.groupBy("eid", "ex", "ey").agg((F.max(F.expr("sqrt(power(tx - ex, 2) + power(ty - ey, 2))")) + 1).alias("reach"))
+    reach = emitters.agg(F.max("reach")).first()[0] or 1.0
+    scored = score(flagged(rays, mesh, emitters, reach), bands, degrees=True)
+    return scored.withColumn("density", F.expr("CASE WHEN visible THEN density ELSE 0e0 END"))
+
+
 def _covered(rays: DataFrame, mesh: DataFrame, emitters: DataFrame, bands: DataFrame, reach: float) -> DataFrame:
     seen = flagged(rays, mesh, emitters, reach)
     lit = score(seen.where("visible"), bands).select(*seen.columns, "density")

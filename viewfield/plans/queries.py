@@ -49,9 +49,8 @@ def _station_models(spark, sf):
 
 
 def _volume(spark, sf):
-    """Scored cells of the stations' 3D grids."""
-    rows = grid.cell_grid(_station_models(spark, sf)).selectExpr("*", "c_lon AS t_lon", "c_lat AS t_lat", "c_alt AS t_alt")
-    return coverage.score(rows, view(spark, sf, "bands"), degrees=True)
+    """Scored cells of the stations' 3D grids, 0 where the mesh hides them."""
+    return coverage.volume_coverage(_station_models(spark, sf), view(spark, sf, "mesh"), view(spark, sf, "bands"), LON0, LAT0, SCALE)
 
 
 def _coverage_rows(spark, sf):
