@@ -131,3 +131,12 @@ def test_latest_pose_of_a_stream_is_that_of_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     poses.latest(stream).writeStream.format("memory").queryName("latest").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert sorted(spark.table("latest").collect()) == sorted(poses.latest(rows).collect())
+
+
+def test_a_pose_request_is_answered_with_its_whole_grid(spark):
+    from viewfield.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["str1_pose_coverage"](spark, sf).collect()
+    assert len({(r.event_id, r.idx) for r in rows}) == len(rows) == 16 * spark.read.parquet(f"{sf}/events.parquet").count()
+    assert {r.visible for r in rows} == {True, False} and any(r.db is not None for r in rows) and all(r.db is None for r in rows if not r.visible)

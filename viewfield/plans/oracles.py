@@ -11,7 +11,7 @@ from ..operators.summary import AGREEMENT, GREY, NORMAL, PALETTE
 from ..operators.terrain import CORNERS, RASTER
 from ..operators.visibility import SAMPLES, STEPS
 from ..sources.fixtures import text
-from .queries import HEIGHTS, LAT0, LON0, REACH, RESOLUTIONS, SCALE, STEP
+from .queries import HEIGHTS, LAT0, LON0, POSE_EMITTERS, POSE_HEIGHT, REACH, RESOLUTIONS, SCALE, STEP
 
 ORACLES: dict[str, str] = {}
 
@@ -209,4 +209,9 @@ ORACLES["agg5_cube"] = COMPARED + f"SELECT dem_id, height, {_counts} FROM compar
 
 _mark = [x.replace("e_lon", "lon").replace("e_lat", "lat").replace("t_lon", "114.16731e0").replace("t_lat", "22.28117e0") for x in (distance("e_lon", "e_lat", "t_lon", "t_lat"), _turn)]
 ORACLES["str1_pose_requests"] = f"SELECT event_id, emitter_id, round({_mark[0]}, 4) AS metres, round(CASE WHEN {_mark[1]} < 0 THEN {_mark[1]} + 360 ELSE {_mark[1]} END, 4) AS bearing FROM {v('poses')} q"
+_poses = _models(f"SELECT {', '.join(POSE_EMITTERS)} FROM {v('poses')} q")
+ORACLES["str1_pose_coverage"] = (
+    WITH_MESH
+    + f", cells_ AS MATERIALIZED (SELECT *, concat(eid, '/', idx) AS pid FROM ({_cells % f'({_poses})'}) q), rays_ AS MATERIALIZED (SELECT *, x AS tx, y AS ty, {POSE_HEIGHT}e0 AS tz FROM cells_), seen_ AS MATERIALIZED ({_seen}), covered_ AS MATERIALIZED ({_covered}) SELECT eid AS event_id, idx, visible, {DECIBEL} AS db FROM covered_"
+)
 ORACLES["str2_latest_pose"] = f"SELECT emitter_id, epoch_us(ts) AS micros, round(lon, 6) AS lon, round(lat, 6) AS lat, alt, phi, theta FROM {v('poses')} q QUALIFY row_number() OVER (PARTITION BY emitter_id ORDER BY ts DESC, event_id DESC) = 1"

@@ -20,6 +20,10 @@ QUERIES: dict[str, Query] = {}
 STEP, REACH, LON0, LAT0, SCALE = 10.0, 60.0, 114.16, 22.28, 100000.0
 #: Resolutions of elevation models in metres, and heights of the sweep.
 RESOLUTIONS, HEIGHTS = [10.0, 15.0, 20.0], [1.0, 11.0, 21.0]
+#: Reach and height in metres of the grid that a pose request is answered with.
+POSE_REACH, POSE_HEIGHT = 20.0, 11.0
+#: Poses as emitters in the mesh's frame, kept off rounding edges.
+POSE_EMITTERS = ["event_id AS eid", "CAST(emitter_id % 8 AS BIGINT) AS model", f"(lon - {LON0}e0) * {SCALE}e0 AS ex", f"(lat - {LAT0}e0) * {SCALE}e0 AS ey", "alt + 0.37e0 AS ez", f"{POSE_REACH}e0 AS reach", "theta + 0.10041e0 AS e_theta", "phi + 0.10037e0 AS e_phi"]
 
 
 def query(f: Query) -> Query:
@@ -402,6 +406,21 @@ def str1_pose_requests(spark, sf):
     return spark.read.parquet(out).select("event_id", "emitter_id", *_round("metres", "bearing", digits=4))
 
 
+@query
+def str1_pose_coverage(spark, sf):
+    """Each pose request is answered with the scored cells of a grid round it."""
+    out = folder(spark, "requests")
+    stream = _as_stream(spark, sf, "poses", folder(spark, "poses"))
+
+    def cells_of(batch: DataFrame) -> DataFrame:
+        emitters = coverage.with_models(batch.selectExpr(*POSE_EMITTERS), view(spark, sf, "models"))
+        levels = spark.createDataFrame([(POSE_HEIGHT,)], "height double")
+        return coverage.height_coverage(emitters, view(spark, sf, "mesh"), view(spark, sf, "bands"), levels, STEP, POSE_REACH)
+
+    pose_streams.append_each(stream, cells_of, out, folder(spark, "progress")).awaitTermination()
+    return spark.read.parquet(out).selectExpr("eid AS event_id", "idx", "visible", f"{DECIBEL} AS db")
+
+
 @query
 def str2_latest_pose(spark, sf):
     return pose_streams.latest(view(spark, sf, "poses")).selectExpr("emitter_id", "CAST(unix_micros(ts) AS BIGINT) AS micros", "round(lon, 6) AS lon", "round(lat, 6) AS lat", "alt", "phi", "theta")
