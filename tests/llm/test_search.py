@@ -105,6 +105,24 @@ def test_suffix_dedup_of_hot_seeds(spark, monkeypatch):
     assert got == sorted((d, n, kept, spans) for (d, _), (n, kept, spans) in zip(rows, removed([t for _, t in rows])))
 
 
+def test_hot_seeds_are_not_gathered(spark, monkeypatch):
+    """Of a passage in many documents, no task gets the bytes: the largest group is that of one window."""
+    monkeypatch.setattr(suffixes, "HOT", 20)
+    gathered = []
+    cut = suffixes._cut
+
+    def counted(rows, shards):
+        gathered.append(rows.selectExpr("sum(size(several)) AS n").first().n or 0)
+        return cut(rows, shards)
+
+    monkeypatch.setattr(suffixes, "_cut", counted)
+    passage = " ".join(words(22, 60))
+    rows = [(i, " ".join(words(1900 + i, 30)) + " " + passage + " " + " ".join(words(2950 + i, 30))) for i in range(60)]
+    got = sorted((r.doc_id, r.n_bytes, bytes(r.kept), r.n_spans) for r in suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((d, n, kept, spans) for (d, _), (n, kept, spans) in zip(rows, removed([t for _, t in rows])))
+    assert gathered == [0]
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffixes.dedup(frame(spark, [])).count() == 0
 

@@ -32,8 +32,8 @@ from .jaccard import mixed
 WINDOW, SEED = 200, 64
 #: Batches that documents are dealt into.
 BATCHES = 4
-#: A seed with more chunks is dealt over tasks by the distance of windows from the anchor.
-HOT, RANGE = 2000, 16
+#: The windows of a seed with more chunks are counted by their hashes.
+HOT = 2000
 U = np.uint64
 SLICE_BYTES = 2 << 20
 DOC = ["doc_id", "t"]
@@ -181,7 +181,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _cut(rows: DataFrame, shards: int) -> DataFrame:
-    """The bytes of chunks of documents (doc_id, t, z, list of chunks), dealt by seed, a hot seed's by distance."""
+    """The bytes of chunks of documents (doc_id, t, z, list of chunks), dealt by seed."""
 
     def run(batches):
         import zstandard
@@ -194,17 +194,9 @@ def _cut(rows: DataFrame, shards: int) -> DataFrame:
                 data = z.decompress(text)
                 for c in several:
                     a, n = c["a"], c["n"]
-                    deal = U(c["seed"] % (1 << 64))
-                    if not c["hot"]:
-                        parts = [(0, n, 0)]
-                    else:  # windows by their distance before the anchor
-                        far = [(c["off"] - i) // RANGE for i in range(n)]
-                        starts = [i for i in range(n) if not i or far[i] != far[i - 1]]
-                        parts = [(i, j, far[i] + 1) for i, j in zip(starts, [*starts[1:], n])]
-                    for i, j, k in parts:
-                        shard = int(mixed(np.array([deal + U(k)], U))[0] % U(shards))
-                        out.append((shard, doc, t, a + i, c["whole"], data[a + i : a + j - 1 + WINDOW]))
-                        size += j - i + WINDOW
+                    shard = int(mixed(np.array([c["seed"] % (1 << 64)], U))[0] % U(shards))
+                    out.append((shard, doc, t, a, c["whole"], data[a : a + n - 1 + WINDOW]))
+                    size += n + WINDOW
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays(_columns(out), names=names)
                     out, size = [], 0
@@ -214,6 +206,41 @@ def _cut(rows: DataFrame, shards: int) -> DataFrame:
     return rows.mapInArrow(run, "shard int, doc_id long, t long, a int, whole boolean, data binary")
 
 
+def _windows(rows: DataFrame) -> DataFrame:
+    """Each window of chunks of documents (doc_id, t, z, list of chunks): its seed, distance before the anchor and hash."""
+
+    def run(batches):
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            out, size = [], 0
+            for doc, t, text, several in zip(*(c.to_pylist() for c in batch.columns)):
+                data = z.decompress(text)
+                for c in several:
+                    out.append((doc, t, c, data[c["a"] : c["a"] + c["n"] - 1 + WINDOW]))
+                    size += c["n"] + WINDOW
+                    if size > 1 << 20:
+                        yield _hashed(out)
+                        out, size = [], 0
+            if out:
+                yield _hashed(out)
+
+    return rows.mapInArrow(run, "seed long, distance int, window long, doc_id long, t long, a int, whole boolean")
+
+
+def _hashed(rows: list[tuple]) -> pa.RecordBatch:
+    docs, ts, several, data = zip(*rows)
+    of = lambda k, kind: np.array([c[k] for c in several], kind)
+    count, lengths = of("n", np.int64), np.array([len(d) for d in data])
+    row = np.repeat(np.arange(len(rows)), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = (np.cumsum(lengths) - lengths)[row] + place
+    window = Hashes(np.frombuffer(b"".join(data), np.uint8))(at, at + WINDOW)
+    columns = of("seed", np.int64)[row], (of("off", np.int64)[row] - place).astype(np.int32), window.view(np.int64), np.array(docs, np.int64)[row], np.array(ts, np.int64)[row], (of("a", np.int64)[row] + place).astype(np.int32), of("whole", bool)[row]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "distance", "window", "doc_id", "t", "a", "whole"])
+
+
 def _columns(rows: list[tuple]) -> list[pa.Array]:
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
     return [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
@@ -256,11 +283,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     one = marked.where("shared").groupBy("seed", "chunk").agg(F.min(F.struct(*DOC, "a", "n", "off", "whole")).alias("c")).select("seed", "chunk", "c.*")
     hot = one.groupBy("seed").count().where(f"count > {HOT}").select("seed", F.lit(True).alias("hot"))
     one = one.join(hot, "seed", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    lists = one.groupBy(*DOC).agg(F.collect_list(F.struct("a", "n", "off", "seed", "whole", "hot")).alias("several"))
     texts = _packed(docs).dropDuplicates(DOC)
-    cut = _cut(texts.join(lists, DOC).select(*DOC, "z", "several"), 4 * partitions(spark))
-    again = cut.groupBy("shard").applyInArrow(_again, "doc_id long, t long, a int, n int")
-    return marked.where("whole").select(*DOC, "a", "n").union(again)
+    listed = lambda chosen: texts.join(one.where(chosen).groupBy(*DOC).agg(F.collect_list(F.struct("a", "n", "off", "seed", "whole")).alias("several")), DOC).select(*DOC, "z", "several")
+    again = _cut(listed("not hot"), 4 * partitions(spark)).groupBy("shard").applyInArrow(_again, "doc_id long, t long, a int, n int")
+    # equal windows have one seed at one distance, so all three are the key and a hot seed is spread
+    key = ["seed", "distance", "window"]
+    windows = stored(_windows(listed("hot")), "windows")
+    several = windows.groupBy(*key).count().where("count > 1").select(*key)
+    hot_again = windows.where("not whole").join(several, key, "left_semi").select(*DOC, "a", F.lit(1).alias("n"))
+    return marked.where("whole").select(*DOC, "a", "n").union(again).union(hot_again)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
