@@ -50,6 +50,18 @@ def test_jaccard_join(spark, rows):
     assert got == groups(rows)
 
 
+def linked_with(rows):
+    """Brute force: the number of other documents of similarity 0.8."""
+    sets = {d: grams(t) for d, t in rows if d is not None}
+    return {a: sum(a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and bool(sets[a]) for b in sets) for a in sets}
+
+
+@pytest.mark.parametrize("rows", [[r[:2] for r in awkward()], chain(), [(i, " ".join([*words(60, 100), f"end{i % 40}"])) for i in range(70)]])
+def test_jaccard_counts_all_links(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.n_links for r in jaccard.join(df).collect()} == linked_with(rows)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.join(frame(spark, [])).count() == 0
 

@@ -18,16 +18,13 @@ not sought there, for it shares another entry with each partner.
 
 Entries travel as packed arrays, dealt by their hash over shards.  Candidates are verified exactly on the
 n-gram sets, after a bound: the difference of two sets is at least that of their counts by ranges of the
-hash.  In a bucket of sets under one entry not all pairs are tried: its first set is the centre of a
-star, in several rounds with other centres; then the rest, all pairs of a bucket that lie in different
-components, are tried.  So every pair that could join two components is verified, and the components are
-those of all links.
+hash.  Of a bucket of sets under one entry all pairs are tried, one set for its copies, so the links of each
+document are counted exactly; in a group of near copies they grow with its square, as the links do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +39,6 @@ from .components import components
 WORDS, PERCENT = 5, 80
 #: Band k holds sizes from STEP**k on.
 STEP = 1.5
-#: Rounds of stars before all pairs between components.
-ROUNDS = 2
 #: A bucket of more sets is hot.
 HOT = 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -282,7 +277,7 @@ def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of documents (doc_id, text).
 
     ``component_id`` is the smallest ``doc_id`` that links reach, the document's own included; ``n_links``
-    counts the verified links that the search needed, copies among them once.  A null or empty text, or one
+    counts the other documents that it links with, copies included.  A null or empty text, or one
     of separators only, has an empty set and links with nothing.  Rows with a null ``doc_id`` are left out;
     rows that repeat a ``doc_id`` are treated as one document, that of the largest text.  Extra columns are
     ignored.  An empty table gives an empty table.
@@ -306,45 +301,20 @@ def join(docs: DataFrame) -> DataFrame:
     members = members.where("not hot").union(members.where("hot").join(sought, "doc_id", "left_semi").select(members.columns))
     members = stored(members.select("bucket", "doc_id", "entries"), "members")
 
-    tried = None
-    for k in range(ROUNDS + 1):
-        rest = members.withColumn("component", F.col("doc_id")) if tried is None else _open(members, components(links))
-        pairs = (_star_pairs(rest, k) if k < ROUNDS else _cross_pairs(rest)).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        found = stored(_verified(stored(_near(pairs, sets), "near"), docs), "links")
-        links, tried = links.union(found), pairs if tried is None else tried.union(pairs)
-    n_links = reduce(DataFrame.union, [links.select(F.col(c).alias("doc_id")) for c in ("a", "b")]).groupBy("doc_id").agg(F.count("*").alias("n_links"))
+    pairs = stored(_pairs(members).distinct(), "pairs")
+    found = stored(_verified(stored(_near(pairs, sets), "near"), docs).distinct(), "links")
+    links = links.union(found)
+    kinds = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("a"), F.count("*").alias("copies"))
+    others = found.union(found.selectExpr("b as a", "a as b")).join(kinds.selectExpr("a as b", "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    n_links = kinds.join(others, "a", "left").selectExpr("n", "s1", "s2", "copies - 1 + coalesce(others, 0) as n_links")
     return (
         sets.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .join(n_links, "doc_id", "left")
+        .join(n_links, ["n", "s1", "s2"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
 
 
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold several components."""
-    named = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    return named.join(several, "bucket", "left_semi")
-
-
-def _star_pairs(rest: DataFrame, k: int) -> DataFrame:
-    """Each set with one centre, that with which it shares the most entries.
-
-    A bucket's centre is its least set by another order in each round; so a round has no more pairs than sets.
-    """
-    order = F.col("doc_id") if k == 0 else F.xxhash64(F.lit(k), "doc_id")
-    centre = rest.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "doc_id", "component")).alias("c"))
-    both = rest.join(centre, "bucket").where("component <> c.component").groupBy("doc_id", F.col("c.doc_id").alias("centre")).agg(F.sum("entries").alias("shared"))
-    best = both.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("centre")).alias("first"), "centre")).alias("c"))
-    return best.select(F.least("doc_id", "c.centre").alias("a"), F.greatest("doc_id", "c.centre").alias("b"))
-
-
-def _cross_pairs(rest: DataFrame) -> DataFrame:
-    """All pairs of a bucket between different components."""
-    x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component"))) for s in "xy")
-    return x.join(y, "bucket").where("doc_id_x < doc_id_y and component_x <> component_y").select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
+def _pairs(members: DataFrame) -> DataFrame:
+    """All pairs of a bucket."""
+    x, y = (members.select("bucket", F.col("doc_id").alias(c)) for c in "ab")
+    return x.join(y, "bucket").where("a < b").select("a", "b")
