@@ -140,3 +140,10 @@ def test_a_pose_request_is_answered_with_its_whole_grid(spark):
     rows = QUERIES["str1_pose_coverage"](spark, sf).collect()
     assert len({(r.event_id, r.idx) for r in rows}) == len(rows) == 16 * spark.read.parquet(f"{sf}/events.parquet").count()
     assert {r.visible for r in rows} == {True, False} and any(r.db is not None for r in rows) and all(r.db is None for r in rows if not r.visible)
+
+
+def test_a_slanted_segment_misses_boxes_in_its_own_box(spark):
+    from viewfield.functions.formulas import CROSSES
+
+    rows = spark.sql("SELECT *, 0e0 AS ex, 0e0 AS ey, 0e0 AS ez, 10e0 AS tx, 10e0 AS ty, 10e0 AS tz FROM VALUES (1, 4e0, 4e0, 4e0, 6e0, 6e0, 6e0), (2, 7e0, 1e0, 1e0, 9e0, 3e0, 3e0), (3, 4e0, 4e0, 8e0, 6e0, 6e0, 9e0), (4, 9e0, 9e0, 9e0, 20e0, 20e0, 20e0) AS v(id, lox, loy, loz, hix, hiy, hiz)")
+    assert {r.id for r in rows.where(CROSSES).collect()} == {1, 4}

@@ -111,6 +111,22 @@ MEETS = _meets()
 MBR: Layers = [[(f"{f}{i}", f"{g}(a{i}, m{i}, c{i})") for i in "xyz" for f, g in (("lo", "least"), ("hi", "greatest"))]]
 #: The segment's box and the triangle's share a point.
 BOXES = " AND ".join(f"lo{i} <= greatest(e{i}, t{i}) AND hi{i} >= least(e{i}, t{i})" for i in "xyz")
+
+
+def _crosses() -> str:
+    """Does the segment e-t meet the box lo-hi in all three projections?  Boxes that share no point are told before."""
+
+    def diagonal(i: str, j: str, q: str, s: str) -> str:
+        side = lambda p: f"((({p}{i} - lo{i}) * ({s}{j} - {q}{j})) - (({p}{j} - {q}{j}) * (hi{i} - lo{i})))"
+        turn = lambda f, g: f"((({f}{i} - e{i}) * (t{j} - e{j})) - (({g}{j} - e{j}) * (t{i} - e{i})))"
+        return f"NOT ({side('e')} * {side('t')} > 0 OR {turn('lo', q)} * {turn('hi', s)} > 0)"
+
+    inside = lambda p, i, j: f"({p}{i} BETWEEN lo{i} AND hi{i} AND {p}{j} BETWEEN lo{j} AND hi{j})"
+    plane = lambda i, j: f"({inside('e', i, j)} OR {inside('t', i, j)} OR {diagonal(i, j, 'lo', 'hi')} OR {diagonal(i, j, 'hi', 'lo')})"
+    return " AND ".join(plane(i, j) for i, j in ("xy", "xz", "yz"))
+
+
+CROSSES = _crosses()
 #: Height of a triangle over (x, y), null beside it.
 _DET = "((mx - ax) * (cy - ay) - (cx - ax) * (my - ay))"
 _U = f"(((x - ax) * (cy - ay) - (cx - ax) * (y - ay)) / {_DET})"

@@ -5,7 +5,7 @@ Joins are stated as they are meant, pair by pair; only scalar formulas are share
 
 from __future__ import annotations
 
-from ..functions.formulas import ATTENUATION, BOXES, CLEARANCE_SQL, DECIBEL, DENSITY, FROM_DEGREES, FROM_METRES, HEIGHT, KEY, MBR, MEETS, PATTERNS, SECTOR, SNAPSHOT, TURNED, decode_layers, distance, encode_layers, nested, pattern
+from ..functions.formulas import ATTENUATION, BOXES, CLEARANCE_SQL, CROSSES, DECIBEL, DENSITY, FROM_DEGREES, FROM_METRES, HEIGHT, KEY, MBR, MEETS, PATTERNS, SECTOR, SNAPSHOT, TURNED, decode_layers, distance, encode_layers, nested, pattern
 from ..operators.grid import BOX, COUNTS, PLACES
 from ..operators.summary import AGREEMENT, GREY, NORMAL, PALETTE
 from ..operators.terrain import CORNERS, RASTER
@@ -157,6 +157,7 @@ ORACLES["los4_dem"] = WITH_DEM + f"SELECT rid, NOT coalesce(blocked, FALSE) AS v
 ORACLES["los5_dem_profile"] = WITH_DEM + f"""SELECT rid, n, round(dist_m, 4) AS dist_m, coalesce(min(i) FILTER (WHERE below AND i BETWEEN 1 AND n - 1), -1) AS first_below, count(*) AS n_samples, count(*) FILTER (WHERE below) AS n_below
 FROM ({_over(_steps, text('dem_meta'), '0', 'n + 1')}) q GROUP BY rid, n, dist_m"""
 ORACLES["los6_boxes"] = WITH_MESH + f"SELECT eid, tid, count(lox) AS hits FROM ({PAIRS}) r LEFT JOIN mesh_ m ON {BOXES} GROUP BY eid, tid"
+ORACLES["los6_segment_boxes"] = WITH_MESH + f"SELECT eid, tid, count(lox) AS hits FROM ({PAIRS}) r LEFT JOIN mesh_ m ON {BOXES} AND {CROSSES} GROUP BY eid, tid"
 
 ORACLES["cov1_patterns"] = f"""SELECT model, axis, degree, round(sum(abs(e)), 3) AS total, count(e) AS n FROM (
 SELECT model, axis, CAST(floor(key / 1000) AS BIGINT) AS degree, CASE WHEN axis = 'theta' THEN {pattern('theta', 'key')} ELSE {pattern('phi', 'key')} END AS e

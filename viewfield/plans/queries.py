@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.formulas import DECIBEL, apply
+from ..functions.formulas import CROSSES, DECIBEL, apply
 from ..operators import cells, coverage, grid, summary, terrain, visibility
 from ..sources import io
 from ..sources.fixtures import view
@@ -285,6 +285,15 @@ def los6_boxes(spark, sf):
     return terrain.overlap_counts(boxes, view(spark, sf, "mesh")).selectExpr("CAST(split(bid, '/')[0] AS BIGINT) AS eid", "CAST(split(bid, '/')[1] AS BIGINT) AS tid", "hits")
 
 
+@query
+def los6_segment_boxes(spark, sf):
+    """How many triangles' boxes each segment of an emitter and a target meets in all three projections."""
+    ends = [f"{p}{i}" for p in "et" for i in "xyz"]
+    boxes = _pairs(spark, sf).selectExpr("concat_ws('/', eid, tid) AS bid", "eid", "tid", *ends, *(f"least(e{i}, t{i}) AS qlo{i}" for i in "xyz"), *(f"greatest(e{i}, t{i}) AS qhi{i}" for i in "xyz"))
+    hits = terrain.overlaps(boxes, view(spark, sf, "mesh"), residual=F.expr(CROSSES)).groupBy("bid").agg(F.count("*").alias("hits"))
+    return boxes.join(hits, "bid", "left").select("eid", "tid", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
 @query
 def cov1_patterns(spark, sf):
     """Patterns of the models that emitters have, at each thousandth of a degree: sums by whole degrees."""
