@@ -62,6 +62,18 @@ def test_jaccard_counts_all_links(spark, rows):
     assert {r.doc_id: r.n_links for r in jaccard.join(df).collect()} == linked_with(rows)
 
 
+def test_links_beside_an_unlinked_centre(spark):
+    """Two linked sets, and one that shares entries with both but links with neither and comes first by id and by hash."""
+    r = words(70, 100)
+    texts = [" ".join([*r[:89], *words(71, 11)]), " ".join([*r[:99], "x"]), " ".join([*r[:99], "y"])]
+    order = [x.id for x in spark.range(1, 50).selectExpr("id", "xxhash64(1, id) AS o").orderBy("o").collect()]
+    first = min(order[:5])
+    ids = [first, *[i for i in order[order.index(first) + 1 :] if i > first][:2]]
+    assert len(ids) == 3
+    got = {x.doc_id: (x.component_id, x.n_links) for x in jaccard.join(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()}
+    assert got == {ids[0]: (ids[0], 0), ids[1]: (min(ids[1:]), 1), ids[2]: (min(ids[1:]), 1)}
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.join(frame(spark, [])).count() == 0
 
