@@ -49,11 +49,35 @@ def test_any_text(text):
     assert "".join(bpe.parts_of(text)) == text
 
 
+def test_letters_are_matches_of_the_pattern():
+    """What Python takes for a letter the pattern does too, so words of letters need no cutting."""
+    import sys
+
+    import regex
+
+    letter = regex.compile(r"\p{L}")
+    assert all(letter.match(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha())
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    words = bpe._words(RANKS, P.PATTERN)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    texts = ["日本語" * 400 + str(i) for i in range(50)] + [f" w{i} x{i * i}" for i in range(3000)]
+    for t in texts:
+        assert bytes(words.encode([t])[0]) and not any(len(k) > bpe.LONG for k in words)
+    assert words.held <= 20_000 + 1000
+
+
+def test_round_trip_is_both(spark):
+    both = bpe.round_trip(frame(spark), RANKS, P.PATTERN)
+    one = bpe.decode(bpe.encode(frame(spark), RANKS, P.PATTERN), RANKS)
+    assert both.columns == one.columns and sorted(map(str, both.collect())) == sorted(map(str, one.collect()))
+
+
 def test_shards(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     manifest = sst.write_shards(frame(spark), JSON, P.PATTERN, shared_dir(spark, "shards"), end_id=2)
     rows = sorted(sst.read_shards(manifest).collect(), key=lambda r: r.start)
     texts = sorted(((r.doc_id, r.text) for r in frame(spark).collect()), key=lambda x: (-1 if x[0] is None else x[0], x[1] or ""))

@@ -10,18 +10,20 @@ only, so a place that was left once is never tried again and the search is linea
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Entries that a worker keeps of words and pieces, twice, and of pairs.
-CACHE = 250_000
+from .common import kept
+
+#: Bytes that a worker keeps of words with their ids, twice; the longest word kept, in characters; an entry's bytes beside its text.
+CACHE_BYTES, LONG, ENTRY_BYTES = 48 << 20, 100, 200
+#: Pairs of entries that a worker keeps.
+PAIRS = 250_000
 #: Bytes of input after which a batch is handed on.
 BATCH_BYTES = 4 << 20
 
@@ -37,6 +39,7 @@ class Merges:
         self.rank = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in pairs}
         self.bytes = {b: a.encode("latin-1") for a, b in self.rank.items()}
         self.pairs: dict[int, bool] = {}
+        self.words: dict[str, Words] = {}  # by pattern
         entries = {x for x in self.rank if self.merged(x) == [x]}  # the others only stand for a whole piece
         self.automaton = ahocorasick.Automaton()
         self.length, self.shorter = {}, {}  # by id; shorter: the longest other entry that an entry starts with
@@ -61,7 +64,7 @@ class Merges:
 
     def side_by_side(self, left: int, right: int) -> bool:
         """Do the merges leave the two as neighbours?  Asked once for each pair."""
-        if len(self.pairs) >= CACHE:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         a, b = (self.bytes[x].decode("latin-1") for x in (left, right))
         known = self.pairs[left << 32 | right] = self.merged(a + b) == [a, b]
@@ -101,59 +104,52 @@ class Merges:
         return out
 
 
-@cache
-def _merges(path: str) -> Merges:
-    return Merges(path)
-
-
 class Words(dict):
     """Packed ids by text.  ``encode`` gives the ids of many texts as packed integers.
 
     A text is cut before each space that follows a non-space: no match of the pattern reaches across such a
     place, so the parts can be encoded one by one, and parts that come again are looked up.  Two generations
-    are kept: what was used since the last change of generation survives the next one.
+    are kept, each up to ``CACHE_BYTES``: what was used since the last change of generation survives the next
+    one.  Parts of more than ``LONG`` characters are not kept.
     """
 
     def __init__(self, pieces: Callable[[str], list[str]], ids: Callable[[str], bytes]):
-        self.pieces, self.ids, self.old = pieces, ids, {}
+        self.pieces, self.ids, self.old, self.held = pieces, ids, {}, 0
 
-    def learn(self, part: str) -> bytes:
-        known = self.get(part)
+    def __missing__(self, part: str) -> bytes:
+        known = self.old.get(part)
         if known is None:
-            known = self.old.get(part)
-            if known is None:
+            if part.isalpha() or part[:1] == " " and part[1:].isalpha():  # one match of the pattern
+                known = self.ids(part)
+            else:
                 cut = self.pieces(part)
-                known = self.ids(part) if len(cut) == 1 else b"".join([self.learn(p) for p in cut])
+                known = self.ids(part) if len(cut) == 1 else b"".join(map(self.__getitem__, cut))
+        if len(part) <= LONG:
             self[part] = known
+            self.held += len(part) + len(known) + ENTRY_BYTES
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
         out = []
         for text in texts:
-            parts = parts_of(text)
-            try:
-                out.append(b"".join(map(self.__getitem__, parts)))
-            except KeyError:
-                for part in parts:
-                    if part not in self:
-                        self.learn(part)
-                out.append(b"".join(map(self.__getitem__, parts)))
+            if self.held > CACHE_BYTES:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            out.append(b"".join(map(self.__getitem__, parts_of(text))))
         return out
 
 
-#: A space after white space: there the text can't be cut.
-_SPACES = re.compile(r"\s ")
+#: White space before a space: there the text can't be cut.
+_BEFORE = tuple(chr(c) + " " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_ASCII = _BEFORE[:10]
 
 
 def parts_of(text: str) -> list[str]:
     """Cut before each space after a non-space; joined, the parts are the text."""
     if not text:
         return []
-    if not _SPACES.search(text) and text[0] != " ":
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+    if text[0] != " " and "\0" not in text and not any(x in text for x in (_ASCII if text.isascii() else _BEFORE)):
+        return text.replace(" ", "\0 ").split("\0")
     parts = text.split(" ")
     out = [parts[0]]
     for before, part in zip(parts, parts[1:]):
@@ -164,12 +160,17 @@ def parts_of(text: str) -> list[str]:
     return out
 
 
-@cache
+def _merges(path: str) -> Merges:
+    return kept(("merges", path), lambda: Merges(path))
+
+
 def _words(path: str, pattern: str) -> Words:
     import regex
 
     merges = _merges(path)
-    return Words(regex.compile(pattern).findall, lambda piece: array("I", merges.piece(piece.encode())).tobytes())
+    if pattern not in merges.words:
+        merges.words[pattern] = Words(regex.compile(pattern).findall, lambda piece: array("I", merges.piece(piece.encode())).tobytes())
+    return merges.words[pattern]
 
 
 def in_slices(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int, list]]:
@@ -183,18 +184,26 @@ def in_slices(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int,
             first, size = i + 1, 0
 
 
-def _added(df: DataFrame, name: str, of: str, work: Callable[[list], list]) -> DataFrame:
-    """``df`` with a binary column ``name`` that ``work`` makes of column ``of``, some rows at a time."""
-    if name in df.columns:
-        df = df.drop(name)
+def _added(df: DataFrame, of: str, names: list[str], work: Callable[[list], list[list]]) -> DataFrame:
+    """``df`` with binary columns ``names`` that ``work`` makes of column ``of``, some rows at a time."""
+    df = df.drop(*names)
 
     def run(batches):
         for batch in batches:
             for a, b, values in in_slices(batch.column(batch.schema.get_field_index(of))):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(work(values), pa.binary())], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.binary()) for x in work(values))], names=[*part.schema.names, *names])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(name, T.BinaryType()) for name in names)]))
+
+
+def _ids(vocabulary: str, pattern: str, texts: list) -> list[bytes]:
+    return _words(vocabulary, pattern).encode([t or "" for t in texts])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())]))
+
+def _decoded(vocabulary: str, ids: list) -> list[bytes]:
+    get = _merges(vocabulary).bytes.__getitem__
+    return [b"".join(map(get, memoryview(v or b"").cast("I"))) for v in ids]
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -203,14 +212,19 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
     Null and empty texts give no ids.  A column named ``ids`` is replaced; other columns pass unchanged.
     Equal texts get equal ids; an empty table gives an empty table.
     """
-    return _added(df, ids, text, lambda texts: _words(vocabulary, pattern).encode([t or "" for t in texts]))
+    return _added(df, text, [ids], lambda texts: [_ids(vocabulary, pattern, texts)])
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add ``decoded``: the bytes that the packed ids stand for; null ids give no bytes."""
+    return _added(df, ids, [decoded], lambda values: [_decoded(vocabulary, values)])
+
+
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` of its packed ids, in one pass over the rows; nulls and clashes as there."""
 
-    def work(values):
-        get = _merges(vocabulary).bytes.__getitem__
-        return [b"".join(map(get, memoryview(v or b"").cast("I"))) for v in values]
+    def work(texts):
+        packed = _ids(vocabulary, pattern, texts)
+        return [packed, _decoded(vocabulary, packed)]
 
-    return _added(df, decoded, ids, work)
+    return _added(df, text, [ids, decoded], work)

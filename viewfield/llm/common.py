@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the folder that all executors share.
@@ -40,6 +44,20 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once for each worker process and key.
+
+    A worker keeps the thing of one key at a time: what an earlier operator left there goes.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions, which a user sets by the size of the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import in_slices
-from .common import stored
+from .common import kept, stored
 
 #: Runs of letters; longer ones are cut each so many letters, none are dropped.
 LONGEST = 32
@@ -29,7 +29,7 @@ ROUNDS = 2
 #: Added to each expected count; probability of a letter that the vocabulary lacks.
 ADDED, UNKNOWN = 0.1, 1e-8
 #: Words whose values a worker keeps.
-CACHE = 300_000
+CACHE = 200_000
 UNDETERMINED = "und"
 
 
@@ -200,7 +200,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most vocabulary x languages
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        scorer = kept(("language", shared.id), lambda: Scorer(shared.value))
         for batch in batches:
             for a, b, texts in in_slices(batch.column(kept.index(text)), 2 << 20):
                 langs, scores = scorer.texts(texts)

@@ -23,9 +23,8 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of whole texts and what they decode to, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    n_tokens, ids_sha256 = (F.length("ids") / 4).cast("long"), F.sha2("ids", 256)
-    return bpe.decode(encoded, path).select("doc_id", n_tokens.alias("n_tokens"), ids_sha256.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = bpe.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,7 @@ import uuid
 import zlib
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Words, in_slices
-from .common import partitions, shared_dir, stored
+from .common import kept, partitions, shared_dir, stored
 
 BLOCK_BYTES = 64 << 10
 MAGIC = b"sstable1"
@@ -197,8 +196,11 @@ class Added(Words):
         return out
 
 
-@cache
 def _words(tokenizer: str, pattern: str) -> tuple[Words, int]:
+    return kept(("shards", tokenizer, pattern), lambda: _library(tokenizer, pattern))
+
+
+def _library(tokenizer: str, pattern: str) -> tuple[Words, int]:
     """The tokenizer's ids by text, packed, and the bytes that an id takes.
 
     Its pre-tokenizer must be the byte-level one that cuts by ``pattern``; the library's model encodes each piece.
