@@ -74,6 +74,69 @@ def test_links_beside_an_unlinked_centre(spark):
     assert got == {ids[0]: (ids[0], 0), ids[1]: (min(ids[1:]), 1), ids[2]: (min(ids[1:]), 1)}
 
 
+def templates():
+    """Sets that share most of their n-grams with many that they do not link with, in several ways, and some links among them."""
+    common, rows = words(80, 120), []
+    for i in range(40):  # three quarters in common: similar to 0.6
+        rows.append((i, " ".join([*common, *words(1000 + i, 44)])))
+    for i in range(40):  # near copies of some of these
+        rows.append((100 + i, " ".join([*common, *words(1000 + i % 8, 44)[: 40 + i % 4], f"t{i}"])))
+    for i in range(30):  # nine tenths in common, but of different parts
+        rows.append((200 + i, " ".join([*common[: 60 + 2 * i], *words(81, 10)])))
+    return rows
+
+
+@pytest.mark.parametrize("hot,block", [(20, 512), (3, 7), (1, 3)])
+@pytest.mark.parametrize("make", [chain, templates])
+def test_jaccard_with_hot_lists(spark, monkeypatch, make, hot, block):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = make()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(df).collect()}
+    links = linked_with(rows)
+    assert got == {d: (*x, links[d]) for d, x in groups(rows).items()}
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_jaccard_of_repeated_ids_with_different_texts(spark, parts):
+    a, b = " ".join(words(75, 60)), " ".join(words(76, 40))
+    rows = [(1, a), (1, b), (2, b), (3, b + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert {r.doc_id: (r.component_id, r.n_links) for r in jaccard.join(df).collect()} == {1: (1, 0), 2: (2, 1), 3: (2, 1)}
+
+
+def test_hot_lists_are_handed_on(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "GATHERED", 50)
+    r = np.random.default_rng(5)
+    whole = [(s, np.sort(r.choice(12, 6, replace=False)).astype(np.uint32), np.arange(6, dtype=np.int64) + 6 * i) for i, s in enumerate(r.integers(0, 3, 200))]
+    batches = [pa.table({"shard": pa.array([s], pa.int32()), "entries": [e.tobytes()], "owners": [jaccard._pack(o, int(o.min()))]}).to_batches()[0] for s, e, o in whole]
+    want = {}
+    for s, e, o in whole:
+        for x, y in zip(e, o):
+            want.setdefault((int(s), int(x)), set()).add(int(y))
+    got = {}
+    for batch in jaccard._buckets(batches):
+        for b, d, n in zip(*(c.to_pylist() for c in batch.columns)):
+            got.setdefault(b, []).append(d)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+@pytest.mark.parametrize("split", [0, 9])
+def test_shared_counts(split):
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 40 if i % 2 else 5000, r.integers(1, 60))).astype(np.uint64) for i in range(25)]
+    rows, columns = (sets[:split], sets[split:]) if split else (sets, sets)
+    got = jaccard.shared(sets, split or len(sets))
+    want = np.array([[len(np.intersect1d(a, b)) for b in columns] for a in rows])
+    if not split:
+        np.fill_diagonal(got, 0)
+        np.fill_diagonal(want, 0)
+    assert (got == want).all()
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.join(frame(spark, [])).count() == 0
 

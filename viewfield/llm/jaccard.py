@@ -5,21 +5,26 @@ a band has a number of segments that hashing deals the universe of n-grams into.
 in at most ``H`` n-grams, so with more than ``H`` segments some segment is the same in both; the segment's
 content hash is the index entry under which both are found.
 
-Empty segments are no entries, for they would be the same in most sets.  A set's allocation is chosen by
-cost: exact segments alone, one entry each, where those that are not empty outnumber ``H``; else also the
-one-deletion neighbourhoods of its segments of two or more n-grams, under which segments that differ in one
-n-gram meet, so each counts twice; and a set for which even this is too little is entered under each n-gram.
-Of a pair it is enough that one set's allocation suffices, or that both are entered the same way, so no
-linked pair is missed.
-
-Segments of widespread n-grams are entries of many sets.  A set shares at least so many entries with each
-partner as its segments outnumber ``H``; one that has fewer entries in buckets over ``HOT`` sets than that is
-not sought there, for it shares another entry with each partner.
-
-Entries travel as packed arrays, dealt by their hash over shards.  Candidates are verified exactly on the
+Empty segments are no entries, for they would be the same in most sets.  A set's first allocation goes by
+what its segments hold: exact segments alone, one entry each, where those that are not empty outnumber ``H``;
+else also the one-deletion neighbourhoods of its segments of two or more n-grams, under which segments that
+differ in one n-gram meet, so each counts twice; and a set for which even this is too little is entered under
+each n-gram.  Of a pair it is enough that one set's allocation suffices, or that both are entered the same
+way, so no linked pair is missed.
+
+The second allocation goes by cost, the length of the entries' lists.  In a list of up to ``HOT`` sets all
+pairs are tried; in a longer one each set is tried with one centre.  A longer list all of whose sets are then
+in one component has nothing more to give.  A set shares at least so many entries with each partner as its
+segments outnumber ``H``; one with fewer entries than that in the lists that are left is done, for it shares
+another with each partner.  Those that are not done are found anew among themselves, with the n-grams as
+segments and the cheapest chosen: of a set's n-grams in the order of the number of components that hold them,
+as many as may be missing in a partner and one more.  Again short lists are tried whole and long ones by a
+centre; for what is left of these the sets are compared in blocks, so that no pair goes untried.
+
+Entries travel as packed arrays, dealt by their hash over shards.  Candidates are verified exactly on packed
 n-gram sets, after a bound: the difference of two sets is at least that of their counts by ranges of the
-hash.  Of a bucket of sets under one entry all pairs are tried, one set for its copies, so the links of each
-document are counted exactly; in a group of near copies they grow with its square, as the links do.
+hash.  Links never leave a component, so each set's links are counted there, in blocks, by the products of
+their incidence matrices.  No row is made for a pair that is only counted.
 """
 
 from __future__ import annotations
@@ -28,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import in_slices
-from .common import drop_stored, partitions, stored
+from .common import partitions, stored
 from .components import components
 
 #: Words an n-gram, and the least similarity in percent.
@@ -41,6 +46,12 @@ WORDS, PERCENT = 5, 80
 STEP = 1.5
 #: A bucket of more sets is hot.
 HOT = 20
+#: Sets in a block, about.
+BLOCK = 512
+#: Entries that a task gathers before it hands on the hot ones.
+GATHERED = 4_000_000
+#: Bytes of words that a worker keeps with their hashes, and the longest word kept.
+CACHE_BYTES, LONG = 48 << 20, 100
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
 
@@ -52,29 +63,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+class Hashed(dict):
+    """Hashes of words; those of usual length are kept."""
+
+    held = 0
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            self[word] = h
+            self.held += len(word) + 170
+        return h
+
+
 class Grams:
-    """Hashed n-gram sets of texts; keeps the hashes of words."""
+    """Hashed n-gram sets of texts."""
 
     def __init__(self, words: int = WORDS):
-        self.n, self.known = words, {}
+        self.n, self.known = words, Hashed()
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes; of fewer than n words, one of the whole sequence; of none, none."""
-        import xxhash
-
         words = text.encode().translate(LOWER).split() if text else []  # bytes split at 0x20 and 0x09 to 0x0D
         if not words:
             return np.zeros(0, U)
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        try:
-            h = np.array([known[w] for w in words], U)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.array([known[w] for w in words], U)
+        if self.known.held > CACHE_BYTES:
+            self.known = Hashed()
+        h = np.fromiter(map(self.known.__getitem__, words), U, len(words))
         size = max(1, len(h) - self.n + 1)
         out = np.full(size, min(len(h), self.n), U)
         for i in range(min(len(h), self.n)):
@@ -145,8 +162,39 @@ def at_least_apart(a: bytes, b: bytes) -> int:
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both) and both > 0
+    if not len(a) or not len(b):
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def hash_of(grams: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    spread = mixed(grams + U(len(grams)))
+    return int(grams.sum()), int(np.bitwise_xor.reduce(spread * spread)) if len(grams) else 0
+
+
+def _as_long(x) -> pa.Array:
+    return pa.array(np.array(x, U).view(np.int64))
+
+
+def one_row_an_id(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) with one row for each id: of several that of the most n-grams, ties by their hashes."""
+    twice = stored(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return docs
+
+    def run(batches):
+        grams = Grams()
+        for batch in batches:
+            for a, b, texts in in_slices(batch.column(1)):
+                sets = [grams(t) for t in texts]
+                first, second = zip(*map(hash_of, sets))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array([len(x) for x in sets], pa.int64()), _as_long(first), _as_long(second)], names=["doc_id", "text", "n", "s1", "s2"])
+
+    sized = docs.join(twice, "doc_id", "left_semi").mapInArrow(run, "doc_id long, text string, n long, s1 long, s2 long")
+    best = sized.groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2", "text")).alias("s")).select("doc_id", "s.text")
+    return docs.join(twice, "doc_id", "left_anti").union(best)
 
 
 def _index(docs: DataFrame, shards: int) -> DataFrame:
@@ -172,30 +220,30 @@ def _rows(ids: list, texts: list, grams: Grams, seen: dict, shards: int) -> Iter
     sizes, first, second, spare, sketches, found, owners = [], [], [], [], [], [], []
     for i, text in zip(ids, texts):
         own = grams(text)
-        spread = mixed(own + U(len(own)))
-        s = int(own.sum()), int(np.bitwise_xor.reduce(spread * spread)) if len(own) else 0
+        s = hash_of(own)
         sizes.append(len(own))
         first.append(s[0])
         second.append(s[1])
         if len(own) and s not in seen:
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
-            e, seen[s] = entries(own)
-            found.append(e)
-            owners.append(np.full(len(e), i, np.int64))
+            e, least = entries(own)
+            key = np.unique((e >> U(32)) % U(shards) << U(32) | e & U(0xFFFFFFFF))  # entries that meet here count once
+            seen[s] = max(0, least - (len(e) - len(key)))
+            found.append(key)
+            owners.append(np.full(len(key), i, np.int64))
         spare.append(seen[s] if len(own) else 0)
         sketches.append(sketch(own))
     n = len(ids)
-    as_long = lambda x: pa.array(np.array(x, U).view(np.int64))
     nothing = pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), as_long(first), as_long(second), pa.array(spare, pa.int32()), pa.array(sketches, pa.binary()), *nothing], schema=INDEX)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _as_long(first), _as_long(second), pa.array(spare, pa.int32()), pa.array(sketches, pa.binary()), *nothing], schema=INDEX)
     if not found:
         return
     e, o = np.concatenate(found), np.concatenate(owners)
-    shard = (e >> U(32)) % U(shards)
-    order = np.argsort(shard, kind="stable")
-    e, o, cuts = e[order].astype(np.uint32), o[order], np.searchsorted(shard[order], np.arange(shards + 1, dtype=U))
-    base = int(o.min())
+    order = np.argsort(e >> U(32), kind="stable")
+    e, o = e[order], o[order]
+    cuts = np.searchsorted(e >> U(32), np.arange(shards + 1, dtype=U))
+    base, e = int(o.min()), e.astype(np.uint32)
     packed = [(k, e[a:b].tobytes(), _pack(o[a:b], base)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
     n = len(packed)
     k, e, o = zip(*packed)
@@ -215,30 +263,67 @@ def _unpack(owners: bytes, n: int) -> np.ndarray:
     return np.frombuffer(owners, kind, offset=8).astype(np.int64) + int.from_bytes(owners[:8], "little", signed=True)
 
 
-def _buckets(table: pa.Table) -> pa.Table:
-    """The sets that share entries of a shard: (bucket, doc_id, hot, entries), a bucket of each group of sets once."""
-    found, owners = [], []
-    for e, o in zip(table.column("entries").to_pylist(), table.column("owners").to_pylist()):
-        found.append(np.frombuffer(e, np.uint32))
-        owners.append(_unpack(o, len(found[-1])))
-    e, o = np.concatenate(found), np.concatenate(owners)
-    order = np.lexsort((o, e))
-    e, o = e[order], o[order]
-    again = np.concatenate([[False], e[1:] == e[:-1]])
-    keep = again | np.concatenate([again[1:], [False]])
-    e, o = e[keep], o[keep]
+def _bucket_rows(bucket: np.ndarray, doc: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(doc), pa.array(number.astype(np.int64))], names=["bucket", "doc_id", "entries"])
+
+
+def _starts(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and their lengths."""
     starts = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])) if len(e) else np.zeros(0, np.int64)
-    counts = np.diff(np.concatenate([starts, [len(e)]]))
-    content = np.add.reduceat(mixed(o.astype(U)), starts) if len(e) else np.zeros(0, U)  # the group's members
+    return starts, np.diff(np.concatenate([starts, [len(e)]]))
+
+
+def _buckets(batches) -> Iterator[pa.RecordBatch]:
+    """The sets that share entries, (bucket, doc_id, entries), of packed entries (shard, entries, owners).
+
+    A group of sets that shares several entries is one bucket.  When many entries are gathered, the sets of
+    hot ones are handed on and each later set of theirs at once, so no list has to be held whole.
+    """
+    keys, owners, size, hot = [], [], 0, np.zeros(0, U)
+    for batch in batches:
+        for shard, e, o in zip(*(c.to_pylist() for c in batch.columns)):
+            e = np.frombuffer(e, np.uint32).astype(U)
+            keys.append(e | U(shard) << U(32))
+            owners.append(_unpack(o, len(e)))
+            size += len(e)
+        if size < GATHERED:
+            continue
+        e, o = _ordered(keys, owners)
+        starts, counts = _starts(e)
+        hot = np.union1d(hot, e[starts][counts > HOT])
+        out = np.isin(e, hot)
+        if out.any():
+            yield _bucket_rows(mixed(e[out]), o[out], np.ones(out.sum()))
+        keys, owners, size = [e[~out]], [o[~out]], 0
+    if not keys:
+        return
+    e, o = _ordered(keys, owners)
+    late = np.isin(e, hot)
+    if late.any():
+        yield _bucket_rows(mixed(e[late]), o[late], np.ones(late.sum()))
+        e, o = e[~late], o[~late]
+    starts, counts = _starts(e)
+    keep = np.repeat(counts > 1, counts)
+    e, o = e[keep], o[keep]
+    if not len(e):
+        return
+    starts, counts = _starts(e)
+    content = np.add.reduceat(mixed(o.astype(U)), starts)  # the group's members
     _, one, number = np.unique(content, return_index=True, return_counts=True)
     times = np.zeros(len(starts), np.int64)
     times[one] = number
     member = np.repeat(times > 0, counts)
-    return pa.table({"bucket": np.repeat(content, counts)[member].view(np.int64), "doc_id": o[member], "hot": np.repeat(counts > HOT, counts)[member], "entries": np.repeat(times, counts)[member]})
+    yield _bucket_rows(np.repeat(content, counts)[member], o[member], np.repeat(times, counts)[member])
+
+
+def _ordered(keys: list, owners: list) -> tuple[np.ndarray, np.ndarray]:
+    e, o = np.concatenate(keys), np.concatenate(owners)
+    order = np.lexsort((o, e))
+    return e[order], o[order]
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sketches leave a link possible."""
+    """Those of pairs (a, b) whose sizes and sketches leave a link possible."""
     named = lambda x: sets.selectExpr(f"doc_id as {x}", f"n as n{x}", f"sketch as s{x}")
     both = pairs.join(named("a"), "a").join(named("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
 
@@ -251,26 +336,169 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that link, by their whole texts' sets."""
-    texts = docs.select("doc_id", "text")
-    named = lambda x: texts.selectExpr(f"doc_id as {x}", f"text as text_{x}")
-    both = pairs.join(named("b"), "b").join(named("a"), "a")
+def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, grams): the n-gram sets of the documents of ``ids``, as packed hashes."""
+
+    def run(batches):
+        grams = Grams()
+        for batch in batches:
+            for a, b, texts in in_slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([grams(t).tobytes() for t in texts], pa.binary())], names=["doc_id", "grams"])
+
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, grams binary")
+
+
+def _verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that link, by their whole sets."""
+    named = lambda x: packed.selectExpr(f"doc_id as {x}", f"grams as grams_{x}")
+
+    def run(batches):
+        for batch in batches:
+            sets = ([np.frombuffer(v, U) for v in batch.column(k).to_pylist()] for k in (2, 3))
+            keep = [linked(x, y) for x, y in zip(*sets)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long")
+
+
+def shared(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """How many n-grams each of the first ``split`` sets shares with each of the others, or each two if there are none."""
+    k, alone = len(sets), split == len(sets)
+    rows, columns = (slice(0, k), slice(0, k)) if alone else (slice(0, split), slice(split, k))
+    row = np.repeat(np.arange(k), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    _, counts = _starts(flat)
+    column = np.repeat(np.arange(len(counts)), counts)
+    often = counts[column]
+    r, c = row[(often > 1) & (often <= 8)], column[(often > 1) & (often <= 8)]
+    out = np.zeros(k * k)
+    for d in range(1, 8):  # of a rare n-gram each two of its sets
+        same = c[d:] == c[:-d]
+        if not same.any():
+            break
+        out += np.bincount(r[:-d][same] * k + r[d:][same], minlength=k * k)
+    out = out.reshape(k, k)
+    out = (out + out.T)[rows, columns]
+    r, c = row[often > 8], column[often > 8]
+    c = np.cumsum(np.concatenate([[0], c[1:] != c[:-1]])) if len(c) else c
+    for first in range(0, int(c[-1]) + 1 if len(c) else 0, 2048):  # of others a product of matrices
+        a, b = np.searchsorted(c, (first, first + 2048))
+        held = np.zeros((k, 2048), np.float32)
+        held[r[a:b], c[a:b] - first] = 1
+        out += held[rows] @ held[columns].T
+    return out
+
+
+def _links_in(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Which of the first ``split`` sets link with which of the others, or which two if there are none."""
+    both, n = shared(sets, split), np.array([len(x) for x in sets])
+    rows, columns = (n, n) if split == len(sets) else (n[:split], n[split:])
+    out = (100 * both >= PERCENT * (rows[:, None] + columns[None, :] - both)) & (both > 0)
+    if split == len(sets):
+        np.fill_diagonal(out, False)
+    return out
+
+
+def _blocks(members: DataFrame, packed: DataFrame) -> DataFrame:
+    """The members (g, doc_id, label) of groups with their sets, for each two blocks of a group: (g, i, j, own, ...).
+
+    Rows come sorted by blocks within partitions.
+    """
+    blocks = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = members.join(blocks, "g").join(packed, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    each = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    each = each.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "grams")
+    return each.repartition(partitions(members.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "own")
+
+
+def _grouped(batches) -> Iterator[tuple[list, list, list, int]]:
+    """Of rows of ``_blocks``, for each two blocks with members: ids, labels, sets, and how many belong to the first.
+
+    For a block by itself all do.
+    """
+    last, ids, labels, sets, first = None, [], [], [], 0
+    done = lambda: last is not None and (last[1] == last[2] and first > 1 or 0 < first < len(ids))
+    for batch in batches:
+        for g, i, j, own, doc, label, grams in zip(*(c.to_pylist() for c in batch.columns)):
+            if last != (g, i, j):
+                if done():
+                    yield ids, labels, sets, first
+                last, ids, labels, sets, first = (g, i, j), [], [], [], 0
+            ids.append(doc)
+            labels.append(label)
+            sets.append(np.frombuffer(grams, U))
+            first += own == i
+    if done():
+        yield ids, labels, sets, first
+
+
+def _count_links(batches) -> Iterator[pa.RecordBatch]:
+    """(doc_id, others): how many documents each set links with in another block or its own; labels are their copies."""
+    for ids, copies, sets, first in _grouped(batches):
+        found, weight = _links_in(sets, first), np.array(copies, np.int64)
+        others = found @ weight if first == len(ids) else np.concatenate([found @ weight[first:], found.T @ weight[:first]])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others.astype(np.int64))], names=["doc_id", "others"])
+
+
+def _cross_links(batches) -> Iterator[pa.RecordBatch]:
+    """(a, b): of each two components, the labels, a pair of sets that links, if two do."""
+    for ids, labels, sets, first in _grouped(batches):
+        found, ids, labels = _links_in(sets, first), np.array(ids), np.array(labels)
+        x, y = np.nonzero(found)
+        y = y + (first if first < len(ids) else 0)
+        x, y = x[labels[x] != labels[y]], y[labels[x] != labels[y]]
+        if len(x):
+            low, high = np.minimum(labels[x], labels[y]), np.maximum(labels[x], labels[y])
+            _, one = np.unique(np.stack([low, high]), axis=1, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x[one]]), pa.array(ids[y[one]])], names=["a", "b"])
+
+
+def _tried(members: DataFrame, key: str) -> DataFrame:
+    """Add to members (key, doc_id, component) the number of sets in the list and a centre; lists within one component go."""
+    lists = members.groupBy(key).agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("centre"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return members.join(lists.where("low < high").drop("low", "high"), key)
+
+
+def _pairs(members: DataFrame, key: str) -> DataFrame:
+    """Pairs (a, b) of different components: all of a short list, those with the centre of a long one."""
+    x, y = (members.where(f"size <= {HOT}").select(key, F.col("doc_id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    short = x.join(y, key).where("a < b and of_a <> of_b").select("a", "b")
+    long = members.where(f"size > {HOT} and doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
+    return short.union(long).distinct()
+
+
+def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Replace each set's component by the one that it is in now."""
+    now = found.withColumnsRenamed({"node": "doc_id", "component": "now"})
+    return members.join(now, "doc_id", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+
+
+def _left(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, component, n) of the sets that may have partners which none of the lists tried has shown."""
+    open_lists = hot.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    counted = hot.join(open_lists, "bucket", "left_semi").groupBy("doc_id", "component").agg(F.sum("entries").alias("left"))
+    return counted.join(sets.select("doc_id", "n", "spare"), "doc_id").where("left >= spare").select("doc_id", "component", "n")
+
+
+def _cheapest(left: DataFrame, packed: DataFrame) -> DataFrame:
+    """(gram, doc_id, component): of each set the n-grams in fewest components, one more than a partner may lack."""
 
     def run(batches):
-        grams, last, of_last = Grams(), None, None
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if a != last:
-                    last, of_last = a, grams(x)
-                if linked(of_last, grams(y)):
-                    out.append((a, b))
-            if out:
-                a, b = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            sets = [np.frombuffer(v, np.int64) for v in batch.column(3).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)])
+            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], grams], names=["doc_id", "component", "n", "grams"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    rows = left.join(packed, "doc_id").select("doc_id", "component", "n", "grams").mapInArrow(run, "doc_id long, component long, n long, grams array<long>")
+    rows = stored(rows, "left").select("doc_id", "component", "n", F.explode("grams").alias("gram"))
+    cost = rows.select("gram", "component").distinct().groupBy("gram").agg(F.count("*").alias("cost")).where("cost > 1")
+    ordered = rows.join(cost, "gram", "left").groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("cost", F.lit(1)).alias("cost"), "gram"))).alias("grams"))
+    most = F.expr(f"cast(n - ({PERCENT} * n + 99) div 100 + 1 AS int)")
+    chosen = ordered.select("doc_id", "component", F.explode(F.slice("grams", 1, most)).alias("s"))
+    return chosen.where("s.cost > 1").select(F.col("s.gram").alias("gram"), "doc_id", "component")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -279,42 +507,55 @@ def join(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest ``doc_id`` that links reach, the document's own included; ``n_links``
     counts the other documents that it links with, copies included.  A null or empty text, or one
     of separators only, has an empty set and links with nothing.  Rows with a null ``doc_id`` are left out;
-    rows that repeat a ``doc_id`` are treated as one document, that of the largest text.  Extra columns are
+    rows that repeat a ``doc_id`` are treated as one document, that of the largest set.  Extra columns are
     ignored.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    docs = one_row_an_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"))
     shards = 2 * partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     index = stored(_index(docs, shards), "index")
-    sets = index.where("shard is null").groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2", "spare", "sketch")).alias("s")).select("doc_id", "s.*")
-    sets = stored(sets, "sets")
-    least = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("a"))
-    copies = sets.where("n > 0").select("doc_id", "n", "s1", "s2").join(least, ["n", "s1", "s2"]).where("a < doc_id").select("a", F.col("doc_id").alias("b"))
-    links = stored(copies, "links")
-
-    members = index.where("shard is not null").select("shard", "entries", "owners").groupBy("shard").applyInArrow(_buckets, "bucket long, doc_id long, hot boolean, entries long")
-    # a copy stands for the least of its set
-    members = members.join(links.selectExpr("b as doc_id", "a as least"), "doc_id", "left").groupBy("bucket", F.coalesce("least", "doc_id").alias("doc_id")).agg(F.max("hot").alias("hot"), F.sum("entries").alias("entries"))
-    members = stored(members, "members")
-    drop_stored(spark, index)
-    sought = members.where("hot").groupBy("doc_id").agg(F.sum("entries").alias("hot_entries")).join(sets.select("doc_id", "spare"), "doc_id").where("hot_entries >= spare").select("doc_id")
-    members = members.where("not hot").union(members.where("hot").join(sought, "doc_id", "left_semi").select(members.columns))
-    members = stored(members.select("bucket", "doc_id", "entries"), "members")
-
-    pairs = stored(_pairs(members).distinct(), "pairs")
-    found = stored(_verified(stored(_near(pairs, sets), "near"), docs).distinct(), "links")
-    links = links.union(found)
-    kinds = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("a"), F.count("*").alias("copies"))
-    others = found.union(found.selectExpr("b as a", "a as b")).join(kinds.selectExpr("a as b", "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    n_links = kinds.join(others, "a", "left").selectExpr("n", "s1", "s2", "copies - 1 + coalesce(others, 0) as n_links")
-    return (
-        sets.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .join(n_links, ["n", "s1", "s2"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
-
-
-def _pairs(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket."""
-    x, y = (members.select("bucket", F.col("doc_id").alias(c)) for c in "ab")
-    return x.join(y, "bucket").where("a < b").select("a", "b")
+    sets = index.where("shard is null").select("doc_id", "n", "s1", "s2", "spare", "sketch")
+    kinds = stored(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "kinds")
+    copies = sets.join(kinds.where("copies > 1"), ["n", "s1", "s2"]).where("first < doc_id").select("doc_id", "first")
+
+    # a copy stands for the first of its set
+    packs = index.where("shard is not null").select("shard", "entries", "owners").repartition(shards, "shard")
+    members = packs.mapInArrow(_buckets, "bucket long, doc_id long, entries long").join(copies, "doc_id", "left")
+    members = stored(members.groupBy("bucket", F.coalesce("first", "doc_id").alias("doc_id")).agg(F.max("entries").alias("entries")).withColumn("component", F.col("doc_id")), "members")
+    members = stored(_tried(members, "bucket"), "members")
+    near = stored(_near(_pairs(members, "bucket"), sets), "near")
+    hot = members.where(f"size > {HOT}").drop("size", "centre")
+    wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).union(_left(hot, sets).select("doc_id"))
+    packed = stored(_packed(docs, wanted.distinct()), "packed")
+    links = stored(_verified(near, packed), "links")
+    found = stored(components(links), "components")
+
+    left = stored(_left(_with_components(hot, found), sets), "left")
+    if not left.isEmpty():
+        links, found = _search_rest(spark, left, sets, packed, links, found)
+
+    weights = kinds.select(F.col("first").alias("doc_id"), F.col("copies").alias("label"))
+    groups = found.select(F.col("component").alias("g"), F.col("node").alias("doc_id")).join(weights, "doc_id").select("g", "doc_id", "label")
+    counts = _blocks(groups, packed).mapInArrow(_count_links, "doc_id long, others long").groupBy("doc_id").agg(F.sum("others").alias("others"))
+    of_kind = kinds.join(found.withColumnRenamed("node", "first"), "first", "left").join(counts.withColumnRenamed("doc_id", "first"), "first", "left")
+    of_kind = of_kind.select("n", "s1", "s2", F.coalesce("component", "first").alias("component"), F.expr("copies - 1 + coalesce(others, 0)").alias("n_links"))
+    return sets.join(of_kind, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _search_rest(spark: SparkSession, left: DataFrame, sets: DataFrame, packed: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components with what the sets ``left`` share in their cheapest n-grams."""
+    members = stored(_tried(stored(_cheapest(left, packed), "cheapest"), "gram"), "members")
+    more = stored(_verified(_near(_pairs(members, "gram"), sets), packed), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        found = stored(components(links), "components")
+    hot = _with_components(members.where(f"size > {HOT}").drop("size", "centre"), found)
+    lists = hot.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(20)")).alias("content"))
+    lists = lists.where("low < high").groupBy("size", "content").agg(F.min("gram").alias("gram")).select("gram")  # lists of the same sets once
+    rest = stored(hot.join(lists, "gram", "left_semi").select(F.col("gram").alias("g"), "doc_id", F.col("component").alias("label")), "rest")
+    if not rest.isEmpty():
+        more = stored(_blocks(rest, packed).mapInArrow(_cross_links, "a long, b long").distinct(), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            found = stored(components(links), "components")
+    return links, found

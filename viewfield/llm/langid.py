@@ -9,6 +9,7 @@ maximisation: words are counted by language, expected piece counts come from for
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -196,14 +197,14 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     A null text, or one without a letter, is ``und`` with score 0.  Columns of those names are replaced.
     """
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most vocabulary x languages
+    columns = [c for c in df.columns if c not in ("lang_pred", "score")]
+    shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # at most vocabulary x languages
 
     def run(batches):
-        scorer = kept(("language", shared.id), lambda: Scorer(shared.value))
+        scorer = kept(("language", key), lambda: Scorer(shared.value))
         for batch in batches:
-            for a, b, texts in in_slices(batch.column(kept.index(text)), 2 << 20):
+            for a, b, texts in in_slices(batch.column(columns.index(text)), 2 << 20):
                 langs, scores = scorer.texts(texts)
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    return df.select(*kept).mapInArrow(run, T.StructType([*(df.schema[c] for c in kept)]).add("lang_pred", "string").add("score", "double"))
+    return df.select(*columns).mapInArrow(run, T.StructType([*(df.schema[c] for c in columns)]).add("lang_pred", "string").add("score", "double"))
