@@ -192,22 +192,77 @@ def test_suffix_dedup_of_hot_seeds(spark, monkeypatch):
     assert got == sorted((d, n, kept, spans) for (d, _), (n, kept, spans) in zip(rows, removed([t for _, t in rows])))
 
 
+def passages(n):
+    passage = " ".join(words(22, 60))
+    return [(i, " ".join(words(1900 + i, 30)) + " " + passage + " " + " ".join(words(2950 + i, 30))) for i in range(n)]
+
+
 def test_hot_seeds_are_not_gathered(spark, monkeypatch):
-    """Of a passage in many documents, no task gets the bytes: the largest group is that of one window."""
+    """Of a passage in many documents, no task gets the bytes: hot windows are dealt by their hashes."""
     monkeypatch.setattr(suffixes, "HOT", 20)
-    gathered = []
+    rows, seen = passages(60), []
     cut = suffixes._cut
 
-    def counted(rows, shards):
-        gathered.append(rows.selectExpr("sum(size(several)) AS n").first().n or 0)
-        return cut(rows, shards)
+    def counted(listed, shards):
+        out = cut(listed, shards)
+        seen.extend(r["count"] for r in out.groupBy("seed").count().collect() if r.seed is not None)
+        seen.append(-out.where("seed is null").count())
+        return out
 
     monkeypatch.setattr(suffixes, "_cut", counted)
-    passage = " ".join(words(22, 60))
-    rows = [(i, " ".join(words(1900 + i, 30)) + " " + passage + " " + " ".join(words(2950 + i, 30))) for i in range(60)]
     got = sorted((r.doc_id, r.n_bytes, bytes(r.kept), r.n_spans) for r in suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted((d, n, kept, spans) for (d, _), (n, kept, spans) in zip(rows, removed([t for _, t in rows])))
-    assert gathered == [0]
+    assert max(seen) <= 20 and min(seen) < 0
+
+
+def spans_of(runs):
+    got = {}
+    for r in runs.collect():
+        got.setdefault(r.doc_id, set()).update(range(r.a, r.a + r.n))
+    return got
+
+
+def test_family_of_many_batches():
+    r = np.random.default_rng(9)
+    family, whole, found = suffixes.Family(), [], []
+    for k in range(40):
+        rows = np.zeros(50, suffixes.SUFFIX)
+        rows["seed"], rows["chunk"], rows["doc"], rows["a"] = r.integers(0, 300, 50), r.integers(0, 6, 50), k, np.arange(50)
+        whole.append(rows.copy())
+        found.append(family.add(rows))
+        sizes = [order for order, _ in family.levels]
+        assert sizes == sorted(set(sizes), reverse=True) and len(sizes) <= 6  # a logarithm of the batches
+    whole, found = np.concatenate(whole), np.concatenate(found)
+    kinds = [(s, c) for s, c in zip(whole["seed"].tolist(), whole["chunk"].tolist())]
+    want = {(int(d), int(a)) for d, a, k in zip(whole["doc"], whole["a"], kinds) if kinds.count(k) > 1}
+    got = [(int(d), int(a)) for d, a in zip(found["doc"], found["a"])]
+    assert len(got) == len(set(got)) and set(got) == want
+    rows, counts = family.shared()
+    several = {s for s, _ in kinds if len({k for k in kinds if k[0] == s}) > 1}
+    assert {s for s in several if any(kinds.count(k) == 1 for k in kinds if k[0] == s)} == set(rows["seed"].tolist()) and all(counts > 1)
+
+
+def test_levels_opened_again(spark):
+    """Documents that come later find what the kept levels hold, as if all had come at once."""
+    rows = passages(20) + [(100 + i, t) for i, t in passages(3)] + [(200, "no repeat of any kind " * 3)]
+    df = suffixes.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    old, new = df.where("doc_id < 8"), df.where("doc_id >= 8")
+    first, levels = suffixes.repeats(old, keep=True)
+    assert levels.count() > 0
+    later, more = suffixes.repeats(new, levels, old, keep=True)
+    assert spans_of(first.union(later)) == spans_of(suffixes.repeats(df)[0])
+    assert more.where("level > 0").count() > 0
+
+
+def test_long_documents_in_pieces(spark, monkeypatch):
+    long = " ".join(words(23, 900))
+    rows = [(1, long), (2, long[1000:4000]), (3, "z" * 50 + long[2000:2300]), (4, long[:199])]
+    whole = suffixes.chunks(np.frombuffer(long.encode(), np.uint8), np.array([len(long)]))
+    monkeypatch.setattr(suffixes, "PIECE", 700)
+    pieces = [p for several in suffixes._pieces([long]) for p in several]
+    assert len(pieces) > 5 and sum(len(d) - 199 for _, _, d in pieces) == whole["n"].sum() == len(long) - 199
+    got = sorted((r.doc_id, r.n_bytes, bytes(r.kept), r.n_spans) for r in suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((d, n, kept, spans) for (d, _), (n, kept, spans) in zip(rows, removed([t for _, t in rows])))
 
 
 def test_suffix_dedup_of_nothing(spark):

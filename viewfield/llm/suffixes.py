@@ -4,21 +4,21 @@ Of each ``WINDOW`` bytes, the place of the lowest hash of ``SEED`` bytes is an a
 their anchors at equal places, so suffixes from anchors on find all repeats.  Windows with one anchor form a
 chunk: the bytes round an anchor that can belong to its repeats.
 
-A batch of documents gets a sparse suffix array: its distinct chunks, in the order of their seeds' hashes and
-their own.  Suffixes with the same first bytes stand together in this order, which is all that a search for
-repeats needs.  Each new batch is scanned by merging against the levels there are, which shows chunks that
-are there already (each of their windows comes again) and seeds that are there in other surroundings.  Levels
-of one size merge into one of twice the size before the next batch comes, so a batch meets a logarithmic
-number of levels.  Levels are tables bucketed and sorted by seed; scans and merges move no rows.
-
-Chunks that share a seed but not all bytes are compared window by window.  Chunks that are equal have been
-joined before, so a group of copies is one entry here.
+Suffixes are dealt over shards by the hash of their first ``SEED`` bytes, so a search for repeats never leaves
+a shard.  Documents come in batches.  A batch gets a sparse suffix array in each shard: its distinct chunks
+in the order of their seeds.  Suffixes with the same first bytes stand together in this order, which is all
+that a search for repeats needs.  The array is scanned by merging against the levels there are, which shows
+chunks that are there already: each of their windows comes again.  Levels of one size merge into one of twice
+the size before the next batch comes, so a batch meets a logarithmic number of levels.  Levels hold the place
+of each suffix; they can be kept as a table and opened again for later batches.
+
+Chunks that share a seed but not all bytes are at last compared window by window, on their bytes.  Chunks
+that are equal have been joined before, so a group of copies is one entry here.
 """
 
 from __future__ import annotations
 
-import uuid
-from functools import cache, reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,24 +26,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_slices
-from .common import drop_stored, partitions, shared_dir, stored
+from .common import partitions, stored
 from .jaccard import mixed
 
-WINDOW, SEED = 200, 64
-#: Batches that documents are dealt into.
-BATCHES = 4
-#: The windows of a seed with more chunks are counted by their hashes.
+WINDOW, SEED = 200, 48
+#: The windows of a seed with more chunks are dealt by their hashes.
 HOT = 2000
+#: Bytes that are worked on at once, and of a piece of a long document; suffixes that a task gathers.
+SLICE_BYTES, PIECE, GATHERED = 2 << 20, 1 << 20, 300_000
 U = np.uint64
-SLICE_BYTES = 2 << 20
 DOC = ["doc_id", "t"]
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+#: A suffix: hashes of its first bytes and of its chunk, document, first window, windows, anchor's distance, and whether it is known to come again.
+SUFFIX = np.dtype([("seed", "<u8"), ("chunk", "<u8"), ("doc", "<i8"), ("t", "<i4"), ("a", "<i4"), ("n", "u1"), ("off", "u1"), ("again", "u1")])
+NONE = np.zeros(0, SUFFIX)
+#: What a scan gives: runs of windows that come again (size 0), chunks that share a seed with others (size: how many), levels.
+SCANNED = "doc_id long, t int, a int, n int, off int, seed long, again boolean, size int, shard int, level int, data binary"
 
 
-@cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """A random value for each byte, for each of two hashes."""
-    return tuple(mixed(np.arange(256, dtype=U) * U(2) + U(b % 1000003)) for b in BASES)
+class Powers:
+    """Powers of the bases and of their inverses, and a random value for each byte; made once for the longest slice."""
+
+    size, of, back, values = 0, (), (), tuple(mixed(np.arange(256, dtype=U) * U(2) + U(b % 1000003)) for b in BASES)
+
+    @classmethod
+    def up_to(cls, n: int) -> None:
+        if n > cls.size:
+            cls.size = max(n, SLICE_BYTES + PIECE)
+            cls.of, cls.back = (tuple(cls._row(x, cls.size) for x in row) for row in (BASES, [pow(b, -1, 1 << 64) for b in BASES]))
+
+    @staticmethod
+    def _row(base: int, n: int) -> np.ndarray:
+        out = np.full(n + 1, base, U)
+        out[0] = 1
+        return np.multiply.accumulate(out, out=out)
 
 
 class Hashes:
@@ -51,118 +67,242 @@ class Hashes:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.sums, self.back = [], []
-        for base, table in zip(BASES, _tables()):
-            powers = np.full(n + 1, base, U)
-            powers[0] = 1
-            np.multiply.accumulate(powers, out=powers)
-            self.sums.append(np.concatenate([np.zeros(1, U), np.cumsum(table[data] * powers[:n], dtype=U)]))
-            inverse = np.full(n + 1, pow(base, -1, 1 << 64), U)
-            inverse[0] = 1
-            self.back.append(np.multiply.accumulate(inverse, out=inverse))
+        Powers.up_to(n)
+        self.sums = []
+        for powers, values in zip(Powers.of, Powers.values):
+            sums = np.zeros(n + 1, U)
+            np.cumsum(values[data] * powers[:n], dtype=U, out=sums[1:])
+            self.sums.append(sums)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        a, b = ((s[end] - s[start]) * p[start] for s, p in zip(self.sums, self.back))
+        a, b = ((s[end] - s[start]) * p[start] for s, p in zip(self.sums, Powers.back))
+        return mixed(a ^ mixed(b))
+
+    def of_length(self, n: int) -> np.ndarray:
+        """Of each slice of n bytes."""
+        a, b = ((s[n:] - s[:-n]) * p[: len(s) - n] for s, p in zip(self.sums, Powers.back))
         return mixed(a ^ mixed(b))
 
 
 def chunks(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-    """Chunks of joined documents: document, first window, number of windows, anchor's distance, seed, hash."""
+    """Chunks of joined texts: text, first window, number of windows, anchor's distance, seed, hash."""
     none = {k: np.zeros(0, np.int64) for k in ("doc", "a", "n", "off", "seed", "chunk")}
     starts = np.concatenate([[0], ends[:-1]])
     if len(data) < WINDOW:
         return none
     h = Hashes(data)
-    at = np.arange(len(data) - SEED + 1)
-    seeds = h(at, at + SEED)
+    seeds = h.of_length(SEED)
     w = WINDOW - SEED + 1
-    value = (seeds & U(0xFFFFFFFF00000000)) | at.astype(U)  # of equal ones the first
+    value = (seeds & U(0xFFFFFFFF00000000)) | np.arange(len(seeds), dtype=U)  # of equal ones the first
     rest = -len(value) % w
     block = np.concatenate([value, np.full(rest, ~U(0))]).reshape(-1, w)
     left = np.minimum.accumulate(block, axis=1).reshape(-1)
     right = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     n = len(data) - WINDOW + 1
     anchor = (np.minimum(right[:n], left[w - 1 : w - 1 + n]) & U(0xFFFFFFFF)).astype(np.int64)
-    lengths = ends - starts
-    doc = np.repeat(np.arange(len(ends)), np.maximum(lengths - WINDOW + 1, 0))
-    first = np.cumsum(np.concatenate([[0], np.maximum(lengths - WINDOW + 1, 0)]))[:-1]
-    window = np.arange(len(doc)) - first[doc] + starts[doc]  # those within one document
+    windows = np.maximum(ends - starts - WINDOW + 1, 0)
+    doc = np.repeat(np.arange(len(ends)), windows)
+    window = np.arange(len(doc)) + np.repeat(starts - np.cumsum(windows) + windows, windows)  # those within one text
     if not len(window):
         return none
     p = anchor[window]
-    cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    cut = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])]))
     count = np.diff(np.concatenate([cut, [len(p)]]))
     a, p, doc = window[cut], p[cut], doc[cut]
-    return {"doc": doc, "a": a - starts[doc], "n": count, "off": p - a, "seed": seeds[p].view(np.int64), "chunk": h(a, a + count - 1 + WINDOW).view(np.int64)}
+    return {"doc": doc, "a": a - starts[doc], "n": count, "off": p - a, "seed": seeds[p], "chunk": h(a, a + count - 1 + WINDOW)}
 
 
-def _bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    data = [(t or "").encode() for t in texts]
-    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data])
+def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A suffix array: one suffix of each chunk, in order; and those that are now known to come again."""
+    rows = rows[np.lexsort((rows["chunk"], rows["seed"]))]
+    seed, chunk = rows["seed"], rows["chunk"]
+    same = (seed[1:] == seed[:-1]) & (chunk[1:] == chunk[:-1])
+    if not same.any():
+        return rows, NONE
+    several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    found = rows[several & (rows["again"] == 0)]
+    rows["again"][several] = 1
+    return rows[np.concatenate([[True], ~same])], found
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, a, n, off, seed, chunk, batch) of documents (doc_id, t, text)."""
-
-    def run(batches):
-        for batch in batches:
-            for x, y, texts in in_slices(batch.column(2), SLICE_BYTES):
-                c = chunks(*_bytes(texts))
-                doc = pa.array(c["doc"])
-                ids = [batch.column(k).slice(x, y - x).take(doc) for k in (0, 1)]
-                deal = (mixed(np.array(ids[1].to_pylist(), np.int64).view(U)) % U(BATCHES)).astype(np.int32) if len(doc) else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c[k].astype(np.int32)) for k in ("a", "n", "off")), pa.array(c["seed"]), pa.array(c["chunk"]), pa.array(deal)], names=["doc_id", "t", "a", "n", "off", "seed", "chunk", "batch"])
+class Family:
+    """Levels of suffix arrays, each twice the size of the one before or more, and no chunk in two of them."""
+
+    def __init__(self):
+        self.levels: list[tuple[int, np.ndarray]] = []
+
+    def add(self, rows: np.ndarray) -> np.ndarray:
+        """Scan a batch against the levels and make it one; returns the suffixes that this shows to come again."""
+        rows, found = distinct(rows)
+        found = [found]
+        for _, level in self.levels:
+            rows, more = self._scan(level, rows)
+            found.append(more)
+        self.levels.append((0, rows))
+        while len(self.levels) > 1 and self.levels[-1][0] >= self.levels[-2][0]:
+            (x, a), (y, b) = self.levels.pop(), self.levels.pop()
+            self.levels.append((max(x, y) + 1, self._merged([b, a])))
+        return np.concatenate(found)
+
+    @staticmethod
+    def _merged(levels: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(levels)
+        return rows[np.argsort(rows["seed"], kind="stable")]  # runs in order, which this sort merges
+
+    @staticmethod
+    def _scan(level: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The batch's suffixes that the level lacks; those of both that are now known to come again."""
+        x, y = np.ascontiguousarray(level["seed"]), np.ascontiguousarray(rows["seed"])
+        if not len(x) or not len(y):
+            return rows, NONE
+        mine = np.flatnonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+        theirs = np.flatnonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+        both = np.concatenate([level[theirs], rows[mine]])
+        order = np.lexsort((np.arange(len(both)), both["chunk"], both["seed"]))
+        seed, chunk = both["seed"][order], both["chunk"][order]
+        same = np.flatnonzero((seed[1:] == seed[:-1]) & (chunk[1:] == chunk[:-1]))  # a level's, then the batch's
+        there, here = theirs[order[same]], mine[order[same + 1] - len(theirs)]
+        found = np.concatenate([level[there], rows[here]])
+        level["again"][there] = 1
+        left = np.ones(len(rows), bool)
+        left[here] = False
+        return rows[left], found[found["again"] == 0]
+
+    def shared(self) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes of seeds that have several chunks, not all known to come again; and how many of their seed there are."""
+        rows = self._merged([level for _, level in self.levels]) if self.levels else NONE
+        seed = rows["seed"]
+        start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(rows) else np.zeros(0, np.int64)
+        counts = np.diff(np.concatenate([start, [len(rows)]]))
+        fresh = np.add.reduceat(rows["again"] == 0, start, dtype=np.int64) if len(rows) else counts
+        chosen = np.repeat((counts > 1) & (fresh > 0), counts)
+        return rows[chosen], np.repeat(counts, counts)[chosen]
+
+
+def _dealt(rows: np.ndarray, shards: int, batches: int) -> Iterator[tuple[int, int, bytes]]:
+    """Suffixes packed by shard and batch.  Anchors have low hashes, so the lower half of the hash deals."""
+    shard = (rows["seed"] & U(0xFFFFFFFF)) % U(shards)
+    cell = shard.astype(np.int64) * batches + (mixed(rows["t"].astype(np.int64).view(U)) % U(batches)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    rows, cell = rows[order], cell[order]
+    cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else []
+    for a, b in zip(cuts, [*cuts[1:], len(cell)]):
+        yield int(cell[a]) // batches, int(cell[a]) % batches, rows[a:b].tobytes()
+
+
+def _packs(packs: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    shard, batch, data = zip(*packs) if packs else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(batch, pa.int32()), pa.array(data, pa.binary())], names=["shard", "batch", "data"])
+
+
+def _pieces(texts: list[str | None]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Texts as bytes, long ones in pieces that share all but one byte of a window: (text, start, bytes), some at a time."""
+    out, size = [], 0
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        for start in range(0, len(data) - WINDOW + 1, PIECE):
+            out.append((i, start, data[start : start + PIECE + WINDOW - 1]))
+            size += len(out[-1][2])
+            if size >= SLICE_BYTES:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+def suffixes_of(docs: DataFrame, shards: int, batches: int) -> DataFrame:
+    """Packed suffixes (shard, batch, data) of documents (doc_id, t, text).
+
+    Of chunks that come again among those that a task has gathered, one goes on.  Those that go no further are
+    known to come again and are packed as rows of batch -1.
+    """
 
-    return docs.mapInArrow(run, "doc_id long, t long, a int, n int, off int, seed long, chunk long, batch int")
+    def run(rows):
+        held, size = [], 0
+
+        def packed():
+            found, again = distinct(np.concatenate(held))
+            packs = list(_dealt(found, shards, batches))
+            return _packs(packs + [(k, -1, data) for k, _, data in _dealt(again, shards, 1)])
+
+        for batch in rows:
+            ids, ts = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
+            for x, _, texts in in_slices(batch.column(2), SLICE_BYTES):
+                for pieces in _pieces(texts):
+                    of, start, data = zip(*pieces)
+                    c = chunks(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data]))
+                    out = np.zeros(len(c["doc"]), SUFFIX)
+                    doc = x + np.array(of)[c["doc"]]
+                    out["doc"], out["t"], out["a"] = ids[doc], ts[doc], c["a"] + np.array(start)[c["doc"]]
+                    for k in ("seed", "chunk", "n", "off"):
+                        out[k] = c[k]
+                    held.append(out)
+                    size += len(out)
+                    if size >= GATHERED:
+                        yield packed()
+                        held, size = [], 0
+        if held:
+            yield packed()
+
+    return docs.mapInArrow(run, "shard int, batch int, data binary")
+
+
+def _rows(found: np.ndarray, sizes: np.ndarray | None = None, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Suffixes as rows of a scan."""
+    sizes = np.zeros(len(found), np.int32) if sizes is None else sizes
+    for k in range(0, len(found), most):
+        x, n = found[k : k + most], len(found[k : k + most])
+        columns = [np.ascontiguousarray(x[c]).astype(kind) for c, kind in (("doc", np.int64), ("t", np.int32), ("a", np.int32), ("n", np.int32), ("off", np.int32))]
+        rest = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+        arrays = [*map(pa.array, columns), pa.array(np.ascontiguousarray(x["seed"]).view(np.int64)), pa.array(x["again"] == 1), pa.array(sizes[k : k + most].astype(np.int32)), *rest]
+        yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SCANNED.split(", ")])
+
+
+def _level_row(shard: int, level: int, rows: np.ndarray) -> pa.RecordBatch:
+    names, kinds = zip(*((c.split()[0], c.split()[1]) for c in SCANNED.split(", ")))
+    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    values = {"shard": shard, "level": level, "data": rows.tobytes()}
+    return pa.RecordBatch.from_arrays([pa.array([values.get(c)], types[k]) for c, k in zip(names, kinds)], names=names)
+
+
+def scan(packs: DataFrame, shards: int, keep: bool = False) -> DataFrame:
+    """The rows ``SCANNED`` of packed suffixes (shard, level, batch, data): batches in order go through each shard's family.
+
+    Rows with a level are opened levels and come first.  With ``keep``, the family's levels are rows too.
+    """
 
+    def ended(shard, family):
+        yield from _rows(*family.shared())
+        if keep:
+            for level, rows in family.levels:
+                yield _level_row(shard, level, rows)
 
-class Family:
-    """The levels of suffix arrays; ``add`` scans a batch against them and returns what it shows."""
-
-    def __init__(self, spark):
-        self.spark, self.levels, self.tables = spark, [], []  # (order of size, table)
-        self.buckets = partitions(spark)
-
-    def _table(self, rows: DataFrame) -> str:
-        name = f"suffixes_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "seed").sortBy("seed", "chunk").saveAsTable(name)
-        self.tables.append(name)
-        return name
-
-    def _merge(self) -> None:
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (size, x), (_, y) = self.levels.pop(), self.levels.pop()
-            a, b = (self.spark.table(t) for t in (x, y))
-            both = a.join(b.withColumnRenamed("n", "m"), ["seed", "chunk"], "full_outer").select("seed", "chunk", F.least(F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)), F.lit(2)).alias("n"))
-            self.levels.append((size + 1, self._table(both)))
-            self._drop(x, y)
-
-    def _drop(self, *names: str) -> None:
-        for name in names:
-            self.spark.sql(f"DROP TABLE {name}")
-            self.tables.remove(name)
-
-    def add(self, rows: DataFrame) -> DataFrame:
-        """The batch's (seed, chunk, whole, shared) that come again, or whose seed has other chunks too.
-
-        Batch and levels have the same buckets, so all of this is one stage.
-        """
-        self._merge()
-        distinct = rows.groupBy("seed", "chunk").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"))
-        own = self.spark.table(self._table(distinct.repartition(self.buckets, "seed").sortWithinPartitions("seed", "chunk")))
-        found = own.select("seed", "chunk", (F.col("n") > 1).alias("whole"))
-        ends = own.groupBy("seed").agg(F.min("chunk").alias("x"), F.max("chunk").alias("y"))
-        for _, name in self.levels:
-            level = self.spark.table(name)
-            found = found.join(level.select("seed", "chunk", F.lit(True).alias("there")), ["seed", "chunk"], "left").select("seed", "chunk", (F.col("whole") | F.coalesce("there", F.lit(False))).alias("whole"))
-            theirs = level.groupBy("seed").agg(F.min("chunk").alias("u"), F.max("chunk").alias("v"))
-            ends = ends.join(theirs, "seed", "left").select("seed", F.least("x", "u").alias("x"), F.greatest("y", "v").alias("y"))
-        hits = stored(found.join(ends, "seed").select("seed", "chunk", "whole", (F.col("x") < F.col("y")).alias("shared")).where("whole or shared"), "hits")
-        self.levels.append((0, self.tables[-1]))
-        return hits
-
-    def close(self) -> None:
-        self._drop(*self.tables)
+    def run(batches):
+        now, family, held = (None, None), Family(), []
+        for table in batches:
+            for shard, level, batch, data in zip(*(c.to_pylist() for c in table.columns)):
+                if now != (shard, batch):
+                    if held:
+                        yield from _rows(family.add(np.concatenate(held)))
+                    if now[0] is not None and now[0] != shard:
+                        yield from ended(now[0], family)
+                        family = Family()
+                    now, held = (shard, batch), []
+                rows = np.frombuffer(data, SUFFIX)
+                if level is not None:
+                    family.levels.append((level, rows.copy()))
+                    family.levels.sort(key=lambda x: -x[0])
+                elif batch < 0:
+                    yield from _rows(rows)
+                else:
+                    held.append(rows)
+        if held:
+            yield from _rows(family.add(np.concatenate(held)))
+        if now[0] is not None:
+            yield from ended(now[0], family)
+
+    ordered = packs.select("shard", "level", "batch", "data").repartition(shards, "shard").sortWithinPartitions("shard", F.col("level").isNull(), "batch")
+    return ordered.mapInArrow(run, SCANNED)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -177,121 +317,134 @@ def _packed(docs: DataFrame) -> DataFrame:
                 part = batch.slice(x, y - x)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([None if t is None else z.compress(t.encode()) for t in texts], pa.binary())], names=["doc_id", "t", "z"])
 
-    return docs.mapInArrow(run, "doc_id long, t long, z binary")
-
-
-def _cut(rows: DataFrame, shards: int) -> DataFrame:
-    """The bytes of chunks of documents (doc_id, t, z, list of chunks), dealt by seed."""
+    return docs.mapInArrow(run, "doc_id long, t int, z binary")
 
-    def run(batches):
-        import zstandard
 
-        z = zstandard.ZstdDecompressor()
-        names = ["shard", "doc_id", "t", "a", "whole", "data"]
-        for batch in batches:
-            out, size = [], 0
-            for doc, t, text, several in zip(*(c.to_pylist() for c in batch.columns)):
-                data = z.decompress(text)
-                for c in several:
-                    a, n = c["a"], c["n"]
-                    shard = int(mixed(np.array([c["seed"] % (1 << 64)], U))[0] % U(shards))
-                    out.append((shard, doc, t, a, c["whole"], data[a : a + n - 1 + WINDOW]))
-                    size += n + WINDOW
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays(_columns(out), names=names)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays(_columns(out), names=names)
+CUT = pa.schema([("shard", pa.int32()), ("seed", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int32()), ("a", pa.int32()), ("again", pa.bool_()), ("data", pa.binary())])
 
-    return rows.mapInArrow(run, "shard int, doc_id long, t long, a int, whole boolean, data binary")
 
+def _cut(rows: DataFrame, shards: int) -> DataFrame:
+    """The bytes of chunks of documents (doc_id, t, z, several), dealt by seed; of hot seeds the packed windows, dealt by their hashes."""
 
-def _windows(rows: DataFrame) -> DataFrame:
-    """Each window of chunks of documents (doc_id, t, z, list of chunks): its seed, distance before the anchor and hash."""
+    def windows(hot: list[tuple]) -> pa.RecordBatch:
+        packs = [(k, None, None, None, None, None, data) for k, _, data in _dealt(_windows(hot), shards, 1)]
+        return _batch(packs, CUT)
 
     def run(batches):
         import zstandard
 
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            out, size = [], 0
+            out, hot, size = [], [], [0, 0]
             for doc, t, text, several in zip(*(c.to_pylist() for c in batch.columns)):
                 data = z.decompress(text)
                 for c in several:
-                    out.append((doc, t, c, data[c["a"] : c["a"] + c["n"] - 1 + WINDOW]))
-                    size += c["n"] + WINDOW
-                    if size > 1 << 20:
-                        yield _hashed(out)
-                        out, size = [], 0
+                    of_chunk = data[c["a"] : c["a"] + c["n"] - 1 + WINDOW]
+                    if c["size"] > HOT:
+                        hot.append((doc, t, c, of_chunk))
+                    else:
+                        out.append(((c["seed"] & 0xFFFFFFFF) % shards, c["seed"], doc, t, c["a"], c["again"], of_chunk))
+                    size[c["size"] > HOT] += len(of_chunk)
+                    if size[0] > 4 << 20:
+                        yield _batch(out, CUT)
+                        out, size[0] = [], 0
+                    if size[1] > 1 << 20:
+                        yield windows(hot)
+                        hot, size[1] = [], 0
             if out:
-                yield _hashed(out)
+                yield _batch(out, CUT)
+            if hot:
+                yield windows(hot)
 
-    return rows.mapInArrow(run, "seed long, distance int, window long, doc_id long, t long, a int, whole boolean")
+    return rows.mapInArrow(run, "shard int, seed long, doc_id long, t int, a int, again boolean, data binary")
 
 
-def _hashed(rows: list[tuple]) -> pa.RecordBatch:
-    docs, ts, several, data = zip(*rows)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _windows(chosen: list[tuple]) -> np.ndarray:
+    """Each window of chunks (doc, t, chunk, bytes) as a suffix, known by its seed, its distance before the anchor and its hash."""
+    docs, ts, several, data = zip(*chosen)
     of = lambda k, kind: np.array([c[k] for c in several], kind)
     count, lengths = of("n", np.int64), np.array([len(d) for d in data])
-    row = np.repeat(np.arange(len(rows)), count)
+    row = np.repeat(np.arange(len(chosen)), count)
     place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     at = (np.cumsum(lengths) - lengths)[row] + place
-    window = Hashes(np.frombuffer(b"".join(data), np.uint8))(at, at + WINDOW)
-    columns = of("seed", np.int64)[row], (of("off", np.int64)[row] - place).astype(np.int32), window.view(np.int64), np.array(docs, np.int64)[row], np.array(ts, np.int64)[row], (of("a", np.int64)[row] + place).astype(np.int32), of("whole", bool)[row]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "distance", "window", "doc_id", "t", "a", "whole"])
-
-
-def _columns(rows: list[tuple]) -> list[pa.Array]:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-    return [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-
-
-def _again(table: pa.Table) -> pa.Table:
-    """Runs of windows of not wholly repeated chunks that come again among chunks: (doc_id, t, a, n)."""
-    data, whole, a = table.column("data").to_pylist(), np.array(table.column("whole").to_pylist(), bool), np.array(table.column("a").to_pylist(), np.int64)
+    hashed = Hashes(np.frombuffer(b"".join(data), np.uint8))(at, at + WINDOW)
+    out = np.zeros(len(row), SUFFIX)
+    seed, distance = of("seed", np.int64).view(U)[row], (of("off", np.int64)[row] - place).view(U)
+    out["seed"], out["chunk"] = mixed(hashed ^ mixed(seed + distance)), hashed
+    out["doc"], out["t"], out["a"], out["n"], out["again"] = np.array(docs, np.int64)[row], np.array(ts, np.int32)[row], of("a", np.int64)[row] + place, 1, of("again", bool)[row]
+    return out
+
+
+def _compared(rows: list[tuple]) -> np.ndarray:
+    """Runs of windows that come again among chunks (doc, t, a, again, bytes) of some seeds, but in those known to."""
+    docs, ts, starts, known, data = zip(*rows)
+    a, known = np.array(starts, np.int64), np.array(known, bool)
     lengths = np.array([len(d) for d in data])
-    h = Hashes(np.frombuffer(b"".join(data), np.uint8))
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     count = lengths - WINDOW + 1
     row = np.repeat(np.arange(len(data)), count)
     place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    at = starts[row] + place
-    value = h(at, at + WINDOW)
+    at = (np.cumsum(lengths) - lengths)[row] + place
+    value = Hashes(np.frombuffer(b"".join(data), np.uint8))(at, at + WINDOW)
     _, inverse, number = np.unique(value, return_inverse=True, return_counts=True)
-    hit = (number[inverse] > 1) & ~whole[row]
+    hit = (number[inverse] > 1) & ~known[row]
     row, place = row[hit], place[hit]
     cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)])) if len(row) else np.zeros(0, np.int64)
-    n = np.diff(np.concatenate([cut, [len(row)]]))
+    out = np.zeros(len(cut), SUFFIX)
     r = row[cut]
-    return pa.table({"doc_id": table.column("doc_id").take(pa.array(r)), "t": table.column("t").take(pa.array(r)), "a": pa.array((a[r] + place[cut]).astype(np.int32)), "n": pa.array(n.astype(np.int32))})
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, a, n): windows from place a on, n of them, that start somewhere else too."""
+    out["doc"], out["t"], out["a"], out["n"] = np.array(docs, np.int64)[r], np.array(ts, np.int32)[r], a[r] + place[cut], np.diff(np.concatenate([cut, [len(row)]]))
+    return out
+
+
+def _again(batches) -> Iterator[pa.RecordBatch]:
+    """Runs that come again, of rows of ``_cut`` sorted by shard and seed: chunks some seeds at a time, windows of hot seeds as suffixes are."""
+    held, size, last, family, shard_now = [], 0, None, Family(), None
+    for batch in batches:
+        for shard, seed, doc, t, a, again, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if shard != shard_now:
+                shard_now, family = shard, Family()
+            if seed is None:
+                yield from _rows(family.add(np.frombuffer(data, SUFFIX)))
+                continue
+            if seed != last and size > 1 << 20:
+                yield from _rows(_compared(held))
+                held, size = [], 0
+            last = seed
+            held.append((doc, t, a, again, data))
+            size += len(data)
+    if held:
+        yield from _rows(_compared(held))
+
+
+def repeats(docs: DataFrame, levels: DataFrame | None = None, old: DataFrame | None = None, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Runs of windows (doc_id, t, a, n) that start somewhere else too, n windows from place a on; and the levels kept.
+
+    With ``levels`` of earlier documents ``old``, the documents come as further batches: repeats are found
+    among them and between them and the old ones, whose own runs are returned too, those known before perhaps again.
+    """
     spark = docs.sparkSession
-    path = shared_dir(spark, "chunks")
-    chunk_rows(docs).write.partitionBy("batch").parquet(path)
-    rows = spark.read.schema("doc_id long, t long, a int, n int, off int, seed long, chunk long, batch int").parquet(path)
-    family = Family(spark)
-    hits = reduce(DataFrame.union, [family.add(rows.where(F.col("batch") == k)) for k in range(BATCHES)])
-    family.close()
-    seeds = hits.groupBy("seed").agg(F.max("shared").alias("shared"))
-    whole = hits.where("whole").select("seed", "chunk", "whole").distinct()
-    marked = stored(rows.drop("batch").join(seeds, "seed").join(whole, ["seed", "chunk"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "marked")
-    drop_stored(spark, rows)
-
-    one = marked.where("shared").groupBy("seed", "chunk").agg(F.min(F.struct(*DOC, "a", "n", "off", "whole")).alias("c")).select("seed", "chunk", "c.*")
-    hot = one.groupBy("seed").count().where(f"count > {HOT}").select("seed", F.lit(True).alias("hot"))
-    one = one.join(hot, "seed", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    texts = _packed(docs).dropDuplicates(DOC)
-    listed = lambda chosen: texts.join(one.where(chosen).groupBy(*DOC).agg(F.collect_list(F.struct("a", "n", "off", "seed", "whole")).alias("several")), DOC).select(*DOC, "z", "several")
-    again = _cut(listed("not hot"), 4 * partitions(spark)).groupBy("shard").applyInArrow(_again, "doc_id long, t long, a int, n int")
-    # equal windows have one seed at one distance, so all three are the key and a hot seed is spread
-    key = ["seed", "distance", "window"]
-    windows = stored(_windows(listed("hot")), "windows")
-    several = windows.groupBy(*key).count().where("count > 1").select(*key)
-    hot_again = windows.where("not whole").join(several, key, "left_semi").select(*DOC, "a", F.lit(1).alias("n"))
-    return marked.where("whole").select(*DOC, "a", "n").union(again).union(hot_again)
+    shards = partitions(spark)
+    if levels is not None:
+        shards = (levels.agg(F.max("shards")).first()[0]) or shards  # as the levels were dealt
+    packs = suffixes_of(docs, shards, max(4, int(partitions(spark) ** 0.5))).withColumn("level", F.lit(None).cast("int"))
+    if levels is not None:
+        packs = packs.unionByName(levels.select("shard", F.lit(0).alias("batch"), "data", "level"))
+        docs = docs.union(old)
+    scanned = stored(scan(packs, shards, keep), "scanned")
+    chunks_left = scanned.where("size > 0").groupBy(*DOC).agg(F.collect_list(F.struct("a", "n", "off", "seed", "again", "size")).alias("several"))
+    cut = _cut(_packed(docs).join(chunks_left, DOC).select(*DOC, "z", "several"), shards)
+    again = cut.repartition(shards, "shard").sortWithinPartitions("shard", "seed").mapInArrow(_again, SCANNED)
+    runs = scanned.where("size = 0").select(*DOC, "a", "n").union(again.select(*DOC, "a", "n"))
+    return runs, scanned.where("level is not null").select("shard", "level", "data", F.lit(shards).alias("shards"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, text): null ids as the lowest integer; t tells documents of one id apart."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.hash("text").alias("t"), "text")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -299,10 +452,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     ``kept`` is what is left of the text's bytes, ``spans`` the runs (start, end) that go: bytes covered by a
     ``WINDOW``-byte string that also starts anywhere else, in the input.  Null is as empty.  Repeated rows,
-    ids too, are documents of their own; a null id stays one.  Extra columns are ignored.
+    ids too, are documents of their own; a null id stays one.  Extra columns are ignored.  An empty table
+    gives an empty table.
     """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    lists = repeats(keyed).groupBy(*DOC).agg(F.collect_list(F.struct("a", "n")).alias("runs"))
+    rows = keyed(docs)
+    lists = repeats(rows)[0].groupBy(*DOC).agg(F.collect_list(F.struct("a", "n")).alias("runs"))
 
     def run(batches):
         import zstandard
@@ -331,5 +485,5 @@ def dedup(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    done = _packed(keyed).join(lists, DOC, "left").select("doc_id", "z", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,end:int>>")
+    done = _packed(rows).join(lists, DOC, "left").select("doc_id", "z", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,end:int>>")
     return done.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
