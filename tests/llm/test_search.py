@@ -310,5 +310,14 @@ def test_containment(spark):
     bench = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, q long")
     found = {tuple(r) for r in contain.find(df, bench).collect()}
     assert {x for x in found if x[0] is not None} == {x for x in want if x[0] is not None}
-    assert {r.doc_id for r in contain.decontaminate(df, bench).collect()} == {3, 4, 6, 7, None}
+    assert {r.doc_id for r in contain.decontaminate(df, bench).collect()} == {3, 4, 6, 7}
     assert contain.find(df.limit(0), bench).count() == 0 and contain.find(df, bench.limit(0)).count() == 0
+
+
+def test_containment_of_repeated_items(spark):
+    """Rows of one item are one item: half of one text and half of the other are not enough of both."""
+    x, y = words(45, 30), words(46, 30)
+    items = spark.createDataFrame([(1, " ".join(x)), (1, " ".join(y)), (None, " ".join(words(47, 20)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join([*x[:18], *y[:18]])), (2, " ".join([*x, *y])), (3, " ".join(words(47, 20))), (None, " ".join([*y, *x])), (None, "clean")], "doc_id long, text string")
+    assert {tuple(r) for r in contain.find(docs, items).collect()} == {(2, 1, 52, 52)}
+    assert sorted(r.text for r in contain.decontaminate(docs, items).collect()) == sorted(r.text for r in docs.collect() if r.doc_id in (1, 3) or r.text == "clean")
