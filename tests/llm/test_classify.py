@@ -46,6 +46,26 @@ def test_quality(spark):
     assert sum(r.keep == (r.quality == 1) for r in rows) >= 0.9 * len(rows)
 
 
+def test_quality_of_held_out_labels(spark):
+    """Labels that score() has not seen, half of them by id."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.score(docs, labels.where("doc_id % 2 = 0"), "source", "lang").join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    assert len(rows) > 50 and sum(r.keep == (r.quality == 1) for r in rows) >= 0.85 * len(rows)
+
+
+def test_paths_vary_round_their_hosts(spark):
+    """Hosts differ but their paths do not: a path's prior, its host's rate, is strong."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4000).selectExpr("id % 8 AS host", "id % 80 AS path", "xxhash64(id) % 1000 AS r")
+    rows = rows.withColumn("y", (F.abs("r") < F.col("host") * 100 + 100).cast("double"))
+    rates = rows.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("k"))
+    hosts = rows.groupBy("host").agg(F.avg("y").alias("prior"))
+    assert quality._strength(rates.join(hosts, "host")) > 60 > 5 > quality._strength(rates.withColumn("prior", F.lit(0.45)))
+    assert quality._strength(rates.where("n < 0").withColumn("prior", F.lit(0.5))) == quality.UNKNOWN_SPREAD
+
+
 def test_sparse_hosts_shrink(spark):
     rows = [(i, "same text here.", "big" if i < 60 else f"h{i}", "p", None, None, None, None) for i in range(64)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string, x string, n string, k string, quality string")

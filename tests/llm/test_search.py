@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from viewfield.llm import contain, jaccard, lineruns, suffixes
-from viewfield.llm.components import components
+from viewfield.llm.components import components, joined
 
 from .helpers import awkward, frame, words
 
@@ -160,6 +160,15 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 50: 50, 55: 50, 60: 50, **{i: 80 for i in range(80, 120)}}
 
 
+def test_components_joined(spark):
+    links = [(1, 2), (2, 3), (10, 11), (20, 21), (22, 21), (30, 31)]
+    more = [(3, 11), (21, 40), (41, 40), (50, 51), (31, 30)]
+    pairs = lambda x: spark.createDataFrame(x, "a long, b long")
+    got = joined(components(pairs(links)), pairs(more)).collect()
+    assert dict(got) == dict(components(pairs(links + more)).collect()) and len(got) == len(dict(got))
+    assert dict(joined(components(pairs(links)), pairs([])).collect()) == dict(components(pairs(links)).collect())
+
+
 def removed(texts, window=200):
     from collections import Counter
 

@@ -26,6 +26,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.selectExpr("b as node", "a as component").union(edges.selectExpr("a as node", "a as component").distinct())
 
 
+def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """The components ``found`` (node, component) with further links (a, b): only whole components are joined anew."""
+    nodes = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+    own = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = [own.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"]
+    between = more.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    anew = components(between).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    whole = found.union(own.join(found, "node", "left_anti").select("node", "component"))
+    return whole.join(anew, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+
+
 def _sum(edges: DataFrame) -> tuple:
     """Number of edges and two sums of hashes: equal for equal sets of edges."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20)")), F.sum(F.xxhash64("b", F.lit(1), "a").cast("decimal(20)"))).first())

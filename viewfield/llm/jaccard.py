@@ -33,12 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_slices
 from .common import partitions, stored
-from .components import components
+from .components import components, joined
 
 #: Words an n-gram, and the least similarity in percent.
 WORDS, PERCENT = 5, 80
@@ -527,12 +527,11 @@ def join(docs: DataFrame) -> DataFrame:
     hot = members.where(f"size > {HOT}").drop("size", "centre")
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).union(_left(hot, sets).select("doc_id"))
     packed = stored(_packed(docs, wanted.distinct()), "packed")
-    links = stored(_verified(near, packed), "links")
-    found = stored(components(links), "components")
+    found = stored(components(stored(_verified(near, packed), "links")), "components")
 
     left = stored(_left(_with_components(hot, found), sets), "left")
     if not left.isEmpty():
-        links, found = _search_rest(spark, left, sets, packed, links, found)
+        found = _search_rest(left, sets, packed, found)
 
     weights = kinds.select(F.col("first").alias("doc_id"), F.col("copies").alias("label"))
     groups = found.select(F.col("component").alias("g"), F.col("node").alias("doc_id")).join(weights, "doc_id").select("g", "doc_id", "label")
@@ -542,13 +541,14 @@ def join(docs: DataFrame) -> DataFrame:
     return sets.join(of_kind, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _search_rest(spark: SparkSession, left: DataFrame, sets: DataFrame, packed: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links and components with what the sets ``left`` share in their cheapest n-grams."""
+def _search_rest(left: DataFrame, sets: DataFrame, packed: DataFrame, found: DataFrame) -> DataFrame:
+    """Components with the links that the sets ``left`` show by their cheapest n-grams."""
     members = stored(_tried(stored(_cheapest(left, packed), "cheapest"), "gram"), "members")
+    if members.isEmpty():
+        return found
     more = stored(_verified(_near(_pairs(members, "gram"), sets), packed), "links")
     if not more.isEmpty():
-        links = links.union(more)
-        found = stored(components(links), "components")
+        found = stored(joined(found, more), "components")
     hot = _with_components(members.where(f"size > {HOT}").drop("size", "centre"), found)
     lists = hot.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(20)")).alias("content"))
     lists = lists.where("low < high").groupBy("size", "content").agg(F.min("gram").alias("gram")).select("gram")  # lists of the same sets once
@@ -556,6 +556,5 @@ def _search_rest(spark: SparkSession, left: DataFrame, sets: DataFrame, packed:
     if not rest.isEmpty():
         more = stored(_blocks(rest, packed).mapInArrow(_cross_links, "a long, b long").distinct(), "links")
         if not more.isEmpty():
-            links = links.union(more)
-            found = stored(components(links), "components")
-    return links, found
+            found = stored(joined(found, more), "components")
+    return found

@@ -3,8 +3,9 @@
 A logistic classifier on measures of the text gives a document's own evidence.  Hosts and the paths below
 them have rates of good documents, from labels and, at a lower weight, from the classifier's probabilities of
 the unlabelled.  A host's posterior shrinks towards the global rate, a path's towards its host's, the more
-the fewer documents it has; how strongly comes from the spread of the rates themselves.  The log odds of both
-add up, less the global log odds, which both hold.
+the fewer documents it has; how strongly comes from the spread of the rates round these priors.  The log odds
+of both add up, less the global log odds, which both hold.  A document's own label or evidence is left out of
+the rates that score it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import stored
 SAMPLE = 20_000
 #: Weight of an unlabelled document, against 1 for a labelled one; ridge of the fit.
 UNLABELLED, RIDGE = 0.1, 1.0
+#: Documents that a prior counts as where no group tells, and the limits of what groups tell.
+UNKNOWN_SPREAD, STRENGTHS = 100.0, (2.0, 10_000.0)
 MEASURES = 10
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 end of sentence, 6 beyond ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[[9, 10, 13, 32]], _CLASS[[33, 44, 46, 63]], _CLASS[128:] = 1, 2, 3, 4, 5, 6
@@ -81,15 +84,18 @@ def fit(x: np.ndarray, y: np.ndarray) -> Classifier:
     return Classifier(mean, scale, w)
 
 
-def _strength(rates: DataFrame, mean: float) -> float:
-    """Documents that a prior counts as, by the method of moments over groups (n, k): pseudo-count."""
-    a = rates.agg(F.sum("n"), F.sum(F.col("n") * F.col("n")), F.sum((F.col("k") - mean * F.col("n")) ** 2), F.count("*")).first()
-    total, squares, deviation, groups = (float(v or 0) for v in a)
-    binomial = mean * (1 - mean)
-    if groups < 2 or binomial <= 0 or squares <= total:
-        return 100.0
-    spread = (deviation - total * binomial) / max(squares - total, 1e-9)  # variance of the groups' own rates
-    return float(min(10_000.0, max(2.0, binomial / spread - 1))) if spread > 0 else 10_000.0
+def _strength(rates: DataFrame) -> float:
+    """Documents that a prior counts as, from groups (n, k) round their priors, by the method of moments.
+
+    Groups of up to one document say nothing about the spread; where there are no others it is ``UNKNOWN_SPREAD``.
+    """
+    p, n = F.col("prior"), F.col("n")
+    found = rates.where("n > 1").agg(F.sum(n), F.sum(n * n), F.sum((F.col("k") - p * n) ** 2), F.sum(n * p * (1 - p)), F.count("*")).first()
+    total, squares, deviation, binomial, groups = (float(v or 0) for v in found)
+    if groups < 2 or binomial <= 0:
+        return UNKNOWN_SPREAD
+    spread = (deviation - binomial) / (squares - total)  # variance of the groups' own rates round their priors
+    return float(np.clip(binomial / total / spread - 1, *STRENGTHS)) if spread > 0 else STRENGTHS[1]
 
 
 def score(docs: DataFrame, labels: DataFrame, host: str, path: str, keep: float = 0.5) -> DataFrame:
@@ -110,17 +116,25 @@ def score(docs: DataFrame, labels: DataFrame, host: str, path: str, keep: float
 
     soft = 1 / (1 + F.exp(-F.col("evidence")))
     n, k = F.when(F.col("quality").isNull(), UNLABELLED).otherwise(1.0), F.when(F.col("quality").isNull(), soft * UNLABELLED).otherwise(F.col("quality"))
-    paths = stored(rows.groupBy("host", "path").agg(F.sum(n).alias("n"), F.sum(k).alias("k")), "paths")
+    rows = rows.withColumns({"own_n": n, "own_k": k})
+    paths = stored(rows.groupBy("host", "path").agg(F.sum("own_n").alias("n"), F.sum("own_k").alias("k")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = paths.agg(F.sum("n"), F.sum("k")).first()
     mean = float(np.clip((total[1] or 0.0) / total[0], 1e-3, 1 - 1e-3)) if total[0] else 0.5
-    by_host, by_path = _strength(hosts, mean), _strength(paths, mean)
-    rate = lambda prior, s: (F.col("k") + prior * s) / (F.col("n") + s)
-    hosts = hosts.select("host", rate(F.lit(mean), by_host).alias("host_rate"))
-    rates = paths.join(hosts, "host").select("host", "path", "host_rate", rate(F.col("host_rate"), by_path).alias("path_rate"))
-
+    rate = lambda n, k, prior, s: (k + prior * s) / (n + s)
+    of_host = hosts.withColumn("prior", F.lit(mean))
+    by_host = _strength(of_host)
+    # a path's spread is that round its host's posterior
+    of_path = paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("k").alias("host_k")), "host").withColumn("prior", rate(F.col("host_n"), F.col("host_k"), F.lit(mean), by_host))
+    by_path = _strength(of_path)
+
+    # a document is no evidence for itself
+    each = rows.join(of_path.drop("prior"), ["host", "path"])
+    others = lambda x: F.greatest(F.col(x) - F.col(f"own_{x[-1]}"), F.lit(0.0))
+    each = each.withColumn("host_rate", rate(others("host_n"), others("host_k"), F.lit(mean), by_host))
+    each = each.withColumn("path_rate", rate(others("n"), others("k"), F.col("host_rate"), by_path))
     odds = F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate"))) - float(np.log(mean / (1 - mean)))
-    return rows.join(rates, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-odds))).select("doc_id", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= keep).alias("keep"))
+    return each.withColumn("score", 1 / (1 + F.exp(-odds))).select("doc_id", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= keep).alias("keep"))
 
 
 def host_of(url: Column) -> Column:
