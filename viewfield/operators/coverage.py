@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.formulas import DENSITY, FROM_DEGREES, FROM_METRES, PATTERNS, SECTOR, SNAPSHOT, TURNED, apply, distance, pattern
 from .grid import cell_grid, ground_grid
+from .sized import few
 from .terrain import heights
 from .visibility import flagged
 
 
 def with_models(emitters: DataFrame, models: DataFrame) -> DataFrame:
-    """Emitters with the parameters of their models; the catalog has a fixed few rows."""
-    return emitters.join(F.broadcast(models), "model")
+    """Emitters with the parameters of their models."""
+    return emitters.join(few(models), "model")
 
 
 def pattern_table(models: DataFrame) -> DataFrame:
@@ -23,9 +24,9 @@ def pattern_table(models: DataFrame) -> DataFrame:
 
 
 def with_attenuation(rows: DataFrame, bands: DataFrame) -> DataFrame:
-    """Rows (f, dphi) with their band; a fixed few bands are broadcast, the frequency is the key."""
+    """Rows (f, dphi) with their band; the frequency is the key."""
     inside = (F.col("f") == F.col("band_f")) & (F.col("dphi") >= F.col("band_from")) & (F.col("dphi") < F.col("band_to"))
-    return rows.join(F.broadcast(bands), inside, "left")
+    return rows.join(few(bands), inside, "left")
 
 
 def in_frame(pairs: DataFrame, degrees: bool = False) -> DataFrame:
@@ -62,8 +63,7 @@ def separation(pairs: DataFrame) -> DataFrame:
 
 def ground_coverage(emitters: DataFrame, mesh: DataFrame, bands: DataFrame, step: float, reach: float) -> DataFrame:
     """Cells round emitters with models at ground + 0.1: adds ground, visible, density (0 where hidden)."""
-    cells = ground_grid(emitters, step).withColumn("pid", F.concat_ws("/", "eid", "idx"))
-    placed = heights(cells, mesh).selectExpr("*", "x AS tx", "y AS ty", "ground + 0.1e0 AS tz").drop("x", "y", "pid")
+    placed = heights(ground_grid(emitters, step), mesh, "eid", "idx").selectExpr("*", "x AS tx", "y AS ty", "ground + 0.1e0 AS tz").drop("x", "y")
     return _covered(placed, mesh, emitters, bands, reach)
 
 
@@ -72,9 +72,8 @@ def height_coverage(emitters: DataFrame, mesh: DataFrame, bands: DataFrame, leve
 
     ``low_height`` marks cells 50 m or more under the ground.
     """
-    cells = ground_grid(emitters, step).withColumn("pid", F.concat_ws("/", "eid", "idx"))
-    placed = heights(cells, mesh).crossJoin(F.broadcast(levels.where("height >= 1")))  # a sweep of a few heights
-    placed = placed.selectExpr("*", "x AS tx", "y AS ty", "height AS tz", "coalesce(ground - height >= 50, FALSE) AS low_height").drop("x", "y", "pid")
+    placed = heights(ground_grid(emitters, step), mesh, "eid", "idx").crossJoin(few(levels.where("height >= 1")))
+    placed = placed.selectExpr("*", "x AS tx", "y AS ty", "height AS tz", "coalesce(ground - height >= 50, FALSE) AS low_height").drop("x", "y")
     return _covered(placed, mesh, emitters, bands, reach)
 
 
@@ -94,5 +93,4 @@ def volume_coverage(stations: DataFrame, mesh: DataFrame, bands: DataFrame, lon0
 
 def _covered(rays: DataFrame, mesh: DataFrame, emitters: DataFrame, bands: DataFrame, reach: float) -> DataFrame:
     seen = flagged(rays, mesh, emitters, reach)
-    lit = score(seen.where("visible"), bands).select(*seen.columns, "density")
-    return lit.unionByName(seen.where("NOT visible").withColumn("density", F.lit(0.0))).unionByName(seen.where("visible IS NULL").withColumn("density", F.lit(None).cast("double")))
+    return score(seen, bands).selectExpr(*seen.columns, "CASE WHEN visible THEN density WHEN NOT visible THEN 0e0 END AS density")

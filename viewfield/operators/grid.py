@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formulas import DEM_METRES, EARTH_KM, GRID_METRES, Layers, apply, whole
 from ..sources.fixtures import STEPS
+from .sized import dealt
 
 
 def spread(rows: DataFrame, name: str, n: str) -> DataFrame:
@@ -21,7 +22,7 @@ def spread(rows: DataFrame, name: str, n: str) -> DataFrame:
 def ground_grid(emitters: DataFrame, step: float) -> DataFrame:
     """Square grid round each emitter (eid, ex, ey, reach): adds idx, x, y; an emitter without cells gives none."""
     n = f"CAST(ceil(2 * reach / {step}e0) AS BIGINT)"
-    rows = spread(spread(emitters.selectExpr("*", f"{n} AS n_side"), "i", "n_side"), "j", "n_side")
+    rows = spread(dealt(spread(emitters.selectExpr("*", f"{n} AS n_side"), "i", "n_side"), "eid", "i"), "j", "n_side")
     return rows.selectExpr("*", "i * n_side + j AS idx", f"ex - reach + j * {step}e0 AS x", f"ey - reach + i * {step}e0 AS y")
 
 
@@ -34,7 +35,7 @@ BOX: Layers = [
 
 def box_grid(boxes: DataFrame) -> DataFrame:
     """Grid over boxes (lon_lo, lon_hi, lat_lo, lat_hi, metres), anchored at the lower corner: adds i, j, lon, lat."""
-    rows = spread(spread(apply(boxes, BOX), "i", "n_lat"), "j", "n_lon")
+    rows = spread(dealt(spread(apply(boxes, BOX), "i", "n_lat"), "lon_lo", "lat_lo", "i"), "j", "n_lon")
     return rows.selectExpr("*", "lon_lo + j * lon_step AS lon", "lat_lo + i * lat_step AS lat")
 
 
@@ -106,6 +107,6 @@ def cell_grid(stations: DataFrame, most: int | None = None) -> DataFrame:
     rows = apply(stations, COUNTS)
     if most is not None:
         rows = rows.withColumn("n_alt", F.expr(f"CASE WHEN n_lon * n_lat * n_alt <= {most} THEN n_alt END"))
-    for name, n in (("i", "n_alt"), ("j", "n_lat"), ("z", "n_lon")):
-        rows = spread(rows, name, n)
+    rows = dealt(spread(spread(rows, "i", "n_alt"), "j", "n_lat"), "lon", "lat", "level", "i", "j")
+    rows = spread(rows, "z", "n_lon")
     return apply(rows, PLACES).select(*stations.columns, "i", "j", "z", "c_lon", "c_lat", "c_alt")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import DEM_METRES, HEIGHT, MBR, apply
+from .sized import dealt, few
 
 #: Side of the square tiles that spatial joins key on, in metres.
 TILE = 20.0
@@ -26,16 +27,17 @@ def tiled(boxes: DataFrame, tile: float, x: tuple[str, str], y: tuple[str, str])
     return rows.selectExpr("*", f"explode(sequence({_tile(y[0], tile)}, {_tile(y[1], tile)})) AS tile_y")
 
 
-def heights(points: DataFrame, mesh: DataFrame, key: str = "pid", tile: float = TILE) -> DataFrame:
-    """Add ``ground``: the highest triangle over each point (key, x, y), null where there is none.
+def heights(points: DataFrame, mesh: DataFrame, *keys: str, tile: float = TILE) -> DataFrame:
+    """Add ``ground``: the highest triangle over each point (keys, x, y), null where there is none.
 
-    A point lies in one tile, a triangle in those of its box; the join is on tiles.
+    A point lies in one tile, a triangle in those of its box; the join is on tiles.  The key is ``pid`` if none is named.
     """
+    keys = keys or ("pid",)
     triangles = tiled(with_mbr(mesh), tile, ("lox", "hix"), ("loy", "hiy"))
-    placed = points.select(key, "x", "y").selectExpr("*", f"{_tile('x', tile)} AS tile_x", f"{_tile('y', tile)} AS tile_y")
+    placed = points.select(*keys, "x", "y").selectExpr("*", f"{_tile('x', tile)} AS tile_x", f"{_tile('y', tile)} AS tile_y")
     found = placed.join(triangles, ["tile_x", "tile_y"]).where("x BETWEEN lox AND hix AND y BETWEEN loy AND hiy")
-    most = found.selectExpr(key, f"{HEIGHT} AS z").groupBy(key).agg(F.max("z").alias("ground"))
-    return points.join(most, key, "left")
+    most = found.selectExpr(*keys, f"{HEIGHT} AS z").groupBy(*keys).agg(F.max("z").alias("ground"))
+    return points.join(most, list(keys), "left")
 
 
 def overlaps(boxes: DataFrame, mesh: DataFrame, tile: float = TILE, residual: Column | None = None) -> DataFrame:
@@ -51,9 +53,9 @@ def overlaps(boxes: DataFrame, mesh: DataFrame, tile: float = TILE, residual: Co
     return pairs.where(residual) if residual is not None else pairs
 
 
-def overlap_counts(boxes: DataFrame, mesh: DataFrame, tile: float = TILE) -> DataFrame:
+def overlap_counts(boxes: DataFrame, mesh: DataFrame, tile: float = TILE, residual: Column | None = None) -> DataFrame:
     """(bid, hits) of all boxes."""
-    hits = overlaps(boxes, mesh, tile).groupBy("bid").agg(F.count("*").alias("hits"))
+    hits = overlaps(boxes, mesh, tile, residual).groupBy("bid").agg(F.count("*").alias("hits"))
     return boxes.select("bid").join(hits, "bid", "left").select("bid", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
@@ -64,8 +66,8 @@ def rasterise(mesh: DataFrame, resolutions: DataFrame, lon0: float, lat0: float,
     centres; the top row has the highest latitude.  All resolutions are one job.
     """
     pixels = pixel_grid(extent(mesh, lon0, lat0, scale), resolutions)
-    pixels = pixels.selectExpr("*", f"(lon - {lon0}e0) * {scale}e0 AS x", f"(lat - {lat0}e0) * {scale}e0 AS y", "concat_ws('/', dem_id, row, col) AS pixel")
-    return heights(pixels, mesh, "pixel").select("dem_id", "row", "col", "lon", "lat", "x", "y", F.col("ground").alias("height"))
+    pixels = pixels.selectExpr("*", f"(lon - {lon0}e0) * {scale}e0 AS x", f"(lat - {lat0}e0) * {scale}e0 AS y")
+    return heights(pixels, mesh, "dem_id", "row", "col").select("dem_id", "row", "col", "lon", "lat", "x", "y", F.col("ground").alias("height"))
 
 
 def extent(mesh: DataFrame, lon0: float, lat0: float, scale: float) -> DataFrame:
@@ -89,7 +91,7 @@ def raster_meta(limits: DataFrame, resolutions: DataFrame) -> DataFrame:
 def pixel_grid(limits: DataFrame, resolutions: DataFrame) -> DataFrame:
     """All pixels of models over limits: (dem_id, row, col, lon, lat)."""
     rows = apply(resolutions.crossJoin(F.broadcast(limits)), RASTER)  # limits are one row
-    rows = rows.selectExpr("*", "explode(sequence(0L, rows_n - 1)) AS row").selectExpr("*", "explode(sequence(0L, width - 1)) AS col")
+    rows = dealt(rows.selectExpr("*", "explode(sequence(0L, rows_n - 1)) AS row"), "dem_id", "row").selectExpr("*", "explode(sequence(0L, width - 1)) AS col")
     return rows.selectExpr("dem_id", "row", "col", "lon_lo + (col + 0.5e0) * res AS lon", "lat_hi - (row + 0.5e0) * res AS lat")
 
 
@@ -102,21 +104,34 @@ CORNERS = [
 ]
 
 
+def quads(dem: DataFrame) -> DataFrame:
+    """(dem_id, row, col, h00, h10, h01, h11): each pixel's elevation and those one column, one row and both further."""
+    places = ", ".join(f"named_struct('row', row - {j}, 'col', col - {i}, 'at', '{i}{j}')" for j in (0, 1) for i in (0, 1))
+    each = dem.selectExpr("dem_id", "height", f"explode(array({places})) AS p").select("dem_id", "p.*", "height")
+    corners = [F.max(F.expr(f"CASE WHEN at = '{i}{j}' THEN height END")).alias(f"h{i}{j}") for j in (0, 1) for i in (0, 1)]
+    return each.groupBy("dem_id", "row", "col").agg(*corners)
+
+
+def _sampled() -> str:
+    """Elevation in a quad: the pixel's own at the edge, else bilinear, else the mean of those that have values."""
+    four = [f"h{i}{j}" for j in (0, 1) for i in (0, 1)]
+    u, w = "(fcol - col0)", "(frow - row0)"
+    bilinear = f"h00 * (1 - {u}) * (1 - {w}) + h10 * {u} * (1 - {w}) + h01 * (1 - {u}) * {w} + h11 * {u} * {w}"
+    known = " + ".join(f"CAST({h} IS NOT NULL AS INT)" for h in four)
+    mean = f"({' + '.join(f'coalesce({h}, 0e0)' for h in four)}) / nullif({known}, 0)"
+    return f"CASE WHEN near_edge THEN h00 ELSE coalesce({bilinear}, {mean}) END"
+
+
 def sample(points: DataFrame, dem: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, height): elevation at points (keys, dem_id, lon, lat), null for none.
 
     Bilinear among four pixel centres; the mean of those that have values if some have none; the nearest
-    pixel, clamped, where one of the four is outside.  Pixels are joined on their index.
+    pixel, clamped, where one of the four is outside.  A point is joined once, on the index of its quad.
     """
-    size = meta.select("dem_id", "gt0", "gt1", "gt3", "gt5", "width", F.col("height").alias("height"))
+    size = few(meta.select("dem_id", "gt0", "gt1", "gt3", "gt5", "width", F.col("height").alias("height")))
     placed = apply(points.join(size, "dem_id"), CORNERS)
-    four = "explode(CASE WHEN near_edge THEN array(named_struct('col', ncol, 'row', nrow, 'w', 1e0)) ELSE array(%s) END) AS c" % ", ".join(
-        f"named_struct('col', col0 + {i}, 'row', row0 + {j}, 'w', {'(fcol - col0)' if i else '(1 - (fcol - col0))'} * {'(frow - row0)' if j else '(1 - (frow - row0))'})" for j in (0, 1) for i in (0, 1)
-    )
-    corners = placed.selectExpr(*keys, "dem_id", four).selectExpr(*keys, "dem_id", "c.col AS col", "c.row AS row", "c.w AS w")
-    values = corners.join(dem.select("dem_id", "row", "col", F.col("height").alias("h")), ["dem_id", "row", "col"], "left")
-    grouped = values.groupBy(*keys).agg(F.count("*").alias("n_asked"), F.count("h").alias("n_known"), F.sum(F.expr("w * h")).alias("weighted"), F.avg("h").alias("mean"))
-    return grouped.select(*keys, F.expr("CASE WHEN n_known = n_asked THEN weighted ELSE mean END AS height"))
+    asked = placed.selectExpr(*dict.fromkeys([*keys, "dem_id"]), "near_edge", "fcol", "frow", "col0", "row0", "CASE WHEN near_edge THEN nrow ELSE row0 END AS row", "CASE WHEN near_edge THEN ncol ELSE col0 END AS col")
+    return asked.join(quads(dem), ["dem_id", "row", "col"], "left").selectExpr(*keys, f"{_sampled()} AS height")
 
 
 def pixel_heights(indices: DataFrame, dem: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import BOXES, CLEARANCE_SQL, DEM_METRES, MEETS, apply
+from .sized import few
 from .terrain import TILE, heights, sample, tiled, with_mbr
 
 SECTORS = 720
@@ -37,7 +38,7 @@ def sectors_of(mesh: DataFrame, emitters: DataFrame, reach: float, sectors: int
     asked = asked.selectExpr("*", f"explode(sequence({tile('ey')} - 1, {tile('ey')} + 1)) AS tile_y")
     first = f"tile_x = greatest({tile('lox')}, {tile('ex')} - 1) AND tile_y = greatest({tile('loy')}, {tile('ey')} - 1)"
     reached = "lox <= ex + reach AND hix >= ex - reach AND loy <= ey + reach AND hiy >= ey - reach"
-    seen = triangles.join(asked, ["tile_x", "tile_y"]).where(f"{first} AND {reached}")
+    seen = asked.join(triangles, ["tile_x", "tile_y"]).where(f"{first} AND {reached}")
     turn = lambda a: f"({a} - azimuth_a - 360 * floor(({a} - azimuth_a + 180) / 360))"
     azimuth = lambda p: f"degrees(atan2({p}y - ey, {p}x - ex))"
     under = " OR ".join(f"({p}x = ex AND {p}y = ey)" for p in "amc")
@@ -76,10 +77,11 @@ def hidden(rays: DataFrame, mesh: DataFrame, emitters: DataFrame, reach: float)
 
 
 def flagged(rays: DataFrame, mesh: DataFrame, emitters: DataFrame, reach: float) -> DataFrame:
-    """All rays with ``visible``; null where the target has no height."""
-    known = rays.where("tz IS NOT NULL")
-    lit = lambda v: F.lit(v).cast("boolean").alias("visible")
-    return visible(known, mesh, emitters, reach).select("*", lit(True)).unionByName(hidden(known, mesh, emitters, reach).select("*", lit(False))).unionByName(rays.where("tz IS NULL").select("*", lit(None)))
+    """All rays with ``visible``, by one existence join; null where the target has no height."""
+    blocked = f"EXISTS (SELECT 1 FROM {{triangles}} m WHERE m.eid = r.eid AND m.sector = r.sector AND {BOXES} AND {MEETS})"
+    columns = ", ".join(f"r.`{c}`" for c in rays.columns)
+    rows = f"SELECT {columns}, CASE WHEN r.tz IS NOT NULL THEN NOT {blocked} END AS visible FROM {{asked}} r"
+    return rays.sparkSession.sql(rows, triangles=sectors_of(mesh, emitters, reach), asked=with_sector(rays))
 
 
 def pair_visibility(pairs: DataFrame, mesh: DataFrame, tile: float = TILE) -> DataFrame:
@@ -87,10 +89,10 @@ def pair_visibility(pairs: DataFrame, mesh: DataFrame, tile: float = TILE) -> Da
 
     An end lies at the whole metres of ground + 0.1, plus its height; without ground, at its height alone.
     """
-    ends = pairs.selectExpr("concat('p', rid) AS pid", "px AS x", "py AS y").unionByName(pairs.selectExpr("concat('q', rid) AS pid", "qx AS x", "qy AS y"))
-    ground = heights(ends, mesh).selectExpr("pid", "CASE WHEN ground IS NULL THEN 0e0 ELSE floor(ground + 0.1e0) END AS z")
-    rays = pairs.join(ground.selectExpr("substring(pid, 2) AS rid_", "z AS pz", "substring(pid, 1, 1) AS side").where("side = 'p'").drop("side"), F.expr("CAST(rid AS STRING) = rid_")).drop("rid_")
-    rays = rays.join(ground.selectExpr("substring(pid, 2) AS rid_", "z AS qz", "substring(pid, 1, 1) AS side").where("side = 'q'").drop("side"), F.expr("CAST(rid AS STRING) = rid_")).drop("rid_")
+    ends = pairs.selectExpr("rid", "explode(array(named_struct('side', 0, 'x', px, 'y', py), named_struct('side', 1, 'x', qx, 'y', qy))) AS p").select("rid", "p.*")
+    z = lambda side: F.max(F.expr(f"CASE WHEN side = {side} THEN coalesce(floor(ground + 0.1e0), 0e0) END"))
+    ground = heights(ends, mesh, "rid", "side").groupBy("rid").agg(z(0).cast("double").alias("pz"), z(1).cast("double").alias("qz"))
+    rays = pairs.join(ground, "rid")
     rays = rays.selectExpr(*pairs.columns, "px AS ex", "py AS ey", "pz + ph AS ez", "qx AS tx", "qy AS ty", "qz + qh AS tz")
     # tiles that the segment crosses: for each column of tiles, the rows between its two sides
     cut = lambda x: f"(ey + (ty - ey) * ({x} - ex) / nullif(tx - ex, 0))"
@@ -114,7 +116,7 @@ SAMPLES = [[("lon", "e_lon + i / CAST(n AS DOUBLE) * (t_lon - e_lon)"), ("lat",
 
 
 def _sampled(rays: DataFrame, dem: DataFrame, meta: DataFrame, ends: bool) -> DataFrame:
-    stepped = apply(rays.join(meta.select("dem_id", "gt1"), "dem_id"), STEPS)
+    stepped = apply(rays.join(few(meta.select("dem_id", "gt1")), "dem_id"), STEPS)
     span = "sequence(0L, n)" if ends else "sequence(1L, n - 1)"
     points = apply(stepped.where("NOT same").selectExpr("rid", "dem_id", "e_lon", "e_lat", "e_alt", "t_lon", "t_lat", "t_alt", "n", "dist_m", f"explode({span}) AS i"), SAMPLES)
     points = points.select("rid", "dem_id", "n", "dist_m", "i", "lon", "lat", "ray_h")

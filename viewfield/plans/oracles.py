@@ -75,6 +75,8 @@ def _grid(stations: str) -> str:
 for _name, _low, _high in (("grid3_degrees", 0, 9), ("grid4_minutes", 10, 15), ("grid5_seconds", 16, 21), ("grid6_parts_of_seconds", 22, 30), ("grid7_all_levels", 0, 30)):
     ORACLES[_name] = f"SELECT sid, level, i, j, z, {_r('c_lon', 'c_lat', digits=9)}, {_r('c_alt', digits=4)} FROM ({_grid(f'SELECT * FROM {v("stations")} s WHERE level BETWEEN {_low} AND {_high}')}) q"
 
+ORACLES["grid3_coarse"] = f"SELECT sid, level, i, j, z, {_r('c_lon', 'c_lat', digits=9)}, {_r('c_alt', digits=4)} FROM ({_grid(text('coarse_stations'))}) q"
+
 
 def _encoded(rows: str) -> str:
     # one statement a layer; a layer that changes a column stands for the old one
@@ -97,6 +99,7 @@ def _decoded(rows: str) -> str:
 ENCODED, DECODED = _encoded(text("positions")), _decoded(_encoded(text("positions")))
 ORACLES["cell1_encode"] = f"SELECT pid, level, code FROM ({ENCODED}) q"
 ORACLES["cell2_decode"] = f"SELECT pid, level, {_r('c_lon', 'c_lat', digits=9)}, {_r('c_alt', digits=4)} FROM ({DECODED}) q"
+ORACLES["src5_code_csv"] = f"SELECT pid AS id, code, {_r('c_lon', 'c_lat', digits=9)}, {_r('c_alt', digits=4)} FROM ({DECODED}) q"
 ORACLES["cell5_round_trip"] = f"SELECT level, count(*) AS n, round(max(abs(lon - c_lon)), 7) AS lon_error, round(max(abs(lat - c_lat)), 7) AS lat_error, round(max(abs(alt - c_alt)), 3) AS alt_error FROM ({DECODED}) q GROUP BY level"
 
 _stations = f"SELECT sid AS eid, sid % 8 AS model, *, lon AS e_lon, lat AS e_lat, alt AS e_alt, CAST(sid * 37 % 360 - 180 AS DOUBLE) + 0.10041e0 AS e_theta, CAST(sid * 11 % 21 - 10 AS DOUBLE) + 0.10037e0 AS e_phi FROM {v('stations')} q"
@@ -183,6 +186,8 @@ _sweep = "(VALUES " + ", ".join(f"({h}e0)" for h in HEIGHTS) + ") s(height)"
 SWEPT = WITH_CELLS + f", rays_ AS MATERIALIZED (SELECT *, height AS tz, coalesce(ground - height >= 50, FALSE) AS low_height FROM ({_grounded}) q, {_sweep}), seen_ AS MATERIALIZED ({_seen}), covered_ AS MATERIALIZED ({_covered}) "
 ORACLES["los3_viewshed"] = GROUND + "SELECT eid, i, j, round(ground, 6) AS ground, visible FROM covered_"
 ORACLES["snk3_viewshed_csv"] = GROUND + """SELECT eid, i AS "row", string_agg(CAST(coalesce(visible, FALSE) AS INT), ',' ORDER BY j) AS line, count(*) FILTER (WHERE coalesce(visible, FALSE)) AS n_visible, count(*) FILTER (WHERE NOT coalesce(visible, FALSE)) AS n_hidden FROM covered_ GROUP BY 1, 2"""
+_lines = """SELECT eid, i, string_agg(CAST(coalesce(visible, FALSE) AS INT), ',' ORDER BY j) AS line FROM covered_ GROUP BY 1, 2"""
+ORACLES["snk3_viewshed_files"] = GROUND + f"SELECT eid, line, count(*) AS n FROM ({_lines}) q GROUP BY 1, 2"
 ORACLES["cov7_ground"] = GROUND + f"SELECT eid, idx, visible, {DECIBEL} AS db FROM covered_"
 ORACLES["cov8_heights"] = SWEPT + f"SELECT eid, height, idx, low_height, visible, {DECIBEL} AS db FROM covered_"
 _totals = "SELECT eid, height, count(*) AS cells, count(*) FILTER (WHERE visible) AS visible, 100.0 * count(*) FILTER (WHERE visible) / count(*) AS percent, greatest(min(density) FILTER (WHERE density > 0), 1e-6) AS least_, max(density) FILTER (WHERE density > 0) AS most FROM covered_ GROUP BY 1, 2"
@@ -204,6 +209,8 @@ COMPARED = (
 )
 ORACLES["agg3_agreement"] = COMPARED + "SELECT eid, height, idx, dem_id, visible_mesh, visible_dem, agreement, disagreement FROM compared_"
 ORACLES["snk2_comparison_csv"] = COMPARED + f"SELECT tz AS alt, CAST(visible_mesh AS INT) AS visible_mesh, CAST(visible_dem AS INT) AS visible_dem, CAST(disagreement AS INT) AS disagreement, count(*) AS cells, round(min({LON0}e0 + tx / {SCALE}e0), 6) AS lon_lo, round(max({LAT0}e0 + ty / {SCALE}e0), 6) AS lat_hi FROM compared_ GROUP BY 1, 2, 3, 4"
+ORACLES["snk2_densities_csv"] = COMPARED + f"""SELECT round({LON0}e0 + tx / {SCALE}e0, 6) AS lon, round({LAT0}e0 + ty / {SCALE}e0, 6) AS lat, round(tz, 6) AS alt, CAST(visible_mesh AS INT) AS visible_mesh, CAST(visible_dem AS INT) AS visible_dem, CAST(disagreement AS INT) AS disagreement,
+CASE WHEN density >= 1e-4 THEN round(10 * log10(density), 2) END AS db FROM compared_"""
 _counts = "count(*) AS cells, count(*) FILTER (WHERE visible_mesh) AS by_mesh, count(*) FILTER (WHERE visible_dem) AS by_dem, count(*) FILTER (WHERE disagreement) AS disagreements, round(100.0 * count(*) FILTER (WHERE visible_mesh) / count(*), 4) AS percent_mesh, round(100.0 * count(*) FILTER (WHERE visible_dem) / count(*), 4) AS percent_dem, round(100.0 * count(*) FILTER (WHERE NOT disagreement) / count(*), 4) AS accuracy, round(10 * log10(min(density) FILTER (WHERE density > 0)), 2) AS least_db, round(10 * log10(max(density) FILTER (WHERE density > 0)), 2) AS most_db"
 ORACLES["agg4_comparison"] = COMPARED + f"SELECT dem_id, height, {_counts} FROM compared_ GROUP BY dem_id, height"
 ORACLES["agg5_cube"] = COMPARED + f"SELECT dem_id, height, {_counts} FROM compared_ GROUP BY CUBE (dem_id, height)"

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.formulas import CROSSES, DECIBEL, apply
 from ..operators import cells, coverage, grid, summary, terrain, visibility
+from ..operators.sized import few
 from ..sources import io
 from ..sources.fixtures import view
-from ..sources.shared import folder
+from ..sources.shared import folder, stored
 from ..streaming import poses as pose_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,10 +81,10 @@ def _heights(spark, sf):
 def _compared(spark, sf):
     """Cells at heights, by mesh and by elevation models of each resolution."""
     mesh = view(spark, sf, "mesh")
-    seen = _heights(spark, sf).where("visible IS NOT NULL").selectExpr("*", f"{LON0}e0 + tx / {SCALE}e0 AS t_lon", f"{LAT0}e0 + ty / {SCALE}e0 AS t_lat", f"{LON0}e0 + ex / {SCALE}e0 AS e_lon", f"{LAT0}e0 + ey / {SCALE}e0 AS e_lat", "concat_ws('/', eid, idx, height) AS rid")
+    seen = stored(_heights(spark, sf).where("visible IS NOT NULL"), "seen").selectExpr("*", f"{LON0}e0 + tx / {SCALE}e0 AS t_lon", f"{LAT0}e0 + ty / {SCALE}e0 AS t_lat", f"{LON0}e0 + ex / {SCALE}e0 AS e_lon", f"{LAT0}e0 + ey / {SCALE}e0 AS e_lat", "named_struct('eid', eid, 'idx', idx, 'height', height) AS rid")
     dem = terrain.rasterise(mesh, _resolutions(spark), LON0, LAT0, SCALE)
     meta = terrain.raster_meta(terrain.extent(mesh, LON0, LAT0, SCALE), _resolutions(spark))
-    rays = seen.crossJoin(F.broadcast(meta.select("dem_id")))  # a sweep of a few resolutions
+    rays = seen.crossJoin(few(meta.select("dem_id")))
     flags = visibility.dem_visible(rays.selectExpr("rid", "dem_id", "e_lon", "e_lat", "ez AS e_alt", "t_lon", "t_lat", "tz AS t_alt"), dem, meta).withColumnRenamed("visible", "visible_dem")
     return summary.compared(seen.withColumnRenamed("visible", "visible_mesh").join(flags, "rid"))
 
@@ -117,6 +118,15 @@ def src5_position_csv(spark, sf):
     return io.read_positions(spark, path)
 
 
+@query
+def src5_code_csv(spark, sf):
+    """Codes written as ``id,code``, read back and decoded at the levels of their positions."""
+    path, rows = folder(spark, "codes"), view(spark, sf, "positions").withColumnRenamed("pid", "id")
+    io.write_csv(cells.encode(rows).select("id", "code"), path)
+    keys = io.read_codes(spark, path).join(rows.select("id", "level"), "id")
+    return cells.decode(keys).select("id", "code", *_round("c_lon", "c_lat", digits=9), *_round("c_alt", digits=4))
+
+
 @query
 def snk1_coverage_rows(spark, sf):
     path = folder(spark, "coverage")
@@ -137,6 +147,25 @@ def snk3_viewshed_csv(spark, sf):
     return io.viewshed_lines(_ground(spark, sf))
 
 
+@query
+def snk2_densities_csv(spark, sf):
+    """The compared cells as exported, densities too, read back."""
+    path = folder(spark, "comparison")
+    io.write_csv(io.comparison_rows(_compared(spark, sf).selectExpr("*", "t_lon AS lon", "t_lat AS lat", "tz AS alt")), path)
+    rows = spark.read.schema("lon DOUBLE, lat DOUBLE, alt DOUBLE, visible_mesh INT, visible_dem INT, disagreement INT, power_density DOUBLE").csv(path, header=True)
+    strong = F.expr("CASE WHEN power_density >= 1e-4 THEN round(10 * log10(power_density), 2) END")
+    return rows.select(*_round("lon", "lat", "alt"), "visible_mesh", "visible_dem", "disagreement", strong.alias("db"))
+
+
+@query
+def snk3_viewshed_files(spark, sf):
+    """Viewsheds written as text files and read back: how many cells of each emitter's lines are visible."""
+    path = folder(spark, "viewsheds")
+    io.write_viewshed(_ground(spark, sf), path)
+    lines = spark.read.text(path, recursiveFileLookup=False).selectExpr("CAST(eid AS BIGINT) AS eid", "value")
+    return lines.groupBy("eid", F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 @query
 def snk4_printed_rows(spark, sf):
     return io.printed(view(spark, sf, "poses"), "theta")
@@ -170,6 +199,13 @@ def _levels(low: int, high: int) -> Query:
     return of
 
 
+@query
+def grid3_coarse(spark, sf):
+    """Levels 0 to 6 and 25, that the stations do not have."""
+    rows = grid.cell_grid(view(spark, sf, "coarse_stations"))
+    return rows.select("sid", "level", "i", "j", "z", *_round("c_lon", "c_lat", digits=9), *_round("c_alt", digits=4))
+
+
 QUERIES |= {"grid3_degrees": _levels(0, 9), "grid4_minutes": _levels(10, 15), "grid5_seconds": _levels(16, 21), "grid6_parts_of_seconds": _levels(22, 30), "grid7_all_levels": _levels(0, 30)}
 
 
@@ -210,7 +246,7 @@ def cell5_round_trip(spark, sf):
 @query
 def ter1_heights(spark, sf):
     points = view(spark, sf, "targets").selectExpr("tid AS pid", "tx AS x", "ty AS y")
-    return terrain.heights(points, view(spark, sf, "mesh")).select("pid", *_round("ground"))
+    return terrain.heights(points, view(spark, sf, "mesh"), "pid").select("pid", *_round("ground"))
 
 
 @query
@@ -278,20 +314,21 @@ def los5_dem_profile(spark, sf):
     return rows.selectExpr("rid", "n", "round(dist_m, 4) AS dist_m", "first_below", "CAST(size(samples) AS BIGINT) AS n_samples", "CAST(size(filter(samples, s -> s.below)) AS BIGINT) AS n_below")
 
 
+def _segments(spark, sf) -> DataFrame:
+    """The box of each segment of an emitter and a target, named by both."""
+    return _pairs(spark, sf).selectExpr("named_struct('eid', eid, 'tid', tid) AS bid", *(f"{p}{i}" for p in "et" for i in "xyz"), *(f"least(e{i}, t{i}) AS qlo{i}" for i in "xyz"), *(f"greatest(e{i}, t{i}) AS qhi{i}" for i in "xyz"))
+
+
 @query
 def los6_boxes(spark, sf):
     """How many triangles' boxes share a point with the box of each segment of an emitter and a target."""
-    boxes = _pairs(spark, sf).selectExpr("concat_ws('/', eid, tid) AS bid", "eid", "tid", *(f"least(e{i}, t{i}) AS qlo{i}" for i in "xyz"), *(f"greatest(e{i}, t{i}) AS qhi{i}" for i in "xyz"))
-    return terrain.overlap_counts(boxes, view(spark, sf, "mesh")).selectExpr("CAST(split(bid, '/')[0] AS BIGINT) AS eid", "CAST(split(bid, '/')[1] AS BIGINT) AS tid", "hits")
+    return terrain.overlap_counts(_segments(spark, sf), view(spark, sf, "mesh")).select("bid.*", "hits")
 
 
 @query
 def los6_segment_boxes(spark, sf):
     """How many triangles' boxes each segment of an emitter and a target meets in all three projections."""
-    ends = [f"{p}{i}" for p in "et" for i in "xyz"]
-    boxes = _pairs(spark, sf).selectExpr("concat_ws('/', eid, tid) AS bid", "eid", "tid", *ends, *(f"least(e{i}, t{i}) AS qlo{i}" for i in "xyz"), *(f"greatest(e{i}, t{i}) AS qhi{i}" for i in "xyz"))
-    hits = terrain.overlaps(boxes, view(spark, sf, "mesh"), residual=F.expr(CROSSES)).groupBy("bid").agg(F.count("*").alias("hits"))
-    return boxes.join(hits, "bid", "left").select("eid", "tid", F.coalesce("hits", F.lit(0)).alias("hits"))
+    return terrain.overlap_counts(_segments(spark, sf), view(spark, sf, "mesh"), residual=F.expr(CROSSES)).select("bid.*", "hits")
 
 
 @query
@@ -373,7 +410,7 @@ def agg1_totals(spark, sf):
 
 @query
 def agg2_intensity(spark, sf):
-    return summary.intensity(_heights(spark, sf), ["eid", "height"]).selectExpr("eid", "height", "idx", "level", "red DIV 4 AS red", "green DIV 4 AS green", "blue DIV 4 AS blue")
+    return summary.intensity(stored(_heights(spark, sf), "cells"), ["eid", "height"]).selectExpr("eid", "height", "idx", "level", "red DIV 4 AS red", "green DIV 4 AS green", "blue DIV 4 AS blue")
 
 
 @query

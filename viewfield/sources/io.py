@@ -42,8 +42,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def append_coverage(rows: DataFrame, path: str) -> None:
-    """Append coverage rows (id, timestamp, code, …): a folder for each emitter, sorted by time and cell in files."""
-    rows.repartition("id").sortWithinPartitions("id", "timestamp", "code").write.partitionBy("id").mode("append").parquet(path)
+    """Append coverage rows (id, timestamp, code, …): a folder for each emitter, sorted by time and cell in files.
+
+    Ranges of the whole key are dealt, so an emitter with many rows goes to several tasks.
+    """
+    rows.repartitionByRange("id", "timestamp", "code").sortWithinPartitions("id", "timestamp", "code").write.partitionBy("id").mode("append").parquet(path)
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
@@ -68,6 +71,12 @@ def viewshed_lines(cells: DataFrame) -> DataFrame:
     return lines
 
 
+def write_viewshed(cells: DataFrame, path: str) -> None:
+    """Viewsheds as text: a folder for each emitter, a line of 0 and 1 for each grid row, in order within files."""
+    lines = viewshed_lines(cells).selectExpr("eid", "row", "line AS value")
+    lines.repartitionByRange("eid", "row").sortWithinPartitions("eid", "row").select("eid", "value").write.partitionBy("eid").mode("overwrite").text(path)
+
+
 def printed(rows: DataFrame, value: str) -> DataFrame:
     """One column ``line``: ``[ts],lon,lat,alt value`` with fixed decimals."""
     return rows.select(F.format_string("[%s],%.6f,%.6f,%.3f %.3f", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "lon", "lat", "alt", value).alias("line"))
