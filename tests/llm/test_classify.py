@@ -132,3 +132,36 @@ def test_wrapped_licences(spark):
     rows = licences.scan(docs, model).orderBy("doc_id").collect()
     assert [[c.family for c in r.licences] for r in rows] == [f for _, f in texts]
     assert [c.paragraph for c in rows[5].licences] == [1] and [c.paragraph for c in rows[11].licences] == [0, 2]
+
+
+def test_short_notices(spark):
+    model = licences.learn(spark.read.parquet(f"{SF}/documents.parquet"))
+    found = lambda t: [f for f, _ in model.notices(t)]
+    assert found("Distributed under the terms of the MIT licence, see LICENSE.txt") == ["MIT"] and found("This project is MIT licensed.") == ["MIT"]
+    assert found("Licensed under the GPLv3 license") == ["GPL-3.0"] and found("Released under the Apache 2.0 licence.") == ["Apache-2.0"]
+    for text in ("The project is licensed by the town.", "A license under the terms of the contract", "Distributed under the bridge of the city", "This license is released"):
+        assert not found(text), text
+
+
+def test_licences_on_held_out_lines(spark):
+    """Recall on forms of the templates that are not learnt from, and precision on lines that speak of licences."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = licences.learn(docs)
+    known = licences.templates()
+    held = [(f, " ".join(w)) for f in known for t in known[f] for w in licences._held_variants(licences.words_of(t))[1:]]
+    assert sum(f in [x for x, _ in model.notices(t)] for f, t in held) >= 0.9 * len(held)
+    prose = [r.text for r in docs.where("doc_id % 9 = 4").select("text").collect()]
+    lines = [x for t in prose for x in (t or "").split("\n") if not any(w in x.lower() for w in ("licen", "spdx", "permission", "redistrib"))]
+    assert len(lines) > 300 and not any(model.notices(x) for x in lines)
+
+
+def test_sparse_rows_multiply():
+    import numpy as np
+
+    grams = {"a": 0, "b": 1, "c": 2}
+    texts = [{"a", "b"}, {"x"}, set(), {"c", "b", "x", "y"}]
+    dense = np.zeros((4, 4))
+    dense[0, :2], dense[3, 1:3], dense[:, 3] = 1 / np.sqrt(2), 0.5, 1
+    w, d = np.random.default_rng(1).normal(size=(4, 3)), np.random.default_rng(2).normal(size=(4, 3))
+    rows = licences.Rows(texts, grams)
+    assert np.allclose(rows.times(w), dense @ w) and np.allclose(rows.turned_times(d, 4), dense.T @ d)

@@ -146,3 +146,49 @@ def test_a_cut_is_found():
     samples = np.concatenate([dark, bright, dark]).astype(np.uint8)
     frames, fps = avi.demux(avi.mux(avi.encode_frames(samples)))
     assert (avi.decode_frames(frames) == samples).all() and fps == 25 and avi.shots(samples) == [0, 20, 35]
+
+
+def baseline(levels, wide, high):
+    """A baseline JPEG image of flat blocks: differences of the blocks' levels, and no other coefficients."""
+    flow, last = "", 0
+    for level in levels:
+        d = (level - 128) - last  # a flat block's first coefficient is 8 times its level; the table divides by 8
+        last, n = level - 128, abs(d).bit_length()
+        flow += format(n, "04b") + (format(d if d > 0 else d + (1 << n) - 1, f"0{n}b") if n else "") + "0"
+    flow += "1" * (-len(flow) % 8)
+    data = int(flow, 2).to_bytes(len(flow) // 8).replace(b"\xff", b"\xff\0")
+    segment = lambda m, d: b"\xff" + bytes([m]) + (len(d) + 2).to_bytes(2) + d
+    direct = bytes([0, 0, 0, 0, 12, *[0] * 12, *range(12)])
+    others = bytes([16, 1, *[0] * 15, 0])
+    frame = bytes([8, *high.to_bytes(2), *wide.to_bytes(2), 1, 1, 0x11, 0])
+    return b"\xff\xd8" + segment(0xDB, bytes([0, *[8] * 64])) + segment(0xC4, direct) + segment(0xC4, others) + segment(0xC0, frame) + segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + data + b"\xff\xd9"
+
+
+def test_other_makers_and_damaged_files(spark):
+    import numpy as np
+
+    image = baseline([10, 200, 77, 128, 255, 0], 20, 16)
+    plane = avi.brightness(image)
+    assert plane.shape == (16, 20) and [int(plane[0, 0]), int(plane[0, 9]), int(plane[0, 17]), int(plane[9, 0]), int(plane[9, 9]), int(plane[9, 17])] == [10, 200, 77, 128, 255, 0]
+    foreign = avi.mux([baseline([34 + k % 3] * 4, 16, 16) for k in range(12)] + [baseline([220 - k % 3] * 4, 16, 16) for k in range(8)])
+    own = avi.mux(avi.encode_frames(np.arange(3 * 576, dtype=np.int64).astype(np.uint8).reshape(3, 24, 24)))
+    damaged = own.replace(avi.TAIL, b"\0\0" + avi.TAIL, 1)
+    wrong = bytearray(own)
+    at = own.index(avi.HEAD) + len(avi.HEAD) + 40
+    wrong[at : at + 60] = bytes(60)
+    unindexed = own[: own.index(b"idx1")]
+    files = [own, b"not avi", b"", None, own[:300], foreign, bytes(wrong), unindexed, own, avi.mux([b"\xff\xd8\xff\xc2\0\x04\0\0"])]
+    rows = avi.read(spark.createDataFrame(list(enumerate(files)), "k long, media binary").repartition(1)).orderBy("k").collect()
+    whole = [r.k for r in rows if r.payload is not None]
+    assert whole == [0, 7, 8] and all(bytes(rows[k].payload) == bytes(rows[0].payload) for k in whole) and len(damaged) > len(own)
+    assert [r.k for r in rows if r.error] == [1, 2, 4, 6, 9] and rows[3].error is None and rows[3].clips is None
+    assert [c.first_frame for c in rows[5].clips] == [0, 12] and rows[5].payload is None
+
+
+def test_long_texts_in_parts(monkeypatch):
+    import numpy as np
+
+    samples = np.random.default_rng(2).integers(0, 256, (50, 24, 24)).astype(np.uint8)
+    whole = avi.encode_frames(samples)
+    monkeypatch.setattr(avi, "TOGETHER", 7)
+    assert avi.encode_frames(samples) == whole and (avi.decode_frames(whole) == samples).all()

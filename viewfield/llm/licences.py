@@ -1,9 +1,11 @@
 """Licence paragraphs by a trained classifier, with an unknown class and comparison with templates.
 
-The paragraphs of a text are its runs of lines between blank lines, without comment marks.  A logistic regression over sparse word unigrams and bigrams tells
-licence families from each other and from other text, the unknown class.  It learns from the templates below,
-also in parts, and from a bounded sample of the corpus's own paragraphs as unknown.  The threshold on a
-family's probability is set on held-out paragraphs.  A notice is a window of a paragraph, a little longer than
+The paragraphs of a text are its runs of lines between blank lines, without comment marks.  A logistic
+regression over sparse word unigrams and bigrams tells licence families from each other and from other text,
+the unknown class.  It learns from the templates below, also in parts and in other surroundings, and from a
+bounded sample of the corpus's own lines as unknown: plain ones, and hard ones that speak of licences but hold
+no template.  Half of each kind is held out.  On these the probabilities are calibrated by a temperature, and
+the threshold is set.  A notice is a window of a paragraph, a little longer than
 a template at most, that holds enough of the template and its version numbers; it counts when it is predicted
 to be of the template's family, and of windows that overlap the one with the largest share of its template.
 """
@@ -11,6 +13,7 @@ to be of the template's family, and of windows that overlap the one with the lar
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -36,14 +39,25 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
-#: Paragraphs of the corpus that stand for the unknown class at most, about; half are held out.
+#: Names that short notices give, by family, and such notices.
+NAMES = {"Apache-2.0": ["Apache-2.0", "Apache 2.0"], "BSD-3-Clause": ["BSD", "BSD-3-Clause", "3-Clause BSD"], "GPL-2.0": ["GPLv2", "GPL-2.0"], "GPL-3.0": ["GPLv3", "GPL-3.0"], "LGPL-3.0": ["LGPLv3", "LGPL-3.0"], "MIT": ["MIT"], "MPL-2.0": ["MPL-2.0", "MPL 2.0"]}
+NOTICES = ["Distributed under the terms of the {} license", "Released under the {} license", "This project is {} licensed", "Licensed under the {} license"]
+#: Lines of the corpus that stand for the unknown class at most, about, of each kind; half are held out.
 UNKNOWN = 4000
+#: Words that make a line a hard one.
+HARD = "licen[cs]|copyright|permission"
 #: Share of held-out unknown paragraphs that may pass, and of a template's bigrams that must be there.
 PASS, HELD = 0.001, 0.8
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in (x.strip(".,;:()\"'") for x in text.lower().split()) if w]
+    """Words in lower case without marks; both spellings of licence are one."""
+    return [w for w in (x.strip(".,;:()\"'").replace("licence", "license") for x in text.lower().split()) if w]
+
+
+def templates() -> dict[str, list[str]]:
+    """All templates by family: the fixed ones, and short notices of the names."""
+    return {f: [*known, *(n.format(x) for x in NAMES.get(f, []) for n in NOTICES if n.format(x) + "." not in known)] for f, known in TEMPLATES.items()}
 
 
 def grams_of(words: list[str]) -> set[str]:
@@ -109,19 +123,14 @@ class Model:
     grams: dict[str, int]
     weight: np.ndarray  # grams and a constant, by family and last the unknown class
     threshold: float
+    temperature: float = 1.0
     templates: list[Template] = field(default_factory=list)
 
     def __post_init__(self):
         self.words = {w for g in self.grams for w in g.split()}
 
     def scores(self, paragraphs: list[list[str]]) -> np.ndarray:
-        x = np.tile(self.weight[-1], (len(paragraphs), 1))
-        for i, words in enumerate(paragraphs):
-            at = [self.grams[g] for g in grams_of(words) if g in self.grams]
-            if at:
-                x[i] += self.weight[at].sum(0) / np.sqrt(len(grams_of(words)))
-        x = np.exp(x - x.max(1, keepdims=True))
-        return x / x.sum(1, keepdims=True)
+        return softmax(Rows([grams_of(words) for words in paragraphs], self.grams).times(self.weight) / self.temperature)
 
     def notices(self, paragraph: str) -> list[tuple[str, float]]:
         """The families of a paragraph's notices and their probabilities, each once, in order."""
@@ -159,54 +168,111 @@ class Model:
         return next(iter(self.notices(text)), None)
 
 
-def fit(unknown: list[str]) -> Model:
-    """Multinomial logistic regression by gradient steps on templates, their parts, and unknown paragraphs."""
-    families = sorted(TEMPLATES)
-    rows, labels = [], []
+def _variants(words: list[str]) -> list[list[str]]:
+    """A template, parts of it, and other surroundings."""
+    return [c for c in (words, words[1:], words[:-1], ["see", "here", *words], [*words, "all", "rights", "reserved"]) if len(c) > 1]
+
+
+def _held_variants(words: list[str]) -> list[list[str]]:
+    """Forms of a template that are not learnt from: a word left out in the middle, and other surroundings."""
+    k = len(words) // 2
+    return [words[:k] + words[k + 1 :], ["note", "that", *words, "for", "details"]]
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+class Rows:
+    """A sparse matrix of n-grams by text, with a column of ones; the entries of a text have length one with all its n-grams."""
+
+    def __init__(self, texts: list[set[str]], grams: dict[str, int]):
+        own = [sorted(grams[g] for g in t if g in grams) for t in texts]
+        self.n = len(texts)
+        self.row = np.repeat(np.arange(self.n), [len(o) for o in own])
+        self.column = np.array([k for o in own for k in o], np.int64)
+        self.value = np.repeat([1 / np.sqrt(max(1, len(t))) for t in texts], [len(o) for o in own])
+        self.order = np.argsort(self.column, kind="stable")
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.tile(w[-1], (self.n, 1))
+        if len(self.row):
+            starts = np.flatnonzero(np.concatenate([[True], self.row[1:] != self.row[:-1]]))
+            out[self.row[starts]] += np.add.reduceat(self.value[:, None] * w[self.column], starts)
+        return out
+
+    def turned_times(self, d: np.ndarray, columns: int) -> np.ndarray:
+        out = np.zeros((columns, d.shape[1]))
+        if len(self.row):
+            column = self.column[self.order]
+            starts = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
+            out[column[starts]] = np.add.reduceat(self.value[self.order][:, None] * d[self.row[self.order]], starts)
+        out[-1] = d.sum(0)
+        return out
+
+
+def fit(unknown: list[str], hard: list[str] | None = None) -> Model:
+    """Multinomial logistic regression by gradient steps on templates, their parts, and unknown lines of the corpus.
+
+    ``hard`` lines that hold a template are left out.  Every second line of each kind, as they come, is held out.
+    """
+    known = templates()
+    families = sorted(known)
+    several = [Template(f, t) for f in families for t in known[f]]
+    speaking = [words_of(t) for t in hard or []]
+    speaking = [w for w in speaking if not any(len(t.grams & grams_of(w)) >= t.least for t in several)]
+    other = [words_of(t) for t in unknown]
+    rows, labels, held, held_labels = [], [], [], []
     for i, family in enumerate(families):
-        for text in TEMPLATES[family]:
-            words = words_of(text)
-            cuts = [words, words[1:], words[:-1], ["see", "here", *words], [*words, "all", "rights", "reserved"]]
-            rows += [c for c in cuts if len(c) > 1]
-            labels += [i] * sum(len(c) > 1 for c in cuts)
+        for text in known[family]:
+            for out, at, forms in ((rows, labels, _variants), (held, held_labels, _held_variants)):
+                new = forms(words_of(text))
+                out += new
+                at += [i] * len(new)
     grams = {g: k for k, g in enumerate(sorted({g for r in rows for g in grams_of(r)}))}
-    unknown = [words_of(t) for t in unknown]
-    half = len(unknown) // 2
     # other text around the licences' common words, so that these alone do not tell
-    common = [[w] for w in sorted({w for r in rows for w in r})]
-    train = rows + unknown[:half] + common
-    y = np.array(labels + [len(families)] * (half + len(common)))
-    x = np.zeros((len(train), len(grams) + 1))
-    for i, r in enumerate(train):
-        own = grams_of(r)
-        x[i, [grams[g] for g in own if g in grams]] = 1 / np.sqrt(max(1, len(own)))
-    x[:, -1] = 1
-    share = np.where(y < len(families), 0.5 / max(1, len(rows)), 0.5 / max(1, half + len(common)))
-    target, w, speed = np.eye(len(families) + 1)[y], np.zeros((len(grams) + 1, len(families) + 1)), 0
+    negatives = other[::2] + speaking[::2] + [[w] for w in sorted({w for r in rows for w in r})]
+    last = len(families)
+    y = np.array(labels + [last] * len(negatives))
+    x = Rows([grams_of(r) for r in rows + negatives], grams)
+    share = np.where(y < last, 0.5 / max(1, len(rows)), 0.5 / max(1, len(negatives)))[:, None]
+    target, w, speed = np.eye(last + 1)[y], np.zeros((len(grams) + 1, last + 1)), 0
     for _ in range(400):
-        z = x @ w
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        speed = 0.9 * speed - 5.0 * (x.T @ ((p - target) * share[:, None]) + 1e-6 * w)
+        speed = 0.9 * speed - 5.0 * (x.turned_times((softmax(x.times(w)) - target) * share, len(w)) + 1e-6 * w)
         w = w + speed
-    model = Model(families, grams, w, 0.0, [Template(f, t) for f in families for t in TEMPLATES[f]])
-    rest = model.scores(unknown[half:])[:, :-1].max(1) if len(unknown) > half else np.zeros(0)
-    model.threshold = float(np.clip(np.quantile(rest, 1 - PASS) if len(rest) else 0.5, 0.5, 0.9))
+    rest = other[1::2] + speaking[1::2]
+    z = Rows([grams_of(r) for r in held + rest], grams).times(w)
+    y = np.array(held_labels + [last] * len(rest))
+    weight = np.where(y < last, 0.5 / len(held), 0.5 / max(1, len(rest)))
+    loss = lambda t: -(weight * np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12)).sum()
+    temperature = min((0.25 * 1.1**k for k in range(40)), key=loss)
+    model = Model(families, grams, w, 0.0, float(temperature), several)
+    best = softmax(z[len(held) :] / temperature)[:, :-1].max(1) if rest else np.zeros(0)
+    model.threshold = float(np.clip(np.quantile(best, 1 - PASS) if len(best) else 0.5, 0.5, 0.9))
     return model
 
 
 def learn(docs: DataFrame, text: str = "text") -> Model:
-    """Fit to a corpus: its paragraphs without the word "licen[cs]e" or "licensed" are unknown, about ``UNKNOWN`` by hash."""
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line")).where("length(line) > 0 and not lower(line) rlike 'licen[cs]|copyright|permission'")
-    share = min(1.0, UNKNOWN / max(1, lines.count()))
-    sample = lines.where(F.pmod(F.xxhash64("line"), F.lit(10_000_000)) < share * 10_000_000).distinct().orderBy("line").limit(2 * UNKNOWN)
-    return fit([r.line for r in sample.collect()])
+    """Fit to a corpus: about ``UNKNOWN`` of its lines of each kind, plain and hard, in the order of their hashes.
+
+    Null and empty texts have no lines; a line that repeats counts once.  An empty corpus gives a model of the templates alone.
+    """
+    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line")).where("length(line) > 0").withColumn("hard", F.expr(f"lower(line) rlike '{HARD}'"))
+    sizes = {r.hard: r["count"] for r in lines.groupBy("hard").count().collect()}
+    share = F.when(F.col("hard"), min(1.0, UNKNOWN / max(1, sizes.get(True, 0)))).otherwise(min(1.0, UNKNOWN / max(1, sizes.get(False, 0))))
+    place = F.pmod(F.xxhash64("line"), F.lit(10_000_000))
+    chosen = lines.where(place < share * 10_000_000).distinct().select("line", "hard").collect()
+    mixed = sorted(chosen, key=lambda r: zlib.crc32(r.line.encode()))
+    return fit([r.line for r in mixed if not r.hard], [r.line for r in mixed if r.hard])
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Replace ``text`` by ``licences``: (paragraph, family, probability) of each licence paragraph, in order.
 
-    ``paragraph`` counts from 0; a paragraph with notices of several families has an entry for each.  Null and empty texts have none.  A column of that name is replaced, others pass.
+    ``paragraph`` counts from 0; a paragraph with notices of several families has an entry for each.  Null and
+    empty texts have none; whole texts are searched, however long.  Repeated rows get equal results.  A column of
+    that name is replaced, others pass; an empty table gives an empty table.
     """
     kept = [c for c in docs.columns if c not in (text, "licences")]
     kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64())]))
