@@ -124,6 +124,20 @@ def test_hot_lists_are_handed_on(monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_shared_entries_are_all_counted(spark):
+    """Two sets and a copy share entries in several tasks, which is one bucket: each of them counts."""
+    base = words(77, 300)
+    texts = [" ".join(base), " ".join([*base[:150], "x", *base[151:]]), " ".join(base)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    index = jaccard.stored(jaccard._index(docs, 8), "index")
+    copies = spark.createDataFrame([(2, 0)], "doc_id long, first long")
+    got = jaccard._members(index, copies, 8).groupBy("doc_id").agg({"entries": "sum"}).collect()
+    grams_of = jaccard.Grams()
+    keys = [{(int(e >> np.uint64(32)) % 8, int(e) & 0xFFFFFFFF) for e in jaccard.entries(grams_of(t))[0]} for t in texts]
+    sums = {r.doc_id: r["sum(entries)"] for r in got}
+    assert sums[1] == len(keys[0] & keys[1]) > 20 and sums[0] == len(keys[0]) and set(sums) == {0, 1}
+
+
 @pytest.mark.parametrize("split", [0, 9])
 def test_shared_counts(split):
     r = np.random.default_rng(6)

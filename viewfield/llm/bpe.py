@@ -104,6 +104,10 @@ class Merges:
         return out
 
 
+#: Marks that are a match of the pattern by themselves.
+_ENDS = (".", ",", ";", ":", "!", "?")
+
+
 class Words(dict):
     """Packed ids by text.  ``encode`` gives the ids of many texts as packed integers.
 
@@ -119,8 +123,11 @@ class Words(dict):
     def __missing__(self, part: str) -> bytes:
         known = self.old.get(part)
         if known is None:
-            if part.isalpha() or part[:1] == " " and part[1:].isalpha():  # one match of the pattern
+            word = part[1:] if part[0] == " " else part
+            if word.isalpha():  # one match of the pattern
                 known = self.ids(part)
+            elif word[-1:] in _ENDS and word[:-1].isalpha():  # two
+                known = self[part[:-1]] + self[part[-1]]
             else:
                 cut = self.pieces(part)
                 known = self.ids(part) if len(cut) == 1 else b"".join(map(self.__getitem__, cut))

@@ -501,6 +501,17 @@ def _cheapest(left: DataFrame, packed: DataFrame) -> DataFrame:
     return chosen.where("s.cost > 1").select(F.col("s.gram").alias("gram"), "doc_id", "component")
 
 
+def _members(index: DataFrame, copies: DataFrame, shards: int) -> DataFrame:
+    """(bucket, doc_id, entries): the sets that share entries, a copy standing for the first of its set, and how many they are.
+
+    Copies in one task's part of a bucket have the same entries there; those of other parts are others.
+    """
+    packs = index.where("shard is not null").select("shard", "entries", "owners").repartition(shards, "shard")
+    found = packs.mapInArrow(_buckets, "bucket long, doc_id long, entries long").withColumn("part", F.spark_partition_id())
+    named = found.join(copies, "doc_id", "left").select("bucket", F.coalesce("first", "doc_id").alias("doc_id"), "part", "entries")
+    return named.groupBy("bucket", "doc_id", "part").agg(F.max("entries").alias("entries")).groupBy("bucket", "doc_id").agg(F.sum("entries").alias("entries"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of documents (doc_id, text).
 
@@ -518,10 +529,7 @@ def join(docs: DataFrame) -> DataFrame:
     kinds = stored(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "kinds")
     copies = sets.join(kinds.where("copies > 1"), ["n", "s1", "s2"]).where("first < doc_id").select("doc_id", "first")
 
-    # a copy stands for the first of its set
-    packs = index.where("shard is not null").select("shard", "entries", "owners").repartition(shards, "shard")
-    members = packs.mapInArrow(_buckets, "bucket long, doc_id long, entries long").join(copies, "doc_id", "left")
-    members = stored(members.groupBy("bucket", F.coalesce("first", "doc_id").alias("doc_id")).agg(F.max("entries").alias("entries")).withColumn("component", F.col("doc_id")), "members")
+    members = stored(_members(index, copies, shards).withColumn("component", F.col("doc_id")), "members")
     members = stored(_tried(members, "bucket"), "members")
     near = stored(_near(_pairs(members, "bucket"), sets), "near")
     hot = members.where(f"size > {HOT}").drop("size", "centre")

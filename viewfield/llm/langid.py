@@ -195,7 +195,9 @@ class Scorer:
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score``, the language's share of the probability, of whole texts.
 
-    A null text, or one without a letter, is ``und`` with score 0.  Columns of those names are replaced.
+    A null text, or one without a letter, is ``und`` with score 0.  Of languages that are equally likely the
+    first by name is taken.  Repeated rows get equal results; columns of those names are replaced, others pass;
+    an empty table gives an empty table.
     """
     columns = [c for c in df.columns if c not in ("lang_pred", "score")]
     shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # at most vocabulary x languages

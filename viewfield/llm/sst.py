@@ -15,7 +15,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -218,8 +218,12 @@ def _library(tokenizer: str, pattern: str) -> tuple[Words, int]:
     model, letters = t.model, byte_letters()
     width, kind = (2, "H") if t.get_vocab_size(True) <= 1 << 16 else (4, "I")
 
+    space = chr(letters[32])
+
     def ids(piece: str) -> bytes:
-        return array(kind, [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
+        plain = piece.isascii() and piece.isprintable()  # such bytes stand for themselves, but for the space
+        text = piece.replace(" ", space) if plain else piece.encode().decode("latin-1").translate(letters)
+        return array(kind, [x.id for x in model.tokenize(text)]).tobytes()
 
     def whole(text: str) -> bytes:
         return array(kind, t.encode(text, add_special_tokens=False).ids).tobytes()
@@ -273,7 +277,10 @@ def write_shards(docs: DataFrame, tokenizer: str, pattern: str, folder: str, end
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """All entries as (doc_id, start, ids): start counts the ids of all documents before, over all shards."""
+    """All entries as (doc_id, start, ids): start counts the ids of all documents before, over all shards.
+
+    Repeated rows are entries of their own.  Without shards, as of an empty table, there are no rows.
+    """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
 
@@ -302,14 +309,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def lookup(manifest: DataFrame, wanted: DataFrame, identifier: str = "doc_id") -> DataFrame:
     """The ids of wanted identifiers: (doc_id, ids), each found by binary search in the shards it may be in.
 
-    Shard ranges are joined to the identifiers by value; identifiers that are nowhere give no row.
+    Identifiers that are nowhere give no row, repeated entries a row each, an empty manifest none.  The shards'
+    first keys, as many as shuffle partitions at most, are searched by halves in each task.
     """
-    upper = F.lead("first_id").over(Window.orderBy("shard"))
-    ranges = manifest.select("path", "first_id", upper.alias("next_id"), (F.col("shard") == F.min("shard").over(Window.partitionBy())).alias("lowest"))
+    shards = sorted((key_of(r.first_id), r.path) for r in manifest.select("first_id", "path").collect())
+    firsts, paths = [k for k, _ in shards], [p for _, p in shards]
     keys = wanted.select(F.col(identifier).cast("long").alias("doc_id")).distinct()
-    inside = (F.col("lowest") | (F.col("doc_id") >= F.col("first_id"))) & (F.col("next_id").isNull() | (F.col("doc_id") <= F.col("next_id")))
-    null_key = F.col("doc_id").isNull() & (F.col("lowest") | F.col("first_id").isNull())
-    routed = keys.join(F.broadcast(ranges), inside | null_key).select("path", "doc_id")
+
+    def route(batches):
+        for batch in batches:
+            found = []
+            for doc in batch.column(0).to_pylist():
+                key = key_of(doc)
+                found += [(paths[k], doc) for k in range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))]
+            if found:
+                path, doc = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(doc, pa.int64())], names=["path", "doc_id"])
+
+    routed = keys.mapInArrow(route, "path string, doc_id long")
 
     def run(batches):
         path = file = reader = None

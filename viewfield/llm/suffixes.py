@@ -33,7 +33,7 @@ WINDOW, SEED = 200, 48
 #: The windows of a seed with more chunks are dealt by their hashes.
 HOT = 2000
 #: Bytes that are worked on at once, and of a piece of a long document; suffixes that a task gathers.
-SLICE_BYTES, PIECE, GATHERED = 2 << 20, 1 << 20, 300_000
+SLICE_BYTES, PIECE, GATHERED = 1 << 20, 1 << 19, 250_000
 U = np.uint64
 DOC = ["doc_id", "t"]
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
