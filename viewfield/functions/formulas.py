@@ -133,7 +133,7 @@ _U = f"(((x - ax) * (cy - ay) - (cx - ax) * (y - ay)) / {_DET})"
 _V = f"(((mx - ax) * (y - ay) - (x - ax) * (my - ay)) / {_DET})"
 HEIGHT = f"CASE WHEN abs({_DET}) < 1e-6 THEN NULL WHEN {_U} >= 0 AND {_V} >= 0 AND {_U} + {_V} <= 1 THEN az + {_U} * (mz - az) + {_V} * (cz - az) END"
 
-#: Cell keys: spread 21 bits to every third, and back.
+#: Masks and shifts that spread 21 bits to every third, and back.
 MASKS = [0x1F00000000FFFF, 0x1F0000FF0000FF, 0x100F00F00F00F00F, 0x10C30C30C30C30C3, 0x1249249249249249]
 SHIFTS = [32, 16, 8, 4, 2]
 

@@ -169,6 +169,7 @@ ORACLES["cov2_attenuation"] = f"SELECT eid, tid, round({ATTENUATION}, 6) AS db_k
 ORACLES["cov3_frame"] = f"SELECT eid, tid, {_r('theta', 'phi', 'r')} FROM ({ANGLES}) q"
 ORACLES["cov4_sector"] = f"SELECT eid, tid, {_r('dtheta', 'dphi')}, outside FROM ({nested(ANGLES, SECTOR)}) q"
 ORACLES["cov5_density"] = WITH_MESH + f"SELECT eid, tid, {DECIBEL} AS db, density = 0 AS is_zero FROM ({_score(_models(VISIBLE))}) q"
+ORACLES["cov5_decibels"] = WITH_MESH + f"SELECT eid, tid, CASE WHEN density > 0 THEN round(10 * log10(density), 4) END AS db FROM ({_score(_models(VISIBLE))}) q"
 ORACLES["cov10_snapshot"] = WITH_MESH + f"SELECT eid, tid, {DECIBEL} AS db, outside FROM ({_score(_models(VISIBLE), snapshot=True)}) q"
 _at_range = f"SELECT m.*, 0e0 AS dphi, 0e0 AS dtheta, FALSE AS outside, model_range AS r FROM {v('models')} m"
 _reference = nested(f"SELECT s.*, b.* FROM ({_at_range}) s LEFT JOIN {v('bands')} b ON f = band_f AND dphi >= band_from AND dphi < band_to", PATTERNS + DENSITY)
@@ -196,7 +197,9 @@ _totals = f"SELECT * EXCLUDE (least_), coalesce(least_, 1e-6) AS least FROM ({_t
 ORACLES["agg1_totals"] = SWEPT + f"SELECT eid, height, cells, visible, round(percent, 4) AS percent, round(10 * log10(least), 2) AS least_db, round(10 * log10(most), 2) AS most_db FROM ({_totals}) q"
 _level = f"SELECT c.eid, c.height, idx, {NORMAL % 0.5} AS level FROM covered_ c JOIN ({_totals}) t ON c.eid = t.eid AND c.height = t.height"
 _palette = "(VALUES " + ", ".join(f"({i}, {p[0]}, {p[1]}, {p[2]}, {q[0]}, {q[1]}, {q[2]})" for i, (p, q) in enumerate(zip(PALETTE, [*PALETTE[1:], PALETTE[-1]]))) + ") p(stop_, r0, g0, b0, r1, g1, b1)"
-_mix = lambda c: f"CASE WHEN level IS NULL THEN {GREY} ELSE CAST(floor({c}0 + (level * 10 - stop_) * ({c}1 - {c}0) + 1e-9) AS INT) END // 4"
+_colour = lambda c: f"CASE WHEN level IS NULL THEN {GREY} ELSE CAST(floor({c}0 + (level * 10 - stop_) * ({c}1 - {c}0) + 1e-9) AS INT) END"
+_mix = lambda c: f"{_colour(c)} // 4"
+ORACLES["agg2_colours"] = SWEPT + f"SELECT eid, height, idx, level, {_colour('r')} AS red, {_colour('g')} AS green, {_colour('b')} AS blue FROM ({_level}) l LEFT JOIN {_palette} ON stop_ = least(10, floor(level * 10))"
 ORACLES["agg2_intensity"] = SWEPT + f"SELECT eid, height, idx, level, {_mix('r')} AS red, {_mix('g')} AS green, {_mix('b')} AS blue FROM ({_level}) l LEFT JOIN {_palette} ON stop_ = least(10, floor(level * 10))"
 
 _shift = lambda a, o, c: f"{o}e0 + {c} / {SCALE}e0 AS {a}"

@@ -369,6 +369,13 @@ def cov5_density(spark, sf):
     return coverage.score(rows, view(spark, sf, "bands")).selectExpr("eid", "tid", f"{DECIBEL} AS db", "density = 0 AS is_zero")
 
 
+@query
+def cov5_decibels(spark, sf):
+    """Scores to four decimals, hidden targets left out."""
+    rows = coverage.with_models(_visible_pairs(spark, sf), view(spark, sf, "models"))
+    return coverage.score(rows, view(spark, sf, "bands")).selectExpr("eid", "tid", "CASE WHEN density > 0 THEN round(10 * log10(density), 4) END AS db")
+
+
 @query
 def cov6_volume(spark, sf):
     return _volume(spark, sf).selectExpr("eid", "i", "j", "z", f"{DECIBEL} AS db")
@@ -413,6 +420,12 @@ def agg2_intensity(spark, sf):
     return summary.intensity(stored(_heights(spark, sf), "cells"), ["eid", "height"]).selectExpr("eid", "height", "idx", "level", "red DIV 4 AS red", "green DIV 4 AS green", "blue DIV 4 AS blue")
 
 
+@query
+def agg2_colours(spark, sf):
+    """Intensity with its whole colours."""
+    return summary.intensity(stored(_heights(spark, sf), "cells"), ["eid", "height"]).select("eid", "height", "idx", "level", "red", "green", "blue")
+
+
 @query
 def agg3_agreement(spark, sf):
     return _compared(spark, sf).select("eid", "height", "idx", "dem_id", "visible_mesh", "visible_dem", "agreement", "disagreement")
