@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_slices
-from .common import partitions, stored
+from .common import kept, partitions, stored
 from .components import components, joined
 
 #: Words an n-gram, and the least similarity in percent.
@@ -185,7 +185,7 @@ def one_row_an_id(docs: DataFrame) -> DataFrame:
         return docs
 
     def run(batches):
-        grams = Grams()
+        grams = kept(("grams", WORDS), Grams)
         for batch in batches:
             for a, b, texts in in_slices(batch.column(1)):
                 sets = [grams(t) for t in texts]
@@ -204,7 +204,7 @@ def _index(docs: DataFrame, shards: int) -> DataFrame:
     """
 
     def run(batches):
-        grams, seen = Grams(), {}
+        grams, seen = kept(("grams", WORDS), Grams), {}
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for a, b, texts in in_slices(batch.column(1)):
@@ -340,7 +340,7 @@ def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, grams): the n-gram sets of the documents of ``ids``, as packed hashes."""
 
     def run(batches):
-        grams = Grams()
+        grams = kept(("grams", WORDS), Grams)
         for batch in batches:
             for a, b, texts in in_slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([grams(t).tobytes() for t in texts], pa.binary())], names=["doc_id", "grams"])
