@@ -46,8 +46,8 @@ WORDS, PERCENT = 5, 80
 STEP = 1.5
 #: A bucket of more sets is hot.
 HOT = 20
-#: Sets in a block, about.
-BLOCK = 512
+#: Sets in a block, and n-grams in one, about; a larger set is a block of its own.
+BLOCK, BLOCK_GRAMS = 1024, 2_000_000
 #: Entries that a task gathers before it hands on the hot ones.
 GATHERED = 4_000_000
 #: Bytes of words that a worker keeps with their hashes, and the longest word kept.
@@ -402,11 +402,11 @@ def _links_in(sets: list[np.ndarray], split: int) -> np.ndarray:
 
 
 def _blocks(members: DataFrame, packed: DataFrame) -> DataFrame:
-    """The members (g, doc_id, label) of groups with their sets, for each two blocks of a group: (g, i, j, own, ...).
+    """The members (g, doc_id, n, label) of groups with their sets, for each two blocks of a group: (g, i, j, own, ...).
 
     Rows come sorted by blocks within partitions.
     """
-    blocks = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = members.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).alias("blocks"))
     rows = members.join(blocks, "g").join(packed, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     each = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     each = each.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "grams")
@@ -541,8 +541,8 @@ def join(docs: DataFrame) -> DataFrame:
     if not left.isEmpty():
         found = _search_rest(left, sets, packed, found)
 
-    weights = kinds.select(F.col("first").alias("doc_id"), F.col("copies").alias("label"))
-    groups = found.select(F.col("component").alias("g"), F.col("node").alias("doc_id")).join(weights, "doc_id").select("g", "doc_id", "label")
+    weights = kinds.select(F.col("first").alias("doc_id"), "n", F.col("copies").alias("label"))
+    groups = found.select(F.col("component").alias("g"), F.col("node").alias("doc_id")).join(weights, "doc_id").select("g", "doc_id", "n", "label")
     counts = _blocks(groups, packed).mapInArrow(_count_links, "doc_id long, others long").groupBy("doc_id").agg(F.sum("others").alias("others"))
     of_kind = kinds.join(found.withColumnRenamed("node", "first"), "first", "left").join(counts.withColumnRenamed("doc_id", "first"), "first", "left")
     of_kind = of_kind.select("n", "s1", "s2", F.coalesce("component", "first").alias("component"), F.expr("copies - 1 + coalesce(others, 0)").alias("n_links"))
@@ -560,7 +560,8 @@ def _search_rest(left: DataFrame, sets: DataFrame, packed: DataFrame, found: Dat
     hot = _with_components(members.where(f"size > {HOT}").drop("size", "centre"), found)
     lists = hot.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(20)")).alias("content"))
     lists = lists.where("low < high").groupBy("size", "content").agg(F.min("gram").alias("gram")).select("gram")  # lists of the same sets once
-    rest = stored(hot.join(lists, "gram", "left_semi").select(F.col("gram").alias("g"), "doc_id", F.col("component").alias("label")), "rest")
+    rest = hot.join(lists, "gram", "left_semi").join(sets.select("doc_id", "n"), "doc_id")
+    rest = stored(rest.select(F.col("gram").alias("g"), "doc_id", "n", F.col("component").alias("label")), "rest")
     if not rest.isEmpty():
         more = stored(_blocks(rest, packed).mapInArrow(_cross_links, "a long, b long").distinct(), "links")
         if not more.isEmpty():
