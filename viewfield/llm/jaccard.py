@@ -476,12 +476,17 @@ def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _left(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """(doc_id, component, n) of the sets that may have partners which none of the lists tried has shown."""
-    open_lists = hot.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    counted = hot.join(open_lists, "bucket", "left_semi").groupBy("doc_id", "component").agg(F.sum("entries").alias("left"))
+    """(doc_id, component, n) of the sets that may have partners which none of the lists ``hot`` has shown."""
+    counted = hot.groupBy("doc_id", "component").agg(F.sum("entries").alias("left"))
     return counted.join(sets.select("doc_id", "n", "spare"), "doc_id").where("left >= spare").select("doc_id", "component", "n")
 
 
+def _open(hot: DataFrame) -> DataFrame:
+    """The members of lists that hold several components."""
+    open_lists = hot.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    return hot.join(open_lists, "bucket", "left_semi")
+
+
 def _cheapest(left: DataFrame, packed: DataFrame) -> DataFrame:
     """(gram, doc_id, component): of each set the n-grams in fewest components, one more than a partner may lack."""
 
@@ -537,7 +542,7 @@ def join(docs: DataFrame) -> DataFrame:
     packed = stored(_packed(docs, wanted.distinct()), "packed")
     found = stored(components(stored(_verified(near, packed), "links")), "components")
 
-    left = stored(_left(_with_components(hot, found), sets), "left")
+    left = stored(_left(_open(_with_components(hot, found)), sets), "left")
     if not left.isEmpty():
         found = _search_rest(left, sets, packed, found)
 
