@@ -125,6 +125,7 @@ class Model:
     threshold: float
     temperature: float = 1.0
     templates: list[Template] = field(default_factory=list)
+    anchors: dict[str, list[int]] = field(default_factory=dict)  # templates by words of which each notice of theirs has one
 
     def __post_init__(self):
         self.words = {w for g in self.grams for w in g.split()}
@@ -136,7 +137,8 @@ class Model:
         """The families of a paragraph's notices and their probabilities, each once, in order."""
         words = words_of(paragraph)
         own = self.words.intersection(words)
-        likely = [t for t in self.templates if len(t.grams) - t.least >= len(t.words) - len(t.words & own)]
+        near = sorted({i for w in own for i in self.anchors.get(w, ())})
+        likely = [t for t in map(self.templates.__getitem__, near) if len(t.grams) - t.least >= len(t.words) - len(t.words & own)]
         if not likely:
             return []
         grams, found = grams_of(words), []
@@ -168,6 +170,15 @@ class Model:
         return next(iter(self.notices(text)), None)
 
 
+def _anchors(several: list[Template], counts: Counter) -> dict[str, list[int]]:
+    """Templates by their words that are rarest in other text, one more than a notice may lack."""
+    out: dict[str, list[int]] = {}
+    for i, t in enumerate(several):
+        for w in sorted(t.words, key=lambda w: (counts[w], w))[: int(len(t.grams) - t.least) + 1]:
+            out.setdefault(w, []).append(i)
+    return out
+
+
 def _variants(words: list[str]) -> list[list[str]]:
     """A template, parts of it, and other surroundings."""
     return [c for c in (words, words[1:], words[:-1], ["see", "here", *words], [*words, "all", "rights", "reserved"]) if len(c) > 1]
@@ -247,7 +258,7 @@ def fit(unknown: list[str], hard: list[str] | None = None) -> Model:
     weight = np.where(y < last, 0.5 / len(held), 0.5 / max(1, len(rest)))
     loss = lambda t: -(weight * np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12)).sum()
     temperature = min((0.25 * 1.1**k for k in range(40)), key=loss)
-    model = Model(families, grams, w, 0.0, float(temperature), several)
+    model = Model(families, grams, w, 0.0, float(temperature), several, _anchors(several, Counter(x for words in other for x in set(words))))
     best = softmax(z[len(held) :] / temperature)[:, :-1].max(1) if rest else np.zeros(0)
     model.threshold = float(np.clip(np.quantile(best, 1 - PASS) if len(best) else 0.5, 0.5, 0.9))
     return model
