@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, contain, jaccard, langid, licences, lineruns, quality, sst, suffixes
+from . import avi, bpe, contain, jaccard, langid, licences, lineruns, quality, sst, suffixes, votes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,12 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that rules, weighed by what they agree on, take for good."""
+    rows = votes.score(_documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -114,8 +120,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_avi_columns": op9_avi_columns,
     "op10_token_shards": op10_token_shards,
+    "op11_quality_votes": op11_quality_votes,
 }
 ORACLES: dict[str, str] = {
     "op5_decontamination": contain.SQL,
     "op8_line_dedup": lineruns.SQL,
+    "op11_quality_votes": votes.SQL,
 }
