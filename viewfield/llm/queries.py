@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import aligned, avi, bpe, contain, jaccard, langid, licences, lineruns, quality, sst, suffixes, votes
+from . import aligned, avi, bpe, contain, dualtree, jaccard, langid, licences, lineruns, quality, sst, suffixes, votes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +109,11 @@ def op11_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for each benchmark item by their terms."""
+    return dualtree.rank(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of a byte-level vocabulary against those of a sentencepiece model, by byte ranges."""
     return aligned.align(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -126,10 +131,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_avi_columns": op9_avi_columns,
     "op10_token_shards": op10_token_shards,
     "op11_quality_votes": op11_quality_votes,
+    "op12_ranked_search": op12_ranked_search,
     "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op5_decontamination": contain.SQL,
     "op8_line_dedup": lineruns.SQL,
     "op11_quality_votes": votes.SQL,
+    "op12_ranked_search": dualtree.SQL,
 }
