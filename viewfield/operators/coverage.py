@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import DENSITY, FROM_DEGREES, FROM_METRES, PATTERNS, SECTOR, SNAPSHOT, TURNED, apply, distance, pattern
-from .grid import cell_grid, ground_grid
+from ..sources.shared import stored
+from .grid import cell_grid, cells_in, ground_grid, reaching
 from .sized import few
-from .terrain import heights
-from .visibility import flagged
+from .terrain import Terrain, heights, indexed
+from .visibility import binned, flagged
 
 
 def with_models(emitters: DataFrame, models: DataFrame) -> DataFrame:
@@ -61,36 +62,42 @@ def separation(pairs: DataFrame) -> DataFrame:
     return pairs.selectExpr("*", f"{distance('lon1', 'lat1', 'lon2', 'lat2')} AS metres", f"CASE WHEN {turn} < 0 THEN {turn} + 360 ELSE {turn} END AS bearing")
 
 
-def ground_coverage(emitters: DataFrame, mesh: DataFrame, bands: DataFrame, step: float, reach: float) -> DataFrame:
+def ground_coverage(emitters: DataFrame, mesh: DataFrame | Terrain, bands: DataFrame, step: float) -> DataFrame:
     """Cells round emitters with models at ground + 0.1: adds ground, visible, density (0 where hidden)."""
-    placed = heights(ground_grid(emitters, step), mesh, "eid", "idx").selectExpr("*", "x AS tx", "y AS ty", "ground + 0.1e0 AS tz").drop("x", "y")
-    return _covered(placed, mesh, emitters, bands, reach)
+    terrain = indexed(mesh)
+    emitters = binned(emitters, terrain, cells_in(step))
+    placed = heights(ground_grid(emitters, step), terrain, "eid", "idx").selectExpr("*", "x AS tx", "y AS ty", "ground + 0.1e0 AS tz").drop("x", "y")
+    return _covered(placed, terrain, emitters, bands)
 
 
-def height_coverage(emitters: DataFrame, mesh: DataFrame, bands: DataFrame, levels: DataFrame, step: float, reach: float) -> DataFrame:
+def height_coverage(emitters: DataFrame, mesh: DataFrame | Terrain, bands: DataFrame, levels: DataFrame, step: float) -> DataFrame:
     """Cells at each of a table of heights (height), all in one job; heights under 1 are left out.
 
     ``low_height`` marks cells 50 m or more under the ground.
     """
-    placed = heights(ground_grid(emitters, step), mesh, "eid", "idx").crossJoin(few(levels.where("height >= 1")))
+    terrain, levels = indexed(mesh), levels.where("height >= 1")
+    emitters = binned(emitters, terrain, f"{cells_in(step)} * {max(1, levels.count())}")
+    placed = heights(ground_grid(emitters, step), terrain, "eid", "idx").crossJoin(few(levels))
     placed = placed.selectExpr("*", "x AS tx", "y AS ty", "height AS tz", "coalesce(ground - height >= 50, FALSE) AS low_height").drop("x", "y")
-    return _covered(placed, mesh, emitters, bands, reach)
+    return _covered(placed, terrain, emitters, bands)
 
 
-def volume_coverage(stations: DataFrame, mesh: DataFrame, bands: DataFrame, lon0: float, lat0: float, scale: float) -> DataFrame:
+def volume_coverage(stations: DataFrame, mesh: DataFrame | Terrain, bands: DataFrame, lon0: float, lat0: float, scale: float) -> DataFrame:
     """Cells of the 3D grids of stations with models: adds visible, density (0 where hidden).
 
     Rays are traced in the mesh's frame, ``lon = lon0 + x / scale``, ``lat = lat0 + y / scale``; scores are by degrees.
+    A station's reach is that of its own cells, so a far one leaves the joins of the near ones as they are.
     """
+    terrain = indexed(mesh)
     frame = lambda p, lon, lat, alt: [f"({lon} - {lon0}e0) * {scale}e0 AS {p}x", f"({lat} - {lat0}e0) * {scale}e0 AS {p}y", f"{alt} AS {p}z"]
-    rays = cell_grid(stations).selectExpr("*", "c_lon AS t_lon", "c_lat AS t_lat", "c_alt AS t_alt", *frame("e", "e_lon", "e_lat", "e_alt"), *frame("t", "c_lon", "c_lat", "c_alt"))
-    # grids start at whole units, so the reach is that of the cells; a metre spares rounding
-    emitters = rays.groupBy("eid", "ex", "ey").agg((F.max(F.expr("sqrt(power(tx - ex, 2) + power(ty - ey, 2))")) + 1).alias("reach"))
-    reach = emitters.agg(F.max("reach")).first()[0] or 1.0
-    scored = score(flagged(rays, mesh, emitters, reach), bands, degrees=True)
-    return scored.withColumn("density", F.expr("CASE WHEN visible THEN density ELSE 0e0 END"))
+    # a metre spares rounding; stored, for filters made of a reach would else hold all that it comes from
+    emitters = reaching(stations).selectExpr("*", *frame("e", "e_lon", "e_lat", "e_alt"), f"sqrt(lon_reach * lon_reach + lat_reach * lat_reach) * {scale}e0 + 1 AS reach")
+    emitters = stored(binned(emitters, terrain, "greatest(n_cells, 1e0)").drop("lon_reach", "lat_reach", "n_cells"), "stations")
+    rays = cell_grid(emitters).selectExpr("*", "c_lon AS t_lon", "c_lat AS t_lat", "c_alt AS t_alt", *frame("t", "c_lon", "c_lat", "c_alt"))
+    scored = score(flagged(rays, terrain, emitters), bands, degrees=True)
+    return scored.withColumn("density", F.expr("CASE WHEN visible THEN density ELSE 0e0 END")).drop("sectors", "reach")
 
 
-def _covered(rays: DataFrame, mesh: DataFrame, emitters: DataFrame, bands: DataFrame, reach: float) -> DataFrame:
-    seen = flagged(rays, mesh, emitters, reach)
-    return score(seen, bands).selectExpr(*seen.columns, "CASE WHEN visible THEN density WHEN NOT visible THEN 0e0 END AS density")
+def _covered(rays: DataFrame, terrain: Terrain, emitters: DataFrame, bands: DataFrame) -> DataFrame:
+    seen = flagged(rays, terrain, emitters)
+    return score(seen, bands).selectExpr(*seen.columns, "CASE WHEN visible THEN density WHEN NOT visible THEN 0e0 END AS density").drop("sectors")

@@ -26,6 +26,11 @@ def ground_grid(emitters: DataFrame, step: float) -> DataFrame:
     return rows.selectExpr("*", "i * n_side + j AS idx", f"ex - reach + j * {step}e0 AS x", f"ey - reach + i * {step}e0 AS y")
 
 
+def cells_in(step: float) -> str:
+    """How many cells an emitter's square grid has."""
+    return f"power(ceil(2 * reach / {step}e0), 2)"
+
+
 BOX: Layers = [
     [("lat_c", "(lat_lo + lat_hi) / 2")],
     [("lon_step", f"metres / ({DEM_METRES} * cos(radians(lat_c)))"), ("lat_step", f"metres / {DEM_METRES}")],
@@ -110,3 +115,18 @@ def cell_grid(stations: DataFrame, most: int | None = None) -> DataFrame:
     rows = dealt(spread(spread(rows, "i", "n_alt"), "j", "n_lat"), "lon", "lat", "level", "i", "j")
     rows = spread(rows, "z", "n_lon")
     return apply(rows, PLACES).select(*stations.columns, "i", "j", "z", "c_lon", "c_lat", "c_alt")
+
+
+#: A step of a level in degrees, and the unit that grids start at.
+_UNIT = "(CASE WHEN level < 10 THEN 1e0 WHEN level < 16 THEN 1 / 60e0 ELSE 1 / 3600e0 END)"
+
+
+def reaching(stations: DataFrame) -> DataFrame:
+    """Stations with ``n_cells``, how many cells their grids have, and ``lon_reach`` and ``lat_reach``, which no cell lies beyond, in degrees.
+
+    A grid starts within a unit of its lower limit and goes on for its number of steps.
+    """
+    half = {"lon": _HALF, "lat": f"range_m / {GRID_METRES}"}
+    farthest = lambda axis: f"greatest({half[axis]}, greatest(0L, n_{axis}) * step * {_UNIT} - {half[axis]}) + {_UNIT}"
+    cells = "CAST(greatest(0L, n_lon) * greatest(0L, n_lat) * greatest(0L, n_alt) AS DOUBLE)"
+    return apply(stations, COUNTS).selectExpr(*stations.columns, f"{cells} AS n_cells", f"{farthest('lon')} AS lon_reach", f"{farthest('lat')} AS lat_reach")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formulas import DEM_METRES, HEIGHT, MBR, apply
 from .sized import dealt, few
 
-#: Side of the square tiles that spatial joins key on, in metres.
-TILE = 20.0
+#: Side of a leaf over the power of two that its triangles' boxes fit in.
+LEAF = 4.0
 
 
 def with_mbr(mesh: DataFrame) -> DataFrame:
@@ -17,45 +19,123 @@ def with_mbr(mesh: DataFrame) -> DataFrame:
     return apply(mesh, MBR)
 
 
-def _tile(x: str, tile: float) -> str:
-    return f"CAST(floor({x} / {tile}e0) AS BIGINT)"
+def side_of(level: str) -> str:
+    return f"({LEAF}e0 * power(2e0, {level}))"
+
+
+def _tile(x: str, level: str) -> str:
+    return f"CAST(floor(({x}) / {side_of(level)}) AS BIGINT)"
+
+
+def spread_tiles(rows: DataFrame, level: str, x: tuple[str, str], y: tuple[str, str], names: tuple[str, str]) -> DataFrame:
+    """A row for each tile of a level's size between limits."""
+    rows = rows.selectExpr("*", f"explode(sequence({_tile(x[0], level)}, {_tile(x[1], level)})) AS {names[0]}")
+    return rows.selectExpr("*", f"explode(sequence({_tile(y[0], level)}, {_tile(y[1], level)})) AS {names[1]}")
+
+
+def leafed(mesh: DataFrame) -> DataFrame:
+    """Triangles with their boxes, each in one leaf (level, leaf_x, leaf_y): the level is that of its size, the place its lowest corner's.
+
+    A large triangle is one row in a large leaf, a small one is one in a small leaf.
+    """
+    rows = with_mbr(mesh).selectExpr("*", "CAST(ceil(log2(greatest(hix - lox, hiy - loy, 1e-3))) AS INT) AS level")
+    return rows.selectExpr("*", *(f"{_tile(f'lo{i}', 'level')} AS leaf_{i}" for i in "xy"))
+
+
+@dataclass(frozen=True)
+class Terrain:
+    """Triangles in leaves, the leaves' boxes, which levels there are, and the mean size of triangles."""
+
+    triangles: DataFrame
+    leaves: DataFrame
+    levels: list[int]
+    size: float
+
+
+KEY = ["level", "leaf_x", "leaf_y"]
+
+
+def indexed(mesh: DataFrame | Terrain) -> Terrain:
+    """A mesh by leaves; levels are powers of two of sizes, so there are some dozens at most."""
+    if isinstance(mesh, Terrain):
+        return mesh
+    triangles = leafed(mesh)
+    box = [F.min("lox").alias("lox"), F.max("hix").alias("hix"), F.min("loy").alias("loy"), F.max("hiy").alias("hiy")]
+    leaves = triangles.groupBy(*KEY).agg(*box)
+    said = triangles.agg(F.array_sort(F.collect_set("level")).alias("levels"), F.avg(F.expr("greatest(hix - lox, hiy - loy)")).alias("size")).first()
+    return Terrain(triangles, leaves, said.levels, said.size or 1.0)
+
+
+def prepared(mesh: DataFrame, table: str, buckets: int | None = None) -> Terrain:
+    """A mesh by leaves as tables ``table`` and ``table``_leaves, written once.
+
+    Triangles are bucketed by leaf, so that joins with them shuffle what comes to them and not the mesh.  A table of
+    that name is replaced; ``dropped`` removes both.
+    """
+    spark, made = mesh.sparkSession, indexed(mesh)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made.triangles.repartition(n, *KEY).write.mode("overwrite").bucketBy(n, *KEY).sortBy(*KEY).saveAsTable(table)
+    made.leaves.write.mode("overwrite").saveAsTable(f"{table}_leaves")
+    return Terrain(spark.table(table), spark.table(f"{table}_leaves"), made.levels, made.size)
+
+
+def dropped(spark: SparkSession, table: str) -> None:
+    for name in (table, f"{table}_leaves"):
+        spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+
+
+def meeting(boxes: DataFrame, leaves: DataFrame, levels: list[int]) -> DataFrame:
+    """Boxes (qlox, qhix, qloy, qhiy, …) with the keys of the leaves whose boxes they meet, each pair once.
+
+    A box is in the class of its size.  A pair is looked for on tiles of the larger of class and level, of which both
+    meet few: no large box makes the tiles of the others larger, and no large triangle is spread over the tiles of
+    small boxes.  Of the tiles that both touch, the lowest counts.
+    """
+    asked = boxes.selectExpr("*", f"CAST(ceil(log2(greatest(qhix - qlox, qhiy - qloy, 1e-3) / {LEAF}e0)) AS INT) AS class")
+    classes = asked.agg(F.array_sort(F.collect_set("class"))).first()[0]
+    many = lambda own, others: f"explode(array_distinct(transform(array({', '.join(f'{x}' for x in others) or own}), x -> greatest(x, {own})))) AS g"
+    asked = spread_tiles(asked.selectExpr("*", many("class", levels)), "g", ("qlox", "qhix"), ("qloy", "qhiy"), ("tile_x", "tile_y"))
+    placed = spread_tiles(leaves.selectExpr("*", many("level", classes)), "g", ("lox", "hix"), ("loy", "hiy"), ("tile_x", "tile_y"))
+    first = " AND ".join(f"tile_{i} = greatest({_tile(f'lo{i}', 'g')}, {_tile(f'qlo{i}', 'g')})" for i in "xy")
+    met = " AND ".join(f"lo{i} <= qhi{i} AND hi{i} >= qlo{i}" for i in "xy")
+    pairs = asked.join(placed, ["g", "tile_x", "tile_y"]).where(f"g = greatest(class, level) AND {first} AND {met}")
+    return pairs.select(*boxes.columns, *KEY)
 
 
-def tiled(boxes: DataFrame, tile: float, x: tuple[str, str], y: tuple[str, str]) -> DataFrame:
-    """A row for each tile that a box touches: adds tile_x, tile_y."""
-    rows = boxes.selectExpr("*", f"explode(sequence({_tile(x[0], tile)}, {_tile(x[1], tile)})) AS tile_x")
-    return rows.selectExpr("*", f"explode(sequence({_tile(y[0], tile)}, {_tile(y[1], tile)})) AS tile_y")
+def at_levels(rows: DataFrame, levels: list[int]) -> DataFrame:
+    """A row for each level."""
+    return rows.selectExpr("*", f"explode(array({', '.join(map(str, levels))})) AS level" if levels else "explode(CAST(array() AS ARRAY<INT>)) AS level")
 
 
-def heights(points: DataFrame, mesh: DataFrame, *keys: str, tile: float = TILE) -> DataFrame:
+def heights(points: DataFrame, mesh: DataFrame | Terrain, *keys: str) -> DataFrame:
     """Add ``ground``: the highest triangle over each point (keys, x, y), null where there is none.
 
-    A point lies in one tile, a triangle in those of its box; the join is on tiles.  The key is ``pid`` if none is named.
+    A triangle over a point has its lowest corner at most its level's size before it, so a point looks into one leaf
+    of each level, or two or four near their limits.  The key is ``pid`` if none is named.
     """
     keys = keys or ("pid",)
-    triangles = tiled(with_mbr(mesh), tile, ("lox", "hix"), ("loy", "hiy"))
-    placed = points.select(*keys, "x", "y").selectExpr("*", f"{_tile('x', tile)} AS tile_x", f"{_tile('y', tile)} AS tile_y")
-    found = placed.join(triangles, ["tile_x", "tile_y"]).where("x BETWEEN lox AND hix AND y BETWEEN loy AND hiy")
+    terrain = indexed(mesh)
+    placed = at_levels(points.select(*keys, "x", "y"), terrain.levels)
+    placed = spread_tiles(placed, "level", ("x - power(2e0, level)", "x"), ("y - power(2e0, level)", "y"), ("leaf_x", "leaf_y"))
+    found = placed.join(terrain.triangles, KEY).where("x BETWEEN lox AND hix AND y BETWEEN loy AND hiy")
     most = found.selectExpr(*keys, f"{HEIGHT} AS z").groupBy(*keys).agg(F.max("z").alias("ground"))
     return points.join(most, list(keys), "left")
 
 
-def overlaps(boxes: DataFrame, mesh: DataFrame, tile: float = TILE, residual: Column | None = None) -> DataFrame:
+def overlaps(boxes: DataFrame, mesh: DataFrame | Terrain, residual: Column | None = None) -> DataFrame:
     """Pairs of boxes (bid, qlox … qhiz) and triangles whose boxes overlap, limits included, each pair once.
 
-    ``residual`` is a further condition on a pair.  Of the tiles that both touch, the lowest counts.
+    ``residual`` is a further condition on a pair.
     """
-    triangles = tiled(with_mbr(mesh), tile, ("lox", "hix"), ("loy", "hiy"))
-    asked = tiled(boxes, tile, ("qlox", "qhix"), ("qloy", "qhiy"))
-    first = f"tile_x = greatest({_tile('lox', tile)}, {_tile('qlox', tile)}) AND tile_y = greatest({_tile('loy', tile)}, {_tile('qloy', tile)})"
+    terrain = indexed(mesh)
     meet = " AND ".join(f"lo{i} <= qhi{i} AND hi{i} >= qlo{i}" for i in "xyz")
-    pairs = triangles.join(asked, ["tile_x", "tile_y"]).where(f"{first} AND {meet}")
+    pairs = meeting(boxes, terrain.leaves, terrain.levels).join(terrain.triangles, KEY).where(meet)
     return pairs.where(residual) if residual is not None else pairs
 
 
-def overlap_counts(boxes: DataFrame, mesh: DataFrame, tile: float = TILE, residual: Column | None = None) -> DataFrame:
+def overlap_counts(boxes: DataFrame, mesh: DataFrame | Terrain, residual: Column | None = None) -> DataFrame:
     """(bid, hits) of all boxes."""
-    hits = overlaps(boxes, mesh, tile, residual).groupBy("bid").agg(F.count("*").alias("hits"))
+    hits = overlaps(boxes, mesh, residual).groupBy("bid").agg(F.count("*").alias("hits"))
     return boxes.select("bid").join(hits, "bid", "left").select("bid", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 

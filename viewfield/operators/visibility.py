@@ -2,23 +2,45 @@
 
 Rays of one emitter share their origin: a ray lies in one sector of azimuth, a triangle in those it spans as
 seen from the emitter, all of them where its footprint holds the emitter.  The join on (emitter, sector) leaves
-few triangles a ray, which the exact test settles.  Rays of any origin are joined on the tiles they cross.
+few triangles a ray, which the exact test settles.  How many sectors an emitter has follows from its rays and the
+triangles' size.  Rays of any origin are joined on the tiles they cross.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import BOXES, CLEARANCE_SQL, DEM_METRES, MEETS, apply
 from .sized import few
-from .terrain import TILE, heights, sample, tiled, with_mbr
+from .terrain import KEY, Terrain, at_levels, heights, indexed, meeting, sample, side_of
 
+#: Sectors of emitters that have no number of their own.
 SECTORS = 720
+CORNERS = [f"{p}{i}" for p in "amc" for i in "xyz"] + [f"{f}{i}" for f in ("lo", "hi") for i in "xyz"]
+
+
+def _sector(azimuth: str) -> str:
+    return f"CAST(floor({azimuth} * sectors / 360e0) AS BIGINT)"
+
+
+def binned(emitters: DataFrame, mesh: DataFrame | Terrain, rays: str) -> DataFrame:
+    """Emitters (eid, ex, ey, reach) with ``sectors``, for about so many rays each, an SQL expression.
+
+    A triangle of size s at distances up to the reach spans a share a = s / (pi * reach) of the circle in the mean.
+    With n sectors each triangle makes 1 + n * a rows, and each ray meets 1 / n + a of the triangles.  The work of T
+    triangles and R rays, T * (1 + n * a) + R * T * (1 / n + a), is least for n = sqrt(R / a).
+    """
+    return emitters.selectExpr("*", f"CAST(greatest(1e0, ceil(sqrt(({rays}) * greatest(1e0, pi() * reach / CAST({indexed(mesh).size!r} AS DOUBLE))))) AS BIGINT) AS sectors")
 
 
-def _sector(azimuth: str, sectors: int) -> str:
-    return f"CAST(floor({azimuth} / {360 / sectors}e0) AS BIGINT)"
+def expected(targets: DataFrame) -> str:
+    """About how many targets (tx, ty) lie within an emitter's reach, were they spread evenly over their box."""
+    box = targets.agg(F.count("*").alias("n"), F.expr("greatest(max(tx) - min(tx), 1e0) * greatest(max(ty) - min(ty), 1e0)").alias("area")).first()
+    return f"least({box.n}e0, {box.n / (box.area or 1.0):.12f}e0 * pi() * reach * reach)"
 
 
 def pairs_within(emitters: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
@@ -30,15 +52,15 @@ def pairs_within(emitters: DataFrame, targets: DataFrame, reach: float) -> DataF
     return asked.join(placed, ["tile_x", "tile_y"]).where(near).drop("tile_x", "tile_y")
 
 
-def sectors_of(mesh: DataFrame, emitters: DataFrame, reach: float, sectors: int = SECTORS) -> DataFrame:
-    """Triangles by (eid, sector) as seen from the emitters that they are in reach of."""
-    tile = lambda x: f"CAST(floor({x} / {reach}e0) AS BIGINT)"
-    triangles = tiled(with_mbr(mesh), reach, ("lox", "hix"), ("loy", "hiy"))
-    asked = emitters.selectExpr("eid", "ex", "ey", "reach", f"explode(sequence({tile('ex')} - 1, {tile('ex')} + 1)) AS tile_x")
-    asked = asked.selectExpr("*", f"explode(sequence({tile('ey')} - 1, {tile('ey')} + 1)) AS tile_y")
-    first = f"tile_x = greatest({tile('lox')}, {tile('ex')} - 1) AND tile_y = greatest({tile('loy')}, {tile('ey')} - 1)"
-    reached = "lox <= ex + reach AND hix >= ex - reach AND loy <= ey + reach AND hiy >= ey - reach"
-    seen = asked.join(triangles, ["tile_x", "tile_y"]).where(f"{first} AND {reached}")
+def _with_sectors(rows: DataFrame) -> DataFrame:
+    return rows if "sectors" in rows.columns else rows.withColumn("sectors", F.lit(SECTORS).cast("long"))
+
+
+def sectors_of(mesh: DataFrame | Terrain, emitters: DataFrame) -> DataFrame:
+    """Triangles by (eid, sector) as seen from the emitters (eid, ex, ey, reach, sectors) in whose reach they are."""
+    terrain = indexed(mesh)
+    asked = _with_sectors(emitters).selectExpr("eid", "ex", "ey", "reach", "sectors", *(f"e{i} - reach AS qlo{i}" for i in "xy"), *(f"e{i} + reach AS qhi{i}" for i in "xy"))
+    seen = meeting(asked, terrain.leaves, terrain.levels).join(terrain.triangles, KEY).where("lox <= qhix AND hix >= qlox AND loy <= qhiy AND hiy >= qloy")
     turn = lambda a: f"({a} - azimuth_a - 360 * floor(({a} - azimuth_a + 180) / 360))"
     azimuth = lambda p: f"degrees(atan2({p}y - ey, {p}x - ex))"
     under = " OR ".join(f"({p}x = ex AND {p}y = ey)" for p in "amc")
@@ -50,58 +72,68 @@ def sectors_of(mesh: DataFrame, emitters: DataFrame, reach: float, sectors: int
             [("from_", "azimuth_a + least(0e0, turn_b, turn_c) - 1e-7"), ("to_", "azimuth_a + greatest(0e0, turn_b, turn_c) + 1e-7"), ("all_", f"{under} OR greatest(0e0, turn_b, turn_c) - least(0e0, turn_b, turn_c) >= 179.999e0")],
         ],
     )
-    bins = f"explode(CASE WHEN all_ THEN sequence(0L, {sectors - 1}L) ELSE sequence({_sector('from_', sectors)}, {_sector('to_', sectors)}) END) AS k"
-    corners = [f"{p}{i}" for p in "amc" for i in "xyz"] + [f"{f}{i}" for f in ("lo", "hi") for i in "xyz"]
-    return seen.selectExpr("eid", *corners, bins).selectExpr("eid", *corners, f"pmod(k, {sectors}L) AS sector")
+    bins = f"explode(CASE WHEN all_ THEN sequence(0L, sectors - 1) ELSE sequence({_sector('from_')}, least({_sector('to_')}, {_sector('from_')} + sectors - 1)) END) AS k"
+    return seen.selectExpr("eid", "sectors", *CORNERS, bins).selectExpr("eid", *CORNERS, "pmod(k, sectors) AS sector")
 
 
-def with_sector(rays: DataFrame, sectors: int = SECTORS) -> DataFrame:
-    return rays.selectExpr("*", f"pmod({_sector('degrees(atan2(ty - ey, tx - ex))', sectors)}, {sectors}L) AS sector")
+def with_sector(rays: DataFrame) -> DataFrame:
+    return _with_sectors(rays).selectExpr("*", f"pmod({_sector('degrees(atan2(ty - ey, tx - ex))')}, sectors) AS sector")
 
 
-def _joined(rays: DataFrame, mesh: DataFrame, emitters: DataFrame, reach: float, how: str) -> DataFrame:
-    triangles = sectors_of(mesh, emitters, reach).alias("m")
+def _joined(rays: DataFrame, mesh: DataFrame | Terrain, emitters: DataFrame, how: str) -> DataFrame:
+    triangles = sectors_of(mesh, emitters).alias("m")
     asked = with_sector(rays).alias("r")
     keys = (F.col("r.eid") == F.col("m.eid")) & (F.col("r.sector") == F.col("m.sector"))
-    return asked.join(triangles, keys & F.expr(BOXES) & F.expr(MEETS), how).drop("sector")
+    return asked.join(triangles, keys & F.expr(BOXES) & F.expr(MEETS), how).select(*rays.columns)
 
 
-def visible(rays: DataFrame, mesh: DataFrame, emitters: DataFrame, reach: float) -> DataFrame:
-    """Rays (eid, ex, ey, ez, tx, ty, tz) that no triangle meets, ends excluded."""
-    return _joined(rays, mesh, emitters, reach, "left_anti")
+def visible(rays: DataFrame, mesh: DataFrame | Terrain, emitters: DataFrame, reach: float | None = None) -> DataFrame:
+    """Rays (eid, ex, ey, ez, tx, ty, tz) that no triangle meets, ends excluded.
 
+    Triangles in the emitters' reach count, in ``reach`` for emitters without one.  Emitters and their rays may carry
+    ``sectors`` (see ``binned``).
+    """
+    return _joined(rays, mesh, _reaching(emitters, reach), "left_anti")
 
-def hidden(rays: DataFrame, mesh: DataFrame, emitters: DataFrame, reach: float) -> DataFrame:
+
+def hidden(rays: DataFrame, mesh: DataFrame | Terrain, emitters: DataFrame, reach: float | None = None) -> DataFrame:
     """Rays that some triangle meets."""
-    return _joined(rays, mesh, emitters, reach, "left_semi")
+    return _joined(rays, mesh, _reaching(emitters, reach), "left_semi")
 
 
-def flagged(rays: DataFrame, mesh: DataFrame, emitters: DataFrame, reach: float) -> DataFrame:
+def flagged(rays: DataFrame, mesh: DataFrame | Terrain, emitters: DataFrame, reach: float | None = None) -> DataFrame:
     """All rays with ``visible``, by one existence join; null where the target has no height."""
     blocked = f"EXISTS (SELECT 1 FROM {{triangles}} m WHERE m.eid = r.eid AND m.sector = r.sector AND {BOXES} AND {MEETS})"
     columns = ", ".join(f"r.`{c}`" for c in rays.columns)
     rows = f"SELECT {columns}, CASE WHEN r.tz IS NOT NULL THEN NOT {blocked} END AS visible FROM {{asked}} r"
-    return rays.sparkSession.sql(rows, triangles=sectors_of(mesh, emitters, reach), asked=with_sector(rays))
+    return rays.sparkSession.sql(rows, triangles=sectors_of(mesh, _reaching(emitters, reach)), asked=with_sector(rays))
+
+
+def _reaching(emitters: DataFrame, reach: float | None) -> DataFrame:
+    return emitters if reach is None or "reach" in emitters.columns else emitters.withColumn("reach", F.lit(reach))
 
 
-def pair_visibility(pairs: DataFrame, mesh: DataFrame, tile: float = TILE) -> DataFrame:
+def pair_visibility(pairs: DataFrame, mesh: DataFrame | Terrain) -> DataFrame:
     """Add ``visible`` to pairs (rid, px, py, ph, qx, qy, qh) with heights above the ground.
 
     An end lies at the whole metres of ground + 0.1, plus its height; without ground, at its height alone.
     """
+    terrain = indexed(mesh)
     ends = pairs.selectExpr("rid", "explode(array(named_struct('side', 0, 'x', px, 'y', py), named_struct('side', 1, 'x', qx, 'y', qy))) AS p").select("rid", "p.*")
     z = lambda side: F.max(F.expr(f"CASE WHEN side = {side} THEN coalesce(floor(ground + 0.1e0), 0e0) END"))
-    ground = heights(ends, mesh, "rid", "side").groupBy("rid").agg(z(0).cast("double").alias("pz"), z(1).cast("double").alias("qz"))
+    ground = heights(ends, terrain, "rid", "side").groupBy("rid").agg(z(0).cast("double").alias("pz"), z(1).cast("double").alias("qz"))
     rays = pairs.join(ground, "rid")
     rays = rays.selectExpr(*pairs.columns, "px AS ex", "py AS ey", "pz + ph AS ez", "qx AS tx", "qy AS ty", "qz + qh AS tz")
-    # tiles that the segment crosses: for each column of tiles, the rows between its two sides
+    # leaves that the segment crosses, level by level: for each column of them, the rows between its two sides;
+    # triangles of a leaf reach their size beyond it
+    size, side = "power(2e0, level)", side_of("level")
     cut = lambda x: f"(ey + (ty - ey) * ({x} - ex) / nullif(tx - ex, 0))"
-    left, right = f"greatest(least(ex, tx), tile_x * {tile}e0)", f"least(greatest(ex, tx), (tile_x + 1) * {tile}e0)"
-    crossed = rays.selectExpr("*", f"explode(sequence(CAST(floor(least(ex, tx) / {tile}e0) AS BIGINT), CAST(floor(greatest(ex, tx) / {tile}e0) AS BIGINT))) AS tile_x")
-    low, high = f"coalesce(least({cut(left)}, {cut(right)}), least(ey, ty)) - 1e-6", f"coalesce(greatest({cut(left)}, {cut(right)}), greatest(ey, ty)) + 1e-6"
-    crossed = crossed.selectExpr("*", f"explode(sequence(CAST(floor(({low}) / {tile}e0) AS BIGINT), CAST(floor(({high}) / {tile}e0) AS BIGINT))) AS tile_y")
-    triangles = tiled(with_mbr(mesh), tile, ("lox", "hix"), ("loy", "hiy")).alias("m")
-    met = crossed.alias("r").join(triangles, (F.col("r.tile_x") == F.col("m.tile_x")) & (F.col("r.tile_y") == F.col("m.tile_y")) & F.expr(BOXES) & F.expr(MEETS), "left_semi").select("rid").distinct()
+    left, right = f"greatest(least(ex, tx), leaf_x * {side})", f"least(greatest(ex, tx), (leaf_x + 1) * {side} + {size})"
+    crossed = at_levels(rays, terrain.levels).selectExpr("*", f"explode(sequence(CAST(floor((least(ex, tx) - {size}) / {side}) AS BIGINT), CAST(floor(greatest(ex, tx) / {side}) AS BIGINT))) AS leaf_x")
+    low, high = f"coalesce(least({cut(left)}, {cut(right)}), least(ey, ty)) - {size} - 1e-6", f"coalesce(greatest({cut(left)}, {cut(right)}), greatest(ey, ty)) + 1e-6"
+    crossed = crossed.selectExpr("*", f"explode(sequence(CAST(floor(({low}) / {side}) AS BIGINT), CAST(floor(({high}) / {side}) AS BIGINT))) AS leaf_y")
+    keys = [F.col(f"r.{k}") == F.col(f"m.{k}") for k in KEY]
+    met = crossed.alias("r").join(terrain.triangles.alias("m"), reduce(and_, keys) & F.expr(BOXES) & F.expr(MEETS), "left_semi").select("rid").distinct()
     return rays.join(met.withColumn("met", F.lit(True)), "rid", "left").select(*pairs.columns, "ez", "tz", F.col("met").isNull().alias("visible"))
 
 

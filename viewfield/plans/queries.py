@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +45,15 @@ def _pairs(spark, sf):
     return visibility.pairs_within(view(spark, sf, "emitters"), view(spark, sf, "targets"), REACH)
 
 
+def _sighted(spark, sf, sights):
+    """Pairs of emitters and targets that ``sights`` leaves, in as many sectors as suit them."""
+    mesh, targets = terrain.indexed(view(spark, sf, "mesh")), view(spark, sf, "targets")
+    emitters = visibility.binned(view(spark, sf, "emitters"), mesh, visibility.expected(targets))
+    return sights(visibility.pairs_within(emitters, targets, REACH), mesh, emitters).drop("sectors")
+
+
 def _visible_pairs(spark, sf):
-    return visibility.visible(_pairs(spark, sf), view(spark, sf, "mesh"), view(spark, sf, "emitters"), REACH)
+    return _sighted(spark, sf, visibility.visible)
 
 
 def _station_models(spark, sf):
@@ -70,12 +78,12 @@ def _resolutions(spark):
 
 
 def _ground(spark, sf):
-    return coverage.ground_coverage(_modelled(spark, sf), view(spark, sf, "mesh"), view(spark, sf, "bands"), STEP, REACH)
+    return coverage.ground_coverage(_modelled(spark, sf), view(spark, sf, "mesh"), view(spark, sf, "bands"), STEP)
 
 
 def _heights(spark, sf):
     levels = spark.createDataFrame([(h,) for h in HEIGHTS], "height double")
-    return coverage.height_coverage(_modelled(spark, sf), view(spark, sf, "mesh"), view(spark, sf, "bands"), levels, STEP, REACH)
+    return coverage.height_coverage(_modelled(spark, sf), view(spark, sf, "mesh"), view(spark, sf, "bands"), levels, STEP)
 
 
 def _compared(spark, sf):
@@ -287,7 +295,7 @@ def ter7_bounds(spark, sf):
 
 @query
 def los1_mesh(spark, sf):
-    return visibility.hidden(_pairs(spark, sf), view(spark, sf, "mesh"), view(spark, sf, "emitters"), REACH).select("eid", "tid")
+    return _sighted(spark, sf, visibility.hidden).select("eid", "tid")
 
 
 @query
@@ -471,12 +479,16 @@ def str1_pose_coverage(spark, sf):
     out = folder(spark, "requests")
     stream = _as_stream(spark, sf, "poses", folder(spark, "poses"))
 
+    table = f"terrain_{uuid.uuid4().hex}"
+    mesh = terrain.prepared(view(spark, sf, "mesh"), table)
+
     def cells_of(batch: DataFrame) -> DataFrame:
         emitters = coverage.with_models(batch.selectExpr(*POSE_EMITTERS), view(spark, sf, "models"))
         levels = spark.createDataFrame([(POSE_HEIGHT,)], "height double")
-        return coverage.height_coverage(emitters, view(spark, sf, "mesh"), view(spark, sf, "bands"), levels, STEP, POSE_REACH)
+        return coverage.height_coverage(emitters, mesh, view(spark, sf, "bands"), levels, STEP)
 
     pose_streams.append_each(stream, cells_of, out, folder(spark, "progress")).awaitTermination()
+    terrain.dropped(spark, table)
     return spark.read.parquet(out).selectExpr("eid AS event_id", "idx", "visible", f"{DECIBEL} AS db")
 
 
