@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formulas import DEM_METRES, HEIGHT, MBR, apply
+from ..sources.shared import stored
 from .sized import dealt, few
 
 #: Side of a leaf over the power of two that its triangles' boxes fit in.
@@ -184,12 +185,45 @@ CORNERS = [
 ]
 
 
-def quads(dem: DataFrame) -> DataFrame:
-    """(dem_id, row, col, h00, h10, h01, h11): each pixel's elevation and those one column, one row and both further."""
-    places = ", ".join(f"named_struct('row', row - {j}, 'col', col - {i}, 'at', '{i}{j}')" for j in (0, 1) for i in (0, 1))
-    each = dem.selectExpr("dem_id", "height", f"explode(array({places})) AS p").select("dem_id", "p.*", "height")
-    corners = [F.max(F.expr(f"CASE WHEN at = '{i}{j}' THEN height END")).alias(f"h{i}{j}") for j in (0, 1) for i in (0, 1)]
-    return each.groupBy("dem_id", "row", "col").agg(*corners)
+#: Pixels along a block's side.
+BLOCK = 16
+
+
+@dataclass(frozen=True)
+class Raster:
+    """Elevation models as blocks of n by n pixels and one row and column more: (dem_id, brow, bcol, cells, top), stored."""
+
+    blocks: DataFrame
+    n: int
+
+
+def raster(dem: DataFrame | Raster, n: int = BLOCK) -> Raster:
+    """Models (dem_id, row, col, height) as blocks; ``cells`` row by row, null where there is no elevation, ``top`` their maximum.
+
+    Pixels on a block's first row or column are in the block before too, so a quad of pixels lies in one block.  Of
+    pixels given twice the highest counts.
+    """
+    if isinstance(dem, Raster):
+        return dem
+    near = lambda x: f"IF({x} % {n} = 0 AND {x} > 0, array({x} DIV {n}, {x} DIV {n} - 1), array({x} DIV {n}))"
+    rows = dem.selectExpr("dem_id", "row", "col", "height", f"explode({near('row')}) AS brow").selectExpr("*", f"explode({near('col')}) AS bcol")
+    rows = rows.selectExpr("dem_id", "brow", "bcol", f"CAST((row - brow * {n}) * {n + 1} + col - bcol * {n} AS INT) AS at", "height")
+    held = rows.groupBy("dem_id", "brow", "bcol").agg(F.array_sort(F.collect_list(F.struct("at", "height"))).alias("s"), F.max("height").alias("top"))
+
+    def dense(s: Column) -> Column:
+        last = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (s[F.least(i + 1, F.size(s) - 1)].at != x.at))
+        gap = lambda d: F.flatten(F.transform(d, lambda x, i: F.concat(F.array_repeat(F.lit(None).cast("double"), x.at - 1 - F.when(i == 0, F.lit(-1)).otherwise(d[F.greatest(i - 1, F.lit(0))].at)), F.array(x.height))))
+        return F.transform(F.array(last), gap)[0]
+
+    blocks = held.select("dem_id", "brow", "bcol", F.transform(F.array("s"), dense)[0].alias("cells"), "top")
+    return Raster(stored(blocks, "blocks"), n)
+
+
+def tops(made: Raster, factor: int = 1) -> DataFrame:
+    """(dem_id, trow, tcol, top): the maxima of squares of two by two larger blocks, ``factor`` blocks a side, from each on."""
+    large = made.blocks.groupBy("dem_id", F.expr(f"brow DIV {factor}").alias("trow"), F.expr(f"bcol DIV {factor}").alias("tcol")).agg(F.max("top").alias("top"))
+    around = large.selectExpr("dem_id", "explode(array(trow, trow - 1)) AS trow", "tcol", "top").selectExpr("dem_id", "trow", "explode(array(tcol, tcol - 1)) AS tcol", "top")
+    return around.groupBy("dem_id", "trow", "tcol").agg(F.max("top").alias("top"))
 
 
 def _sampled() -> str:
@@ -202,16 +236,21 @@ def _sampled() -> str:
     return f"CASE WHEN near_edge THEN h00 ELSE coalesce({bilinear}, {mean}) END"
 
 
-def sample(points: DataFrame, dem: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
+def sample(points: DataFrame, dem: DataFrame | Raster, meta: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, height): elevation at points (keys, dem_id, lon, lat), null for none.
 
     Bilinear among four pixel centres; the mean of those that have values if some have none; the nearest
-    pixel, clamped, where one of the four is outside.  A point is joined once, on the index of its quad.
+    pixel, clamped, where one of the four is outside.  A point is joined once, on the block that holds its quad.
     """
+    made = raster(dem)
+    n = made.n
     size = few(meta.select("dem_id", "gt0", "gt1", "gt3", "gt5", "width", F.col("height").alias("height")))
     placed = apply(points.join(size, "dem_id"), CORNERS)
     asked = placed.selectExpr(*dict.fromkeys([*keys, "dem_id"]), "near_edge", "fcol", "frow", "col0", "row0", "CASE WHEN near_edge THEN nrow ELSE row0 END AS row", "CASE WHEN near_edge THEN ncol ELSE col0 END AS col")
-    return asked.join(quads(dem), ["dem_id", "row", "col"], "left").selectExpr(*keys, f"{_sampled()} AS height")
+    asked = asked.selectExpr("*", f"row DIV {n} AS brow", f"col DIV {n} AS bcol", f"CAST((row % {n}) * {n + 1} + col % {n} AS INT) AS at")
+    corners = [f"get(cells, at + {j * (n + 1) + i}) AS h{i}{j}" for j in (0, 1) for i in (0, 1)]
+    met = asked.join(made.blocks.select("dem_id", "brow", "bcol", "cells"), ["dem_id", "brow", "bcol"], "left")
+    return met.selectExpr(*dict.fromkeys([*keys, "dem_id"]), "near_edge", "fcol", "frow", "col0", "row0", *corners).selectExpr(*keys, f"{_sampled()} AS height")
 
 
 def pixel_heights(indices: DataFrame, dem: DataFrame) -> DataFrame:

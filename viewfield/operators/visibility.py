@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import BOXES, CLEARANCE_SQL, DEM_METRES, MEETS, apply
+from ..sources.shared import stored
 from .sized import few
-from .terrain import KEY, Terrain, at_levels, heights, indexed, meeting, sample, side_of
+from .terrain import KEY, Raster, Terrain, at_levels, heights, indexed, meeting, raster, sample, side_of, tops
 
 #: Sectors of emitters that have no number of their own.
 SECTORS = 720
@@ -147,24 +148,72 @@ STEPS = [
 SAMPLES = [[("lon", "e_lon + i / CAST(n AS DOUBLE) * (t_lon - e_lon)"), ("lat", "e_lat + i / CAST(n AS DOUBLE) * (t_lat - e_lat)"), ("ray_h", "e_alt + i / CAST(n AS DOUBLE) * (t_alt - e_alt)")]]
 
 
-def _sampled(rays: DataFrame, dem: DataFrame, meta: DataFrame, ends: bool) -> DataFrame:
-    stepped = apply(rays.join(few(meta.select("dem_id", "gt1")), "dem_id"), STEPS)
-    span = "sequence(0L, n)" if ends else "sequence(1L, n - 1)"
-    points = apply(stepped.where("NOT same").selectExpr("rid", "dem_id", "e_lon", "e_lat", "e_alt", "t_lon", "t_lat", "t_alt", "n", "dist_m", f"explode({span}) AS i"), SAMPLES)
-    points = points.select("rid", "dem_id", "n", "dist_m", "i", "lon", "lat", "ray_h")
+#: Blocks along a side of the coarser squares of the pyramid, one sample of so many that is looked up first.
+COARSE, STRIDE = 8, 8
+RAY = ["rid", "dem_id", "e_lon", "e_lat", "e_alt", "t_lon", "t_lat", "t_alt", "n", "dist_m"]
+
+
+def _stepped(rays: DataFrame, meta: DataFrame) -> DataFrame:
+    return apply(rays.join(few(meta.select("dem_id", "gt1")), "dem_id"), STEPS).where("NOT same").select(*RAY)
+
+
+def _looked_up(points: DataFrame, dem: Raster, meta: DataFrame) -> DataFrame:
+    """Samples (RAY, i) with the elevation there and whether the ray runs below it."""
     keys = ["rid", "dem_id", "n", "dist_m", "i", "lon", "lat", "ray_h"]
-    return sample(points, dem, meta, keys).withColumnRenamed("height", "terrain_h").withColumn("below", F.expr(f"coalesce(ray_h < terrain_h - {CLEARANCE_SQL}, FALSE)"))
+    rows = sample(apply(points, SAMPLES).select(*keys), dem, meta, keys)
+    return rows.withColumnRenamed("height", "terrain_h").withColumn("below", F.expr(f"coalesce(ray_h < terrain_h - {CLEARANCE_SQL}, FALSE)"))
 
 
-def dem_visible(rays: DataFrame, dem: DataFrame, meta: DataFrame) -> DataFrame:
+def _parts(rows: DataFrame, dem: Raster, factor: int, meta: DataFrame) -> DataFrame:
+    """Stretches (RAY, low, high) of samples cut so short that each lies in two by two squares of the pyramid, less those above the terrain.
+
+    Quads of samples are monotone along a ray, so those of a stretch lie between those of its ends.
+    """
+    n = dem.n * factor
+    size = few(meta.select("dem_id", "gt0", "gt1", "gt3", "gt5", "width", "height"))
+    at = lambda i, axis: f"((e_{axis} + {i} / CAST(n AS DOUBLE) * (t_{axis} - e_{axis})) - {'gt0' if axis == 'lon' else 'gt3'}) / {'gt1' if axis == 'lon' else 'gt5'} - 0.5e0"
+    long = f"greatest(abs(({at('high', 'lon')}) - ({at('low', 'lon')})), abs(({at('high', 'lat')}) - ({at('low', 'lat')})))"
+    rows = rows.join(size, "dem_id").selectExpr(*rows.columns, "gt0", "gt1", "gt3", "gt5", "width", "height", f"CAST(ceil({long} / {n - 3}e0) AS BIGINT) AS parts")
+    rows = rows.selectExpr("*", "explode(sequence(0L, greatest(parts, 1L) - 1)) AS part")
+    first, last = "low + ((high - low + 1) * part) DIV greatest(parts, 1L)", "low + ((high - low + 1) * (part + 1)) DIV greatest(parts, 1L) - 1"
+    rows = rows.withColumnsRenamed({"low": "low_", "high": "high_"})
+    rows = rows.selectExpr(*RAY, "gt0", "gt1", "gt3", "gt5", "width", "height", f"{first.replace('low', 'low_').replace('high', 'high_')} AS low", f"{last.replace('low', 'low_').replace('high', 'high_')} AS high").where("low <= high")
+    # a pixel to spare on both sides, clamped as samples are
+    least = lambda axis, most: f"greatest(0L, least({most} - 1, CAST(floor(least({at('low', axis)}, {at('high', axis)})) AS BIGINT))) DIV {n}"
+    rows = rows.selectExpr("*", f"{least('lat', 'height')} AS trow", f"{least('lon', 'width')} AS tcol")
+    ray_h = lambda i: f"(e_alt + {i} / CAST(n AS DOUBLE) * (t_alt - e_alt))"
+    met = rows.join(tops(dem, factor), ["dem_id", "trow", "tcol"])
+    return met.where(f"least({ray_h('low')}, {ray_h('high')}) < top - {CLEARANCE_SQL} + 1e-6").select(*RAY, "low", "high")
+
+
+def dem_rounds(rays: DataFrame, dem: DataFrame | Raster, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Samples that decide which rays are blocked, in two rounds, with whether each is below the terrain.
+
+    Stretches of a ray above the maxima of the squares they cross need no sample.  Of the others some samples are
+    looked up first; the rest only of rays that none of these blocks.
+    """
+    made = raster(dem)
+    whole = _stepped(rays, meta).selectExpr("*", "1L AS low", "n - 1 AS high")
+    parts = stored(_parts(_parts(whole, made, COARSE, meta), made, 1, meta), "stretches")
+    some = f"transform(sequence(0L, (high - low) DIV {STRIDE}), k -> least(high, low + k * {STRIDE} + {STRIDE // 2}))"
+    first = _looked_up(parts.selectExpr(*RAY, f"explode(array_distinct({some})) AS i"), made, meta)
+    first = stored(first.select("rid", "dem_id", "i", "below"), "samples")
+    left = parts.join(first.where("below").select("rid", "dem_id"), ["rid", "dem_id"], "left_anti")
+    rest = left.selectExpr(*RAY, f"explode(array_except(sequence(low, high), {some})) AS i")
+    return first, _looked_up(rest, made, meta).select("rid", "dem_id", "i", "below")
+
+
+def dem_visible(rays: DataFrame, dem: DataFrame | Raster, meta: DataFrame) -> DataFrame:
     """(rid, dem_id, visible) of rays over elevation models; samples without elevation don't block."""
-    blocked = _sampled(rays, dem, meta, ends=False).groupBy("rid", "dem_id").agg(F.max("below").alias("blocked"))
+    first, rest = dem_rounds(rays, dem, meta)
+    blocked = first.union(rest).where("below").select("rid", "dem_id").distinct().withColumn("blocked", F.lit(True))
     return rays.select("rid", "dem_id").join(blocked, ["rid", "dem_id"], "left").select("rid", "dem_id", (~F.coalesce("blocked", F.lit(False))).alias("visible"))
 
 
-def dem_profile(rays: DataFrame, dem: DataFrame, meta: DataFrame) -> DataFrame:
+def dem_profile(rays: DataFrame, dem: DataFrame | Raster, meta: DataFrame) -> DataFrame:
     """(rid, dem_id, n, dist_m, first_below, samples): every sample, ends too; the first inner one below, or -1."""
-    grouped = _sampled(rays, dem, meta, ends=True).groupBy("rid", "dem_id", "n", "dist_m").agg(
+    samples = _stepped(rays, meta).selectExpr(*RAY, "explode(sequence(0L, n)) AS i")
+    grouped = _looked_up(samples, raster(dem), meta).groupBy("rid", "dem_id", "n", "dist_m").agg(
         F.coalesce(F.min(F.expr("CASE WHEN below AND i BETWEEN 1 AND n - 1 THEN i END")), F.lit(-1)).alias("first_below"),
         F.array_sort(F.collect_list(F.struct("i", "lon", "lat", "ray_h", "terrain_h", "below"))).alias("samples"),
     )
