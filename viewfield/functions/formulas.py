@@ -160,10 +160,16 @@ def encode_layers() -> list[Layers]:
 KEY = "k_lon | (k_lat << 1) | (k_alt << 2)"
 
 
-def decode_layers() -> Layers:
+def compact_layers() -> Layers:
+    """The codes k_lon, k_lat, k_alt of each axis of a key."""
     out: Layers = [[("k_lon", f"code & {MASKS[-1]}"), ("k_lat", f"(code >> 1) & {MASKS[-1]}"), ("k_alt", f"(code >> 2) & {MASKS[-1]}")]]
     for m, k in zip([*MASKS[-2::-1], 0x1FFFFF], SHIFTS[::-1]):
         out.append([(x, f"({x} | ({x} >> {k})) & {m}") for x in ("k_lon", "k_lat", "k_alt")])
+    return out
+
+
+def decode_layers() -> Layers:
+    out = compact_layers()
     out.append([(x, f"{x} << (21 - level)") for x in ("k_lon", "k_lat", "k_alt")])
     value = lambda x, bits: f"(((({x} >> 12) & {bits}) + (({x} >> 6) & 63) / 60e0 + ({x} & 63) / 3600e0))"
     sign = lambda x: f"CASE WHEN ({x} & 1048576) > 0 THEN -1 ELSE 1 END"

@@ -5,12 +5,13 @@ Joins are stated as they are meant, pair by pair; only scalar formulas are share
 
 from __future__ import annotations
 
-from ..functions.formulas import ATTENUATION, BOXES, CLEARANCE_SQL, CROSSES, DECIBEL, DENSITY, FROM_DEGREES, FROM_METRES, HEIGHT, KEY, MBR, MEETS, PATTERNS, SECTOR, SNAPSHOT, TURNED, decode_layers, distance, encode_layers, nested, pattern
+from ..functions.formulas import ATTENUATION, BOXES, CELL_EARTH, CLEARANCE_SQL, CROSSES, DECIBEL, DENSITY, FROM_DEGREES, FROM_METRES, HEIGHT, KEY, MBR, MEETS, PATTERNS, SECTOR, SNAPSHOT, TURNED, decode_layers, distance, encode_layers, nested, pattern
 from ..operators.grid import BOX, COUNTS, PLACES
 from ..operators.summary import AGREEMENT, GREY, NORMAL, PALETTE
 from ..operators.terrain import CORNERS, RASTER
 from ..operators.visibility import SAMPLES, STEPS
 from ..sources.fixtures import text
+from .queries import BOX as BOX_
 from .queries import HEIGHTS, LAT0, LON0, POSE_EMITTERS, POSE_HEIGHT, REACH, RESOLUTIONS, SCALE, STEP
 
 ORACLES: dict[str, str] = {}
@@ -102,16 +103,26 @@ ORACLES["cell2_decode"] = f"SELECT pid, level, {_r('c_lon', 'c_lat', digits=9)},
 ORACLES["src5_code_csv"] = f"SELECT pid AS id, code, {_r('c_lon', 'c_lat', digits=9)}, {_r('c_alt', digits=4)} FROM ({DECODED}) q"
 ORACLES["cell5_round_trip"] = f"SELECT level, count(*) AS n, round(max(abs(lon - c_lon)), 7) AS lon_error, round(max(abs(lat - c_lat)), 7) AS lat_error, round(max(abs(alt - c_alt)), 3) AS alt_error FROM ({DECODED}) q GROUP BY level"
 
-_stations = f"SELECT sid AS eid, sid % 8 AS model, *, lon AS e_lon, lat AS e_lat, alt AS e_alt, CAST(sid * 37 % 360 - 180 AS DOUBLE) + 0.10041e0 AS e_theta, CAST(sid * 11 % 21 - 10 AS DOUBLE) + 0.10037e0 AS e_phi FROM {v('stations')} q"
+_placed = lambda name: f"SELECT sid AS eid, sid % 8 AS model, *, lon AS e_lon, lat AS e_lat, alt AS e_alt, CAST(sid * 37 % 360 - 180 AS DOUBLE) + 0.10041e0 AS e_theta, CAST(sid * 11 % 21 - 10 AS DOUBLE) + 0.10037e0 AS e_phi FROM {v(name)} q"
+_stations = _placed("stations")
 VOLUME = _score(f"SELECT *, c_lon AS t_lon, c_lat AS t_lat, c_alt AS t_alt FROM ({_grid(_models(_stations))}) q", degrees=True)
 COVERAGE = _encoded(f"SELECT eid AS id, c_lon AS lon, c_lat AS lat, greatest(c_alt, 0e0) AS alt, density, CAST(i AS DOUBLE) AS timestamp, 16 AS level FROM ({VOLUME}) q")
 ORACLES["cov6_volume"] = f"SELECT eid, i, j, z, {DECIBEL} AS db FROM ({VOLUME}) q"
+_frame = lambda p, lon, lat, alt: f"({lon} - {LON0}e0) * {SCALE}e0 AS {p}x, ({lat} - {LAT0}e0) * {SCALE}e0 AS {p}y, {alt} AS {p}z"
+_site_rays = f"SELECT *, c_lon AS t_lon, c_lat AS t_lat, c_alt AS t_alt, {_frame('e', 'e_lon', 'e_lat', 'e_alt')}, {_frame('t', 'c_lon', 'c_lat', 'c_alt')} FROM ({_grid(_models(_placed('sites')))}) q"
+ORACLES["cov6_hidden_cells"] = WITH_MESH + f", rays_ AS MATERIALIZED ({_site_rays}), seen_ AS MATERIALIZED (SELECT *, NOT {HIDDEN} AS visible FROM rays_ r) SELECT eid, i, j, z, visible, CASE WHEN visible THEN {DECIBEL} END AS db FROM ({_score('SELECT * FROM seen_', degrees=True)}) q"
 ORACLES["snk1_coverage_rows"] = f"SELECT id, code, round(lon, 6) AS lon, round(lat, 6) AS lat, round(alt, 3) AS alt, {DECIBEL} AS db, timestamp FROM ({COVERAGE}) q"
 ORACLES["cell3_roll_up"] = f"""SELECT up, code, n, CASE WHEN most > 0 THEN round(10 * log10(most), 2) END AS most_db, CASE WHEN mean > 0 THEN round(10 * log10(mean), 2) END AS mean_db
 FROM (SELECT up, c.code >> (3 * up) AS code, count(*) AS n, max(density) AS most, avg(density) AS mean FROM ({COVERAGE}) c, (VALUES (1), (2), (4)) u(up) GROUP BY 1, 2) q"""
 ORACLES["cell4_scan"] = f"""WITH c AS MATERIALIZED ({COVERAGE}), b AS (SELECT id AS b_id, count(*) AS n, min(code) AS low, max(code) AS high FROM c GROUP BY id ORDER BY n DESC, id LIMIT 1)
 SELECT id, code, timestamp FROM c, b WHERE id = b_id AND timestamp >= 1 AND code BETWEEN low AND (low + 3 * high) // 4"""
 
+_keys = _decoded(f"SELECT * EXCLUDE (k_lon, k_lat, k_alt) FROM (SELECT *, 0 AS k_lon, 0 AS k_lat, 0 AS k_alt FROM ({COVERAGE}) c) d")
+_edge = lambda x: f"CAST(floor({x}) AS BIGINT) * 4096 + CAST(floor(({x} - floor({x})) * 60) AS BIGINT) * 64 + CAST(floor((({x} - floor({x})) * 60 - floor(({x} - floor({x})) * 60)) * 60) AS BIGINT)"
+_inside = lambda k, lo, hi: f"{k} >> 5 BETWEEN ({_edge(lo)}) >> 5 AND ({_edge(hi)}) >> 5"
+_high = lambda z: f"(({z}e0 + {CELL_EARTH}e0) / (50000 + {CELL_EARTH}e0) * 512)"
+ORACLES["cell4_box"] = f"SELECT code, count(*) AS n, round(min(lon), 6) AS lon_lo, round(max(lat), 6) AS lat_hi FROM ({_keys}) q WHERE {_inside('k_lon', f'{BOX_[0]}e0', f'{BOX_[1]}e0')} AND {_inside('k_lat', f'{BOX_[2]}e0', f'{BOX_[3]}e0')} AND {_inside('k_alt', _high(BOX_[4]), _high(BOX_[5]))} GROUP BY code"
+
 _ground = lambda points, key: f"(SELECT p.{key} AS key_, max({HEIGHT}) AS ground FROM ({points}) p JOIN mesh_ m ON x BETWEEN lox AND hix AND y BETWEEN loy AND hiy GROUP BY 1)"
 ORACLES["ter1_heights"] = WITH_MESH + f"SELECT tid AS pid, round(ground, 6) AS ground FROM {v('targets')} t LEFT JOIN {_ground(f'SELECT tid, tx AS x, ty AS y FROM {v("targets")} q', 'tid')} g ON tid = key_"
 ORACLES["ter2_overlaps"] = WITH_MESH + f"SELECT tid AS bid, (SELECT count(*) FROM mesh_ WHERE " + " AND ".join(f"lo{i} <= t{i} + 15 AND hi{i} >= t{i} - 15" for i in "xyz") + f") AS hits FROM {v('targets')} t"

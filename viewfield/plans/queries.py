@@ -56,14 +56,14 @@ def _visible_pairs(spark, sf):
     return _sighted(spark, sf, visibility.visible)
 
 
-def _station_models(spark, sf):
-    stations = view(spark, sf, "stations").selectExpr("sid AS eid", "sid % 8 AS model", "*", "lon AS e_lon", "lat AS e_lat", "alt AS e_alt", "CAST(sid * 37 % 360 - 180 AS DOUBLE) + 0.10041e0 AS e_theta", "CAST(sid * 11 % 21 - 10 AS DOUBLE) + 0.10037e0 AS e_phi")
+def _station_models(spark, sf, name="stations"):
+    stations = view(spark, sf, name).selectExpr("sid AS eid", "sid % 8 AS model", "*", "lon AS e_lon", "lat AS e_lat", "alt AS e_alt", "CAST(sid * 37 % 360 - 180 AS DOUBLE) + 0.10041e0 AS e_theta", "CAST(sid * 11 % 21 - 10 AS DOUBLE) + 0.10037e0 AS e_phi")
     return coverage.with_models(stations, view(spark, sf, "models"))
 
 
-def _volume(spark, sf):
+def _volume(spark, sf, name="stations"):
     """Scored cells of the stations' 3D grids, 0 where the mesh hides them."""
-    return coverage.volume_coverage(_station_models(spark, sf), view(spark, sf, "mesh"), view(spark, sf, "bands"), LON0, LAT0, SCALE)
+    return coverage.volume_coverage(_station_models(spark, sf, name), view(spark, sf, "mesh"), view(spark, sf, "bands"), LON0, LAT0, SCALE)
 
 
 def _coverage_rows(spark, sf):
@@ -105,7 +105,7 @@ def src1_mesh(spark, sf):
 
 @query
 def src2_dem(spark, sf):
-    rows = view(spark, sf, "dem").join(F.broadcast(view(spark, sf, "dem_meta").drop("height", "width")), "dem_id")  # a row a model
+    rows = view(spark, sf, "dem").join(few(view(spark, sf, "dem_meta").drop("height", "width")), "dem_id")
     return io.with_sentinel(rows.selectExpr("dem_id", "row", "col", "height", "round(gt0 + (col + 0.5e0) * gt1, 9) AS lon", "round(gt3 + (row + 0.5e0) * gt5, 9) AS lat"))
 
 
@@ -138,8 +138,8 @@ def src5_code_csv(spark, sf):
 @query
 def snk1_coverage_rows(spark, sf):
     path = folder(spark, "coverage")
-    io.append_coverage(_coverage_rows(spark, sf), path)
-    return spark.read.parquet(path).selectExpr("CAST(id AS BIGINT) AS id", "code", "round(lon, 6) AS lon", "round(lat, 6) AS lat", "round(alt, 3) AS alt", f"{DECIBEL} AS db", "timestamp")
+    io.append_coverage(_coverage_rows(spark, sf), path, "volume")
+    return io.read_coverage(spark, path).selectExpr("CAST(id AS BIGINT) AS id", "code", "round(lon, 6) AS lon", "round(lat, 6) AS lat", "round(alt, 3) AS alt", f"{DECIBEL} AS db", "timestamp")
 
 
 @query
@@ -236,14 +236,27 @@ def cell3_roll_up(spark, sf):
 @query
 def cell4_scan(spark, sf):
     path = folder(spark, "scan")
-    io.append_coverage(_coverage_rows(spark, sf), path)
-    rows = spark.read.parquet(path)
+    io.append_coverage(_coverage_rows(spark, sf), path, "volume")
+    rows = io.read_coverage(spark, path)
     # the emitter with the most rows, from the second time step on, in the lower three quarters of its keys
     found = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("code").alias("low"), F.max("code").alias("high")).orderBy(F.desc("n"), "id").first()
     chosen = found or {"id": 0, "low": 0, "high": 0}
     return cells.scan(rows, F.lit(chosen["id"]), F.lit(1.0), F.lit(chosen["low"]), F.lit((chosen["low"] + 3 * chosen["high"]) // 4)).selectExpr("CAST(id AS BIGINT) AS id", "code", "timestamp")
 
 
+#: The box that is scanned: degrees east and north, metres up.
+BOX = (115.0, 117.5, 23.0, 25.0, 0.0, 30000.0)
+
+
+@query
+def cell4_box(spark, sf):
+    """Stored rows whose cell meets a box, by few ranges of keys, counted by cell."""
+    path = folder(spark, "scan")
+    io.append_coverage(_coverage_rows(spark, sf), path, "volume")
+    rows = cells.scan_box(io.read_coverage(spark, path), *BOX, level=16)
+    return rows.groupBy("code").agg(F.count("*").alias("n"), F.round(F.min("lon"), 6).alias("lon_lo"), F.round(F.max("lat"), 6).alias("lat_hi"))
+
+
 @query
 def cell5_round_trip(spark, sf):
     encoded = cells.encode(view(spark, sf, "positions"))
@@ -290,7 +303,7 @@ def ter6_pixels(spark, sf):
 def ter7_bounds(spark, sf):
     inside = terrain.in_bounds(view(spark, sf, "points").selectExpr("pid", "0L AS dem_id", "lon", "lat"), view(spark, sf, "dem_meta"))
     limits = terrain.dem_extent(view(spark, sf, "dem_meta"))
-    return inside.join(F.broadcast(limits), "dem_id").select("pid", *_round("lon_lo", "lon_hi", "lat_lo", "lat_hi"))  # a row a model
+    return inside.join(few(limits), "dem_id").select("pid", *_round("lon_lo", "lon_hi", "lat_lo", "lat_hi"))
 
 
 @query
@@ -389,6 +402,12 @@ def cov6_volume(spark, sf):
     return _volume(spark, sf).selectExpr("eid", "i", "j", "z", f"{DECIBEL} AS db")
 
 
+@query
+def cov6_hidden_cells(spark, sf):
+    """Volumes of stations among the mesh: most cells near the ground are hidden, and far-reaching stations are among them."""
+    return _volume(spark, sf, "sites").selectExpr("eid", "i", "j", "z", "visible", f"{DECIBEL} AS db")
+
+
 @query
 def cov7_ground(spark, sf):
     return _ground(spark, sf).selectExpr("eid", "idx", "visible", f"{DECIBEL} AS db")

@@ -50,6 +50,9 @@ VIEWS = {
     "coarse_stations": """SELECT sid, CAST(sid * 7919 % 6000 AS DOUBLE) / 1000 + 14.0001e0 AS lon, CAST(sid * 104729 % 5000 AS DOUBLE) / 1000 + 22.0001e0 AS lat, CAST(sid % 1000 AS DOUBLE) + 0.5e0 AS alt, level,
         CASE WHEN level < 10 THEN 143000e0 * (CASE WHEN level = 0 THEN 256 ELSE power(2e0, 9 - level) END) ELSE 5e0 END AS range_m
         FROM (SELECT s_suppkey AS sid, CASE WHEN s_suppkey % 8 = 7 THEN CAST(25 AS BIGINT) ELSE CAST(s_suppkey % 8 AS BIGINT) END AS level FROM {supplier}) v""",
+    # stations within the mesh's own extent; each 25th reaches far beyond it
+    "sites": """SELECT s_suppkey AS sid, 114.16e0 + (CAST(s_suppkey * 1237 % 499 AS DOUBLE) + 0.03e0) / 100000 AS lon, 22.28e0 + (CAST(s_suppkey * 3571 % 497 AS DOUBLE) + 0.07e0) / 100000 AS lat, CAST(5 + s_suppkey % 23 AS DOUBLE) + 0.5e0 AS alt,
+        CASE WHEN s_suppkey % 25 = 7 THEN CAST(8 AS BIGINT) ELSE CAST(22 AS BIGINT) END AS level, CASE WHEN s_suppkey % 25 = 7 THEN 300000e0 ELSE 45e0 END AS range_m FROM {supplier}""",
     "dem": "SELECT CAST(0 AS BIGINT) AS dem_id, CAST(floor(k / 100) AS BIGINT) AS row, k % 100 AS col, CASE WHEN k % 41 = 0 THEN NULL ELSE CAST(k * 7919 % 601 AS DOUBLE) / 10 END AS height FROM (SELECT o_orderkey AS k FROM {orders}) v",
     "dem_meta": "SELECT CAST(0 AS BIGINT) AS dem_id, 114.16e0 AS gt0, 0.0001e0 AS gt1, 22.29e0 AS gt3, -0.0001e0 AS gt5, CAST(100 AS BIGINT) AS width, CAST(floor(max(o_orderkey) / 100) + 1 AS BIGINT) AS height FROM {orders}",
     "points": "SELECT c_custkey AS pid, 114.1597e0 + CAST(c_custkey * 7919 % 10607 AS DOUBLE) / 1000000 AS lon, 22.2903e0 - CAST(c_custkey * 104729 % 15607 AS DOUBLE) / 1000000 AS lat, CAST(c_custkey % 97 AS DOUBLE) + 0.5e0 AS alt FROM {customer}",

@@ -41,12 +41,33 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def append_coverage(rows: DataFrame, path: str) -> None:
-    """Append coverage rows (id, timestamp, code, …): a folder for each emitter, sorted by time and cell in files.
+#: Rows of a file of coverage at most.
+FILE_ROWS = 5_000_000
 
-    Ranges of the whole key are dealt, so an emitter with many rows goes to several tasks.
+
+def append_coverage(rows: DataFrame, path: str, job: str) -> None:
+    """Append a job's coverage rows (id, timestamp, code, …): a folder for each emitter, sorted by time and cell in files.
+
+    Ranges of the whole key are dealt, so an emitter with many rows goes to several tasks, and one with few is in two
+    files at most.  A job has a folder of its own, which a repeated run replaces, and a mark that is written when all
+    its rows are: ``read_coverage`` sees whole jobs only, each once.
     """
-    rows.repartitionByRange("id", "timestamp", "code").sortWithinPartitions("id", "timestamp", "code").write.partitionBy("id").mode("append").parquet(path)
+    mark = f"{path}/_done/job={job}"
+    _removed(rows.sparkSession, mark)
+    dealt = rows.repartitionByRange("id", "timestamp", "code").sortWithinPartitions("id", "timestamp", "code")
+    dealt.write.partitionBy("id").option("maxRecordsPerFile", FILE_ROWS).mode("overwrite").parquet(f"{path}/job={job}")
+    rows.sparkSession.sql(f"SELECT '{job}' AS name").coalesce(1).write.mode("overwrite").parquet(mark)
+
+
+def read_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all jobs that ended; an error if there is none."""
+    jobs = [r.name for r in spark.read.parquet(f"{path}/_done").select("name").collect()]  # a row a job
+    return spark.read.option("basePath", path).parquet(*[f"{path}/job={j}" for j in sorted(jobs)]).drop("job")
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
