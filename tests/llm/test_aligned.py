@@ -72,7 +72,7 @@ def test_against_brute_force(spark, monkeypatch):
     docs = [(r.doc_id, r.text) for r in frame(spark).collect()] + [(100 + i, x) for i, x in enumerate(ODD)]
     want = brute(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS chunk", "1 AS n", "2 AS pair", "3 AS links")
-    assert result(aligned.align(df, A, B)) == want
+    assert result(aligned.align(df, A, P.PATTERN, B)) == want
     assert sum(x[4] for x in want) > 0 and any(x[1] == 0 for x in want)
 
 
@@ -80,15 +80,15 @@ def test_chunks_do_not_change_counts(spark, monkeypatch):
     docs = [(i, " ".join(["some", "words", "come", "again"][: 1 + i % 4] + [f"own{i}"])) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     want = brute(docs)
-    assert result(aligned.align(df, A, B)) == want
+    assert result(aligned.align(df, A, P.PATTERN, B)) == want
     monkeypatch.setattr(aligned, "CHUNK", 40)
-    assert aligned.chunks(df, A, B, "doc_id", "text").count() > 3
-    assert result(aligned.align(df, A, B)) == want
+    assert aligned.chunks(df, A, P.PATTERN, B, "doc_id", "text").count() > 3
+    assert result(aligned.align(df, A, P.PATTERN, B)) == want
 
 
 def test_nothing(spark):
-    assert aligned.align(frame(spark, []), A, B).count() == 0
-    rows = aligned.align(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string"), A, B).collect()
+    assert aligned.align(frame(spark, []), A, P.PATTERN, B).count() == 0
+    rows = aligned.align(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string"), A, P.PATTERN, B).collect()
     assert {(r.doc_id, r.n_a, r.n_links, r.count_sum, r.groups_sha256) for r in rows} == {(None, 0, 0, 0, ""), (1, 0, 0, 0, "")}
 
 
@@ -100,7 +100,7 @@ def test_registered_query(spark):
 
 @pytest.fixture(scope="module")
 def aligner():
-    return aligned.Aligner(A, B)
+    return aligned.Aligner(A, P.PATTERN, B)
 
 
 @settings(max_examples=200, deadline=None)

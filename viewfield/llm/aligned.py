@@ -5,7 +5,7 @@ sorted by their starts; a group ends where a start reaches the largest end so fa
 places where tokens of both end.  Within a group each A token is linked with each B token.
 
 Neither vocabulary has an entry that holds a space after something else than a space, so no token reaches over the
-start of a space that follows something else: texts are cut there, and a part that comes again is not encoded again.
+start of a space that follows something else: texts are cut there, and a part that comes again in a chunk is encoded once.
 
 How many documents link a pair of ids is counted over all documents.  Documents are worked on in chunks.  A chunk
 names each pair of its documents once, so that what is shuffled is a row for each pair and chunk, not one for each
@@ -16,21 +16,21 @@ come back to it as one row.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ENTRY_BYTES, parts_of
+from .bpe import CACHE_BYTES, parts_of
 from .common import kept, stored
-from .sst import byte_letters
+from .sst import _library, byte_letters
 
-#: Characters of text in a chunk, one document at least; parts of which a worker keeps the alignment, by bytes.
-CHUNK, KEPT_BYTES = 4 << 20, 64 << 20
+#: Characters of text in a chunk, one document at least; parts that are aligned at once.
+CHUNK, BATCH = 4 << 20, 1 << 14
 #: The mark that stands for a space in pieces.
 MARK = "▁"
 DIGEST = "n_a long, n_b long, n_groups long, n_links long"
@@ -51,7 +51,10 @@ def coalesced(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Parts:
-    """Aligned parts of texts: token, group and link counts, the groups as text, and links with how often each is."""
+    """Aligned parts of texts: do the bytes fit, counts (tokens of A and B, groups, links), groups as text, and links.
+
+    The links of part i are ``pairs[first[i]:first[i + 1]]``, ids of A in the upper half, linked ``times`` often.
+    """
 
     fits: np.ndarray
     counts: np.ndarray
@@ -62,89 +65,95 @@ class Parts:
 
 
 class Aligner:
-    """Both tokenizers, and the parts that a worker has aligned."""
+    """Both tokenizers; one for each worker process."""
 
-    def __init__(self, a: str, b: str):
+    def __init__(self, a: str, pattern: str, b: str):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
-        self.a, self.b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
-        self.a.encode_special_tokens = True
+        self.a, width = _library(a, pattern)
+        self.kind = np.dtype("<u2" if width == 2 else "<u4")
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         back = {chr(letter): byte for byte, letter in byte_letters().items()}
-        self.a_bytes = {i: bytes(back.get(c, 63) for c in x) for x, i in self.a.get_vocab(with_added_tokens=True).items()}
+        names = {i: x for x, i in Tokenizer.from_file(a).get_vocab(with_added_tokens=True).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(MARK in x.lstrip(MARK) for x in pieces):
             raise ValueError("a piece reaches over the start of a word")
         self.mark = self.b.piece_to_id(MARK)
-        self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(MARK, " ").encode() for i, x in enumerate(pieces)]
-        self.known: dict[str, tuple] = {}
-        self.held = 0
+        self.bytes = ([bytes(back.get(c, 63) for c in names.get(i, "")) for i in range(max(names) + 1)], [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(MARK, " ").encode() for i, x in enumerate(pieces)])
+        self.lengths = [np.array([len(x) for x in side], np.int64) for side in self.bytes]
+        # each id with each mark that may follow it
+        self.width = max(map(len, self.bytes))
+        self.said = [f"{i}{mark}" for mark in ",|;\n" for i in range(self.width)]
 
     def __call__(self, parts: list[str]) -> Parts:
         """Parts, each with its space in front, aligned."""
-        if self.held > KEPT_BYTES:
-            self.known, self.held = {}, 0
-        rows = {x: self.known.get(x) for x in parts}
-        new = [x for x, row in rows.items() if row is None]
-        for i in range(0, len(new), 4096):
-            for x, row in zip(new[i : i + 4096], self._aligned(new[i : i + 4096])):
-                rows[x] = row
-                if len(x) <= 100:
-                    self.known[x] = row
-                    self.held += 2 * ENTRY_BYTES + len(row[2]) + 12 * len(row[3])
-        fits, counts, groups, pairs, times = zip(*(rows[x] for x in parts)) if parts else ((), (), (), (), ())
-        none = [np.zeros(0, np.int64)]
-        sizes = np.array([len(p) for p in pairs], np.int64)
-        return Parts(np.array(fits, bool), np.array(counts, np.int64).reshape(-1, 4), list(groups), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([*none, *pairs]), np.concatenate([*none, *times]))
-
-    def _aligned(self, parts: list[str]) -> Iterator[tuple]:
-        """Of each part: do the bytes fit, (tokens of A, of B, groups, links), groups as text, pairs of ids, times."""
-        a = [x.ids for x in self.a.encode_batch(parts, add_special_tokens=False)]
-        b = [[self.mark] if x == " " else ids for x, ids in zip(parts, self.b.encode([x[1:] for x in parts], num_threads=1))]
+        done = [self._aligned(parts[i : i + BATCH]) for i in range(0, len(parts), BATCH)] or [self._aligned([])]
+        of = lambda name: np.concatenate([getattr(p, name) for p in done])
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.first) for p in done]))])
+        return Parts(of("fits"), of("counts"), [x for p in done for x in p.groups], first, of("pairs"), of("times"))
+
+    def _encoded(self, parts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Ids of A and of B and how many of each a part has, none where the bytes differ; and the parts' lengths in bytes."""
+        packed = list(map(self.a.__getitem__, parts))  # added tokens' strings are plain text there
+        if self.a.held > CACHE_BYTES:
+            self.a.clear()
+            self.a.held = 0
+        pieces = [[self.mark] if x == " " else ids for x, ids in zip(parts, self.b.encode([x[1:] for x in parts], num_threads=1))]
+        ids = [np.frombuffer(b"".join(packed), self.kind).astype(np.int64), np.array(list(chain.from_iterable(pieces)), np.int64)]
+        count = [np.array(list(map(len, packed)), np.int64) // self.kind.itemsize, np.array(list(map(len, pieces)), np.int64)]
         whole = [x.encode() for x in parts]
-        fits = [b"".join(map(self.a_bytes.__getitem__, i)) == w and b"".join(map(self.b_bytes.__getitem__, j)) == w for w, i, j in zip(whole, a, b)]
-        a, b = ([ids if ok else [] for ids, ok in zip(side, fits)] for side in (a, b))
-        ends = np.cumsum([0] + [len(w) for w in whole])
-        ids, starts, stops = [], [], []
-        for side, names in ((a, self.a_bytes), (b, self.b_bytes)):
-            n = np.array([len(x) for x in side])
-            flat = np.array([i for x in side for i in x], np.int64)
-            size = np.array([len(names[i]) for i in flat.tolist()], np.int64)
-            stop = np.cumsum(size)
-            # a part's tokens start where the part does, parts that don't fit have none
-            of = np.repeat(np.arange(len(side)), n)
-            before = np.concatenate([[0], stop])[np.cumsum(n) - n]
-            shift = (ends[:-1] - before)[of]
-            ids.append(flat)
-            starts.append(stop - size + shift)
-            stops.append(stop + shift)
-        group = coalesced(np.concatenate(starts), np.concatenate(stops))
-        ga, gb = group[: len(ids[0])], group[len(ids[0]) :]
-        yield from self._rows(fits, [len(x) for x in a], [len(x) for x in b], ids, ga, gb)
-
-    @staticmethod
-    def _rows(fits, n_a, n_b, ids, ga, gb) -> Iterator[tuple]:
-        groups = int(ga[-1]) + 1 if len(ga) else 0
-        texts = []
-        at, bt = np.searchsorted(ga, np.arange(groups + 1)), np.searchsorted(gb, np.arange(groups + 1))
-        a_text, b_text = list(map(str, ids[0].tolist())), list(map(str, ids[1].tolist()))
-        for i, j, k, m in zip(at[:-1].tolist(), at[1:].tolist(), bt[:-1].tolist(), bt[1:].tolist()):
-            texts.append(f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}")
-        pairs, times, of = _links(ids, ga, gb, groups)
-        last = np.array([ga[e - 1] + 1 if e else 0 for e in np.cumsum(n_a).tolist()], np.int64)  # parts with tokens end a group
+        sizes, joined = np.array(list(map(len, whole)), np.int64), b"".join(whole)
+        sides = list(zip(ids, count, self.bytes, self.lengths))
+        if not all(b"".join(map(names.__getitem__, i.tolist())) == joined and (_sums(lengths[i], n) == sizes).all() for i, n, names, lengths in sides):
+            fits = np.ones(len(parts), bool)
+            for i, n, names, _ in sides:
+                end = np.cumsum(n).tolist()
+                fits &= [b"".join(map(names.__getitem__, i[e - k : e].tolist())) == w for e, k, w in zip(end, n.tolist(), whole)]
+            ids, count = [i[np.repeat(fits, n)] for i, n in zip(ids, count)], [np.where(fits, n, 0) for n in count]
+        return ids, count, sizes
+
+    def _aligned(self, parts: list[str]) -> Parts:
+        ids, count, sizes = self._encoded(parts)
+        begins, starts, ends, owner = np.cumsum(sizes) - sizes, [], [], []
+        for flat, n, lengths in zip(ids, count, self.lengths):
+            of = np.repeat(np.arange(len(parts)), n)
+            end = np.cumsum(lengths[flat])
+            end += (begins - np.concatenate([[0], end])[np.cumsum(n) - n])[of]  # parts without tokens leave gaps
+            starts.append(end - lengths[flat])
+            ends.append(end)
+            owner.append(of)
+        group = coalesced(np.concatenate(starts), np.concatenate(ends))
+        part_of = np.zeros(int(group.max()) + 1 if len(group) else 0, np.int64)
+        part_of[group] = np.concatenate(owner)
+        pairs, times, of = _links(ids, group[: len(ids[0])], group[len(ids[0]) :], len(part_of))
         # a pair of several groups of a part is one link more often
-        part = np.searchsorted(last, of, "right")
+        part = part_of[of]
         order = np.lexsort((pairs, part))
         pairs, part = pairs[order], part[order]
-        start = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (part[1:] != part[:-1])])) if len(pairs) else np.zeros(0, np.int64)
-        times = np.add.reduceat(times[order], start) if len(start) else times
-        pairs, cuts = pairs[start], np.searchsorted(part[start], np.arange(len(last) + 1))
-        first = 0
-        for row, (ok, x, y, end) in enumerate(zip(fits, n_a, n_b, last.tolist())):
-            p, t = pairs[cuts[row] : cuts[row + 1]].copy(), times[cuts[row] : cuts[row + 1]].copy()
-            yield ok, (x, y, end - first, int(t.sum())), ";".join(texts[first:end]), p, t
-            first = end
+        new = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (part[1:] != part[:-1])])) if len(pairs) else np.zeros(0, np.int64)
+        times = np.add.reduceat(times[order], new) if len(new) else times
+        first = np.searchsorted(part[new], np.arange(len(parts) + 1))
+        counts = np.stack([*count, np.bincount(part_of, minlength=len(parts)), _sums(times, np.diff(first))], 1).astype(np.int64)
+        return Parts(count[0] > 0, counts, self._texts(ids, group, part_of, count[0] > 0), first, pairs[new], times)
+
+    def _texts(self, ids: list[np.ndarray], group: np.ndarray, part_of: np.ndarray, some: np.ndarray) -> list[str]:
+        """Groups of each part as text: all tokens in order, each with the mark that follows it."""
+        side = np.repeat([0, 1], [len(x) for x in ids])
+        order = np.argsort(group * 2 + side, kind="stable")
+        group, side, flat = group[order], side[order], np.concatenate(ids)[order]
+        part = part_of[group]
+        mark = np.full(len(flat), 3)
+        mark[:-1] = np.where(part[1:] != part[:-1], 3, np.where(group[1:] != group[:-1], 2, np.where(side[1:] != side[:-1], 1, 0)))
+        said = iter("".join(map(self.said.__getitem__, (mark * self.width + flat).tolist())).split("\n"))
+        return [next(said) if x else "" for x in some.tolist()]
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of so many values each."""
+    upto = np.concatenate([[0], np.cumsum(values)])
+    end = np.cumsum(sizes)
+    return upto[end] - upto[end - sizes]
 
 
 def _links(ids, ga, gb, groups) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,13 +232,13 @@ def _chunk(name: str, aligner: Aligner, ids: list, texts: list) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(whole, names=["chunk", "pairs", "docs", "data"])
 
 
-def chunks(docs: DataFrame, a: str, b: str, identifier: str, text: str) -> DataFrame:
+def chunks(docs: DataFrame, a: str, pattern: str, b: str, identifier: str, text: str) -> DataFrame:
     """The rows ``CHUNKS`` of documents, some at a time."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        aligner = kept(("aligned", a, b), lambda: Aligner(a, b))
+        aligner = kept(("aligned", a, pattern, b), lambda: Aligner(a, pattern, b))
         part, made, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -271,17 +280,17 @@ def _finished(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([own[x] for x in names], names=names)
 
 
-def align(docs: DataFrame, a: str, b: str, identifier: str = "doc_id", text: str = "text") -> DataFrame:
+def align(docs: DataFrame, a: str, pattern: str, b: str, identifier: str = "doc_id", text: str = "text") -> DataFrame:
     """(identifier, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row of ``docs``.
 
-    ``a`` is the file of a byte-level tokenizer, which gets the text with a space in front, ``b`` that of a
+    ``a`` is the file of a byte-level tokenizer that cuts by ``pattern``, which gets the text with a space in front, ``b`` that of a
     sentencepiece model, which adds the space; special tokens' strings are plain text.  ``n_best`` counts the links
     whose pair is linked by as many documents as any pair of its A id, ``count_sum`` sums the documents over links.
     Null and empty texts, and those whose tokens' bytes are not the text's, have zeros and no groups.  Repeated rows
     are documents of their own, null identifiers too.  Other columns are left out, so none can clash; texts of any
     length are aligned whole; an empty table gives an empty table.
     """
-    made = stored(chunks(docs, a, b, identifier, text), "aligned")
+    made = stored(chunks(docs, a, pattern, b, identifier, text), "aligned")
     named = made.select("chunk", F.posexplode("pairs").alias("at", "pair")).join(counted(made), "pair")
     back = named.groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "best")).alias("found"))
     rows = made.select("chunk", "data").join(back, "chunk", "left").select("data", "found")
