@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from viewfield.llm import contain, jaccard, lineruns, suffixes
 from viewfield.llm.components import components, joined
@@ -253,7 +254,7 @@ def test_family_of_many_batches():
         rows["seed"], rows["chunk"], rows["doc"], rows["a"] = r.integers(0, 300, 50), r.integers(0, 6, 50), k, np.arange(50)
         whole.append(rows.copy())
         found.append(family.add(rows))
-        sizes = [order for order, _ in family.levels]
+        sizes = [order for order, *_ in family.levels]
         assert sizes == sorted(set(sizes), reverse=True) and len(sizes) <= 6  # a logarithm of the batches
     whole, found = np.concatenate(whole), np.concatenate(found)
     kinds = [(s, c) for s, c in zip(whole["seed"].tolist(), whole["chunk"].tolist())]
@@ -269,7 +270,7 @@ def test_levels_opened_again(spark):
     """Documents that come later find what the kept levels hold, as if all had come at once."""
     rows = passages(20) + [(100 + i, t) for i, t in passages(3)] + [(200, "no repeat of any kind " * 3)]
     df = suffixes.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
-    old, new = df.where("doc_id < 8"), df.where("doc_id >= 8")
+    old, new = df.where("id < 8"), df.where("id >= 8")
     first, levels = suffixes.repeats(old, keep=True)
     assert levels.count() > 0
     later, more = suffixes.repeats(new, levels, old, keep=True)
@@ -277,6 +278,31 @@ def test_levels_opened_again(spark):
     assert more.where("level > 0").count() > 0
 
 
+def test_texts_of_one_short_hash_and_no_id(spark):
+    """Rows without an id whose texts share 32 bits of hash are documents of their own."""
+    passage = " ".join(words(77, 80))
+    made = spark.range(400_000).selectExpr(f"concat(id, ' ', substring('{passage}', 1 + CAST(id % 7 AS INT), 250 + CAST(id % 50 AS INT))) AS text")
+    pairs = [r.texts for r in made.groupBy(F.hash("text")).agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").limit(3).collect()]
+    assert len(pairs) == 3
+    rows = [(None, t) for texts in pairs for t in sorted(texts)[:2]] + [(-(1 << 63), pairs[0][0][:240]), (None, None)]
+    got = sorted((str(r.doc_id), r.n_bytes, bytes(r.kept), r.n_spans) for r in suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((str(d), n, kept, spans) for (d, _), (n, kept, spans) in zip(rows, removed([t for _, t in rows])))
+
+
+def test_packs_are_gathered_before_they_are_scanned(monkeypatch):
+    import pyarrow as pa
+
+    calls, add = [], suffixes.Family.add
+    monkeypatch.setattr(suffixes.Family, "add", lambda self, rows: calls.append(len(rows)) or add(self, rows))
+    r, packs = np.random.default_rng(4), []
+    for _ in range(300):
+        rows = np.zeros(1000, suffixes.SUFFIX)
+        rows["seed"], rows["chunk"], rows["n"] = r.integers(0, 1 << 40, 1000), r.integers(0, 9, 1000), 1
+        packs.append((0, None, None, None, None, None, rows.tobytes()))
+    list(suffixes._again([suffixes._batch(packs[i : i + 50], suffixes.CUT) for i in range(0, 300, 50)]))
+    assert sum(calls) == 300_000 and len(calls) <= 300_000 // suffixes.GATHERED + 1
+
+
 def test_long_documents_in_pieces(spark, monkeypatch):
     long = " ".join(words(23, 900))
     rows = [(1, long), (2, long[1000:4000]), (3, "z" * 50 + long[2000:2300]), (4, long[:199])]

@@ -37,11 +37,11 @@ SLICE_BYTES, PIECE, GATHERED = 1 << 20, 1 << 19, 250_000
 U = np.uint64
 DOC = ["doc_id", "t"]
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-#: A suffix: hashes of its first bytes and of its chunk, document, first window, windows, anchor's distance, and whether it is known to come again.
-SUFFIX = np.dtype([("seed", "<u8"), ("chunk", "<u8"), ("doc", "<i8"), ("t", "<i4"), ("a", "<i4"), ("n", "u1"), ("off", "u1"), ("again", "u1")])
+#: A suffix: hashes of its first bytes and of its chunk, the two that name its document, first window, windows, anchor's distance, and whether it is known to come again.
+SUFFIX = np.dtype([("seed", "<u8"), ("chunk", "<u8"), ("doc", "<i8"), ("t", "<i8"), ("a", "<i4"), ("n", "u1"), ("off", "u1"), ("again", "u1")])
 NONE = np.zeros(0, SUFFIX)
 #: What a scan gives: runs of windows that come again (size 0), chunks that share a seed with others (size: how many), levels.
-SCANNED = "doc_id long, t int, a int, n int, off int, seed long, again boolean, size int, shard int, level int, data binary"
+SCANNED = "doc_id long, t long, a int, n int, off int, seed long, again boolean, size int, shard int, level int, data binary"
 
 
 class Powers:
@@ -126,37 +126,46 @@ def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Family:
-    """Levels of suffix arrays, each twice the size of the one before or more, and no chunk in two of them."""
+    """Levels of suffix arrays (order, rows, their seeds), each twice the size of the one before or more, and no chunk in two of them."""
 
     def __init__(self):
-        self.levels: list[tuple[int, np.ndarray]] = []
+        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def add(self, rows: np.ndarray) -> np.ndarray:
         """Scan a batch against the levels and make it one; returns the suffixes that this shows to come again."""
         rows, found = distinct(rows)
         found = [found]
-        for _, level in self.levels:
-            rows, more = self._scan(level, rows)
+        for _, level, seeds in self.levels:
+            rows, more = self._scan(level, seeds, rows)
             found.append(more)
-        self.levels.append((0, rows))
+        self.put(0, rows)
         while len(self.levels) > 1 and self.levels[-1][0] >= self.levels[-2][0]:
-            (x, a), (y, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((max(x, y) + 1, self._merged([b, a])))
+            (x, a, _), (y, b, _) = self.levels.pop(), self.levels.pop()
+            self.put(max(x, y) + 1, self._merged([b, a]))
         return np.concatenate(found)
 
+    def put(self, order: int, rows: np.ndarray) -> None:
+        """Have rows, in order, as a level."""
+        self.levels.append((order, rows, np.ascontiguousarray(rows["seed"])))
+
     @staticmethod
     def _merged(levels: list[np.ndarray]) -> np.ndarray:
         rows = np.concatenate(levels)
         return rows[np.argsort(rows["seed"], kind="stable")]  # runs in order, which this sort merges
 
     @staticmethod
-    def _scan(level: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The batch's suffixes that the level lacks; those of both that are now known to come again."""
-        x, y = np.ascontiguousarray(level["seed"]), np.ascontiguousarray(rows["seed"])
-        if not len(x) or not len(y):
+    def _scan(level: np.ndarray, seeds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The batch's suffixes that the level lacks; those of both that are now known to come again.
+
+        Only the level's suffixes with a seed of the batch are touched.
+        """
+        if not len(seeds) or not len(rows):
             return rows, NONE
-        mine = np.flatnonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
-        theirs = np.flatnonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+        asked, number = np.unique(np.ascontiguousarray(rows["seed"]), return_inverse=True)
+        low, high = np.searchsorted(seeds, asked, "left"), np.searchsorted(seeds, asked, "right")
+        size = high - low
+        theirs = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        mine = np.flatnonzero(size[number] > 0)
         both = np.concatenate([level[theirs], rows[mine]])
         order = np.lexsort((np.arange(len(both)), both["chunk"], both["seed"]))
         seed, chunk = both["seed"][order], both["chunk"][order]
@@ -170,7 +179,7 @@ class Family:
 
     def shared(self) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes of seeds that have several chunks, not all known to come again; and how many of their seed there are."""
-        rows = self._merged([level for _, level in self.levels]) if self.levels else NONE
+        rows = self._merged([level for _, level, _ in self.levels]) if self.levels else NONE
         seed = rows["seed"]
         start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(rows) else np.zeros(0, np.int64)
         counts = np.diff(np.concatenate([start, [len(rows)]]))
@@ -252,7 +261,7 @@ def _rows(found: np.ndarray, sizes: np.ndarray | None = None, most: int = 200_00
     sizes = np.zeros(len(found), np.int32) if sizes is None else sizes
     for k in range(0, len(found), most):
         x, n = found[k : k + most], len(found[k : k + most])
-        columns = [np.ascontiguousarray(x[c]).astype(kind) for c, kind in (("doc", np.int64), ("t", np.int32), ("a", np.int32), ("n", np.int32), ("off", np.int32))]
+        columns = [np.ascontiguousarray(x[c]).astype(kind) for c, kind in (("doc", np.int64), ("t", np.int64), ("a", np.int32), ("n", np.int32), ("off", np.int32))]
         rest = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
         arrays = [*map(pa.array, columns), pa.array(np.ascontiguousarray(x["seed"]).view(np.int64)), pa.array(x["again"] == 1), pa.array(sizes[k : k + most].astype(np.int32)), *rest]
         yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SCANNED.split(", ")])
@@ -274,7 +283,7 @@ def scan(packs: DataFrame, shards: int, keep: bool = False) -> DataFrame:
     def ended(shard, family):
         yield from _rows(*family.shared())
         if keep:
-            for level, rows in family.levels:
+            for level, rows, _ in family.levels:
                 yield _level_row(shard, level, rows)
 
     def run(batches):
@@ -290,7 +299,7 @@ def scan(packs: DataFrame, shards: int, keep: bool = False) -> DataFrame:
                     now, held = (shard, batch), []
                 rows = np.frombuffer(data, SUFFIX)
                 if level is not None:
-                    family.levels.append((level, rows.copy()))
+                    family.put(level, rows.copy())
                     family.levels.sort(key=lambda x: -x[0])
                 elif batch < 0:
                     yield from _rows(rows)
@@ -315,12 +324,12 @@ def _packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for x, y, texts in in_slices(batch.column(2)):
                 part = batch.slice(x, y - x)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([None if t is None else z.compress(t.encode()) for t in texts], pa.binary())], names=["doc_id", "t", "z"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([None if t is None else z.compress(t.encode()) for t in texts], pa.binary())], names=["doc_id", "t", "id", "z"])
 
-    return docs.mapInArrow(run, "doc_id long, t int, z binary")
+    return docs.select(*DOC, "text", "id").mapInArrow(run, "doc_id long, t long, id long, z binary")
 
 
-CUT = pa.schema([("shard", pa.int32()), ("seed", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int32()), ("a", pa.int32()), ("again", pa.bool_()), ("data", pa.binary())])
+CUT = pa.schema([("shard", pa.int32()), ("seed", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("a", pa.int32()), ("again", pa.bool_()), ("data", pa.binary())])
 
 
 def _cut(rows: DataFrame, shards: int) -> DataFrame:
@@ -356,7 +365,7 @@ def _cut(rows: DataFrame, shards: int) -> DataFrame:
             if hot:
                 yield windows(hot)
 
-    return rows.mapInArrow(run, "shard int, seed long, doc_id long, t int, a int, again boolean, data binary")
+    return rows.mapInArrow(run, "shard int, seed long, doc_id long, t long, a int, again boolean, data binary")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -376,7 +385,7 @@ def _windows(chosen: list[tuple]) -> np.ndarray:
     out = np.zeros(len(row), SUFFIX)
     seed, distance = of("seed", np.int64).view(U)[row], (of("off", np.int64)[row] - place).view(U)
     out["seed"], out["chunk"] = mixed(hashed ^ mixed(seed + distance)), hashed
-    out["doc"], out["t"], out["a"], out["n"], out["again"] = np.array(docs, np.int64)[row], np.array(ts, np.int32)[row], of("a", np.int64)[row] + place, 1, of("again", bool)[row]
+    out["doc"], out["t"], out["a"], out["n"], out["again"] = np.array(docs, np.int64)[row], np.array(ts, np.int64)[row], of("a", np.int64)[row] + place, 1, of("again", bool)[row]
     return out
 
 
@@ -396,19 +405,28 @@ def _compared(rows: list[tuple]) -> np.ndarray:
     cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)])) if len(row) else np.zeros(0, np.int64)
     out = np.zeros(len(cut), SUFFIX)
     r = row[cut]
-    out["doc"], out["t"], out["a"], out["n"] = np.array(docs, np.int64)[r], np.array(ts, np.int32)[r], a[r] + place[cut], np.diff(np.concatenate([cut, [len(row)]]))
+    out["doc"], out["t"], out["a"], out["n"] = np.array(docs, np.int64)[r], np.array(ts, np.int64)[r], a[r] + place[cut], np.diff(np.concatenate([cut, [len(row)]]))
     return out
 
 
 def _again(batches) -> Iterator[pa.RecordBatch]:
-    """Runs that come again, of rows of ``_cut`` sorted by shard and seed: chunks some seeds at a time, windows of hot seeds as suffixes are."""
+    """Runs that come again, of rows of ``_cut`` sorted by shard and seed: chunks some seeds at a time, windows of hot seeds as suffixes are.
+
+    Packs of windows are gathered first, so that there are as many levels as the logarithm of the gatherings.
+    """
     held, size, last, family, shard_now = [], 0, None, Family(), None
+    packs, gathered = [], 0
     for batch in batches:
         for shard, seed, doc, t, a, again, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if shard != shard_now or gathered >= GATHERED:
+                if packs:
+                    yield from _rows(family.add(np.concatenate(packs)))
+                packs, gathered = [], 0
             if shard != shard_now:
                 shard_now, family = shard, Family()
             if seed is None:
-                yield from _rows(family.add(np.frombuffer(data, SUFFIX)))
+                packs.append(np.frombuffer(data, SUFFIX))
+                gathered += len(packs[-1])
                 continue
             if seed != last and size > 1 << 20:
                 yield from _rows(_compared(held))
@@ -416,6 +434,8 @@ def _again(batches) -> Iterator[pa.RecordBatch]:
             last = seed
             held.append((doc, t, a, again, data))
             size += len(data)
+    if packs:
+        yield from _rows(family.add(np.concatenate(packs)))
     if held:
         yield from _rows(_compared(held))
 
@@ -430,7 +450,7 @@ def repeats(docs: DataFrame, levels: DataFrame | None = None, old: DataFrame | N
     shards = partitions(spark)
     if levels is not None:
         shards = (levels.agg(F.max("shards")).first()[0]) or shards  # as the levels were dealt
-    packs = suffixes_of(docs, shards, max(4, int(partitions(spark) ** 0.5))).withColumn("level", F.lit(None).cast("int"))
+    packs = suffixes_of(docs.select(*DOC, "text"), shards, max(4, int(partitions(spark) ** 0.5))).withColumn("level", F.lit(None).cast("int"))
     if levels is not None:
         packs = packs.unionByName(levels.select("shard", F.lit(0).alias("batch"), "data", "level"))
         docs = docs.union(old)
@@ -443,8 +463,9 @@ def repeats(docs: DataFrame, levels: DataFrame | None = None, old: DataFrame | N
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, text): null ids as the lowest integer; t tells documents of one id apart."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.hash("text").alias("t"), "text")
+    """(doc_id, t, text, id): two hashes of 64 bits that name a document by its id, null or not, and its text; and its id."""
+    of = [F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text")]
+    return docs.select(F.xxhash64(*of).alias("doc_id"), F.xxhash64(F.lit("t"), *reversed(of)).alias("t"), "text", of[0].alias("id"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -485,5 +506,4 @@ def dedup(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    done = _packed(rows).join(lists, DOC, "left").select("doc_id", "z", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,end:int>>")
-    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
+    return _packed(rows).join(lists, DOC, "left").select("id", "z", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,end:int>>")
