@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from viewfield.functions.formulas import apply, compact_layers
-from viewfield.operators import cells, terrain, visibility
+from viewfield.operators import cells, grid, terrain, visibility
 from viewfield.plans import queries
 from viewfield.sources import io
 from viewfield.sources.fixtures import view
 from viewfield.sources.shared import folder, stored
+from viewfield.streaming import kept
 
 from .test_edges import CORNERS
 
@@ -269,3 +270,62 @@ def test_a_box_reads_few_rows(spark):
     found = cells.scan_box(rows, 10.0, 12.0, 10.0, 12.0, 0.0, 3000.0, level=16).select("code", "lon", "lat")
     n = len(found.collect())
     assert n > 0 and _rows_of_scans(found) < rows.count() / 4
+
+
+def test_kept_poses_follow_late_events_and_a_restart(spark):
+    """The last pose that each emitter's stream gave is that of a table of all events; events that change nothing give none."""
+    r = random.Random(12)
+    rows = [(r.randrange(6), i, r.randrange(40), r.choice(["move", "turn"]), *(float(r.randrange(50)) for _ in range(5))) for i in range(150)]
+    rows += [(99, 1000, 5, "turn", *[1.0] * 5), (7, 1001, 5, "move", *[2.0] * 5)]  # never moved; never turned
+    r.shuffle(rows)
+    events = spark.createDataFrame(rows, "emitter_id long, event_id long, s long, kind string, lon double, lat double, alt double, phi double, theta double").selectExpr("emitter_id", "event_id", "timestamp_seconds(s) AS ts", "kind", "lon", "lat", "alt", "phi", "theta")
+    held, out, progress = (folder(spark, x) for x in ("events", "poses", "progress"))
+    given = []
+
+    def run(part):
+        part.write.mode("append").parquet(held)
+        stream = spark.readStream.schema(events.schema).parquet(held)
+        kept.score_changed(stream, lambda poses: poses.selectExpr("emitter_id AS eid", "*"), out, progress).awaitTermination()
+        given.append(spark.read.parquet(out).count())
+
+    run(events.where("event_id % 3 = 0 OR event_id > 900"))
+    run(events.where("event_id % 3 <> 0 AND event_id < 900"))  # another query, which takes up the state where the first left it
+    poses = {x[0]: tuple(x) for x in kept.standing(spark.read.parquet(out)).drop("eid").collect()}
+    want = {x[0]: tuple(x) for x in kept.latest(events).collect()}
+    assert poses == want and set(want) == {0, 1, 2, 3, 4, 5, 7}
+    ordered = sorted((x for x in rows if x[0] == 0), key=lambda x: (x[2], x[1]))
+    move, turn = ([x for x in ordered if x[3] == k][-1] for k in ("move", "turn"))
+    assert want[0] == (0, *move[4:7], move[7] + turn[7], move[8] + turn[8])
+    run(events.where("event_id = 1001").withColumn("ts", F.expr("ts - INTERVAL 1 SECOND")))
+    assert given[2] == given[1]
+
+
+def test_pose_lines_from_files_and_as_a_stream(spark):
+    lines = [f"114:{i % 60}:{i % 59},22:{i % 58}:1,{i},{i % 61 - 30},{i % 360 - 180}" if i % 7 else f"114:{i};22" for i in range(100)]
+    path, out = folder(spark, "lines"), folder(spark, "parsed")
+    spark.createDataFrame([(x,) for x in lines], "value string").repartition(3).write.text(path)
+    parsed = io.read_pose_lines(spark, path)
+    stream = io.stream_pose_lines(spark, path).writeStream.format("parquet").option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).start(out)
+    stream.awaitTermination()
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(parsed) == plain(spark.read.parquet(out)) and parsed.where("ok").count() == 85
+    good, bad = io.quarantined(parsed)
+    assert good.count() == 85 and bad.count() == 15
+
+
+def test_grids_beyond_a_bound_are_left_out(spark):
+    stations = view(spark, SF, "stations").where("level < 16")
+    sizes = {x.sid: x["count"] for x in grid.cell_grid(stations).groupBy("sid").count().collect()}
+    most = sorted(sizes.values())[len(sizes) // 2]
+    left = {x.sid: x["count"] for x in grid.cell_grid(stations, most).groupBy("sid").count().collect()}
+    assert left == {k: n for k, n in sizes.items() if n <= most} and 0 < len(left) < len(sizes)
+    reach = {x.sid: x.n_cells for x in grid.reaching(stations).collect()}
+    assert all(reach[k] == n for k, n in sizes.items())
+
+
+def test_no_cell_lies_beyond_its_stations_reach(spark):
+    for name in ("stations", "coarse_stations", "sites"):
+        limits = grid.reaching(view(spark, "/root/testdata/sf0.01", name))
+        cells_ = grid.cell_grid(limits)
+        assert cells_.where("abs(c_lon - lon) > lon_reach OR abs(c_lat - lat) > lat_reach").count() == 0
+        assert cells_.count() > 0

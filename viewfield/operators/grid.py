@@ -117,16 +117,17 @@ def cell_grid(stations: DataFrame, most: int | None = None) -> DataFrame:
     return apply(rows, PLACES).select(*stations.columns, "i", "j", "z", "c_lon", "c_lat", "c_alt")
 
 
-#: A step of a level in degrees, and the unit that grids start at.
+#: A unit of a level's steps in degrees; how far a grid starts below its limit: at a whole degree, at a whole step of minutes, or at a second.
 _UNIT = "(CASE WHEN level < 10 THEN 1e0 WHEN level < 16 THEN 1 / 60e0 ELSE 1 / 3600e0 END)"
+_SLACK = "(CASE WHEN level < 10 THEN 1e0 WHEN level < 16 THEN (step + 1) / 60e0 ELSE 2 / 3600e0 END)"
 
 
 def reaching(stations: DataFrame) -> DataFrame:
     """Stations with ``n_cells``, how many cells their grids have, and ``lon_reach`` and ``lat_reach``, which no cell lies beyond, in degrees.
 
-    A grid starts within a unit of its lower limit and goes on for its number of steps.
+    A grid starts not far below its lower limit and goes on for its number of steps.
     """
     half = {"lon": _HALF, "lat": f"range_m / {GRID_METRES}"}
-    farthest = lambda axis: f"greatest({half[axis]}, greatest(0L, n_{axis}) * step * {_UNIT} - {half[axis]}) + {_UNIT}"
+    farthest = lambda axis: f"greatest({half[axis]}, greatest(0L, n_{axis}) * step * {_UNIT} - {half[axis]}) + {_SLACK}"
     cells = "CAST(greatest(0L, n_lon) * greatest(0L, n_lat) * greatest(0L, n_alt) AS DOUBLE)"
     return apply(stations, COUNTS).selectExpr(*stations.columns, f"{cells} AS n_cells", f"{farthest('lon')} AS lon_reach", f"{farthest('lat')} AS lat_reach")

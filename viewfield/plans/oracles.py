@@ -12,7 +12,7 @@ from ..operators.terrain import CORNERS, RASTER
 from ..operators.visibility import SAMPLES, STEPS
 from ..sources.fixtures import text
 from .queries import BOX as BOX_
-from .queries import HEIGHTS, LAT0, LON0, POSE_EMITTERS, POSE_HEIGHT, REACH, RESOLUTIONS, SCALE, STEP
+from .queries import HEIGHTS, KEPT_EMITTERS, LAT0, LON0, POSE_EMITTERS, POSE_HEIGHT, REACH, RESOLUTIONS, SCALE, STEP
 
 ORACLES: dict[str, str] = {}
 
@@ -236,4 +236,7 @@ ORACLES["str1_pose_coverage"] = (
     WITH_MESH
     + f", cells_ AS MATERIALIZED (SELECT *, concat(eid, '/', idx) AS pid FROM ({_cells % f'({_poses})'}) q), rays_ AS MATERIALIZED (SELECT *, x AS tx, y AS ty, {POSE_HEIGHT}e0 AS tz FROM cells_), seen_ AS MATERIALIZED ({_seen}), covered_ AS MATERIALIZED ({_covered}) SELECT eid AS event_id, idx, visible, {DECIBEL} AS db FROM covered_"
 )
+_last = lambda kind, columns: f"SELECT emitter_id AS k, {columns} FROM {v('pose_events')} q WHERE kind = '{kind}' QUALIFY row_number() OVER (PARTITION BY emitter_id ORDER BY ts DESC, event_id DESC) = 1"
+_kept = f"SELECT m.k AS emitter_id, lon, lat, alt, m.phi + coalesce(t.phi, 0e0) AS phi, m.theta + coalesce(t.theta, 0e0) AS theta FROM ({_last('move', 'lon, lat, alt, phi, theta')}) m LEFT JOIN ({_last('turn', 'phi, theta')}) t ON m.k = t.k"
+ORACLES["str2_kept_coverage"] = ORACLES["str1_pose_coverage"].replace(_poses, _models(f"SELECT {', '.join(KEPT_EMITTERS)} FROM ({_kept}) q")).replace("eid AS event_id", "eid")
 ORACLES["str2_latest_pose"] = f"SELECT emitter_id, epoch_us(ts) AS micros, round(lon, 6) AS lon, round(lat, 6) AS lat, alt, phi, theta FROM {v('poses')} q QUALIFY row_number() OVER (PARTITION BY emitter_id ORDER BY ts DESC, event_id DESC) = 1"

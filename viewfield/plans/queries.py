@@ -14,6 +14,7 @@ from ..operators.sized import few
 from ..sources import io
 from ..sources.fixtures import view
 from ..sources.shared import folder, stored
+from ..streaming import kept
 from ..streaming import poses as pose_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -514,3 +515,28 @@ def str1_pose_coverage(spark, sf):
 @query
 def str2_latest_pose(spark, sf):
     return pose_streams.latest(view(spark, sf, "poses")).selectExpr("emitter_id", "CAST(unix_micros(ts) AS BIGINT) AS micros", "round(lon, 6) AS lon", "round(lat, 6) AS lat", "alt", "phi", "theta")
+
+
+#: Kept poses as emitters in the mesh's frame.
+KEPT_EMITTERS = ["emitter_id AS eid", *POSE_EMITTERS[1:]]
+
+
+@query
+def str2_kept_coverage(spark, sf):
+    """Moves and turns come in two runs of a stream, later ones first; only poses that change are scored, and the last of each stands."""
+    out, held, progress = folder(spark, "coverage"), folder(spark, "events"), folder(spark, "progress")
+    events = view(spark, sf, "pose_events")
+    table = f"terrain_{uuid.uuid4().hex}"
+    mesh = terrain.prepared(view(spark, sf, "mesh"), table)
+
+    def cells_of(poses: DataFrame) -> DataFrame:
+        emitters = coverage.with_models(poses.selectExpr(*KEPT_EMITTERS), view(spark, sf, "models"))
+        levels = spark.createDataFrame([(POSE_HEIGHT,)], "height double")
+        return coverage.height_coverage(emitters, mesh, view(spark, sf, "bands"), levels, STEP)
+
+    for part in ("event_id % 5 >= 2", "event_id % 5 < 2"):
+        events.where(part).write.mode("append").parquet(held)
+        stream = spark.readStream.schema(events.schema).parquet(held)
+        kept.score_changed(stream, cells_of, out, progress).awaitTermination()
+    terrain.dropped(spark, table)
+    return kept.standing(spark.read.parquet(out)).selectExpr("eid", "idx", "visible", f"{DECIBEL} AS db")

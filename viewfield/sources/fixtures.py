@@ -60,6 +60,8 @@ VIEWS = {
         114.16011e0 + CAST(c_custkey * 7919 % 9967 AS DOUBLE) / 1000000 AS t_lon, 22.28971e0 - CAST(c_custkey * 104729 % 14951 AS DOUBLE) / 1000000 AS t_lat, 30.5e0 + c_custkey % 37 AS t_alt FROM {customer}""",
     "positions": "SELECT o_orderkey AS pid, CAST(o_orderkey * 7919 % 3600000 AS DOUBLE) / 10000 - 180 AS lon, CAST(o_orderkey * 104729 % 1800000 AS DOUBLE) / 10000 - 90 AS lat, CAST(o_orderkey * 31 % 50000 AS DOUBLE) AS alt, CAST(1 + o_orderkey % 21 AS BIGINT) AS level FROM {orders}",
     "poses": "SELECT user_id % 10 AS emitter_id, event_id, CAST(ts AS TIMESTAMP) AS ts, 114.16e0 + CAST(event_id % 997 AS DOUBLE) / 100000 AS lon, 22.28e0 + CAST(event_id % 499 AS DOUBLE) / 100000 AS lat, CAST(event_id % 83 AS DOUBLE) AS alt, CAST(event_id % 61 - 30 AS DOUBLE) AS phi, CAST(event_id % 360 - 180 AS DOUBLE) AS theta FROM {events}",
+    # every third event turns the antenna, the others move the carrier
+    "pose_events": "SELECT user_id AS emitter_id, event_id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN event_id % 3 = 0 THEN 'turn' ELSE 'move' END AS kind, 114.16e0 + CAST(event_id % 997 AS DOUBLE) / 100000 AS lon, 22.28e0 + CAST(event_id % 499 AS DOUBLE) / 100000 AS lat, CAST(event_id % 83 AS DOUBLE) AS alt, CAST(event_id % 31 - 15 AS DOUBLE) AS phi, CAST(event_id % 360 - 180 AS DOUBLE) AS theta FROM {events}",
     # every 13th line is broken in one of two ways
     "pose_lines": """SELECT event_id AS line_id, CASE WHEN event_id % 13 = 5 THEN concat('114:', CAST(event_id % 60 AS VARCHAR(9)), ';22') WHEN event_id % 13 = 9 THEN concat('x:1:2,3:4:5,', CAST(event_id % 83 AS VARCHAR(9)), ',1,2')
         ELSE concat('114:', CAST(event_id % 60 AS VARCHAR(9)), ':', CAST(event_id % 59 AS VARCHAR(9)), ',22:', CAST(event_id % 58 AS VARCHAR(9)), ':', CAST(event_id % 57 AS VARCHAR(9)), ',', CAST(event_id % 83 AS VARCHAR(9)), ',', CAST(event_id % 61 - 30 AS VARCHAR(9)), ',', CAST(event_id % 360 - 180 AS VARCHAR(9))) END AS value FROM {events}""",

@@ -27,6 +27,16 @@ def quarantined(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where("ok").drop("ok", "value"), parsed.where("NOT ok").select("value")
 
 
+def read_pose_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed poses of text files, a line each."""
+    return parse_poses(spark.read.text(path))
+
+
+def stream_pose_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a stream of the text files that come into a folder."""
+    return parse_poses(spark.readStream.text(path))
+
+
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
     """CSV of ``id,lon,lat,alt,level``."""
     return spark.read.schema("id LONG, lon DOUBLE, lat DOUBLE, alt DOUBLE, level LONG").csv(path, header=True)
