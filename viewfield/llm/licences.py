@@ -41,7 +41,11 @@ TEMPLATES = {
 }
 #: Names that short notices give, by family, and such notices.
 NAMES = {"Apache-2.0": ["Apache-2.0", "Apache 2.0"], "BSD-3-Clause": ["BSD", "BSD-3-Clause", "3-Clause BSD"], "GPL-2.0": ["GPLv2", "GPL-2.0"], "GPL-3.0": ["GPLv3", "GPL-3.0"], "LGPL-3.0": ["LGPLv3", "LGPL-3.0"], "MIT": ["MIT"], "MPL-2.0": ["MPL-2.0", "MPL 2.0"]}
-NOTICES = ["Distributed under the terms of the {} license", "Released under the {} license", "This project is {} licensed", "Licensed under the {} license"]
+NOTICES = ["Distributed under the terms of the {} license", "Released under the {} license", "This project is {} licensed", "Licensed under the {} license", "Released under {} license", "Licensed under {} license"]
+#: Names of public licences without a template.
+OTHERS = ["AGPLv3", "EPL-2.0", "CDDL", "Artistic", "Zlib", "ISC", "WTFPL", "Boost", "Unlicense", "EUPL"]
+#: What before a notice denies it: learnt from, and held out.
+DENIED, DENIED_HELD = [["not"], ["is", "not"], ["never"], ["no", "longer"]], [["was", "not"], ["was", "never"]]
 #: Lines of the corpus that stand for the unknown class at most, about, of each kind; half are held out.
 UNKNOWN = 4000
 #: Words that make a line a hard one.
@@ -106,14 +110,16 @@ class Template:
                             del held[g]
                 left += 1
             counts[right] = len(held)
-        out = []
-        while counts.max() >= self.least:
-            last = int(counts.argmax())  # the first end with all that is there
+        out, free = [], np.ones(len(words), bool)
+        ends = np.flatnonzero(counts >= self.least)
+        for last in ends[np.argsort(-counts[ends], kind="stable")].tolist():  # of equal ones the first end
+            if not free[last]:
+                continue
             first, most = max(0, last - self.longest + 1), int(counts[last])
             while len(grams_of(words[first + 1 : last + 1]) & self.grams) == most:
                 first += 1
             out.append((first, last + 1, most / len(self.grams)))
-            counts[first : last + len(self.words)] = 0
+            free[first : last + len(self.words)] = False
         return out
 
 
@@ -152,14 +158,16 @@ class Model:
                     y += y < len(words) and words[y] in self.words
                 if t.numbers <= numbers_of(words[x:y]):
                     found.append((share, a, b, t.family, words[x:y]))
+        found.sort(key=lambda x: (-x[0], x[1] - x[2], x[1]))
         kept: list[tuple[int, int, str, float]] = []
-        taken: list[tuple[int, int, str]] = []
-        for _, a, b, family, window in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1])):
-            if all(b <= x or y <= a or f == family for x, y, f in taken):
-                p = self.scores([window])[0]
-                if p.argmax() == self.families.index(family) and p.max() >= self.threshold:
+        taken: dict[int, set[str]] = {}  # families by word
+        for i in range(0, len(found), 1000):
+            some = found[i : i + 1000]
+            for (_, a, b, family, _), p in zip(some, self.scores([window for *_, window in some])):
+                if p.argmax() == self.families.index(family) and p.max() >= self.threshold and all(taken.get(k, {family}) == {family} for k in range(a, b)):
                     kept.append((a, b, family, float(p.max())))
-                    taken.append((a, b, family))
+                    for k in range(a, b):
+                        taken.setdefault(k, set()).add(family)
         best: dict[str, float] = {}
         for _, _, family, p in sorted(kept):
             best[family] = max(p, best.get(family, 0.0))
@@ -190,6 +198,13 @@ def _held_variants(words: list[str]) -> list[list[str]]:
     return [words[:k] + words[k + 1 :], ["note", "that", *words, "for", "details"]]
 
 
+def _made(held: bool) -> list[list[str]]:
+    """Hard negatives: notices denied, and notices of other licences; one half is held out."""
+    notices = [words_of(t) for several in templates().values() for t in several if len(t.split()) < 25]
+    other = [words_of(n.format(x)) for n in NOTICES for x in OTHERS[held::2]]
+    return [[*d, *w] for w in notices for d in (DENIED_HELD if held else DENIED)] + other
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     p = np.exp(z - z.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
@@ -241,18 +256,22 @@ def fit(unknown: list[str], hard: list[str] | None = None) -> Model:
                 new = forms(words_of(text))
                 out += new
                 at += [i] * len(new)
-    grams = {g: k for k, g in enumerate(sorted({g for r in rows for g in grams_of(r)}))}
+    made = _made(False)
+    denials = {g for r in made[: -len(NOTICES) * len(OTHERS[::2])] for g in grams_of(r)}
+    grams = {g: k for k, g in enumerate(sorted({g for r in rows for g in grams_of(r)} | denials))}
     # other text around the licences' common words, so that these alone do not tell
-    negatives = other[::2] + speaking[::2] + [[w] for w in sorted({w for r in rows for w in r})]
+    negatives = made + other[::2] + speaking[::2] + [[w] for w in sorted({w for r in rows for w in r})]
     last = len(families)
     y = np.array(labels + [last] * len(negatives))
     x = Rows([grams_of(r) for r in rows + negatives], grams)
-    share = np.where(y < last, 0.5 / max(1, len(rows)), 0.5 / max(1, len(negatives)))[:, None]
+    share = np.where(y < last, 0.5 / max(1, len(rows)), 0.25 / max(1, len(negatives) - len(made)))
+    share[len(rows) : len(rows) + len(made)] = 0.25 / len(made)
+    share = share[:, None]
     target, w, speed = np.eye(last + 1)[y], np.zeros((len(grams) + 1, last + 1)), 0
     for _ in range(400):
         speed = 0.9 * speed - 5.0 * (x.turned_times((softmax(x.times(w)) - target) * share, len(w)) + 1e-6 * w)
         w = w + speed
-    rest = other[1::2] + speaking[1::2]
+    rest = other[1::2] + speaking[1::2] + _made(True)
     z = Rows([grams_of(r) for r in held + rest], grams).times(w)
     y = np.array(held_labels + [last] * len(rest))
     weight = np.where(y < last, 0.5 / len(held), 0.5 / max(1, len(rest)))
@@ -272,8 +291,9 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
     lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line")).where("length(line) > 0").withColumn("hard", F.expr(f"lower(line) rlike '{HARD}'"))
     sizes = {r.hard: r["count"] for r in lines.groupBy("hard").count().collect()}
     share = F.when(F.col("hard"), min(1.0, UNKNOWN / max(1, sizes.get(True, 0)))).otherwise(min(1.0, UNKNOWN / max(1, sizes.get(False, 0))))
-    place = F.pmod(F.xxhash64("line"), F.lit(10_000_000))
-    chosen = lines.where(place < share * 10_000_000).distinct().select("line", "hard").collect()
+    place = F.shiftrightunsigned(F.xxhash64("line"), 1)
+    some = lines.where(place.cast("double") < share * float(1 << 63)).distinct()
+    chosen = [r for hard in (False, True) for r in some.where(F.col("hard") == hard).orderBy(place, "line").limit(UNKNOWN).collect()]
     mixed = sorted(chosen, key=lambda r: zlib.crc32(r.line.encode()))
     return fit([r.line for r in mixed if not r.hard], [r.line for r in mixed if r.hard])
 

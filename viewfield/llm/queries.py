@@ -51,7 +51,7 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = licences.scan(docs, licences.learn(docs))
     return rows.select(
         "doc_id",
-        F.size("licences").cast("long").alias("n_paragraphs"),
+        F.size(F.array_distinct(F.transform("licences", lambda c: c.paragraph))).cast("long").alias("n_paragraphs"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda c: c.family))), ",").alias("families"),
         F.round(F.array_max(F.transform("licences", lambda c: c.probability)), 6).alias("probability"),
     )
