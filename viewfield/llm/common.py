@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -58,6 +59,18 @@ def kept(key: tuple, make: Callable[[], T]) -> T:
     return _KEPT[key]
 
 
+def released() -> None:
+    """Let go of what this worker keeps, and give its memory back to the machine.
+
+    For the end of tasks that keep much: the worker idles on beside stages of another kind, which need the memory.
+    """
+    _KEPT.clear()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not this C library, which gives memory back by itself
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions, which a user sets by the size of the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

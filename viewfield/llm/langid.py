@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import in_slices
-from .common import kept, stored
+from .common import kept, released, stored
 
 #: Runs of letters; longer ones are cut each so many letters, none are dropped.
 LONGEST = 32
@@ -208,5 +208,6 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for a, b, texts in in_slices(batch.column(columns.index(text)), 2 << 20):
                 langs, scores = scorer.texts(texts)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
+        released()
 
     return df.select(*columns).mapInArrow(run, T.StructType([*(df.schema[c] for c in columns)]).add("lang_pred", "string").add("score", "double"))
