@@ -84,5 +84,5 @@ def test_registered():
     import __spark_entry__
 
     every = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES} and every["pipeline"] is corpus_pipeline.run
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES} and every["pipeline"] is corpus_pipeline.run
     assert all(every[q] is f for q, f in queries.QUERIES.items()) and __spark_entry__.oracle_sql()["op5_decontamination"] == contain.SQL
