@@ -203,10 +203,18 @@ def dem_rounds(rays: DataFrame, dem: DataFrame | Raster, meta: DataFrame) -> tup
     return first, _looked_up(rest, made, meta).select("rid", "dem_id", "i", "below")
 
 
-def dem_visible(rays: DataFrame, dem: DataFrame | Raster, meta: DataFrame) -> DataFrame:
-    """(rid, dem_id, visible) of rays over elevation models; samples without elevation don't block."""
-    first, rest = dem_rounds(rays, dem, meta)
-    blocked = first.union(rest).where("below").select("rid", "dem_id").distinct().withColumn("blocked", F.lit(True))
+def dem_visible(rays: DataFrame, dem: DataFrame | Raster, meta: DataFrame, long: bool = True) -> DataFrame:
+    """(rid, dem_id, visible) of rays over elevation models; samples without elevation don't block.
+
+    ``long`` rays go through the rounds above; of rays of a few samples each, whose stretches would cost as much as
+    their samples, all samples are looked up at once.
+    """
+    if long:
+        first, rest = dem_rounds(rays, dem, meta)
+        samples = first.union(rest)
+    else:
+        samples = _looked_up(_stepped(rays, meta).selectExpr(*RAY, "explode(sequence(1L, n - 1)) AS i"), raster(dem), meta)
+    blocked = samples.groupBy("rid", "dem_id").agg(F.max("below").alias("blocked")).where("blocked")
     return rays.select("rid", "dem_id").join(blocked, ["rid", "dem_id"], "left").select("rid", "dem_id", (~F.coalesce("blocked", F.lit(False))).alias("visible"))
 
 

@@ -94,7 +94,7 @@ def _compared(spark, sf):
     dem = terrain.rasterise(mesh, _resolutions(spark), LON0, LAT0, SCALE)
     meta = terrain.raster_meta(terrain.extent(mesh, LON0, LAT0, SCALE), _resolutions(spark))
     rays = seen.crossJoin(few(meta.select("dem_id")))
-    flags = visibility.dem_visible(rays.selectExpr("rid", "dem_id", "e_lon", "e_lat", "ez AS e_alt", "t_lon", "t_lat", "tz AS t_alt"), dem, meta).withColumnRenamed("visible", "visible_dem")
+    flags = visibility.dem_visible(rays.selectExpr("rid", "dem_id", "e_lon", "e_lat", "ez AS e_alt", "t_lon", "t_lat", "tz AS t_alt"), dem, meta, long=False).withColumnRenamed("visible", "visible_dem")
     return summary.compared(seen.withColumnRenamed("visible", "visible_mesh").join(flags, "rid"))
 
 
