@@ -1,8 +1,11 @@
+import random
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from viewfield.llm import contain, jaccard, lineruns, suffixes
+from viewfield.llm import contain, jaccard, lineruns, queries, suffixes
 from viewfield.llm.components import components, joined
 
 from .helpers import awkward, frame, words
@@ -318,31 +321,62 @@ def test_suffix_dedup_of_nothing(spark):
     assert suffixes.dedup(frame(spark, [])).count() == 0
 
 
-def without_runs(rows):
-    """Brute force over (id, text): later copies of two lines, or of one long line."""
+def without_runs(rows, least=200):
+    """Brute force over (id, text): later copies of all runs of so many characters."""
     lines = [[] if t is None else [(i, x) for i, x in enumerate(t.split("\n")) if x.strip()] for _, t in rows]
     seen, gone = set(), [set() for _ in rows]
     for k in sorted(range(len(rows)), key=lambda k: (-1 if rows[k][0] is None else rows[k][0])):
-        for j, (_, x) in enumerate(lines[k]):
-            for run in ([x], [x, lines[k][j + 1][1]] if j + 1 < len(lines[k]) else None):
-                if run and (len(run) > 1 or len(x) >= 200):
-                    if tuple(run) in seen:
-                        gone[k] |= {lines[k][j + m][0] for m in range(len(run))}
-                    seen.add(tuple(run))
+        for a in range(len(lines[k])):
+            chars, run = 0, ()
+            for i, x in lines[k][a:]:
+                chars, run = chars + len(x), hash((run, x))
+                if chars >= least:
+                    if run in seen:
+                        gone[k] |= {j for j, _ in lines[k][a:] if j <= i}
+                    seen.add(run)
     return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for (_, t), g in zip(rows, gone)]
 
 
 def test_line_dedup(spark):
-    rows = [r[:2] for r in awkward()[:20]] + [(700 + i, "\n".join(words(30, 12)[i % 3 :] + [f"own{i}"])) for i in range(7)] + [(800, "a\nb\na\nb\na\nb\n\nb")]
+    rows = [r[:2] for r in awkward()[:20]] + [(700 + i, "\n".join(words(30, 45)[i % 3 :] + [f"own{i}"])) for i in range(7)] + [(800, "a\nb\na\nb\na\nb\n\nb")]
     df = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id long, text string, n_lines long, line long").repartition(3)
     got = {r.doc_id: r.text for r in lineruns.dedup(df).collect()}
     assert got == dict(zip([d for d, _ in rows], without_runs(rows)))
 
 
+@pytest.mark.parametrize("least", [1, 7, 40])
+def test_line_dedup_against_every_run(spark, least):
+    """Lines of 1 to 12 characters drawn from few, so runs of all lengths come again, overlap and touch, within documents too."""
+    r = random.Random(least)
+    pool = [c * r.randrange(1, 13) for c in "abcdefg"]
+    rows = [(i, "\n".join(r.choice(pool + [" ", f"own{i}"]) for _ in range(r.randrange(0, 60)))) for i in range(25)]
+    rows += [(50 + i, "\n".join(rows[i][1].split("\n")[3:40] + ["end"])) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.text for x in lineruns.dedup(df, least).collect()} == dict(zip([d for d, _ in rows], without_runs(rows, least)))
+
+
+def test_runs_of_many_short_lines(spark):
+    """Only ranks of many lines tell such runs: two of their lines alone, or all but a few, may come again."""
+    run = words(50, 60)
+    chars = [sum(map(len, run[:n])) for n in range(61)]
+    n = next(n for n in range(61) if chars[n] >= 200)
+    rows = [(1, "\n".join(run)), (2, "\n".join(run)), (3, "\n".join(run[: n - 1])), (4, "\n".join(["x", *run[:n], "y"])), (5, "\n".join([*run[:9], "z", *run[10:]])), (6, "\n".join(run[4:6]))]
+    got = {tuple(r) for r in lineruns.runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert n > 16 and got == {(2, 0, 60), (4, 1, n), (5, 10, 50)}
+
+
+def test_line_dedup_sql(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = sorted(map(tuple, queries.op8_line_dedup(spark, "/root/testdata/sf0.001").collect()))
+    assert got == sorted(con.sql(lineruns.SQL).fetchall()) and any(r[2] for r in got)
+
+
 def test_line_dedup_of_repeated_rows_and_of_nothing(spark):
     assert lineruns.dedup(frame(spark, [])).count() == 0
     assert lineruns.dedup(frame(spark)).count() == len(awkward())
-    assert lineruns.runs(frame(spark, [(1, "a b\nc d", *[None] * 6), (2, "a b\nc d\ne", *[None] * 6)])).collect() == [(2, 0, 2)]
+    pair = [(1, "a b\nc d", *[None] * 6), (2, "a b\nc d\ne", *[None] * 6)]
+    assert lineruns.runs(frame(spark, pair), 6).collect() == [(2, 0, 2)] and lineruns.runs(frame(spark, pair)).count() == 0
 
 
 def test_containment(spark):
