@@ -108,6 +108,8 @@ def test_jaccard_of_repeated_ids_with_different_texts(spark, parts):
     rows = [(1, a), (1, b), (2, b), (3, b + " more")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     assert {r.doc_id: (r.component_id, r.n_links) for r in jaccard.join(df).collect()} == {1: (1, 0), 2: (2, 1), 3: (2, 1)}
+    alone = jaccard.join(df, links=False)
+    assert alone.columns == ["doc_id", "n_shingles", "component_id"] and {r.doc_id: r.component_id for r in alone.collect()} == {1: 1, 2: 2, 3: 2}
 
 
 def test_hot_lists_are_handed_on(monkeypatch):

@@ -517,11 +517,12 @@ def _members(index: DataFrame, copies: DataFrame, shards: int) -> DataFrame:
     return named.groupBy("bucket", "doc_id", "part").agg(F.max("entries").alias("entries")).groupBy("bucket", "doc_id").agg(F.sum("entries").alias("entries"))
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of documents (doc_id, text).
 
     ``component_id`` is the smallest ``doc_id`` that links reach, the document's own included; ``n_links``
-    counts the other documents that it links with, copies included.  A null or empty text, or one
+    counts the other documents that it links with, copies included, and is left out without ``links``: it takes
+    the square of a component of different texts, which components alone do not.  A null or empty text, or one
     of separators only, has an empty set and links with nothing.  Rows with a null ``doc_id`` are left out;
     rows that repeat a ``doc_id`` are treated as one document, that of the largest set.  Extra columns are
     ignored.  An empty table gives an empty table.
@@ -546,11 +547,14 @@ def join(docs: DataFrame) -> DataFrame:
     if not left.isEmpty():
         found = _search_rest(left, sets, packed, found)
 
+    of_kind = kinds.join(found.withColumnRenamed("node", "first"), "first", "left").withColumn("component", F.coalesce("component", "first"))
+    if not links:
+        rows = sets.join(of_kind.select("n", "s1", "s2", "component"), ["n", "s1", "s2"], "left")
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     weights = kinds.select(F.col("first").alias("doc_id"), "n", F.col("copies").alias("label"))
     groups = found.select(F.col("component").alias("g"), F.col("node").alias("doc_id")).join(weights, "doc_id").select("g", "doc_id", "n", "label")
     counts = _blocks(groups, packed).mapInArrow(_count_links, "doc_id long, others long").groupBy("doc_id").agg(F.sum("others").alias("others"))
-    of_kind = kinds.join(found.withColumnRenamed("node", "first"), "first", "left").join(counts.withColumnRenamed("doc_id", "first"), "first", "left")
-    of_kind = of_kind.select("n", "s1", "s2", F.coalesce("component", "first").alias("component"), F.expr("copies - 1 + coalesce(others, 0)").alias("n_links"))
+    of_kind = of_kind.join(counts.withColumnRenamed("doc_id", "first"), "first", "left").select("n", "s1", "s2", "component", F.expr("copies - 1 + coalesce(others, 0)").alias("n_links"))
     return sets.join(of_kind, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
