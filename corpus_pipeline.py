@@ -57,7 +57,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id or without words are like no other and stay.
     """
-    groups = jaccard.join(docs).where("doc_id <> component_id").select("doc_id")
+    groups = jaccard.join(docs, links=False).where("doc_id <> component_id").select("doc_id")
     return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
 
 
