@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from viewfield.functions.formulas import apply, compact_layers
 from viewfield.operators import cells, grid, terrain, visibility
+from viewfield.operators.sized import dealt
 from viewfield.plans import queries
 from viewfield.sources import io
 from viewfield.sources.fixtures import view
@@ -329,3 +330,19 @@ def test_no_cell_lies_beyond_its_stations_reach(spark):
         cells_ = grid.cell_grid(limits)
         assert cells_.where("abs(c_lon - lon) > lon_reach OR abs(c_lat - lat) > lat_reach").count() == 0
         assert cells_.count() > 0
+
+
+def test_rays_settled_at_home_and_rays_followed_give_what_all_pairs_give(scene):
+    mesh, emitters, rays, hidden = scene
+    own = visibility.housed(visibility.binned(emitters, mesh, "40", 2.0), 3)
+    placed = dealt(rays.join(own.select("eid", "sectors", "home_k", *visibility.PLACE), "eid"), *visibility.PLACE)
+    assert {(r.eid, r.tid) for r in visibility.hidden(placed, mesh, own).collect()} == hidden
+    assert {(r.eid, r.tid) for r in visibility.flagged(placed, mesh, own).where("NOT visible").collect()} == hidden
+    assert {(r.eid, r.tid) for r in visibility.traced(rays, mesh, ["eid", "tid"]).collect()} == hidden
+
+
+@pytest.mark.parametrize("name", ["los1_mesh", "cov5_density", "cov6_hidden_cells", "cov8_heights"])
+def test_rays_are_not_shuffled_to_their_sectors(spark, name):
+    """Rays grow with the product of emitters and targets, or with grids; they are settled where they are made."""
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "ShuffledHashJoin" in plan and not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "sector" in x]
