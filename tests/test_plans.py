@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from viewfield.functions.formulas import apply, compact_layers
-from viewfield.operators import cells, grid, terrain, visibility
+from viewfield.functions.formulas import BOXES, CROSSES, apply, compact_layers
+from viewfield.operators import boxes, cells, grid, terrain, visibility
 from viewfield.operators.sized import dealt
 from viewfield.plans import queries
 from viewfield.sources import io
@@ -346,3 +346,24 @@ def test_rays_are_not_shuffled_to_their_sectors(spark, name):
     """Rays grow with the product of emitters and targets, or with grids; they are settled where they are made."""
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "ShuffledHashJoin" in plan and not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "sector" in x]
+
+
+@pytest.mark.parametrize("projections", [False, True])
+def test_segments_meet_the_boxes_that_all_pairs_show(spark, projections):
+    r = random.Random(5)
+    mesh = spark.createDataFrame(triangles(5, 300, 25.0), CORNERS)
+    places = [(k, r.uniform(-150, 150), r.uniform(-150, 150), r.uniform(-5, 25)) for k in range(150)]
+    targets = spark.createDataFrame([*places, (900, 3.0, 4.0, None), (901, 0.0, 0.0, 5.0)], "tid long, tx double, ty double, tz double")
+    emitters = spark.createDataFrame([(k, x, y, z, 60.0) for k, x, y, z in places[:25]] + [(990, 0.0, 0.0, 5.0, 60.0), (991, 1000.0, 0.0, 5.0, 60.0)], EMITTERS)
+    pairs = emitters.crossJoin(targets).where("(tx - ex) * (tx - ex) + (ty - ey) * (ty - ey) <= reach * reach")
+    met = BOXES + (f" AND {CROSSES}" if projections else "")
+    wanted = pairs.join(terrain.with_mbr(mesh), F.expr(met), "left").groupBy("eid", "tid").agg(F.count("lox").alias("hits"))
+    got = boxes.segment_counts(emitters, targets, mesh, 60.0, projections)
+    assert sorted(got.collect()) == sorted(wanted.collect()) and got.where("hits > 3").count() > 0
+
+
+@pytest.mark.parametrize("name", ["los6_boxes", "los6_segment_boxes"])
+def test_segments_are_counted_where_they_are_made(spark, name):
+    """Segments are as many as emitters times targets; neither they nor their boxes are shuffled or grouped."""
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange" in x and ("bid" in x or "tid" in x)] and "FlatMapGroupsInArrow" in plan
