@@ -200,3 +200,19 @@ def test_keys_bit_by_bit(spark):
     rows = [(*p, level) for p in places for level in (1, 5, 12, 16, 20, 21)]
     got = cells.encode(spark.createDataFrame(rows, "lon double, lat double, alt double, level long")).collect()
     assert [r.code for r in got] == [interleaved(r.lon, r.lat, r.alt, r.level) for r in got]
+
+
+def test_cheap_rounding_is_rounding(spark):
+    import random
+
+    from viewfield.functions.formulas import rounded
+
+    r = random.Random(3)
+    odd = [0.0, -0.0, -1e-9, 0.5, -0.5, 2.5e-6, -2.5e-6, 0.0000005, 1.0000005, 1.005, -1.005, 0.285, 1e300, -1e300, 5e-324, float("inf"), float("-inf"), float("nan"), None]
+    values = odd + [k / 2e6 for k in range(-50, 50)] + [k / 200 for k in range(-300, 300)] + [r.uniform(-1, 1) * 10 ** r.uniform(-9, 12) for _ in range(5000)]
+    rows = spark.createDataFrame([(x,) for x in values], "x double")
+    for digits in (2, 4, 6):
+        both = rows.selectExpr("x", f"{rounded('x', digits)} AS a", f"round(x, {digits}) AS b")
+        # as text, for -0 equals 0
+        assert both.where("NOT CAST(a AS STRING) <=> CAST(b AS STRING)").count() == 0
+        assert both.where(f"abs(x * 1e{digits}) < 1e9 AND abs(x * 1e{digits} - floor(x * 1e{digits}) - 0.5) > 1e-3").count() > 2000
