@@ -1,6 +1,7 @@
 """Plans that must hold at size: index rows, rows read, samples looked up, and writes that are run again."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -367,3 +368,20 @@ def test_segments_are_counted_where_they_are_made(spark, name):
     """Segments are as many as emitters times targets; neither they nor their boxes are shuffled or grouped."""
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.split("\n") if "Exchange" in x and ("bid" in x or "tid" in x)] and "FlatMapGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("name", ["cov8_heights", "cov6_volume", "cell3_roll_up"])
+def test_generated_joins_are_short_enough_to_be_compiled(spark, name):
+    """HotSpot leaves methods over 8,000 bytes to its interpreter, and Spark drops code over 64 KB."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = queries._coverage_rows(spark, SF) if name == "cell3_roll_up" else queries.QUERIES[name](spark, SF)
+        said = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(rows._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = {}
+    for part in said.split("== Subtree ")[1:]:
+        tree = part.split("Generated code:")[0].splitlines()[1:3]
+        sizes[" ".join(tree)] = int(re.search(r"maxMethodCodeSize:(-?\d+)", part).group(1))
+    assert min(sizes.values()) > 0
+    assert max(n for tree, n in sizes.items() if "ShuffledHashJoin" in tree) < 8000

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formulas import CELL_EARTH, KEY, apply, compact_layers, decode_layers, encode_layers
 from ..sources.shared import stored
+from .sized import apart
 
 LEVELS = range(1, 22)
 
@@ -19,7 +20,7 @@ def encode(positions: DataFrame) -> DataFrame:
     checked = positions.withColumn("level", F.when(F.col("level").between(LEVELS[0], LEVELS[-1]), F.col("level")).otherwise(F.raise_error(F.lit("a cell level is from 1 to 21"))))
     rows = checked
     for layers in encode_layers():
-        rows = apply(rows, layers)
+        rows = apart(apply(rows, layers))
     return rows.selectExpr(*positions.columns, f"{KEY} AS code")
 
 
