@@ -211,6 +211,15 @@ def test_a_job_that_fails_and_is_run_again_doubles_nothing(spark):
     assert io.read_coverage(spark, path).count() == 500
 
 
+def test_stored_coverage_has_no_files_for_each_emitter(spark):
+    path = folder(spark, "files")
+    rows = spark.range(3000).selectExpr("id % 600 AS id", "0e0 AS timestamp", "id AS code", "1e0 AS density")
+    io.append_coverage(rows, path, "all")
+    got = io.read_coverage(spark, path)
+    assert got.count() == 3000 and got.where("id = 7").count() == 5
+    assert len(got.inputFiles()) < 100
+
+
 def test_roll_up_of_roll_ups(spark):
     rows = [(r, random.Random(r).choice([None, 0.5 * r])) for r in range(4000)]
     df = spark.createDataFrame(rows, "code long, density double")
