@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,20 +95,28 @@ def ground_coverage(emitters: DataFrame, mesh: DataFrame | Terrain, bands: DataF
     return _covered(placed, terrain, emitters, bands, models, given)
 
 
-def height_coverage(emitters: DataFrame, mesh: DataFrame | Terrain, bands: DataFrame, levels: DataFrame, step: float) -> DataFrame:
+def height_coverage(emitters: DataFrame, mesh: DataFrame | Terrain, bands: DataFrame, levels: DataFrame, step: float, flags: Callable[[DataFrame], DataFrame | None] | None = None) -> DataFrame:
     """Cells at each of a table of heights (height), all in one job; heights under 1 are left out.
 
-    ``low_height`` marks cells 50 m or more under the ground.
+    ``low_height`` marks cells 50 m or more under the ground.  ``flags`` may add flags to the emitters
+    (``patches.with_flags``), of which a cell keeps its own.
     """
     terrain, levels = indexed(mesh), levels.where("height >= 1")
     given, (emitters, models) = emitters.columns, without_models(emitters)
     emitters = housed(binned(emitters, terrain, f"{cells_in(step)} * {max(1, levels.count())}", INDEX), PARTS)
     terrain = around(terrain, emitters)
-    placed = heights(ground_grid(emitters, step), terrain, *PLACE, "eid", "idx").crossJoin(few(levels))
+    known = flags(emitters) if flags else None
+    cells = ground_grid(emitters, step) if known is None else _own_flags(ground_grid(known, step))
+    placed = heights(cells, terrain, *PLACE, "eid", "idx").crossJoin(few(levels))
     placed = placed.selectExpr("*", "x AS tx", "y AS ty", "height AS tz", "coalesce(ground - height >= 50, FALSE) AS low_height").drop("x", "y")
     return _covered(placed, terrain, emitters, bands, models, given)
 
 
+def _own_flags(cells: DataFrame) -> DataFrame:
+    """Cells with their own stretch of their emitters' flags."""
+    return cells.withColumn("flags", F.expr("substring(flags, CAST(idx * (length(flags) DIV (n_side * n_side)) AS INT) + 1, CAST(length(flags) DIV (n_side * n_side) AS INT))"))
+
+
 #: A home's triangles make so many rows each in the mean for sectors, beside their own.
 INDEX = 2.0
 #: Parts of a home's emitters.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formulas import DECIBEL, apply, rounded
-from ..operators import boxes, cells, coverage, grid, summary, terrain, visibility
+from ..operators import boxes, cells, coverage, grid, patches, summary, terrain, visibility
 from ..operators.sized import apart, few
 from ..sources import io
 from ..sources.fixtures import view
@@ -93,20 +93,28 @@ def _ground(spark, sf):
     return coverage.ground_coverage(_modelled(spark, sf), view(spark, sf, "mesh"), view(spark, sf, "bands"), STEP)
 
 
-def _heights(spark, sf):
+def _heights(spark, sf, flags=None):
     levels = spark.createDataFrame([(h,) for h in HEIGHTS], "height double")
-    return coverage.height_coverage(_modelled(spark, sf), view(spark, sf, "mesh"), view(spark, sf, "bands"), levels, STEP)
+    return coverage.height_coverage(_modelled(spark, sf), view(spark, sf, "mesh"), view(spark, sf, "bands"), levels, STEP, flags)
 
 
 def _compared(spark, sf):
     """Cells at heights, by mesh and by elevation models of each resolution."""
     mesh = view(spark, sf, "mesh")
-    seen = stored(_heights(spark, sf).where("visible IS NOT NULL"), "seen").selectExpr("*", f"{LON0}e0 + tx / {SCALE}e0 AS t_lon", f"{LAT0}e0 + ty / {SCALE}e0 AS t_lat", f"{LON0}e0 + ex / {SCALE}e0 AS e_lon", f"{LAT0}e0 + ey / {SCALE}e0 AS e_lat", "named_struct('eid', eid, 'idx', idx, 'height', height) AS rid")
     dem = terrain.rasterise(mesh, _resolutions(spark), LON0, LAT0, SCALE)
-    meta = terrain.raster_meta(terrain.extent(mesh, LON0, LAT0, SCALE), _resolutions(spark))
-    rays = seen.crossJoin(few(meta.select("dem_id")))
-    flags = visibility.dem_visible(rays.selectExpr("rid", "dem_id", "e_lon", "e_lat", "ez AS e_alt", "t_lon", "t_lat", "tz AS t_alt"), dem, meta, long=False).withColumnRenamed("visible", "visible_dem")
-    return summary.compared(seen.withColumnRenamed("visible", "visible_mesh").join(flags, "rid"))
+    meta = stored(terrain.raster_meta(terrain.extent(mesh, LON0, LAT0, SCALE), _resolutions(spark)), "meta")
+    seen = _heights(spark, sf, lambda emitters: patches.with_flags(emitters, dem, meta, HEIGHTS, STEP, LON0, LAT0, SCALE)).where("visible IS NOT NULL")
+    frame = [f"{LON0}e0 + tx / {SCALE}e0 AS t_lon", f"{LAT0}e0 + ty / {SCALE}e0 AS t_lat"]
+    if "flags" in seen.columns:
+        rows = seen.crossJoin(few(meta.selectExpr("dem_id", "CAST(count(*) OVER () AS INT) AS n_models", "CAST(row_number() OVER (ORDER BY dem_id) AS INT) AS nth")))
+        own = f"substring(flags, CAST(array_position(array({', '.join(f'{h}e0' for h in HEIGHTS)}), height) - 1 AS INT) * n_models + nth, 1)"
+        rows = rows.selectExpr("*", f"coalesce({own} = X'01', TRUE) AS visible_dem", *frame).drop("flags", "nth", "n_models")
+    else:
+        seen = stored(seen, "seen").selectExpr("*", *frame, f"{LON0}e0 + ex / {SCALE}e0 AS e_lon", f"{LAT0}e0 + ey / {SCALE}e0 AS e_lat", "named_struct('eid', eid, 'idx', idx, 'height', height) AS rid")
+        rays = seen.crossJoin(few(meta.select("dem_id")))
+        told = visibility.dem_visible(rays.selectExpr("rid", "dem_id", "e_lon", "e_lat", "ez AS e_alt", "t_lon", "t_lat", "tz AS t_alt"), dem, meta, long=False)
+        rows = seen.join(told.withColumnRenamed("visible", "visible_dem"), "rid")
+    return summary.compared(rows.withColumnRenamed("visible", "visible_mesh"))
 
 
 @query
