@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -15,9 +15,15 @@ from ..sources.shared import stored
 MOVED, TURNED = ["lon", "lat", "alt", "phi", "theta"], ["phi", "theta"]
 STATE = "move_at long, move_event long, lon double, lat double, alt double, base_phi double, base_theta double, turn_at long, turn_event long, phi double, theta double"
 POSE = "emitter_id long, lon double, lat double, alt double, phi double, theta double"
+POSED = Row(*(c.split()[0] for c in POSE.split(", ")))
 NEVER = (-(1 << 63), -(1 << 63))
 
 
+def _value(x: float | None) -> float:
+    """A null as not a number: a null of the state is a place that never was."""
+    return math.nan if x is None else x
+
+
 class Poses(StatefulProcessor):
     """Of each emitter the latest move and the latest turn by (time, event), in whatever order they come.
 
@@ -28,24 +34,20 @@ class Poses(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._kept = handle.getValueState("pose", STATE)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = tuple(self._kept.get()) if self._kept.exists() else (*NEVER, None, None, None, None, None, *NEVER, 0.0, 0.0)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held = tuple(self._kept.get() or (*NEVER, None, None, None, None, None, *NEVER, 0.0, 0.0))
         moved, turned = held[:7], held[7:]
-        for part in rows:
-            for kind, columns in (("move", MOVED), ("turn", TURNED)):
-                own = part[part["kind"] == kind]
-                if len(own):
-                    last = own.sort_values(["at", "event_id"]).iloc[-1]
-                    new = (int(last["at"]), int(last["event_id"]), *(float(last[c]) for c in columns))
-                    if kind == "move":
-                        moved = max(moved, new, key=lambda x: x[:2])
-                    else:
-                        turned = max(turned, new, key=lambda x: x[:2])
+        for row in rows:
+            at = row["at"], row["event_id"]
+            if row["kind"] == "move" and at > moved[:2]:
+                moved = (*at, *(_value(row[c]) for c in MOVED))
+            elif row["kind"] == "turn" and at > turned[:2]:
+                turned = (*at, *(_value(row[c]) for c in TURNED))
         if moved + turned != held:
             self._kept.update(moved + turned)
             if moved[2] is not None:
                 lon, lat, alt, base_phi, base_theta = moved[2:]
-                yield pd.DataFrame([[key[0], lon, lat, alt, base_phi + turned[2], base_theta + turned[3]]], columns=[c.split()[0] for c in POSE.split(", ")])
+                yield POSED(key[0], *(None if math.isnan(v) else v for v in (lon, lat, alt, base_phi + turned[2], base_theta + turned[3])))
 
     def close(self) -> None:
         pass
@@ -54,10 +56,11 @@ class Poses(StatefulProcessor):
 def changed(events: DataFrame) -> DataFrame:
     """(emitter_id, lon, lat, alt, phi, theta) of a stream of events (emitter_id, event_id, ts, kind, MOVED): poses as they change.
 
+    Events come to the state as rows: a frame for each emitter takes many times as long as its few events.
     The state is kept by the RocksDB store, so it is bounded by disks and not by memory.
     """
     rows = events.selectExpr("emitter_id", "event_id", "kind", "unix_micros(ts) AS at", *MOVED)
-    return rows.groupBy("emitter_id").transformWithStateInPandas(Poses(), POSE, "Update", "None")
+    return rows.groupBy("emitter_id").transformWithState(Poses(), POSE, "Update", "None")
 
 
 def latest(events: DataFrame) -> DataFrame:
