@@ -115,11 +115,11 @@ PLACES: Layers = [[("c_lon", _place("lon", "z")), ("c_lat", _place("lat", "j")),
 COUNTED = ["step", "virtual", *(f"{x}_{part}" for x in ("lon_lo", "lat_lo", "alt_lo") for part in "dms"), "n_lon", "n_lat", "n_alt"]
 
 
-def cell_grid(stations: DataFrame, most: int | None = None, by: Sequence[str] = ("lon", "lat", "level", "i", "j")) -> DataFrame:
+def cell_grid(stations: DataFrame, most: int | None = None, by: Sequence[str] = ("lon", "lat", "level", "i", "j"), n: int | None = None) -> DataFrame:
     """3D grid of each station (lon, lat, alt, range_m, level): adds i, j, z, c_lon, c_lat, c_alt.
 
     ``most`` is an optional bound: stations with more points give none.  Rows are dealt by ``by``: those of (i, j) if i
-    is among the columns, else the stations, in whose partitions the cells then stay.  Stations that ``reaching`` has
+    is among the columns, else the stations, in whose partitions, of ``n``, the cells then stay.  Stations that ``reaching`` has
     counted are not counted again.
     """
     known = [c for c in stations.columns if c in COUNTED]
@@ -129,9 +129,9 @@ def cell_grid(stations: DataFrame, most: int | None = None, by: Sequence[str] =
         rows = rows.withColumn("n_alt", F.expr(f"CASE WHEN n_lon * n_lat * n_alt <= {most} THEN n_alt END"))
     # each axis's place is made as soon as its step is there, so none is made again for the cells of the inner ones
     (lon, lat, alt), = PLACES
-    low = apply(spread(rows if "i" in by else dealt(rows, *by), "i", "n_alt"), [[alt]])
+    low = apply(spread(rows if "i" in by else dealt(rows, *by, n=n), "i", "n_alt"), [[alt]])
     mid = apply(spread(low, "j", "n_lat"), [[lat]])
-    rows = apply(spread(dealt(mid, *by) if "i" in by else mid, "z", "n_lon"), [[lon]])
+    rows = apply(spread(dealt(mid, *by, n=n) if "i" in by else mid, "z", "n_lon"), [[lon]])
     return rows.select(*columns, "i", "j", "z", "c_lon", "c_lat", "c_alt")
 
 
@@ -143,9 +143,11 @@ _SLACK = "(CASE WHEN level < 10 THEN 1e0 WHEN level < 16 THEN (step + 1) / 60e0
 def reaching(stations: DataFrame) -> DataFrame:
     """Stations with ``n_cells``, how many cells their grids have, ``lon_reach`` and ``lat_reach``, which no cell lies beyond, in degrees, and ``COUNTED``.
 
-    A grid starts not far below its lower limit and goes on for its number of steps.
+    A grid starts not far below its lower limit and goes on for its number of steps.  Parts of seconds (level 22 on) are
+    evenly spaced, so the first and the last of them tell.
     """
     half = {"lon": _HALF, "lat": f"range_m / {GRID_METRES}"}
-    farthest = lambda axis: f"greatest({half[axis]}, greatest(0L, n_{axis}) * step * {_UNIT} - {half[axis]}) + {_SLACK}"
+    ends = lambda axis: ", ".join(f"abs({_place(axis, i)} - {axis})" for i in ("0L", f"greatest(0L, n_{axis} - 1)"))
+    farthest = lambda axis: f"CASE WHEN level < 22 THEN greatest({half[axis]}, greatest(0L, n_{axis}) * step * {_UNIT} - {half[axis]}) + {_SLACK} ELSE greatest({ends(axis)}) + 1e-9 END"
     cells = "CAST(greatest(0L, n_lon) * greatest(0L, n_lat) * greatest(0L, n_alt) AS DOUBLE)"
     return apply(stations, COUNTS).selectExpr(*stations.columns, *COUNTED, f"{cells} AS n_cells", f"{farthest('lon')} AS lon_reach", f"{farthest('lat')} AS lat_reach")

@@ -45,13 +45,17 @@ def leafed(mesh: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Terrain:
-    """Triangles in leaves, the leaves' boxes, which levels there are, the mean size of triangles, and the box of all (x, y, z, low and high)."""
+    """Triangles in leaves, the leaves' boxes, which levels there are, the mean size of triangles, and the box of all (x, y, z, low and high).
+
+    Triangles at homes (``visibility.around``) may be dealt over a number of partitions of their own.
+    """
 
     triangles: DataFrame
     leaves: DataFrame
     levels: list[int]
     size: float
     limits: tuple[float, ...] = ()
+    dealt_over: int | None = None
 
 
 KEY = ["level", "leaf_x", "leaf_y"]

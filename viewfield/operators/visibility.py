@@ -9,6 +9,7 @@ their rays are made and settled, so no ray is shuffled.  Rays of any origin are
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formulas import BOXES, CLEARANCE_SQL, DEM_METRES, MEETS, PAIR, RAYS, SEEN, apply
 from ..sources.shared import stored
-from .sized import apart, dealt, few
+from .sized import apart, dealt, few, partitions
 from .terrain import KEY, Raster, Terrain, at_levels, heights, indexed, meeting, raster, sample, side_of, tops
 
 #: Sectors of emitters that have no number of their own.
@@ -106,13 +107,28 @@ def housed(emitters: DataFrame, parts: int | None = None, reach: float | None =
     return emitters.selectExpr("*", f"CAST(log2({side}) AS INT) AS home_k", *(f"{_tile(f'e{i}', side)} AS home_{i}" for i in "xy"), *part)
 
 
-def around(mesh: DataFrame | Terrain, emitters: DataFrame) -> Terrain:
-    """Triangles in reach of some emitter of a tile, dealt to the tile's partition: one row for each such tile."""
+#: Rows of the index of triangles by sectors that a part of a home's emitters has, and that a partition has, about.
+HELD, AT_ONCE = 50_000, 200_000
+
+
+def parting(emitters: DataFrame, size: float, index: float, least: int) -> tuple[int, int]:
+    """In how many parts (``least`` or more) homes' emitters (ex, ey, reach) go, and over how many partitions, for triangles of this size.
+
+    A partition's index is held in memory.  Its rows go by the emitters, so parts and partitions do, too.
+    """
+    rows = f"power(2 * reach / CAST({size!r} AS DOUBLE) + 1, 2) * {1 + index}"
+    homes = housed(emitters).groupBy("home_k", "home_x", "home_y").agg(F.sum(F.expr(rows)).alias("n"))
+    said = homes.agg(F.coalesce(F.max("n"), F.lit(0.0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("all")).first()
+    return max(least, math.ceil(said["most"] / HELD)), max(partitions(emitters), math.ceil(said["all"] / AT_ONCE))
+
+
+def around(mesh: DataFrame | Terrain, emitters: DataFrame, n: int | None = None) -> Terrain:
+    """Triangles in reach of some emitter of a tile, dealt to the tile's partition, of ``n``: one row for each such tile."""
     terrain, place = indexed(mesh), [*_place(emitters), "home_k"]
     limits = [f(F.expr(f"e{i} {s} reach")).alias(f"q{n}{i}") for i in "xy" for f, s, n in ((F.min, "-", "lo"), (F.max, "+", "hi"))]
     homes = emitters.groupBy(*place).agg(*limits)
     near = meeting(homes, terrain.leaves, terrain.levels).join(terrain.triangles, KEY).where("lox <= qhix AND hix >= qlox AND loy <= qhiy AND hiy >= qloy")
-    return Terrain(dealt(near.select(*place, *KEY, *CORNERS), *_place(emitters)), terrain.leaves, terrain.levels, terrain.size, terrain.limits)
+    return Terrain(dealt(near.select(*place, *KEY, *CORNERS), *_place(emitters), n=n), terrain.leaves, terrain.levels, terrain.size, terrain.limits, n)
 
 
 def _with_sectors(rows: DataFrame) -> DataFrame:
@@ -125,7 +141,7 @@ def sectors_of(mesh: DataFrame | Terrain, emitters: DataFrame) -> DataFrame:
     asked = _with_sectors(emitters).selectExpr(*place, *(["home_k"] if place else []), "eid", "ex", "ey", "ez", "reach", "sectors", *(f"e{i} - reach AS qlo{i}" for i in "xy"), *(f"e{i} + reach AS qhi{i}" for i in "xy"))
     if place:
         near = terrain if "home_x" in terrain.triangles.columns else around(terrain, emitters)
-        seen = dealt(asked, *place).join(near.triangles.hint("shuffle_hash"), [*place, "home_k"])
+        seen = dealt(asked, *place, n=near.dealt_over).join(near.triangles.hint("shuffle_hash"), [*place, "home_k"])
     else:
         seen = meeting(asked, terrain.leaves, terrain.levels).join(terrain.triangles, KEY)
     seen = seen.where("lox <= qhix AND hix >= qlox AND loy <= qhiy AND hiy >= qloy")
